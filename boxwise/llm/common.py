@@ -54,3 +54,54 @@ def bounded_sample(df: DataFrame, key: str, bound: int, seed: int = 7) -> DataFr
     """
     n = df.count()
     return df if n <= bound else df.where(fraction_of(F.col(key), seed) < bound / n)
+
+
+def key_filter(keys: DataFrame, key: str, bits: int = 1 << 26) -> DataFrame:
+    """A bitmap of hashed keys: at most ``bits / 32768`` rows of 4 kB, whatever the number of keys."""
+    bit = _bit(F.col(key), bits)
+    return keys.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bitmap")
+    )
+
+
+def maybe_in(df: DataFrame, key: str, bitmaps: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """The rows of ``df`` whose key may be among those of ``key_filter``; none that is there is lost.
+
+    The broadcast is bounded by ``bits`` (8 MB at 1 << 26). Where the bitmap
+    fills up, more rows than needed pass, never fewer.
+    """
+    bit = _bit(F.col(key), bits)
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("_bitmap", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (
+        df.join(F.broadcast(bitmaps), F.bitmap_bucket_number(bit) == F.col("_bucket"))
+        .where(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1)
+        .drop("_bucket", "_bitmap")
+    )
+
+
+def _bit(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (a, b): one row (node, root) for each node, root being its least node.
+
+    Alternates large-star and small-star steps: every node links its larger
+    neighbours, then its smaller ones, to the least node it sees. Each step is
+    a minimum that combines on the map side and a join that AQE may split, so
+    a node with very many neighbours does not meet in one task. The edges of
+    each round are written; rounds end when they stay as they are.
+    """
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = None
+    while (state := now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()) != before:
+        before = state
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        now = written(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

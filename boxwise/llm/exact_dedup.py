@@ -19,11 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwise.llm.common import written
-
-#: Bits of one bitmap of Spark's bitmap functions.
-BITMAP_BITS = 32768
-
+from boxwise.llm.common import key_filter, maybe_in, written
 
 def normalised(text: Column) -> Column:
     """``text`` with A-Z in lower case and null as empty."""
@@ -67,18 +63,6 @@ def lookup(index: DataFrame, digests: list[bytes]) -> DataFrame:
     return index.where(F.col("digest").isin([F.lit(bytearray(d)) for d in digests]))
 
 
-def _bit(digest: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(bits)) + 1
-
-
-def hit_filter(hits: DataFrame, bits: int) -> DataFrame:
-    """A bitmap of the digests of ``hits``: at most ``bits / 32768`` rows of 4 kB."""
-    bit = _bit(F.col("digest"), bits)
-    return hits.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bitmap")
-    )
-
-
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -108,15 +92,8 @@ def exact_dedup(
     n_runs = max(1, -(-rows.count() // memtable_rows))
     index = compact(flush(rows, n_runs, pick), n_runs, fanout, pick)
 
-    bit = _bit(F.col("digest"), filter_bits)
-    seen = F.broadcast(hit_filter(index.where("n > 1"), filter_bits))
-    position = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring("bitmap", (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    maybe = (
-        source.withColumn("digest", digest(F.col("norm")))
-        .join(seen, F.bitmap_bucket_number(bit) == F.col("bucket"))
-        .where(F.call_function("shiftright", byte, (position % 8).cast("int")).bitwiseAND(1) == 1)
-    )
+    hits = key_filter(index.where("n > 1"), "digest", filter_bits)
+    maybe = maybe_in(source.withColumn("digest", digest(F.col("norm"))), "digest", hits, filter_bits)
     clashing = written(
         maybe.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))
         .where("least <> greatest").select("digest"),

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxwise.llm import exact_dedup, mixing, packing
+from boxwise.llm import exact_dedup, mixing, ngram_join, packing
 from boxwise.sources.tables import table
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -20,4 +24,4 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op8_packing, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op4_ngram_join, op5_exact_dedup, op8_packing, op9_mixing)}
