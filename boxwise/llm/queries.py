@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxwise.llm import exact_dedup, mixing, ngram_join, packing
+from boxwise.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from boxwise.sources.tables import table
 
 
@@ -16,6 +16,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), with_text=False)
+    return scored.drop("restored")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
@@ -24,4 +29,4 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_join, op5_exact_dedup, op8_packing, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op4_ngram_join, op5_exact_dedup, op7_toxicity, op8_packing, op9_mixing)}
