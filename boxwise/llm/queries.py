@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxwise.llm import exact_dedup, mixing, ngram_join, packing, toxicity
+from boxwise.llm import exact_dedup, language_id, mixing, ngram_join, packing, toxicity
 from boxwise.sources.tables import table
 
 
@@ -29,4 +29,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_join, op5_exact_dedup, op7_toxicity, op8_packing, op9_mixing)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_language(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_ngram_join, op5_exact_dedup, op7_toxicity, op8_packing, op9_mixing, op10_language_id)}
