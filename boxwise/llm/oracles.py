@@ -48,4 +48,66 @@ SELECT d.doc_id, d.size, d.source_size, d.target, CAST((d.whole + CASE WHEN d.hi
 FROM drawn d JOIN best b ON d.source IS NOT DISTINCT FROM b.source AND d.seed = b.seed
 """
 
-ORACLES = {"op5_exact_dedup": OP5, "op9_mixing": OP9}
+_ID = "'<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-8' || h[14:16] || '-a' || h[18:20] || '-' || h[21:32] || '>'"
+_ENTITIES = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "''", "&nbsp;": " ", "&copy;": "©", "&reg;": "®", "&middot;": "·",
+    "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&laquo;": "«", "&raquo;": "»", "&euro;": "€",
+}
+
+
+def _uuid(expression: str) -> str:
+    return f"(SELECT {_ID} FROM (SELECT sha256({expression}) AS h))"
+
+
+def _unescaped(text: str) -> str:
+    for name, char in _ENTITIES.items():
+        text = f"replace({text}, '{name}', '{char}')"
+    number = "(CASE WHEN lower(x[3]) = 'x' THEN ('0x' || x[4:-2])::BIGINT ELSE x[3:-2]::BIGINT END)"
+    char = f"CASE WHEN {number} BETWEEN 1 AND 55295 OR {number} BETWEEN 57344 AND 1114111 THEN replace(a, x, chr({number}::INT)) ELSE a END"
+    found = f"list_distinct(regexp_extract_all({text}, '&#(?:[0-9]{{1,7}}|[xX][0-9a-fA-F]{{1,6}});'))"
+    return f"replace(list_reduce(list_prepend({text}, {found}), lambda a, x: {char}), '&amp;', '&')"
+
+
+def _tidy(text: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace({text}, '[ \t\r\f\x0B\x{{A0}}]+', ' ', 'g'), ' ?\n[ \n]*', E'\n', 'g'), E' \n')"
+
+
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+_BLOCK = (
+    r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|head|header|hr|html"
+    r"|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
+)
+_TAG = "<[a-zA-Z/!?][^>]*>"
+_TEXT = f"regexp_replace(regexp_replace(regexp_replace(body, '{_HIDDEN}', '', 'g'), '{_BLOCK}', E'\\n', 'g'), '{_TAG}', '', 'g')"
+_TITLE = f"regexp_replace(regexp_extract(body, '(?is)<title\\b[^>]*>(.*?)</title', 1), '{_TAG}', '', 'g')"
+OP1 = rf"""
+WITH p AS (
+  SELECT page_id, url AS target_uri, '2026-01-01T00:00:00Z' AS refers_to_date, coalesce(html, '') AS body FROM pages
+), r AS (
+  SELECT *, '200' AS source_status,
+    E'HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ' || strlen(body) AS source_headers,
+    'sha256:' || sha256(body) AS source_payload_digest,
+    {_uuid("'response|' || coalesce(page_id::VARCHAR, '') || '|' || coalesce(target_uri, '') || '|' || sha256(body)")} AS refers_to,
+    {_tidy(_unescaped(_TEXT))} AS text, replace({_tidy(_unescaped(_TITLE))}, E'\n', ' ') AS title,
+    regexp_extract(body, '(?is)<html\b[^>]*?\slang=["'']?([A-Za-z-]+)', 1) AS language,
+    len(regexp_extract_all(body, '(?i)<a\b[^>]*?\shref=')) AS links
+  FROM p
+), i AS (
+  SELECT *, 'sha256:' || sha256(source_headers || E'\r\n\r\n' || body) AS source_block_digest,
+    {_uuid("'metadata|' || refers_to")} AS metadata_id, {_uuid("'conversion|' || refers_to")} AS conversion_id
+  FROM r
+), m AS (
+  SELECT *, 'metadata' AS warc_type, metadata_id AS record_id, 'application/warc-fields' AS content_type,
+    'title: ' || title || E'\r\nlanguage: ' || language || E'\r\nlinks: ' || links || E'\r\ncharacters: ' || length(text)
+    || E'\r\nsource-status: 200\r\nsource-content-type: text/html; charset=utf-8\r\nsource-payload-digest: ' || source_payload_digest
+    || E'\r\nconversion-record-id: ' || conversion_id || E'\r\n' AS block
+  FROM i
+  UNION ALL
+  SELECT *, 'conversion', conversion_id, 'text/plain; charset=utf-8', text FROM i
+)
+SELECT page_id, warc_type, record_id, content_type, block, refers_to, refers_to_date, target_uri, source_status, source_headers,
+  source_payload_digest, source_block_digest, 'sha256:' || sha256(block) AS block_digest, strlen(block)::BIGINT AS content_length
+FROM m
+"""
+
+ORACLES = {"op1_warc_derivatives": OP1, "op5_exact_dedup": OP5, "op9_mixing": OP9}
