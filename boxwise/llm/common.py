@@ -64,20 +64,34 @@ def key_filter(keys: DataFrame, key: str, bits: int = 1 << 26) -> DataFrame:
     )
 
 
+def _flagged(df: DataFrame, key: str, bitmaps: DataFrame, bits: int) -> DataFrame:
+    """``df`` with ``_maybe``: whether the key's bit is set. The broadcast is bounded by ``bits`` (8 MB at 1 << 26)."""
+    bit = _bit(F.col(key), bits)
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("_bitmap", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1
+    joined = df.join(F.broadcast(bitmaps), F.bitmap_bucket_number(bit) == F.col("_bucket"), "left")
+    return joined.withColumn("_maybe", F.coalesce(found, F.lit(False))).drop("_bucket", "_bitmap")
+
+
 def maybe_in(df: DataFrame, key: str, bitmaps: DataFrame, bits: int = 1 << 26) -> DataFrame:
     """The rows of ``df`` whose key may be among those of ``key_filter``; none that is there is lost.
 
-    The broadcast is bounded by ``bits`` (8 MB at 1 << 26). Where the bitmap
-    fills up, more rows than needed pass, never fewer.
+    Where the bitmap fills up, more rows than needed pass, never fewer.
     """
-    bit = _bit(F.col(key), bits)
-    place = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring("_bitmap", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return (
-        df.join(F.broadcast(bitmaps), F.bitmap_bucket_number(bit) == F.col("_bucket"))
-        .where(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1)
-        .drop("_bucket", "_bitmap")
-    )
+    return _flagged(df, key, bitmaps, bits).where("_maybe").drop("_maybe")
+
+
+def without(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """The rows of ``df`` whose key is not in ``keys`` (one column of the same name).
+
+    Only rows that the bitmap of keys lets through are joined, so wide rows
+    are not shuffled to find out that they stay. Rows with a null key stay.
+    """
+    flagged = _flagged(df, key, key_filter(keys, key, bits), bits)
+    stay = flagged.where("not _maybe")
+    asked = flagged.where("_maybe").join(keys.select(key).distinct(), key, "left_anti")
+    return stay.select(df.columns).unionByName(asked.select(df.columns))
 
 
 def _bit(key: Column, bits: int) -> Column:
