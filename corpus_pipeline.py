@@ -1,3 +1,66 @@
-STAGES = []
+"""A training corpus from ``documents``: filter, deduplicate, mix and pack.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next stage's ``docs``. All but the
+last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from boxwise.llm.common import without, written
+from boxwise.llm.exact_dedup import exact_dedup
+from boxwise.llm.mixing import emit_mix
+from boxwise.llm.ngram_join import near_duplicates
+from boxwise.llm.packing import pack
+from boxwise.llm.toxicity import without_toxic
+from boxwise.sources.tables import table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents whose restored text scores 0.7 or more."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (A-Z lower-cased) the document with the largest id."""
+    found = written(exact_dedup(docs, keep="max"), "copies")
+    return without(docs, "doc_id", found.where("not kept").select("doc_id"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the least id."""
+    found = written(near_duplicates(docs), "classes")
+    return without(docs, "doc_id", found.where(F.col("doc_id") != F.col("class_id")).select("doc_id"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return emit_mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of 2048 tokens, with their ids."""
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing", mix),
+    ("packing", pack_sequences),
+]
+
+#: A language model and a classifier decide in the first stage, which SQL cannot express.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
