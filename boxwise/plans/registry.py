@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from boxwise.plans import models, profiles, relations
+
+PLANS = profiles.PLANS | relations.PLANS | models.PLANS
+QUERIES = {name: query for name, (query, _) in PLANS.items()}
+ORACLES = {name: sql for name, (_, sql) in PLANS.items() if sql}
