@@ -19,8 +19,8 @@ def stat_ranges(long: DataFrame, bins: str = "bins", key: str = "stat_key", valu
     lower, upper = F.col("m") - width * F.col("s"), F.col("m") + width * F.col("s")
     return s.select(
         "bin", key,
-        F.when(F.col("lo") >= 0, F.greatest(lower, F.lit(0.0))).otherwise(lower).alias("lower"),
-        F.when(F.col("hi") <= 0, F.least(upper, F.lit(0.0))).otherwise(upper).alias("upper"),
+        F.when((F.col("lo") >= 0) & (lower < 0), 0.0).otherwise(lower).alias("lower"),
+        F.when((F.col("hi") <= 0) & (upper > 0), 0.0).otherwise(upper).alias("upper"),
     )
 
 
