@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -17,10 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root is None:
-        if not spark.sparkContext.master.startswith("local["):
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="boxwise-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _LOCAL.get(app) or tempfile.mkdtemp(prefix="boxwise-")
+        _LOCAL[app] = root
     return root.rstrip("/")
 
 
@@ -36,6 +40,22 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most ``rows`` rows a batch between Spark and Python, as whole texts are large.
+
+    The size of batches is a setting of the session, which is lowered where it
+    is higher; both Spark and Python hold a batch or two for each task.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def in_small_batches(df: DataFrame, function, schema) -> DataFrame:
+    small_batches(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 1 on division by 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

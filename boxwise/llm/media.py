@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwise.llm.common import written
+from boxwise.llm.common import in_small_batches, written
 
 WIDTH = 192
 #: Magic, a comment with the number of bytes before filling up, width and height, the largest sample.
@@ -119,7 +119,7 @@ def sequences(pages: DataFrame, id_col: str, html_col: str, with_text: bool = Tr
                     found.append([{"position": k, **dict(zip(names, i, strict=True))} | ({} if with_text else {"text": None}) for k, i in enumerate(items)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["id", "items"])
 
-    return rows.mapInArrow(parsed, f"id {rows.schema['id'].dataType.simpleString()}, items {ITEMS}")
+    return in_small_batches(rows, parsed, f"id {rows.schema['id'].dataType.simpleString()}, items {ITEMS}")
 
 
 def stored_form(text: Column) -> Column:
@@ -165,7 +165,7 @@ def described(store: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     schema = "media_sha256 string, media_bytes bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, feature string"
-    made = store.select("media").mapInArrow(read, schema)
+    made = in_small_batches(store.select("media"), read, schema)
     # equal digests have equal rows; the aggregation combines on the map side
     return made.groupBy("media_sha256").agg(*[F.first(c).alias(c) for c in made.columns[1:]])
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwise.llm.common import components, key_filter, maybe_in, written
+from boxwise.llm.common import components, in_small_batches, key_filter, maybe_in, written
 from boxwise.llm.shingles import fixed_bytes, minhash_family, runs, shingles, signatures
 
 NODE = 16
@@ -136,7 +136,7 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, size: int, family) -> D
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(sketched, f"id {kind}, node binary, n int, signature binary")
+    return in_small_batches(rows, sketched, f"id {kind}, node binary, n int, signature binary")
 
 
 def _candidate_edges(nodes: DataFrame, bands: int, rows_per_band: int, n_hashes: int, block: int, step: int, least: list[int]) -> DataFrame:
@@ -171,7 +171,7 @@ def _candidate_edges(nodes: DataFrame, bands: int, rows_per_band: int, n_hashes:
                     right.append(b + start)
                     waiting += len(a)
 
-    return rows.mapInArrow(connected, "a binary, b binary").distinct()
+    return in_small_batches(rows, connected, "a binary, b binary").distinct()
 
 
 def exact_links(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float, columns: int = 4096) -> np.ndarray:
@@ -217,7 +217,7 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, size: int, nodes: Dat
                 right = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == n.as_py() for s, n in zip(sets, batch.column(1), strict=True)])
                 yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(1, 5)] + [held], ["node", "root", "copies", "weight", "held"]).filter(right)
 
-    sets = texts.select("text", "node", "root", "copies", "weight").mapInArrow(shingled, "node binary, root binary, copies bigint, weight bigint, held binary")
+    sets = in_small_batches(texts.select("text", "node", "root", "copies", "weight"), shingled, "node binary, root binary, copies bigint, weight bigint, held binary")
     rows = dealt(sets, F.col("weight"), ["root"], block).select("root", "lo", "hi", "block", "node", "copies", "held")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +248,7 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, size: int, nodes: Dat
                     links.append(int(count[k]))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(peers, pa.binary()), pa.array(links, pa.int64())], ["node", "peer", "links"])
 
-    return written(rows.mapInArrow(checked, "node binary, peer binary, links bigint"), "links")
+    return written(in_small_batches(rows, checked, "node binary, peer binary, links bigint"), "links")
 
 
 def near_duplicates(

@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxwise.llm.common import in_small_batches
+
 #: Written after each document's ids.
 END_ID = 1
 SPECIAL = "<|endoftext|>"
@@ -48,11 +50,10 @@ def encoder(vocabulary: str, ranks: str):
         with open(public_tokenizers.path(ranks), "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        slow = Tokenizer.from_file(public_tokenizers.path(vocabulary))
 
         def encode(text: str) -> np.ndarray:
             if SPECIAL in text:
-                ids = slow.encode(text, add_special_tokens=False).ids
+                ids = Tokenizer.from_file(public_tokenizers.path(vocabulary)).encode(text, add_special_tokens=False).ids
             else:
                 ids = fast.encode_ordinary(text)
             return np.array([*ids, END_ID], dtype="<u4")
@@ -166,4 +167,4 @@ def pack(
             yield emit()
 
     kinds = {pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary"}
-    return rows.mapInArrow(packed, ", ".join(f"`{name}` {kinds[t]}" for name, t in fields))
+    return in_small_batches(rows, packed, ", ".join(f"`{name}` {kinds[t]}" for name, t in fields))

@@ -18,7 +18,7 @@ class _WordHashes(dict):
     """Hashes of words, kept for the words seen last."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
