@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxwise.llm.common import bounded_sample, fraction_of, held_out, written
+from boxwise.llm.common import bounded_sample, fraction_of, held_out, in_small_batches, written
 
 HAS_LETTER = re.compile(r"[^\W\d_]")
 NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int,
                 ["lang", "place", "codes"],
             )
 
-    found = sorted(chosen.mapInArrow(codes, "lang string, place int, codes binary").collect(), key=lambda r: (r["lang"], r["place"]))
+    found = sorted(in_small_batches(chosen, codes, "lang string, place int, codes binary").collect(), key=lambda r: (r["lang"], r["place"]))
     landmarks = Landmarks.of([np.frombuffer(r["codes"], np.uint64) for r in found])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,10 +165,11 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int,
                 kernel = kernel_rows(batch.column(1).to_pylist(), table, landmarks.presence)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k.tobytes() for k in kernel], pa.binary())], ["lang", "kernel"])
 
-    fitted = texts.select("lang", "text").mapInArrow(rows, "lang string, kernel binary").toPandas()
-    fitted = fitted.sort_values(["lang", "kernel"])  # sums then do not depend on the order of tasks
-    kernel = np.frombuffer(b"".join(fitted["kernel"]), np.float32).reshape(len(fitted), -1)
-    labels = fitted["lang"].map({x: k for k, x in enumerate(languages)}).to_numpy()
+    fitted = in_small_batches(texts.select("lang", "text"), rows, "lang string, kernel binary").toArrow()
+    fitted = fitted.sort_by([("lang", "ascending"), ("kernel", "ascending")])  # sums then do not depend on the order of tasks
+    kernel = np.frombuffer(b"".join(fitted["kernel"].to_pylist()), np.float32).reshape(len(fitted), -1)
+    known = {x: k for k, x in enumerate(languages)}
+    labels = np.array([known[x] for x in fitted["lang"].to_pylist()])
     weights = ridge(kernel, labels, landmarks.presence @ landmarks.presence.T, len(languages), penalty)
     return Classifier(languages, landmarks, weights)
 
@@ -209,5 +210,5 @@ def identify_language(
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    out = texts.mapInArrow(scored, f"id {kind}, lang_pred string, score double")
+    out = in_small_batches(texts, scored, f"id {kind}, lang_pred string, score double")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
