@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwise.llm import exact_dedup, language_id, media, mixing, ngram_join, packing, toxicity, url_filter, warc
+from boxwise.llm import chat, exact_dedup, language_id, media, mixing, ngram_join, packing, toxicity, url_filter, warc
 from boxwise.sources.tables import table
 
 
@@ -26,6 +26,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, model, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    transcripts = chat.as_transcripts(table(spark, sf_dir, "conversations"))
+    model = chat.train(transcripts, "conv_id", "turn", "text", "role")
+    return chat.parse(transcripts.drop("role"), model)
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,4 +65,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_language(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_url_filter, op4_ngram_join, op5_exact_dedup, op6_media, op7_toxicity, op8_packing, op9_mixing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_url_filter, op3_chat, op4_ngram_join, op5_exact_dedup, op6_media, op7_toxicity, op8_packing, op9_mixing, op10_language_id)}
