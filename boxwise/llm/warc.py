@@ -3,31 +3,36 @@
 Every response gives two records that refer to it by its record id and carry
 its target URI, its date, the status and headers of the source and both digests:
 a ``metadata`` record (application/warc-fields) and a ``conversion`` record
-(text/plain) with the text of the HTML. Each row is worked on by itself with
-DataFrame functions; nothing is shuffled and no key can be hot.
+(text/plain) with the text of the HTML. Each row is worked on by itself; nothing
+is shuffled and no key can be hot. The text comes from one pass of Python over
+each page: the same by Spark's regular expressions takes several passes.
 """
 
 from __future__ import annotations
 
+import re
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from boxwise.llm.common import small_batches
 
 CRLF = "\r\n"
-#: Elements whose content is no text, and comments; the end of the page ends them too.
-HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
-BLOCK_TAG = (
-    r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|head|header|hr|html"
-    r"|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
+BLOCKS = set(
+    "address article aside blockquote body br dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html"
+    " li main nav ol p pre section table td th title tr ul".split()
 )
-ANY_TAG = r"<[a-zA-Z/!?][^>]*>"
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
-LANG = r"(?is)<html\b[^>]*?\slang=[\"']?([A-Za-z-]+)"
-LINK = r"(?i)<a\b[^>]*?\shref="
-#: Named references, the ampersand last.
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®", "&middot;": "·",
-    "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&laquo;": "«", "&raquo;": "»", "&euro;": "€",
-}
+#: Comments, and elements whose content is no text; the end of the page ends them too.
+HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<script\b.*?(?:</script\s*>|\Z)|<style\b.*?(?:</style\s*>|\Z)")
+TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>|<[a-zA-Z/!?][^>]*>")
+TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title")
+LANG = re.compile(r"(?is)<html\b[^>]*?\slang=[\"']?([A-Za-z-]+)")
+#: Character references with their semicolon; what lacks it stays as it is.
+REFERENCE = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});")
+LINK = re.compile(r"(?i)<a\b[^>]*?\shref=")
 
 
 def digest(block: Column) -> Column:
@@ -41,31 +46,33 @@ def record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *pieces), F.lit(">"))
 
 
-def unescaped(text: Column) -> Column:
-    """Named references and decimal and hexadecimal ones, each once."""
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    number = lambda x: F.when(x.startswith("&#x") | x.startswith("&#X"), F.conv(F.substring(x, 4, 6), 16, 10)).otherwise(F.regexp_replace(x, "[^0-9]", ""))
-    point = lambda x: F.try_to_number(number(x), F.lit("9999999")).cast("int")
-    char = lambda x: F.decode(F.unhex(F.lpad(F.hex(point(x)), 8, "0")), "UTF-32")
-    valid = lambda x: (point(x) > 0) & (point(x) < 0x110000) & ~point(x).between(0xD800, 0xDFFF)
-    numeric = F.array_distinct(F.regexp_extract_all(text, F.lit("(&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)"), 1))
-    text = F.when(
-        text.contains("&#"), F.aggregate(numeric, text, lambda acc, x: F.when(valid(x), F.replace(acc, x, char(x))).otherwise(acc))
-    ).otherwise(text)
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+def unescaped(text: str) -> str:
+    return REFERENCE.sub(lambda m: unescape(m[0]), text)
 
 
-def tidy(text: Column) -> Column:
+def tidy(text: str) -> str:
     """Runs of blanks as one, lines without blanks at their ends, no empty lines."""
-    text = F.regexp_replace(text, r"[ \t\r\f\x0B\x{A0}]+", " ")
-    return F.trim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+    for c in "\t\r\f\x0b\xa0":
+        text = text.replace(c, " ")
+    while "  " in text:
+        text = text.replace("  ", " ")
+    return "\n".join(line for line in (x.strip(" ") for x in text.split("\n")) if line)
+
+
+def page_text(html: str) -> tuple[str, str, str, int]:
+    """Text (block elements on lines of their own), title, language and number of links of a page."""
+    shown = TAG.sub(lambda m: "\n" if m[1] and m[1].lower() in BLOCKS else "", HIDDEN.sub("", html))
+    title, language = TITLE.search(html), LANG.search(html)
+    title = tidy(unescaped(TAG.sub("", title[1]))).replace("\n", " ") if title else ""
+    return tidy(unescaped(shown)), title, language[1] if language else "", len(LINK.findall(html))
+
+
+PAGE = T.StructType([T.StructField(c, T.StringType()) for c in ("text", "title", "language")] + [T.StructField("links", T.IntegerType())])
 
 
-def html_text(html: Column) -> Column:
-    """The text of a page: block elements on lines of their own, without markup."""
-    shown = F.regexp_replace(html, HIDDEN, "")
-    return tidy(unescaped(F.regexp_replace(F.regexp_replace(shown, BLOCK_TAG, "\n"), ANY_TAG, "")))
+@F.pandas_udf(PAGE)
+def page_texts(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(map(page_text, html), columns=["text", "title", "language", "links"])
 
 
 def as_responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2026-01-01T00:00:00Z") -> DataFrame:
@@ -94,6 +101,7 @@ def derive(responses: DataFrame) -> DataFrame:
     repeated response gives repeated records with the same ids. Further
     columns are ignored; an empty table gives no records.
     """
+    small_batches(responses.sparkSession)
     source = responses.select("id", "record_id", "target_uri", "date", F.coalesce("block", F.lit("")).alias("block"))
     end = F.instr("block", CRLF + CRLF)
     parts = source.withColumns({
@@ -106,11 +114,9 @@ def derive(responses: DataFrame) -> DataFrame:
         digest(F.col("block")).alias("source_block_digest"), digest(F.col("body")).alias("source_payload_digest"),
         F.nullif(F.regexp_extract("head", r"^HTTP/[0-9.]+ ([0-9]{3})", 1), F.lit("")).alias("source_status"),
         F.nullif(F.regexp_extract("head", r"(?i)\r\ncontent-type:[ \t]*([^\r\n]*)", 1), F.lit("")).alias("source_content_type"),
-        html_text(F.col("body")).alias("text"),
-        F.regexp_replace(tidy(unescaped(F.regexp_replace(F.regexp_extract("body", TITLE, 1), ANY_TAG, ""))), "\n", " ").alias("title"),
-        F.regexp_extract("body", LANG, 1).alias("language"), F.regexp_count("body", F.lit(LINK)).alias("links"),
+        page_texts("body").alias("page"),
     )
-    ids = read.withColumns({
+    ids = read.select("*", "page.*").drop("page").withColumns({
         "metadata_id": record_id(F.lit("metadata"), F.col("record_id")), "conversion_id": record_id(F.lit("conversion"), F.col("record_id")),
     })
     field = lambda name, value: F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit("")), F.lit(CRLF))
