@@ -37,22 +37,30 @@ def bayesian_var(x: Column, window: WindowSpec | None = None) -> Column:
 
 def exponential_mean(values: Column, rows: Column) -> Column:
     """Exponentially weighted mean of an array, oldest value first, without nulls; the span is ``rows``."""
-    return F.try_divide(_weighted(values, rows, lambda w, x: w * x), _weighted(values, rows, lambda w, x: w))
+    s = _exponential_sums(values, rows)
+    return F.try_divide(s["wx"], s["w"])
 
 
 def exponential_var(values: Column, rows: Column) -> Column:
     """Exponentially weighted variance, corrected for bias; null for fewer than two values."""
-    w, w2 = _weighted(values, rows, lambda w, x: w), _weighted(values, rows, lambda w, x: w * w)
-    mean = exponential_mean(values, rows)
-    square = F.try_divide(_weighted(values, rows, lambda w, x: w * x * x), w)
-    biased = F.greatest(square - mean * mean, F.lit(0.0))
-    return F.when(F.size(values) > 1, F.try_divide(biased * w * w, w * w - w2))
+    s = _exponential_sums(values, rows)
+    mean = F.try_divide(s["wx"], s["w"])
+    biased = F.greatest(F.try_divide(s["wxx"], s["w"]) - mean * mean, F.lit(0.0))
+    return F.when(F.size(values) > 1, F.try_divide(biased * s["w"] * s["w"], s["w"] * s["w"] - s["ww"]))
 
 
-def _weighted(values: Column, rows: Column, term) -> Column:
+def _exponential_sums(values: Column, rows: Column) -> Column:
+    """Sums of the weights, their squares, and the weighted values and squares, in one pass from the newest value."""
     decay = 1 - 2 / (rows + 1)
-    terms = F.transform(F.reverse(values), lambda x, j: term(F.pow(decay, j.cast("double")), x))
-    return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
+    start = F.struct(F.lit(1.0).alias("next"), *[F.lit(0.0).alias(k) for k in ("w", "ww", "wx", "wxx")])
+
+    def add(s: Column, x: Column) -> Column:
+        w = s["next"]
+        return F.struct(
+            (w * decay).alias("next"), (s["w"] + w).alias("w"), (s["ww"] + w * w).alias("ww"), (s["wx"] + w * x).alias("wx"), (s["wxx"] + w * x * x).alias("wxx")
+        )
+
+    return F.aggregate(F.reverse(values), start, add)
 
 
 def weighted_mean(x: Column, weight: Column) -> Column:

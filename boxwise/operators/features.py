@@ -58,3 +58,26 @@ def feature_matrix(base: DataFrame, groups: dict[str, DataFrame], keys: list[str
         columns = sorted(c for c in groups[name].columns if c not in keys)
         out = out.join(groups[name].select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in columns]), keys, "left")
     return out.select(*keys, *sorted(c for c in out.columns if c not in keys))
+
+
+def effect_deltas(players: DataFrame, missing: DataFrame, effects: DataFrame, keys: list[str], one: str, two: str, value: str) -> DataFrame:
+    """Per player of ``players``: the mean of a two-player effect over the missing players of its side, less its single effect.
+
+    ``effects`` has a row for each pair (one, two), and with a null ``two``
+    for the player alone. Pairs without an effect add nothing; a player
+    without any, or without a single effect, has 0.
+    """
+    pairs = players.join(missing.withColumnRenamed(one, two), keys).where(F.col(one) != F.col(two))
+    paired = pairs.join(effects.where(F.col(two).isNotNull()), [one, two]).groupBy(one).agg(F.avg(value).alias("_pair"), F.count(F.lit(1)).alias("pairs"))
+    single = effects.where(F.col(two).isNull()).select(one, F.col(value).alias("_single"))
+    out = players.join(paired, one, "left").join(single, one, "left")
+    delta = F.coalesce(F.col("_pair") - F.col("_single"), F.lit(0.0))
+    return out.select(one, *keys, F.coalesce("pairs", F.lit(0)).alias("pairs"), delta.alias("delta"))
+
+
+def mixed_projection(projections: DataFrame, keys: list[str], mean: str = "mean", variance: str = "var", least: float = 0.01) -> DataFrame:
+    """Projections of one target from several models, mixed by inverse variance."""
+    w = 1 / F.greatest(F.col(variance), F.lit(least))
+    known = projections.where(F.col(mean).isNotNull() & F.col(variance).isNotNull()).withColumn("_w", w)
+    sums = known.groupBy(*keys).agg(F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col(mean)).alias("wm"), F.sum(F.col("_w") * F.col("_w") * F.col(variance)).alias("wv"), F.count(F.lit(1)).alias("models"))
+    return sums.select(*keys, (F.col("wm") / F.col("w")).alias("mean"), (F.col("wv") / F.col("w") / F.col("w")).alias("var"), "models")

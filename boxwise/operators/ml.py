@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,3 +115,31 @@ def pipeline_features(functions: list[Callable[[DataFrame], DataFrame]], df: Dat
     for f in functions:
         df = f(df)
     return df
+
+
+def evaluate_classifier(df: DataFrame, columns: list[str], label: str = "label", key: str = "game", kind: str = "logistic", classes: int = 2) -> DataFrame:
+    """One row: kind, the number of test rows, accuracy, mean absolute class error over (classes - 1)."""
+    scaled = preprocess(df.select(key, label, *columns), columns, limit=3.0)
+    used = [f"{c}_z" for c in columns if f"{c}_z" in scaled.columns]
+    ready = VectorAssembler(inputCols=used, outputCol="features").transform(scaled).select(key, F.col(label).cast("double").alias("label"), "features").persist()
+    train, _, test = split(ready, key)
+    made = {
+        "logistic": lambda: LogisticRegression(regParam=0.01),
+        "mlp": lambda: MultilayerPerceptronClassifier(layers=[len(used), 8, classes], maxIter=40, seed=1),
+    }[kind]()
+    judged = made.fit(train).transform(test)
+    off = F.abs(F.col("prediction") - F.col("label"))
+    out = judged.agg(F.count(F.lit(1)).alias("test"), F.avg((off == 0).cast("double")).alias("accuracy"), (F.avg(off) / (classes - 1)).alias("error")).first()
+    ready.unpersist()
+    return df.sparkSession.createDataFrame([(kind, out["test"], out["accuracy"], out["error"])], "kind string, test bigint, accuracy double, error double")
+
+
+def grid(df: DataFrame, columns: list[str], label: str = "label", folds: int = 3, penalties: tuple[float, ...] = (0.0, 0.1, 1.0), mixes: tuple[float, ...] = (0.0, 0.5)) -> DataFrame:
+    """Elastic-net settings with their cross-validated root mean squared error."""
+    ready = VectorAssembler(inputCols=columns, outputCol="features").transform(df.fillna(0.0, columns)).select(F.col(label).cast("double").alias("label"), "features").persist()
+    model = LinearRegression()
+    settings = ParamGridBuilder().addGrid(model.regParam, list(penalties)).addGrid(model.elasticNetParam, list(mixes)).build()
+    fitted = CrossValidator(estimator=model, estimatorParamMaps=settings, evaluator=RegressionEvaluator(metricName="rmse"), numFolds=folds, seed=1).fit(ready)
+    ready.unpersist()
+    rows = [(float(s[model.regParam]), float(s[model.elasticNetParam]), float(e)) for s, e in zip(settings, fitted.avgMetrics, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "penalty double, mix double, rmse double")

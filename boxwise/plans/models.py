@@ -294,7 +294,81 @@ def gp_fit(spark, sf_dir):
     return ml.gaussian_process(t.select("grp", "game", F.col("qty").alias("label"), "qty_season", "qty_last"), "grp", "game", ["qty_season", "qty_last"], "label", most=150)
 
 
+def effect_features(spark, sf_dir):
+    """Customers as players of a nation, suppliers on their orders as partners: quantity with the first suppliers of the nation that are out."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("game"), F.col("o_custkey").alias("one"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("game"), F.col("l_suppkey").alias("two"), "l_quantity")
+    both = orders.join(items, "game")
+    pairs = both.groupBy("one", "two").agg(F.avg("l_quantity").alias("x"))
+    alone = both.groupBy("one").agg(F.avg("l_quantity").alias("x")).select("one", F.lit(None).cast("bigint").alias("two"), "x")
+    players = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("one"), F.col("c_nationkey").alias("grp"))
+    missing = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("one"), F.col("s_nationkey").alias("grp"))
+    out = features.effect_deltas(players, missing, pairs.unionByName(alone), ["grp"], "one", "two", "x")
+    return out.select("one", "grp", "pairs", r4("delta"))
+
+
+SQL_EFFECT = """WITH b AS (SELECT o_custkey AS one, l_suppkey AS two, l_quantity AS q FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+p AS (SELECT one, two, avg(q) AS x FROM b GROUP BY ALL), a AS (SELECT one, avg(q) AS x FROM b GROUP BY ALL),
+m AS (SELECT c_custkey AS one, avg(p.x) AS x, count(*) AS n FROM customer JOIN supplier ON s_nationkey = c_nationkey AND s_suppkey % 2 = 0 AND s_suppkey <> c_custkey JOIN p ON p.one = c_custkey AND p.two = s_suppkey GROUP BY ALL)
+SELECT c_custkey AS one, c_nationkey AS grp, coalesce(n, 0) AS pairs, round(coalesce(m.x - a.x, 0), 4) AS delta FROM customer LEFT JOIN m ON m.one = c_custkey LEFT JOIN a ON a.one = c_custkey"""
+
+
+def _projections(spark, sf_dir):
+    """Two simple models of every event: the entity's last ten, and its nation's season so far."""
+    g = games(spark, sf_dir)
+    own, season = windows.trailing(["entity"], ORDER, 10), windows.to_date(["grp", "season"], ORDER)
+    base = g.select("game", "entity", "qty", F.round(F.avg("qty").over(own), 6).alias("m0"), F.round(F.var_pop("qty").over(own), 6).alias("v0"), F.round(F.avg("qty").over(season), 6).alias("m1"), F.round(F.var_pop("qty").over(season), 6).alias("v1"))
+    each = F.explode(F.array(*[F.struct(F.col(f"m{k}").alias("mean"), F.col(f"v{k}").alias("var")) for k in (0, 1)])).alias("p")
+    return base, base.select("game", each).select("game", "p.*")
+
+
+PROJECTIONS = """pj AS (SELECT game, entity, qty, round(avg(qty) OVER a, 6) AS m0, round(var_pop(qty) OVER a, 6) AS v0, round(avg(qty) OVER b, 6) AS m1, round(var_pop(qty) OVER b, 6) AS v1 FROM games
+  WINDOW a AS (PARTITION BY entity ORDER BY day, game ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY grp, season ORDER BY day, game ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ps AS (SELECT game, unnest([m0, m1]) AS mean, unnest([v0, v1]) AS var FROM pj), w AS (SELECT *, 1 / greatest(var, 0.01) AS w FROM ps WHERE mean IS NOT NULL AND var IS NOT NULL),
+mx AS (SELECT game, sum(w * mean) / sum(w) AS mean, sum(w * w * var) / sum(w) / sum(w) AS var, count(*) AS models FROM w GROUP BY 1)"""
+
+
+def make_projection(spark, sf_dir):
+    return features.mixed_projection(_projections(spark, sf_dir)[1], ["game"]).select("game", r4("mean"), r4("var"), "models")
+
+
+SQL_PROJECTION = f"WITH {GAMES}, {PROJECTIONS} SELECT game, round(mean, 4) AS mean, round(var, 4) AS var, models FROM mx"
+
+
+def historical_compare(spark, sf_dir):
+    """What was, what was projected, and the mean of the last ten, with the errors of both, by nation of the entity."""
+    base, each = _projections(spark, sf_dir)
+    mixed = features.mixed_projection(each, ["game"]).select("game", "mean")
+    joined = base.join(mixed, "game").where("qty is not null and m0 is not null")
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_nationkey").alias("grp"))
+    err = lambda c: F.round(F.avg(F.abs(F.col("qty") - F.col(c))), 4)
+    return joined.join(people, "entity").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), err("mean").alias("projected_error"), err("m0").alias("average_error"))
+
+
+SQL_HISTORICAL = f"""WITH {GAMES}, {PROJECTIONS} SELECT c_nationkey AS grp, count(*) AS n, round(avg(abs(qty - mx.mean)), 4) AS projected_error, round(avg(abs(qty - m0)), 4) AS average_error
+FROM pj JOIN mx USING (game) JOIN customer ON c_custkey = entity WHERE qty IS NOT NULL AND m0 IS NOT NULL GROUP BY 1"""
+
+
+def _classes(spark, sf_dir):
+    t = _training(spark, sf_dir)
+    return t.withColumn("label", F.when(F.col("label") < 60, 0).when(F.col("label") < 130, 1).otherwise(2))
+
+
+def logistic_fit(spark, sf_dir):
+    return ml.evaluate_classifier(_classes(spark, sf_dir), ["qty_season", "qty_last", "qty_trend", "lines_last"], classes=3)
+
+
+def mlp_fit(spark, sf_dir):
+    return ml.evaluate_classifier(_classes(spark, sf_dir), ["qty_season", "qty_last", "qty_trend", "lines_last"], kind="mlp", classes=3)
+
+
+def param_grid(spark, sf_dir):
+    return ml.grid(_training(spark, sf_dir), ["qty_season", "qty_last", "qty_trend", "lines_last"])
+
+
 PLANS = {
+    "effect_features": (effect_features, SQL_EFFECT), "make_projection": (make_projection, SQL_PROJECTION), "historical_compare": (historical_compare, SQL_HISTORICAL),
+    "logistic_fit": (logistic_fit, None), "mlp_fit": (mlp_fit, None), "param_grid": (param_grid, None),
     "interval_baseline": (interval_baseline, SQL_INTERVAL), "distribution_norm": (distribution_norm, SQL_NORM), "cityblock_rank": (cityblock_rank, SQL_CITY), "substitute": (substitute, SQL_SUBSTITUTE),
     "record_streak": (record_streak, SQL_STREAK), "weighted_recent_avg": (weighted_recent_avg, SQL_RECENT), "inverse_variance_mix": (inverse_variance_mix, SQL_MIX), "projection_avg": (projection_avg, SQL_PROJ),
     "linear_points": (linear_points, SQL_LINEAR), "value_per_cost": (value_per_cost, SQL_VALUE), "roster_combos": (roster_combos, SQL_COMBOS), "roster_dp": (roster_dp, SQL_DP),

@@ -226,11 +226,10 @@ def serve_matchup(spark, sf_dir):
     """Stats as rows and types as columns: own, exponential and their difference, for each entity's latest event."""
     own = vectors.own_window(games(spark, sf_dir), ["entity"], ORDER, "qty", WINDOW)
     last = windows.latest(own, ["entity"], ORDER, 1)
-    wide = last.select("entity", F.col("mean").alias("own_(mean)"), F.col("expmean").alias("exp_+mean"), F.col("var").alias("own_var"), F.col("expvar").alias("exp_var"))
-    keys = ["own_(mean)", "exp_+mean", "own_var", "exp_var"]
-    long = wide.unpivot(["entity"], keys, "k", "value")
-    kind, stat = scalars.split_prefix(F.col("k"), ["own", "exp"])
-    stat = F.when(stat == "(mean)", "mean").otherwise(scalars.clean_key(stat))
+    names = {"mean": "own_mean(10)", "expmean": "exp_+mean", "var": "own_var", "expvar": "exp_var(10)"}
+    wide = last.select("entity", *[F.col(c).alias(n) for c, n in names.items()])
+    long = serve.long(wide, ["entity"], list(names.values()), "k")
+    kind, stat = F.split_part("k", F.lit("_"), F.lit(1)), scalars.clean_key(F.split_part("k", F.lit("_"), F.lit(2)))
     out = serve.wide(long.select("entity", kind.alias("kind"), stat.alias("stat"), "value"), ["entity", "stat"], ["own", "exp"], key="kind")
     return out.select("entity", "stat", F.round("own", 2).alias("own"), F.round("exp", 2).alias("exp"), F.round(F.col("exp") - F.col("own"), 2).alias("expdiff"))
 
