@@ -56,7 +56,7 @@ def water_filled(sources: DataFrame, weights: tuple[float, ...], share: float, c
     settles = F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct("place", "level"))
     settled = levels.withColumn("settled", F.min(settles).over(every)["level"])
     return settled.select(
-        "source", "source_size", F.least("cap", F.coalesce(F.col("settled") * F.col("weight"), F.col("cap"))).alias("target")
+        "source", "source_size", F.round(F.least("cap", F.coalesce(F.col("settled") * F.col("weight"), F.col("cap"))), 6).alias("target")
     )
 
 
@@ -97,7 +97,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Further columns are ignored; an empty table gives an empty result.
     """
     sized = written(_sized(docs, id_col, text_col, source_col), "sized")
-    mixed = sized.join(plan_mix(sized, **how), F.col("source").eqNullSafe(F.col("by"))).withColumn("copies", copies(F.col("id")))
+    mixed = sized.join(written(plan_mix(sized, **how), "mix"), F.col("source").eqNullSafe(F.col("by"))).withColumn("copies", copies(F.col("id")))
     return mixed.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
         "copies", (F.col("copies") * F.col("size")).alias("taken"),
@@ -106,7 +106,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def emit_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of ``docs`` with all their columns, each as often as the mix takes it."""
-    plan = plan_mix(written(_sized(docs, id_col, text_col, source_col), "sized"), **how)
+    # the written plan has a known size: it is broadcast where that is small, so texts stay where they are
+    plan = written(plan_mix(written(_sized(docs, id_col, text_col, source_col), "sized"), **how), "mix")
     rows = docs.select(F.struct("*").alias("row"))  # kept apart from the plan's names
     taken = rows.join(plan, F.col("row")[source_col].eqNullSafe(F.col("by"))).withColumn("copies", copies(F.col("row")[id_col]))
     return taken.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

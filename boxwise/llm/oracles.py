@@ -31,7 +31,7 @@ WITH RECURSIVE t AS (
       ELSE target + sum(greatest(target - cap, 0)) OVER () * weight / sum(CASE WHEN full_ OR target >= cap THEN 0 ELSE weight END) OVER () END
   FROM (SELECT *, max(CASE WHEN target > cap THEN 1 ELSE 0 END) OVER () AS more FROM rounds) WHERE more = 1
 ), rated AS (
-  SELECT source, source_size, target, coalesce(target / nullif(source_size, 0), 0) AS rate
+  SELECT source, source_size, round(target, 6) AS target, coalesce(round(target, 6) / nullif(source_size, 0), 0) AS rate
   FROM rounds WHERE round = (SELECT max(round) FROM rounds)
 ), seeds AS (SELECT CAST(unnest(range(16)) AS BIGINT) AS seed
 ), drawn AS (
@@ -44,7 +44,7 @@ WITH RECURSIVE t AS (
 ), best AS (
   SELECT source, seed FROM totals QUALIFY row_number() OVER (PARTITION BY source ORDER BY off_, seed) = 1
 )
-SELECT d.doc_id, d.size, d.source_size, d.target, CAST((d.whole + CASE WHEN d.hit THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken
+SELECT d.doc_id, d.size, d.source_size, round(d.target, 6) AS target, CAST((d.whole + CASE WHEN d.hit THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken
 FROM drawn d JOIN best b ON d.source IS NOT DISTINCT FROM b.source AND d.seed = b.seed
 """
 
