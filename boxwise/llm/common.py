@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +55,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def in_small_batches(df: DataFrame, function, schema) -> DataFrame:
     small_batches(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()  # workers live on after their tasks
+
+    return df.mapInArrow(released, schema)
 
 
 def held_out(doc_id: Column) -> Column:

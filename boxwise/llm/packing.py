@@ -115,7 +115,7 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     capacity: int = 2048,
-    window_tokens: int = 2_000_000,
+    window_tokens: int = 1_000_000,
     linear: float = 1.0,
     quadratic: float = 1.0 / 2048,
     vocabulary: str = "byte_bpe_50k.json",
