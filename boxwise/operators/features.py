@@ -67,8 +67,9 @@ def effect_deltas(players: DataFrame, missing: DataFrame, effects: DataFrame, ke
     for the player alone. Pairs without an effect add nothing; a player
     without any, or without a single effect, has 0.
     """
-    pairs = players.join(missing.withColumnRenamed(one, two), keys).where(F.col(one) != F.col(two))
-    paired = pairs.join(effects.where(F.col(two).isNotNull()), [one, two]).groupBy(one).agg(F.avg(value).alias("_pair"), F.count(F.lit(1)).alias("pairs"))
+    # from the pairs that have an effect, not from all pairs of a side
+    known = effects.where(F.col(two).isNotNull() & (F.col(one) != F.col(two))).join(players.select(one, *keys), one)
+    paired = known.join(missing.withColumnRenamed(one, two).select(two, *keys), [two, *keys]).groupBy(one).agg(F.avg(value).alias("_pair"), F.count(F.lit(1)).alias("pairs"))
     single = effects.where(F.col(two).isNull()).select(one, F.col(value).alias("_single"))
     out = players.join(paired, one, "left").join(single, one, "left")
     delta = F.coalesce(F.col("_pair") - F.col("_single"), F.lit(0.0))

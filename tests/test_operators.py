@@ -222,3 +222,17 @@ def test_possessions_are_null_not_infinite(spark):
     box = spark.createDataFrame([{"g": 1, "team": t, "p": p, **stat} for t in (0, 1) for p in (0, 1)])
     got = possessions.possession_columns(possessions.with_totals(box, "g", "team")).toPandas()
     assert got["ORtg"].isna().all() and len(got) == 4
+
+
+def test_effects_of_missing_partners(spark):
+    players = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "one int, side string")
+    missing = spark.createDataFrame([(2, "a"), (9, "a"), (9, "b")], "one int, side string")
+    effects = spark.createDataFrame([(1, 2, 5.0), (1, 9, 7.0), (1, None, 4.0), (3, 9, 1.0)], "one int, two int, x double")
+    got = {r["one"]: (r["pairs"], r["delta"]) for r in features.effect_deltas(players, missing, effects, ["side"], "one", "two", "x").collect()}
+    assert got == {1: (2, 2.0), 2: (0, 0.0), 3: (1, 0.0)}
+
+
+def test_inverse_variance_mix_prefers_the_surer_model(spark):
+    df = spark.createDataFrame([(1, 10.0, 1.0), (1, 20.0, 9.0), (1, None, 1.0)], "g int, mean double, var double")
+    got = features.mixed_projection(df, ["g"]).first()
+    assert got["mean"] == pytest.approx(11.0) and got["models"] == 2 and got["var"] == pytest.approx(0.9)
