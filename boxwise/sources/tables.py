@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from boxwise.session import share_package
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of ``sf_dir``, by any path that Spark can read."""
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
