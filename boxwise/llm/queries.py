@@ -44,7 +44,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, store = media.text_pages(table(spark, sf_dir, "documents"))
     items = media.interleave(pages, store, with_text=False).where("kind = 'media'")
     return items.select(
-        F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"
+        F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position"
     )
 
 
