@@ -220,10 +220,10 @@ def html_tables(spark, sf_dir):
 
 
 def regex_search(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(F.col("p_name").rlike(r"(?i)^.*1.*$") & F.col("p_type").isin("ECONOMY", "STANDARD", "PROMO", "SMALL")).select("p_partkey", "p_type")
+    return table(spark, sf_dir, "part").where(F.col("p_name").rlike(r"(?i)^.*(bolt|ring).*$") & F.col("p_type").isin("ECONOMY", "STANDARD", "PROMO", "SMALL")).select("p_partkey", "p_type")
 
 
-SQL_REGEX = "SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_name, '(?i)^.*1.*$') AND p_type IN ('ECONOMY', 'STANDARD', 'PROMO', 'SMALL')"
+SQL_REGEX = "SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_name, '(?i)^.*(bolt|ring).*$') AND p_type IN ('ECONOMY', 'STANDARD', 'PROMO', 'SMALL')"
 
 
 def array_members(spark, sf_dir):
