@@ -45,30 +45,31 @@ L1 = "list_sum(list_transform(list_zip(a.vec, b.vec), lambda x: abs(x[1] - x[2])
 
 
 def cityblock_rank(spark, sf_dir):
-    """Of the customers of a nation and segment, those with the nearest profile, the best starter (large buyer) first."""
+    """The five customers of the same nation and segment with the nearest profile, the nearest starter (urgent buyer) first if the base is one."""
     p = _profiles(spark, sf_dir)
-    base = p.where("entity % 10 = 0").select("grp", "seg", F.col("entity").alias("base"), F.col("vec").alias("base_vec"), (F.col("entity") % 20 == 0).alias("starts"))
-    pairs = base.join(p.withColumn("starter", F.col("entity") % 3 == 0), ["grp", "seg"]).where("base <> entity").withColumn("distance", scalars.cityblock(F.col("base_vec"), F.col("vec")))
+    base = p.select("grp", "seg", F.col("entity").alias("base"), F.col("vec").alias("base_vec"), (F.element_at("vec", 1) > F.element_at("vec", 5)).alias("starts"))
+    pairs = base.join(p.withColumn("starter", F.element_at("vec", 1) > F.element_at("vec", 5)), ["grp", "seg"]).where("base <> entity").withColumn("distance", scalars.cityblock(F.col("base_vec"), F.col("vec")))
     ranked = features.matchup_rank(pairs, ["base"], "distance", "starter", "starts", "entity")
     return ranked.where("rank <= 5").select("base", "entity", "distance", F.col("rank").cast("bigint").alias("rank"))
 
 
 SQL_CITY = f"""WITH {GAMES}, {PROFILES}, d AS (
-  SELECT a.entity AS base, b.entity, {L1} AS distance, a.entity % 20 = 0 AS starts, b.entity % 3 = 0 AS starter FROM pr a JOIN pr b ON a.grp = b.grp AND a.seg = b.seg AND a.entity <> b.entity WHERE a.entity % 10 = 0
+  SELECT a.entity AS base, b.entity, {L1} AS distance, a.vec[1] > a.vec[5] AS starts, b.vec[1] > b.vec[5] AS starter FROM pr a JOIN pr b ON a.grp = b.grp AND a.seg = b.seg AND a.entity <> b.entity
 ), f AS (SELECT *, starts AND starter AND row_number() OVER (PARTITION BY base, starter ORDER BY distance, entity) = 1 AS first_ FROM d)
 SELECT base, entity, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY first_ DESC, distance, entity) AS rank FROM f) WHERE rank <= 5"""
 
 
 def substitute(spark, sf_dir):
-    """For every customer out (key divisible by 50), the nearest of its nation and segment that is not out."""
+    """For every customer in debt, who is out, the nearest of its nation and segment that is not."""
     p = _profiles(spark, sf_dir)
-    out = p.where("entity % 50 = 0").select("grp", "seg", F.col("entity").alias("missing"), F.col("vec").alias("vec_a"))
+    debt = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("entity"))
+    out = p.join(debt, "entity", "left_semi").select("grp", "seg", F.col("entity").alias("missing"), F.col("vec").alias("vec_a"))
     bench = p.join(out.select(F.col("missing").alias("entity")), "entity", "left_anti").withColumnRenamed("vec", "vec_b")
     return joins.cityblock_nearest(out, bench, ["grp", "seg"], "vec_a", "vec_b", "missing", "entity").select("missing", "entity", "distance")
 
 
 SQL_SUBSTITUTE = f"""WITH {GAMES}, {PROFILES} SELECT a.entity AS missing, b.entity, {L1} AS distance FROM pr a JOIN pr b ON a.grp = b.grp AND a.seg = b.seg
-WHERE a.entity % 50 = 0 AND b.entity % 50 <> 0 QUALIFY row_number() OVER (PARTITION BY a.entity ORDER BY distance, b.entity) = 1"""
+WHERE a.entity IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) AND b.entity NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) QUALIFY row_number() OVER (PARTITION BY a.entity ORDER BY distance, b.entity) = 1"""
 
 
 def record_streak(spark, sf_dir):
@@ -153,32 +154,37 @@ SQL_VALUE = f"""WITH {GAMES}, {RECENT} SELECT seg, entity, rank, round(value, 4)
   SELECT *, round(mean, 6) / cost AS value, row_number() OVER (PARTITION BY seg ORDER BY round(mean, 6) / cost DESC, entity) AS rank FROM rc WHERE cost > 0) WHERE rank <= 20"""
 
 
-def _pool(spark, sf_dir, size):
-    """The first suppliers of three kinds as players: whole points and costs."""
-    s = table(spark, sf_dir, "supplier").where(F.col("s_suppkey") <= size)
+def _players(spark, sf_dir):
+    """Suppliers as players of three positions, with whole points and costs."""
     kind = F.element_at(F.array(F.lit("g"), F.lit("f"), F.lit("c")), (F.col("s_suppkey") % 3 + 1).cast("int"))
-    return s.select(F.col("s_suppkey").alias("pid"), kind.alias("position"), (F.col("s_suppkey") * 7 % 23 + 1).cast("double").alias("points"), (F.col("s_suppkey") * 5 % 17 + 3).alias("cost"), (F.col("s_nationkey")).alias("team"))
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("pid"), kind.alias("position"), (F.col("s_suppkey") * 7 % 23 + 1).cast("double").alias("points"), (F.col("s_suppkey") * 5 % 17 + 3).alias("cost")
+    )
 
 
-POOL = "pl AS (SELECT s_suppkey AS pid, ['g', 'f', 'c'][CAST(s_suppkey % 3 + 1 AS INT)] AS position, (s_suppkey * 7 % 23 + 1)::DOUBLE AS points, s_suppkey * 5 % 17 + 3 AS cost FROM supplier WHERE s_suppkey <= {size})"
+PLAYERS = "al AS (SELECT s_suppkey AS pid, ['g', 'f', 'c'][CAST(s_suppkey % 3 + 1 AS INT)] AS position, (s_suppkey * 7 % 23 + 1)::DOUBLE AS points, s_suppkey * 5 % 17 + 3 AS cost FROM supplier)"
 ROSTERS = """ro AS (SELECT [a.pid, b.pid, c.pid, d.pid, e.pid] AS pids, a.points + b.points + c.points + d.points + e.points AS points, a.cost + b.cost + c.cost + d.cost + e.cost AS cost
-  FROM pl a JOIN pl b ON a.position = 'g' AND b.position = 'g' AND a.pid < b.pid JOIN pl c ON c.position = 'f' JOIN pl d ON d.position = 'f' AND c.pid < d.pid JOIN pl e ON e.position = 'c')"""
+  FROM {pool} a JOIN {pool} b ON a.position = 'g' AND b.position = 'g' AND a.pid < b.pid JOIN {pool} c ON c.position = 'f' JOIN {pool} d ON d.position = 'f' AND c.pid < d.pid JOIN {pool} e ON e.position = 'c')"""
 
 
 def roster_combos(spark, sf_dir):
-    out = roster.roster_combinations(_pool(spark, sf_dir, 18), {"g": 2, "f": 2, "c": 1}, 45, 48)
-    return out.where("points > 60").select(F.array_join("pids", ",").alias("pids"), "points", "cost")
+    """Every roster near the budget from the six players of each position with the most points for their cost."""
+    best = roster.value_per_cost(_players(spark, sf_dir), "points", "cost", ["position"], "pid").where("rank <= 6")
+    out = roster.roster_combinations(best, {"g": 2, "f": 2, "c": 1}, 20, 35)
+    return out.select(F.array_join("pids", ",").alias("pids"), "points", "cost")
 
 
-SQL_COMBOS = f"WITH {POOL.format(size=18)}, {ROSTERS} SELECT array_to_string(pids, ',') AS pids, points, cost FROM ro WHERE cost BETWEEN 45 AND 48 AND points > 60"
+SQL_COMBOS = f"""WITH {PLAYERS}, pl AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY position ORDER BY points / cost DESC, pid) <= 6), {ROSTERS.format(pool="pl")}
+SELECT array_to_string(pids, ',') AS pids, points, cost FROM ro WHERE cost BETWEEN 20 AND 35"""
 
 
 def roster_dp(spark, sf_dir):
-    out = roster.optimal_rosters(_pool(spark, sf_dir, 30), {"g": 2, "f": 2, "c": 1}, 40)
+    """The five best rosters of all players within the budget."""
+    out = roster.optimal_rosters(_players(spark, sf_dir), {"g": 2, "f": 2, "c": 1}, 40)
     return out.select(F.array_join("pids", ",").alias("pids"), "points", "cost")
 
 
-SQL_DP = f"WITH {POOL.format(size=30)}, {ROSTERS} SELECT array_to_string(pids, ',') AS pids, points, cost FROM ro WHERE cost <= 40 ORDER BY points DESC, cost, pids LIMIT 5"
+SQL_DP = f"WITH {PLAYERS}, {ROSTERS.format(pool='al')} SELECT array_to_string(pids, ',') AS pids, points, cost FROM ro WHERE cost <= 40 ORDER BY points DESC, cost, pids LIMIT 5"
 
 
 def position_minutes(spark, sf_dir):
@@ -218,13 +224,13 @@ SQL_SCALE = f"WITH {GAMES}, " + "i AS (SELECT game, coalesce(qty, avg(qty) OVER
 
 def possession_box(spark, sf_dir):
     """The formulas on box scores made from line items: suppliers are players, odd and even ones are the teams."""
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") <= 4000)
+    li = table(spark, sf_dir, "lineitem")
     q = F.col("l_quantity")
     parts = {"MP": q + 8, "FGM": q / 5 + 1, "FGA": q / 2 + 3, "FG3M": q / 20, "FTM": q / 10 + 1, "FTA": q / 8 + 2, "ORB": q / 10 + 1, "DRB": q / 4 + 1, "AST": q / 9, "STL": q / 30, "BLK": q / 25, "TOV": q / 20 + 1, "PF": q / 15 + 1, "PTS": q / 2 + 3}
     box = li.groupBy(F.col("l_orderkey").alias("game"), F.col("l_suppkey").alias("player")).agg(*[F.sum(v).alias(k) for k, v in parts.items()])
     both = possessions.with_totals(box.withColumn("team", F.col("player") % 2), "game", "team")
     out = possessions.possession_columns(both)
-    return out.select("game", "player", *[F.round(c, 3).alias(c) for c in ("TotPoss", "Stops", "StopPercent", "PProd", "FloorPercent", "ORtg")])
+    return out.select("game", "player", *[(F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("TotPoss", "Stops", "StopPercent", "PProd", "FloorPercent", "ORtg")])
 
 
 def _possession_sql() -> str:
@@ -233,7 +239,7 @@ def _possession_sql() -> str:
     own = ", ".join(f"sum({k}) OVER (PARTITION BY game, team) AS t_{k}, sum({k}) OVER (PARTITION BY game) - sum({k}) OVER (PARTITION BY game, team) AS o_{k}" for k in parts)
     d = lambda a, b: f"(({a}) / nullif({b}, 0))"
     missed_t, missed, missed_o = d("t_FTM", "t_FTA"), d("FTM", "FTA"), d("o_FTM", "o_FTA")
-    return f"""WITH b AS (SELECT l_orderkey AS game, l_suppkey AS player, l_suppkey % 2 AS team, {box} FROM (SELECT *, l_quantity AS q FROM lineitem WHERE l_orderkey <= 4000) GROUP BY ALL),
+    return f"""WITH b AS (SELECT l_orderkey AS game, l_suppkey AS player, l_suppkey % 2 AS team, {box} FROM (SELECT *, l_quantity AS q FROM lineitem) GROUP BY ALL),
 s0 AS (SELECT *, {own} FROM b),
 s1 AS (SELECT *, {d('MP', 't_MP / 5')} * (1.14 * {d('t_AST - AST', 't_FGM')}) + {d(d('t_AST', 't_MP') + ' * MP * 5 - AST', d('t_FGM', 't_MP') + ' * MP * 5 - FGM')} * (1 - {d('MP', 't_MP / 5')}) AS qast,
   0.5 * {d('(t_PTS - t_FTM) - (PTS - FTM)', '2 * (t_FGA - FGA)')} * AST AS ast_part, (1 - pow(1 - {missed}, 2)) * 0.4 * FTA AS ft_part, t_FGM + (1 - pow(1 - {missed_t}, 2)) * t_FTA * 0.4 AS tsp,
@@ -247,8 +253,8 @@ s6 AS (SELECT *, scposs + (FGA - FGM) * (1 - 1.07 * orbp) + pow(1 - {missed}, 2)
   + ORB * ow * play * {d('t_PTS', 'tsp')} AS pprod, o_FGA + 0.44 * o_FTM + o_TOV - o_ORB AS tposs, {d('o_ORB', 'o_ORB + t_DRB')} AS dor, {d('o_FGM', 'o_FGA')} AS dfg FROM s5),
 s7 AS (SELECT *, {d('dfg * (1 - dor)', 'dfg * (1 - dor) + (1 - dfg) * dor')} AS fmwt FROM s6),
 s8 AS (SELECT *, STL + BLK * fmwt * (1 - 1.07 * dor) + DRB * (1 - fmwt) + ({d('o_FGA - o_FGM - t_BLK', 't_MP')} * fmwt * (1 - 1.07 * dor) + {d('o_TOV - t_STL', 't_MP')}) * MP + {d('PF', 't_PF')} * 0.4 * o_FTA * pow(1 - {missed_o}, 2) AS stops FROM s7)
-SELECT game, player, round(totposs, 3) AS TotPoss, round(stops, 3) AS Stops, round({d('stops * o_MP', 'tposs * MP')}, 3) AS StopPercent, round(pprod, 3) AS PProd,
-  round(CASE WHEN totposs > 0 THEN scposs / totposs END, 3) AS FloorPercent, round(CASE WHEN totposs > 0 THEN 100 * pprod / totposs END, 3) AS ORtg FROM s8"""
+SELECT game, player, round(totposs, 3) + 0.0 AS TotPoss, round(stops, 3) + 0.0 AS Stops, round({d('stops * o_MP', 'tposs * MP')}, 3) + 0.0 AS StopPercent, round(pprod, 3) + 0.0 AS PProd,
+  round(CASE WHEN totposs > 0 THEN scposs / totposs END, 3) + 0.0 AS FloorPercent, round(CASE WHEN totposs > 0 THEN 100 * pprod / totposs END, 3) + 0.0 AS ORtg FROM s8"""
 
 
 def running(spark, sf_dir):
@@ -295,21 +301,21 @@ def gp_fit(spark, sf_dir):
 
 
 def effect_features(spark, sf_dir):
-    """Customers as players of a nation, suppliers on their orders as partners: quantity with the first suppliers of the nation that are out."""
+    """Customers as players of a nation, suppliers on their orders as partners: mean quantity with the suppliers of the nation that are in debt, less the mean of all."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("game"), F.col("o_custkey").alias("one"))
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("game"), F.col("l_suppkey").alias("two"), "l_quantity")
     both = orders.join(items, "game")
     pairs = both.groupBy("one", "two").agg(F.avg("l_quantity").alias("x"))
     alone = both.groupBy("one").agg(F.avg("l_quantity").alias("x")).select("one", F.lit(None).cast("bigint").alias("two"), "x")
     players = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("one"), F.col("c_nationkey").alias("grp"))
-    missing = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("one"), F.col("s_nationkey").alias("grp"))
+    missing = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("one"), F.col("s_nationkey").alias("grp"))
     out = features.effect_deltas(players, missing, pairs.unionByName(alone), ["grp"], "one", "two", "x")
     return out.select("one", "grp", "pairs", r4("delta"))
 
 
 SQL_EFFECT = """WITH b AS (SELECT o_custkey AS one, l_suppkey AS two, l_quantity AS q FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 p AS (SELECT one, two, avg(q) AS x FROM b GROUP BY ALL), a AS (SELECT one, avg(q) AS x FROM b GROUP BY ALL),
-m AS (SELECT c_custkey AS one, avg(p.x) AS x, count(*) AS n FROM customer JOIN supplier ON s_nationkey = c_nationkey AND s_suppkey % 2 = 0 AND s_suppkey <> c_custkey JOIN p ON p.one = c_custkey AND p.two = s_suppkey GROUP BY ALL)
+m AS (SELECT c_custkey AS one, avg(p.x) AS x, count(*) AS n FROM customer JOIN supplier ON s_nationkey = c_nationkey AND s_acctbal < 0 AND s_suppkey <> c_custkey JOIN p ON p.one = c_custkey AND p.two = s_suppkey GROUP BY ALL)
 SELECT c_custkey AS one, c_nationkey AS grp, coalesce(n, 0) AS pairs, round(coalesce(m.x - a.x, 0), 4) AS delta FROM customer LEFT JOIN m ON m.one = c_custkey LEFT JOIN a ON a.one = c_custkey"""
 
 
