@@ -139,9 +139,11 @@ def components(edges: DataFrame) -> DataFrame:
     while (state := now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()) != before:
         before = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written, so that the join has two plain sides: small ones are broadcast, large hot ones split by AQE
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large, "large")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         now = written(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
