@@ -37,27 +37,34 @@ def bayesian_var(x: Column, window: WindowSpec | None = None) -> Column:
 
 def exponential_mean(values: Column, rows: Column) -> Column:
     """Exponentially weighted mean of an array, oldest value first, without nulls; the span is ``rows``."""
-    s = _exponential_sums(values, rows)
-    return F.try_divide(s["wx"], s["w"])
+    return mean_of_sums(exponential_sums(values, rows))
 
 
 def exponential_var(values: Column, rows: Column) -> Column:
     """Exponentially weighted variance, corrected for bias; null for fewer than two values."""
-    s = _exponential_sums(values, rows)
-    mean = F.try_divide(s["wx"], s["w"])
+    return var_of_sums(exponential_sums(values, rows))
+
+
+def mean_of_sums(s: Column) -> Column:
+    return F.try_divide(s["wx"], s["w"])
+
+
+def var_of_sums(s: Column) -> Column:
+    """The variance from a column of ``exponential_sums``; there it is worked out once."""
+    mean = mean_of_sums(s)
     biased = F.greatest(F.try_divide(s["wxx"], s["w"]) - mean * mean, F.lit(0.0))
-    return F.when(F.size(values) > 1, F.try_divide(biased * s["w"] * s["w"], s["w"] * s["w"] - s["ww"]))
+    return F.when(s["n"] > 1, F.try_divide(biased * s["w"] * s["w"], s["w"] * s["w"] - s["ww"]))
 
 
-def _exponential_sums(values: Column, rows: Column) -> Column:
-    """Sums of the weights, their squares, and the weighted values and squares, in one pass from the newest value."""
+def exponential_sums(values: Column, rows: Column) -> Column:
+    """Number of values, sums of the weights, their squares, and the weighted values and squares, in one pass from the newest."""
     decay = 1 - 2 / (rows + 1)
-    start = F.struct(F.lit(1.0).alias("next"), *[F.lit(0.0).alias(k) for k in ("w", "ww", "wx", "wxx")])
+    start = F.struct(F.lit(0).alias("n"), F.lit(1.0).alias("next"), *[F.lit(0.0).alias(k) for k in ("w", "ww", "wx", "wxx")])
 
     def add(s: Column, x: Column) -> Column:
         w = s["next"]
         return F.struct(
-            (w * decay).alias("next"), (s["w"] + w).alias("w"), (s["ww"] + w * w).alias("ww"), (s["wx"] + w * x).alias("wx"), (s["wxx"] + w * x * x).alias("wxx")
+            (s["n"] + 1).alias("n"), (w * decay).alias("next"), (s["w"] + w).alias("w"), (s["ww"] + w * w).alias("ww"), (s["wx"] + w * x).alias("wx"), (s["wxx"] + w * x * x).alias("wxx")
         )
 
     return F.aggregate(F.reverse(values), start, add)

@@ -11,13 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxwise.functions import stats
-from boxwise.operators.windows import last_events, profile, to_date, trailing
+from boxwise.operators.windows import last_events, to_date, trailing, with_profile
 
 
 def own_window(df: DataFrame, keys: list[str], order: list[str], stat: str, size: int) -> DataFrame:
     """Adds mean, var, expmean, expvar of the ``size`` events before each, and ``n``, how many there were."""
-    w = trailing(keys, order, size)
-    return df.withColumns(profile(df, stat, w) | {"n": F.count(F.lit(1)).over(w)})
+    return with_profile(df, stat, trailing(keys, order, size))
 
 
 def season_to_date(df: DataFrame, keys: list[str], order: list[str], stat: str) -> DataFrame:

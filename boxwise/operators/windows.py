@@ -37,14 +37,14 @@ def last_events(spine_: DataFrame, rows: DataFrame, group: str, season: str, eve
     return carried.join(seqs.withColumnRenamed(event, "target"), [group, season, "seq"]).withColumnRenamed("_of", event)
 
 
-def profile(df: DataFrame, stat: str, window: WindowSpec) -> dict[str, Column]:
-    """Mean, variance, exponential mean and variance of a stat over a bounded window."""
+def with_profile(df: DataFrame, stat: str, window: WindowSpec) -> DataFrame:
+    """Adds mean, var, expmean and expvar of a stat over a bounded window, and ``n``, how many rows it had."""
     x = F.col(stat)
     values, rows = F.collect_list(x).over(window), F.count(F.lit(1)).over(window)
-    return {
-        "mean": stats.bootstrap_mean(x, window), "var": stats.bootstrap_var(x, window),
-        "expmean": stats.exponential_mean(values, rows), "expvar": stats.exponential_var(values, rows),
-    }
+    out = df.withColumns({
+        "mean": stats.bootstrap_mean(x, window), "var": stats.bootstrap_var(x, window), "n": rows, "_sums": stats.exponential_sums(values, rows),
+    })
+    return out.withColumns({"expmean": stats.mean_of_sums(F.col("_sums")), "expvar": stats.var_of_sums(F.col("_sums"))}).drop("_sums")
 
 
 def days_rest(df: DataFrame, keys: list[str], date: str, cap: int = 10) -> DataFrame:
