@@ -70,27 +70,37 @@ def evaluate_regressor(df: DataFrame, columns: list[str], label: str = "label",
     return df.sparkSession.createDataFrame([(kind, n_train, n_test, mse, r2)], "kind string, train bigint, test bigint, mse double, r2 double")
 
 
-def gaussian_process(df: DataFrame, group: str, key: str, columns: list[str], label: str, most: int = 200, noise: float = 0.5) -> DataFrame:
-    """Per group: mean and variance at each of its rows, from an RBF process on at most ``most`` rows chosen by hash.
+def gaussian_process(df: DataFrame, group: str, key: str, columns: list[str], label: str, most: int = 200, noise: float = 0.5, block: int = 4096) -> DataFrame:
+    """Per group: mean and variance at each of its rows, from an RBF process fitted on at most ``most`` of them.
 
-    A group's rows above ``most`` are left to the other operators: a process
-    costs the cube of its rows, so the bound is part of the method.
+    Only the fit is sampled, as it costs the cube of its rows: it takes the
+    first ``most`` rows in the order of the key's hash. Every row of ``df`` is
+    predicted. Rows meet their group's sample in blocks of about ``block``, so
+    that a large group is dealt to many tasks; each block makes the same fit.
     """
+    rows = df.select(group, key, label, *columns).fillna(0.0, columns)
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(key), key))
-    rows = df.withColumn("_n", place).where(F.col("_n") <= most).drop("_n").fillna(0.0, columns)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[columns].to_numpy(float), pdf[label].to_numpy(float)
-        x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
-        k = np.exp(-0.5 * ((x[:, None] - x[None]) ** 2).sum(-1))
+    blocks = rows.groupBy(F.col(group).alias("_group")).agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
+    same = F.col(group).eqNullSafe(F.col("_group"))
+    sample = rows.withColumn("_n", place).where(F.col("_n") <= most).join(blocks, same).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
+    asked = rows.join(blocks, same).withColumn("_block", F.pmod(F.xxhash64(key, F.lit(1)), F.col("_blocks")))
+
+    def predict(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values("_n")
+        x, y = known[[f"_of_{c}" for c in columns]].to_numpy(float), known[f"_of_{label}"].to_numpy(float)
+        middle, spread = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
+        x, at = (x - middle) / spread, (pdf[columns].to_numpy(float) - middle) / spread
+        kernel = lambda a, b: np.exp(-0.5 * ((a[:, None] - b[None]) ** 2).sum(-1))
         scale = y.var() or 1.0
-        chol = np.linalg.cholesky(k + noise * np.eye(len(y)))
+        chol = np.linalg.cholesky(kernel(x, x) + noise * np.eye(len(y)))
         alpha = np.linalg.solve(chol.T, np.linalg.solve(chol, y - y.mean()))
+        k = kernel(x, at)
         v = np.linalg.solve(chol, k)
-        return pd.DataFrame({group: pdf[group], key: pdf[key], "mean": y.mean() + k @ alpha, "variance": scale * np.maximum(1 - (v**2).sum(0), 0)})
+        return pd.DataFrame({group: pdf[group], key: pdf[key], "mean": y.mean() + alpha @ k, "variance": scale * np.maximum(1 - (v**2).sum(0), 0)})
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return rows.groupBy(group).applyInPandas(fit, f"{group} {kinds[group]}, {key} {kinds[key]}, mean double, variance double")
+    fits = sample.select("_group", F.col("_block").alias("_part"), "_n", *[F.col(c).alias(f"_of_{c}") for c in (label, *columns)]).groupBy("_group", "_part")
+    return asked.select(group, "_block", key, *columns).groupBy(group, "_block").cogroup(fits).applyInPandas(predict, f"{group} {kinds[group]}, {key} {kinds[key]}, mean double, variance double")
 
 
 def upsample(df: DataFrame, recent: Column, outlier: Column) -> DataFrame:

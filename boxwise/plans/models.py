@@ -295,7 +295,7 @@ def linear_fit(spark, sf_dir):
 
 
 def gp_fit(spark, sf_dir):
-    """A Gaussian process for each nation on a bounded number of its events."""
+    """A Gaussian process for each nation, fitted on a bounded number of its events and asked at all of them."""
     t = features.running(games(spark, sf_dir), ["entity"], ORDER, ["qty"]).where("qty is not null and qty_last is not null")
     return ml.gaussian_process(t.select("grp", "game", F.col("qty").alias("label"), "qty_season", "qty_last"), "grp", "game", ["qty_season", "qty_last"], "label", most=150)
 

@@ -217,6 +217,19 @@ def test_gaussian_process_follows_its_data(spark):
     assert np.abs(got["mean"] - np.arange(20) * 2).max() < 4
 
 
+def test_gaussian_process_answers_for_rows_outside_its_sample(spark):
+    rows = [(g, k, float(k % 50), float(k % 50 * 2)) for g, n in (("a", 400), (None, 30), ("one", 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, k bigint, x double, y double").withColumn("_first", F.xxhash64("k"))
+    got = ml.gaussian_process(df.drop("_first"), "g", "k", ["x"], "y", most=20, noise=0.05, block=100).toPandas()
+    assert sorted((str(g), k) for g, k in zip(got["g"], got["k"], strict=True)) == sorted((str(r[0]), r[1]) for r in rows)
+    known = df.where("g = 'a'").toPandas().sort_values(["_first", "k"]).head(20)
+    x, y, asked = known["x"].to_numpy(), known["y"].to_numpy(), got[got["g"] == "a"]
+    kernel = lambda a, b: np.exp(-0.5 * ((a[:, None] - b[None]) / x.std()) ** 2)
+    inverse, k = np.linalg.inv(kernel(x, x) + 0.05 * np.eye(20)), kernel(asked["k"].to_numpy() % 50.0, x)
+    assert np.allclose(asked["mean"], y.mean() + k @ inverse @ (y - y.mean()))
+    assert np.allclose(asked["variance"], y.var() * (1 - np.einsum("ij,jk,ik->i", k, inverse, k)))
+
+
 def test_possessions_are_null_not_infinite(spark):
     stat = {s: 0.0 for s in possessions.BOX} | {"MP": 10.0}
     box = spark.createDataFrame([{"g": 1, "team": t, "p": p, **stat} for t in (0, 1) for p in (0, 1)])
