@@ -2,8 +2,8 @@
 
 1. A character language model (four characters, interpolated down to one) is
    counted over every document of the corpus.
-2. Suspect spans (letters mixed with digits or signs, spaced-out letters,
-   repeated letters) become lattices: leetspeak signs stand for letters,
+2. Suspect spans (words that hold a digit, sign, inner separator or doubled
+   letter, and three or more spaced-out letters) become lattices: leetspeak signs stand for letters,
    separators and repeats may have been inserted. Viterbi finds the likeliest
    original under the language model; the rest of the text passes unchanged.
 3. The restored text is scored by a logistic regression on its words and word
@@ -37,15 +37,21 @@ LEET = {
 SEPARATORS = " ._-*"
 #: Costs of the channel, in nats; dropping a character also saves its share of the model's cost.
 SIGN, SIGN_KEPT, DROP_SEPARATOR, DROP_REPEAT, DROP_DOUBLE = 0.7, 4.0, 2.0, 1.5, 3.0
+#: Of signs that plain texts have as well: separators inside a word, and signs after its end.
+SEPARATOR_KEPT, END_KEPT = 0.5, 1.0
 
 WORDS = re.compile(r"[^\W\d_]+")
-SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ ._*-][^\W_]){3,}(?![^\W_])")
-#: Classes of code points below 0xAA; above are letters.
+SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ ._*-][^\W_]){2,}(?![^\W_])")
+#: Classes of code points below 0x10000; above are letters.
 LETTER, DIGIT, SIGN_CLASS, SEPARATOR = 1, 2, 4, 8
-_CLASS = np.array(
-    [LETTER * chr(k).isalpha() | DIGIT * (chr(k) in "0123456789") | SIGN_CLASS * (chr(k) in "@$!|+*") | SEPARATOR * (chr(k) in SEPARATORS) for k in range(0xAA)],
-    np.uint8,
-)
+
+
+def _class(char: str) -> int:
+    digit = char in "0123456789"
+    return LETTER * (char.isalnum() and not digit) | DIGIT * digit | SIGN_CLASS * (char in "@$!|+*€") | SEPARATOR * (char in SEPARATORS)
+
+
+_CLASS = np.array([_class(chr(k)) for k in range(0x10000)], np.uint8)
 
 
 def char_codes(text: str) -> np.ndarray:
@@ -95,13 +101,13 @@ def _code(char: str) -> int:
     return ord(char) - 96 if "a" <= char <= "z" else CODES - 1 if char.isalpha() else 0
 
 
-def restore(span: str, model: np.ndarray) -> str:
-    """The likeliest original of an obfuscated span, in lower case."""
-    span = span.lower()
+def _readings(span: str) -> list[list[tuple[str, float]]]:
+    """For each character of a lower-cased span what it may have been, with prices; an empty text drops it."""
     spaced = bool(SPACED.fullmatch(span))
-    # state: the last three codes; value: (cost, text so far)
-    best = {0: (0.0, "")}
-    square = CODES**3
+    # three letters alone are found in plain texts as well, more hardly ever
+    separator_kept, dropped = SIGN_KEPT if spaced and len(span) > 5 else SEPARATOR_KEPT, DROP_SEPARATOR * (0.1 if spaced else 1.0)
+    inside = [k for k, char in enumerate(span) if char.isalnum()] or [0]
+    read = []
     for k, char in enumerate(span):
         options: list[tuple[str, float]] = []
         if char.isalpha():
@@ -113,68 +119,111 @@ def restore(span: str, model: np.ndarray) -> str:
             for letter in LEET.get(char, ""):
                 options.append((letter, SIGN + (1.5 if char == "*" else 0.0)))
             if char in SEPARATORS:
-                options.append(("", DROP_SEPARATOR * (0.1 if spaced else 1.0)))
+                options.append(("", dropped))
             if k and span[k - 1] == char:
                 options.append(("", DROP_REPEAT))
-            options.append((char, SIGN_KEPT))
-        following: dict[int, tuple[float, str]] = {}
+            outside = k > inside[-1] or char == "*" and k < inside[0]
+            options.append((char, separator_kept if char in SEPARATORS and char != "*" else END_KEPT if outside else SIGN_KEPT))
+        read.append(options)
+    return read
+
+
+def _decode(read: list[list[tuple[str, float]]], model: np.ndarray, widest: int | None = None, bound: float = math.inf) -> tuple[float, str]:
+    """Least cost and its text, among paths that cost ``bound`` or less; over the ``widest`` best states alone where that is set."""
+    square = CODES**3
+    left = sum(min(price for _, price in options) for options in read)
+    # state: the last three codes; value: (cost, link to the text so far), so no text is copied
+    best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    for options in read:
+        left -= min(price for _, price in options)
+        most = bound - left + 1e-6
+        following: dict[int, tuple[float, tuple | None]] = {}
         for state, (cost, text) in best.items():
             for letter, price in options:
+                to, now = state, cost + price
                 if letter:
                     code = state * CODES + _code(letter)
-                    to, now = code % square, (cost + price - float(model[code]), text + letter)
-                else:
-                    to, now = state, (cost + price, text)
-                if to not in following or now < following[to]:
-                    following[to] = now
+                    if code % (CODES * CODES):  # the model counts a run of characters that are no letters as one
+                        to, now = code % square, now - float(model[code])
+                if now <= most and (to not in following or now < following[to][0]):
+                    following[to] = now, (text, letter) if letter else text
+        if widest and len(following) > widest:
+            following = dict(sorted(following.items(), key=lambda x: (x[1][0], x[0]))[:widest])
         best = following
-    return min((cost - float(model[state * CODES]), text) for state, (cost, text) in best.items())[1]
+    ended = lambda state, text: text is not None and not state % CODES and not text[1].isdigit()
+    cost, _, text = min(((cost - (0.0 if ended(state, text) else float(model[state * CODES])), state, text) for state, (cost, text) in best.items()), key=lambda x: x[:2])
+    letters = []
+    while text:
+        text, letter = text
+        letters.append(letter)
+    return cost, "".join(reversed(letters))
+
+
+def restore(span: str, model: np.ndarray) -> str:
+    """The likeliest original of an obfuscated span, in lower case.
+
+    Time and memory are in proportion to its length. Signs that stand for any
+    letter multiply the states; there a narrow search first gives the cost of
+    one reading, and states that cannot become cheaper than that are left out,
+    as no price is negative. The result is that of all states.
+    """
+    read = _readings(span.lower())
+    bound = _decode(read, model, widest=8)[0] if "*" in span else math.inf
+    return _decode(read, model, bound=bound)[1]
 
 
 def suspects(text: str) -> tuple[list[tuple[int, int]], bool]:
     """The spans of suspect words of a text, and whether letters may be spaced out in it.
 
-    A word is suspect if a digit or sign of it stands before a letter, or if
-    a letter of it comes three times in a row.
+    A word is what stands between blanks and other punctuation, from its first
+    to its last letter, digit or sign. It is suspect if it holds a letter and
+    a digit, a sign, a separator inside, or a letter twice in a row.
     """
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    if len(points) < 3:
+    if len(points) < 2:
         return [], False
-    kind = np.where(points >= 0xAA, np.uint8(LETTER), _CLASS[np.minimum(points, 0xA9)])
+    kind = np.where(points >= 0x10000, np.uint8(LETTER), _CLASS[np.minimum(points, 0xFFFF)])
     letter = (kind & LETTER) > 0
-    before_letter = ((kind[:-1] & (DIGIT | SIGN_CLASS)) > 0) & letter[1:]
+    core = (kind & (LETTER | DIGIT | SIGN_CLASS)) > 0
+    between = ((kind & SEPARATOR) > 0) & (points != 32) & ~core
     folded = np.where(points < 128, points | 32, points)
-    same = (folded[1:] == folded[:-1]) & letter[1:]
-    hits = [*np.flatnonzero(before_letter).tolist(), *np.flatnonzero(same[1:] & same[:-1]).tolist()]
-    spans = set()
-    for at in hits:
-        start, end = at, at + 1
-        while start and kind[start - 1] & (LETTER | DIGIT | SIGN_CLASS):
-            start -= 1
-        while end < len(kind) and kind[end] & (LETTER | DIGIT | SIGN_CLASS):
-            end += 1
-        while end > start and not letter[end - 1]:
-            end -= 1
-        if end - start > 2:
-            spans.add((start, end))
+    double = np.r_[False, (folded[1:] == folded[:-1]) & letter[1:] & letter[:-1]]
+    edge = np.diff(np.r_[False, core | between, False].astype(np.int8))
+    at = np.flatnonzero(core)
+    low, high = np.searchsorted(at, np.flatnonzero(edge == 1)), np.searchsorted(at, np.flatnonzero(edge == -1))
+    low, high = low[low < high], high[low < high]
+    starts, ends = at[low], at[high - 1] + 1
+    seen = lambda flags: (total := np.r_[0, np.cumsum(flags)])[ends] - total[starts]
+    odd = (seen(letter) > 0) & (seen(~letter | double) > 0)
     alone = (kind & (LETTER | DIGIT)) > 0
+    alone &= ~np.r_[False, alone[:-1]] & ~np.r_[alone[1:], False]
     gap = alone[:-1] & ((kind[1:] & SEPARATOR) > 0)
-    return sorted(spans), bool((gap[:-4] & gap[2:-2] & gap[4:]).any())
+    return list(zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)), bool((gap[:-3] & gap[2:-1] & alone[4:]).any())
+
+
+def restorer(model: np.ndarray, cached_length: int = 200) -> Callable[[str], str]:
+    """text -> text with its suspect spans restored; those that read best as they are keep their case."""
 
+    def plain(span: str) -> str:
+        found = restore(span, model)
+        return span if found == span.lower() else found
 
-def restorer(model: np.ndarray, longest: int = 200) -> Callable[[str], str]:
-    """text -> text with its suspect spans restored; longer spans than ``longest`` are no words and stay."""
-    cached = lru_cache(20_000)(lambda span: restore(span, model) if len(span) <= longest else span)
+    cache = lru_cache(20_000)(plain)
+    cached = lambda span: cache(span) if len(span) <= cached_length else span
 
     def restored(text: str) -> str:
         spans, spaced = suspects(text)
+        if spaced:
+            # the model does not tell letters outside a-z apart, so three of them say nothing
+            text = SPACED.sub(lambda m: cached(m[0]) if len(m[0]) > 5 or any(c.isascii() and c.isalnum() for c in m[0]) else m[0], text)
+            spans, _ = suspects(text)
         if spans:
             parts, at = [], 0
             for start, end in spans:
                 parts += [text[at:start], cached(text[start:end])]
                 at = end
             text = "".join([*parts, text[at:]])
-        return SPACED.sub(lambda m: cached(m[0]), text) if spaced else text
+        return text
 
     return restored
 

@@ -29,6 +29,21 @@ def test_spaced_letters_are_joined(model):
     assert restore("an i d i o t, of") == "an idiot, of" and restore("p.a.t.h.e.t.i.c") == "pathetic"
 
 
+@pytest.mark.parametrize(("seen", "want"), [("idi07", "idiot"), ("lose5", "loses"), ("scumm", "scum"), ("stuupid", "stupid"), ("stu.pid", "stupid"), ("i_diot", "idiot"), ("b a d", "bad"), ("id10t!", "idiot!"), ("mor€n!!", "moren!!")])
+def test_disguise_at_the_end_doubled_or_partly_spaced(model, seen, want):
+    assert toxicity.restorer(model)(f"the {seen} on, and") == f"the {want} on, and"
+
+
+@pytest.mark.parametrize("token", ["hat3", "lose5", "tras4", "idi07", "h473", "scumm", "stu.pid", "stu-pid", "st_upid", "a€b", "is!"])
+def test_each_disguise_reaches_the_lattice(token):
+    assert toxicity.suspects(f"({token}), x") == ([(1, 1 + len(token))], False)
+
+
+def test_wildcards_are_decoded_over_all_states(model):
+    read = toxicity._readings("i***t*a**")
+    assert toxicity.restore("i***t*a**", model) == toxicity._decode(read, model)[1]
+
+
 @pytest.mark.parametrize("text", ["", "a", "plain words of a clean text.", "OF!! THE!! AND%%%", "12 345 6.7", "é à ü", "*** &&& $$$"])
 def test_clean_text_stays(model, text):
     assert toxicity.restorer(model)(text) == text
