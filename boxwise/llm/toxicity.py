@@ -209,7 +209,7 @@ def restorer(model: np.ndarray, cached_length: int = 200) -> Callable[[str], str
         return span if found == span.lower() else found
 
     cache = lru_cache(20_000)(plain)
-    cached = lambda span: cache(span) if len(span) <= cached_length else span
+    cached = lambda span: (cache if len(span) <= cached_length else plain)(span)
 
     def restored(text: str) -> str:
         spans, spaced = suspects(text)

@@ -49,6 +49,15 @@ def test_clean_text_stays(model, text):
     assert toxicity.restorer(model)(text) == text
 
 
+def test_long_spans_are_decoded_in_full(model):
+    restore = toxicity.restorer(model)
+    sentence = "youareastupididiot" * 12
+    assert restore("on " + ".".join(sentence)).count("idiot") == 12
+    assert restore("st" + "u" * 300 + "pid") == "stupid"
+    long = restore("y.o.u." * 20_000 + "x")
+    assert long.replace(".", "") == "you" * 20_000 + "x" and long.count(".") <= 20_000
+
+
 def viterbi_by_trying(span, model):
     """The least cost over all ways to read a span, without dynamic programming."""
     best = (np.inf, "")
