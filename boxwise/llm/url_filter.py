@@ -2,8 +2,8 @@
 
 The trees are Spark ML's, trained on a bounded sample of labelled URLs. Their
 features come from the characters of the URL alone, and from statistics of the
-host's suffixes among the labelled sample. URLs are judged row by row; the only
-join is with the suffix table, which the sample bounds.
+host's suffixes among all labelled URLs. URLs are judged row by row; the only
+joins are with the tables of suffixes and domains.
 """
 
 from __future__ import annotations
@@ -85,8 +85,8 @@ class UrlModel:
         self.trees, self.suffixes, self.domains, self.rate = trees, suffixes, domains, rate
 
     def with_features(self, urls: DataFrame) -> DataFrame:
-        # both tables have at most a row for each row of the bounded sample
-        joined = lexical(urls).join(F.broadcast(self.suffixes), "suffix", "left").join(F.broadcast(self.domains), "domain", "left")
+        # both tables grow with the hosts; Spark broadcasts them only where it measures them to be small
+        joined = lexical(urls).join(self.suffixes, "suffix", "left").join(self.domains, "domain", "left")
         return joined.fillna({"suffix_share": 0.0, "domain_share": 0.0, "suffix_rate": self.rate, "domain_rate": self.rate})
 
     def score(self, urls: DataFrame) -> DataFrame:
@@ -99,13 +99,14 @@ class UrlModel:
 
 
 def train(labelled: DataFrame, sample: int = 20_000, trees: int = 20, depth: int = 3, seed: int = 5) -> UrlModel:
-    """Trees from labelled URLs (url, label 0 or 1), about ``sample`` of them, chosen by the hash of the URL."""
+    """Trees from about ``sample`` labelled URLs (url, label 0 or 1), chosen by the hash of the URL; suffix statistics from all."""
     usable = labelled.where("url is not null and label is not null").select("url", F.col("label").cast("double").alias("label"))
     chosen = written(lexical(bounded_sample(usable, "url", sample)), "labelled-urls")
-    suffixes, domains = (written(suffix_statistics(chosen, c), f"{c}-statistics") for c in ("suffix", "domain"))
-    rate = chosen.agg(F.avg("label")).first()[0] or 0.0
+    every = lexical(usable)
+    suffixes, domains = (written(suffix_statistics(every, c), f"{c}-statistics") for c in ("suffix", "domain"))
+    rate = usable.agg(F.avg("label")).first()[0] or 0.0
     model = UrlModel(None, suffixes, domains, float(rate))
-    if 0 < rate < 1:
+    if chosen.select("label").distinct().count() > 1:
         ready = model.with_features(chosen.select("url", "label")).orderBy("url").coalesce(2)
         assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
         ready = written(ready, "labelled-features")

@@ -185,6 +185,15 @@ def test_trees_judge_hosts_that_they_have_not_seen(spark):
     assert rates[0] < 0.05 and rates[1] > 0.6
 
 
+def test_url_statistics_are_those_of_all_labelled_urls(spark):
+    rows = [(f"http://h.site{k % 100}.com/{k}", k % 100 // 50) for k in range(400)]
+    model = url_filter.train(spark.createDataFrame(rows, "url string, label int"), sample=40, trees=2)
+    got = {r["domain"]: (r["domain_share"], r["domain_rate"]) for r in model.domains.collect()}
+    assert got == {f"site{k}.com": pytest.approx((4 / 400, (4 * (k // 50) + 2.5) / 9)) for k in range(100)}
+    seen = model.with_features(spark.createDataFrame(rows, "url string, label int")).where("domain_share = 0.01 and suffix_share = 1")
+    assert seen.count() == 400
+
+
 def test_url_model_without_labels(spark):
     none = spark.createDataFrame([], "url string, label int")
     got = url_filter.judge(spark.createDataFrame([(1, "http://e.com/fr/")], "page_id int, url string"), url_filter.train(none), queries.URL_RULES).first()
