@@ -3,7 +3,7 @@
 A document's attention cost is estimated as a linear plus a quadratic term of
 its tokens. Whole sequences are cut off documents that are longer than one;
 what remains goes, in descending order, to the sequence with the lowest cost so
-far that has room for it, and is cut only where none of the cheapest has. The
+far that has room for it, and is cut only where none has. The
 sequences of a window hold exactly its tokens: all are full but a last few,
 whose lengths are powers of two and so need no padding.
 
@@ -15,6 +15,7 @@ makes its whole partition again.
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -66,7 +67,7 @@ def attention_cost(tokens: int, linear: float, quadratic: float) -> float:
     return linear * tokens + quadratic * tokens * tokens
 
 
-def assign(lengths: list[int], capacity: int, linear: float, quadratic: float, tries: int = 8) -> list[tuple[int, int, int, int, int]]:
+def assign(lengths: list[int], capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents of these lengths.
 
     Sequences are numbered from 0; their lengths are ``capacity``, but for
@@ -84,26 +85,48 @@ def assign(lengths: list[int], capacity: int, linear: float, quadratic: float, t
     rooms = [capacity] * (total // capacity) + [1 << b for b in reversed(range(capacity.bit_length())) if total % capacity >> b & 1]
     used = [0] * len(rooms)
     # short sequences start as if what they lack were filled, so that long documents avoid them
-    heap = [(attention_cost(capacity - room, linear, quadratic), k) for k, room in enumerate(rooms)]
-    heapq.heapify(heap)
+    # by room a heap of (cost, sequence), and over the rooms a tree of least entries
+    full = (math.inf, -1)
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+    size = 1 << capacity.bit_length()
+    tree = [full] * (2 * size)
+
+    def renew(room: int) -> None:
+        at = size + room
+        tree[at] = heaps[room][0] if heaps[room] else full
+        while at > 1:
+            at >>= 1
+            tree[at] = min(tree[2 * at], tree[2 * at + 1])
+
+    def cheapest(least_room: int) -> tuple[float, int]:
+        low, high, found = size + least_room, 2 * size, full
+        while low < high:
+            if low & 1:
+                found = min(found, tree[low])
+                low += 1
+            low, high = low >> 1, high >> 1
+        return found
+
+    for k, room in enumerate(rooms):
+        heapq.heappush(heaps[room], (attention_cost(capacity - room, linear, quadratic), k))
+    for room in set(rooms):
+        renew(room)
     for length, doc, start in sorted(rest, key=lambda r: (-r[0], r[1])):
         while length:
-            passed = []
-            while heap and len(passed) < tries:
-                passed.append(heapq.heappop(heap))
-                if rooms[passed[-1][1]] - used[passed[-1][1]] >= length:
-                    break
-            at = len(passed) - 1 if rooms[passed[-1][1]] - used[passed[-1][1]] >= length else 0
-            cost, k = passed.pop(at)
-            take = min(length, rooms[k] - used[k])
+            cost, k = cheapest(length)
+            if k < 0:
+                cost, k = cheapest(1)
+            room = rooms[k] - used[k]
+            heapq.heappop(heaps[room])
+            take = min(length, room)
             pieces.append((doc, start, take, n_sequences + k, used[k]))
             used[k] += take
             length -= take
             start += take
-            if used[k] < rooms[k]:
-                passed.append((cost + attention_cost(take, linear, quadratic), k))
-            for x in passed:
-                heapq.heappush(heap, x)
+            if take < room:
+                heapq.heappush(heaps[room - take], (cost + attention_cost(take, linear, quadratic), k))
+                renew(room - take)
+            renew(room)
     return pieces
 
 

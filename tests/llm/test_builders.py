@@ -121,6 +121,26 @@ def test_assignment_fills_sequences_exactly(lengths):
         assert at <= 2048 and (at & (at - 1)) == 0
 
 
+def test_documents_go_to_the_cheapest_of_all_sequences_with_room():
+    rng = random.Random(1)
+    for _ in range(30):
+        lengths = [rng.randint(1, 60) for _ in range(200)]
+        pieces = packing.assign(lengths, 64, 1.0, 1 / 64)
+        total = sum(lengths)
+        rooms = [64] * (total // 64) + [1 << b for b in reversed(range(7)) if total % 64 >> b & 1]
+        cost, want = [packing.attention_cost(64 - room, 1.0, 1 / 64) for room in rooms], []
+        for doc in sorted(range(200), key=lambda d: (-lengths[d], d)):
+            left = lengths[doc]
+            while left:
+                k = min((k for k, room in enumerate(rooms) if room >= left), key=lambda k: (cost[k], k), default=None)
+                if k is None:
+                    k = min((k for k, room in enumerate(rooms) if room), key=lambda k: (cost[k], k))
+                take = min(left, rooms[k])
+                rooms[k], left, cost[k] = rooms[k] - take, left - take, cost[k] + packing.attention_cost(take, 1.0, 1 / 64)
+                want.append((doc, take, k))
+        assert [(doc, length, k) for doc, _, length, k, _ in pieces] == want
+
+
 def test_packing_ids_are_those_of_the_tokenizer(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
