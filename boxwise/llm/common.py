@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,16 +110,36 @@ def maybe_in(df: DataFrame, key: str, bitmaps: DataFrame, bits: int = 1 << 26) -
     return _flagged(df, key, bitmaps, bits).where("_maybe").drop("_maybe")
 
 
+def split_by_filter(df: DataFrame, key: str, bitmaps: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose key is not among those of ``key_filter``, and those whose key may be."""
+    flagged = _flagged(df, key, bitmaps, bits)
+    return flagged.where("not _maybe").drop("_maybe"), flagged.where("_maybe").drop("_maybe")
+
+
 def without(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:
     """The rows of ``df`` whose key is not in ``keys`` (one column of the same name).
 
     Only rows that the bitmap of keys lets through are joined, so wide rows
     are not shuffled to find out that they stay. Rows with a null key stay.
     """
-    flagged = _flagged(df, key, key_filter(keys, key, bits), bits)
-    stay = flagged.where("not _maybe")
-    asked = flagged.where("_maybe").join(keys.select(key).distinct(), key, "left_anti")
-    return stay.select(df.columns).unionByName(asked.select(df.columns))
+    rows = df.select(F.col(key).alias("key"), F.struct("*").alias("row"))  # kept apart from the filter's names
+    gone = keys.select(F.col(key).alias("key"))
+    stay, asked = split_by_filter(rows, "key", key_filter(gone, "key", bits), bits)
+    return stay.unionByName(asked.join(gone.distinct(), "key", "left_anti")).select("row.*")
+
+
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """(at, row): the rows of ``docs`` as structs, each with its place in the files that it is read from.
+
+    Two rows never share a place, be they alike in all columns, and it does
+    not change when rows are read again. A DataFrame that is not read from
+    Parquet is written first.
+    """
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("line"))
+    try:
+        return docs.select(place.alias("at"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    except AnalysisException:
+        return written(docs, "rows").select(place.alias("at"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 def _bit(key: Column, bits: int) -> Column:
