@@ -198,3 +198,52 @@ def test_pipeline_stages(spark):
     packed = stages["packing"](spark, mixed, root)
     assert packed.where("start = 0").count() == mixed.count()
     assert corpus_pipeline.run(spark, root).agg(F.sum("length")).first()[0] == packed.agg(F.sum("length")).first()[0]
+
+
+def test_pipeline_stages_choose_among_rows(spark):
+    """Repeated and null ids, repeated rows, empty and very long texts, extra columns."""
+    long = "very long text " * 20_000
+    words = "one two three four five six seven eight nine ten"
+    rows = [
+        (9, "text A", "en", "s", 1, "x"), (10, "Text a", "en", "s", 1, "x"), (9, "quite another text", "en", "s", 1, "x"),
+        (None, "null id", "en", "s", 1, "x"), (None, "NULL id", "en", "s", 1, "x"), (4, "twice", "en", "s", 1, "x"), (4, "twice", "en", "s", 1, "x"),
+        (20, None, "en", None, 0, "x"), (21, "", "en", None, 0, "x"), (30, long, "en", "s", 1, "x"), (31, long.upper(), "en", "s", 1, "x"),
+        (50, words, "en", "s", 1, "x"), (50, words + "!", "en", "s", 1, "x"), (None, words + "?", "en", "s", 1, "x"), (51, "?!", "en", "s", 1, "x"), (52, "...", "en", "s", 1, "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, _maybe string")
+    stages = dict(corpus_pipeline.STAGES)
+    shown = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    best = {}
+    for k, t, *_ in rows:
+        best[lower(t)] = max(best.get(lower(t), (-1, "")), (-1 if k is None else k, t or ""))
+    got = stages["exact dedup"](spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((-1 if k is None else k, lower(t)) for k, t in shown(got).elements()) == sorted((k, lower(t)) for t, (k, _) in best.items())
+    got = stages["n-gram Jaccard join"](spark, common.written(docs, "rows"), "")
+    assert got.columns == docs.columns
+    kept = shown(got)
+    assert kept[None, words + "?"] == 1 and sum(n for (_, t), n in kept.items() if (t or "").startswith(words)) == 1
+    assert kept[9, "quite another text"] == 1 and kept[4, "twice"] == 1 and sum(kept[k] for k in ((20, None), (21, ""), (51, "?!"), (52, "..."))) == 4
+    assert sum(n for (_, t), n in kept.items() if (t or "").lower() == "null id") == 1 and kept[30, long] == 1 and kept[31, long.upper()] == 0
+    mixed = shown(stages["mixing"](spark, docs, ""))
+    assert set(mixed) <= set(shown(docs)) and mixed[4, "twice"] in (0, 2, 4)
+    packed = stages["packing"](spark, docs, "").collect()
+    assert sum(r["start"] == 0 for r in packed) == len(rows) and {r["doc_tokens"] for r in packed if r["doc_id"] in (20, 21)} == {1}
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_pipeline_stages_of_nothing(spark, name):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint, score string")
+    root = f"{common.shared_dir(spark)}/nothing"
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.mode("overwrite").parquet(f"{root}/labels.parquet")
+    got = dict(corpus_pipeline.STAGES)[name](spark, docs, root)
+    assert got.count() == 0 and (name == "packing" or got.columns == docs.columns)
+
+
+def test_toxic_stage_keeps_rows_as_they_are(spark):
+    rows = [(k, f"the {'idiot' if k % 2 else 'table'} of th{k}", "x") for k in range(80)] + [(90, None, "x"), (None, "", "x"), (1, "kept", "x"), (91, "a table", "x"), (91, "a table", "x"), (None, "an 1d1ot", "x"), (92, "word " * 30_000 + "idiot", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, label string")
+    root = f"{common.shared_dir(spark)}/labelled"
+    spark.createDataFrame([(k, 0, k % 2) for k in range(80)], "doc_id bigint, quality int, toxic int").write.mode("overwrite").parquet(f"{root}/labels.parquet")
+    got = Counter((r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, root).collect())
+    assert got == Counter((k, t) for k, t, _ in rows if "idiot" not in (t or "") and "1d1ot" not in (t or ""))

@@ -53,6 +53,30 @@ def test_compaction_and_lookup(spark):
     assert exact_dedup.lookup(index, [bytes([3]), bytes([99])]).count() == 1
 
 
+def test_filters_let_through_what_runs_share(spark):
+    """Of 3000 digests 60 are in two runs or more; compaction leaves the others as they are."""
+    rows = spark.range(3000).select("id", F.sha2(F.when(F.col("id") < 120, F.col("id") % 60).otherwise(F.col("id")).cast("string"), 256).cast("binary").alias("digest"))
+    runs = exact_dedup.flush(rows, 6, F.min)
+    assert runs.select("run").distinct().count() == 6
+    truth = runs.groupBy("digest").agg(F.count(F.lit(1)).alias("runs"))
+    asked = exact_dedup.probed(runs, 3, 6).join(truth, "digest")
+    assert asked.where("runs > 1 and not maybe").count() == 0
+    assert asked.where("runs = 1 and maybe").count() < 0.05 * runs.count()
+    index = exact_dedup.compact(runs, 6, 3, F.min)  # two levels
+    assert index.select("run").distinct().count() == 1 and index.count() == 2940
+    assert {r["keep_id"] for r in index.where("n = 2").collect()} == set(range(60))
+
+
+def test_memtables_flush_several_runs():
+    assert [exact_dedup.memtables(n, 2048, 16) for n in (0, 1, 2048, 10_000, 51_282, 10**12)] == [1, 1, 1, 5, 16, 16]
+
+
+def test_exact_dedup_of_rows_named_by_structs(spark):
+    rows = docs(spark, [(None, "a"), (1, "A"), (1, "a"), (2, "b")]).select(F.struct("doc_id", F.monotonically_increasing_id().alias("n")).alias("doc_id"), "text")
+    got = exact_dedup.exact_dedup(rows, keep="max", memtable_rows=1).where("kept").select("doc_id.doc_id").collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2]
+
+
 def test_key_filter_loses_nothing(spark):
     keys = spark.range(0, 3000, 3).withColumnRenamed("id", "k")
     df = spark.range(3000).withColumnRenamed("id", "k")
