@@ -9,14 +9,17 @@
 3. Candidates compare their MinHash values a step at a time. A pair is dropped
    as soon as the posterior probability that its similarity reaches the
    threshold, with a uniform prior, falls below the tolerance.
-4. Survivors are connected; within each connected component all pairs are
-   verified exactly on their shingle sets, and the links that hold make up the
-   classes.
+4. The pairs that survive are verified exactly on their shingle sets, each
+   once, and the links that hold make up the classes.
 
 Pairs are compared inside tasks, in blocks of at most ``block`` nodes against
 ``block`` nodes, and only sums and spanning edges leave them: their number
-follows the nodes, not the pairs. A band or component of any size is dealt to
-many tasks as pairs of blocks.
+follows the nodes, not the pairs. Step 3 first runs on signatures alone, to
+find out which nodes must meet with their shingle sets. A group of nodes that
+surviving pairs connect meets in one place where it is small. A large one,
+which a chain of weak candidates may make, meets by band instead, so that its
+nodes only meet where they share a band. A band or group of any size is dealt
+to many tasks as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -70,6 +73,18 @@ def pair_rows(block: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarr
     return np.repeat(left, len(right)), np.tile(right, len(left))
 
 
+def shared_bands(signature: np.ndarray, a: np.ndarray, b: np.ndarray, rows_per_band: int) -> np.ndarray:
+    """The first band that each pair (a, b) shares, or -1; a pair is a candidate where it shares one."""
+    found = np.full(len(a), -1, np.int16)
+    left = np.arange(len(a))
+    for band in range(signature.shape[1] // rows_per_band):
+        part = np.ascontiguousarray(signature[:, band * rows_per_band : (band + 1) * rows_per_band])
+        same = (part[a[left]] == part[b[left]]).all(axis=1)
+        found[left[same]] = band
+        left = left[~same]
+    return found
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least row that each row is connected to."""
     root = np.arange(n)
@@ -139,10 +154,14 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, size: int, family) -> D
     return in_small_batches(rows, sketched, f"id {kind}, node binary, n int, signature binary")
 
 
-def _candidate_edges(nodes: DataFrame, bands: int, rows_per_band: int, n_hashes: int, block: int, step: int, least: list[int]) -> DataFrame:
+def _band_keys(bands: int, rows_per_band: int) -> Column:
     width = 4 * rows_per_band
-    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", k * width + 1, width)) for k in range(bands)])
-    banded = nodes.select("node", F.explode(keys).alias("band"))
+    return F.array(*[F.xxhash64(F.lit(k), F.substring("signature", k * width + 1, width)) for k in range(bands)])
+
+
+def _candidate_edges(nodes: DataFrame, bands: int, rows_per_band: int, n_hashes: int, block: int, step: int, least: list[int]) -> DataFrame:
+    """Edges that connect what surviving candidates connect."""
+    banded = nodes.select("node", F.explode(_band_keys(bands, rows_per_band)).alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = banded.join(shared, "band")
     rows = members.join(nodes.select("node", "signature"), "node").select(
@@ -198,15 +217,33 @@ def exact_links(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold:
     return common / np.maximum(sizes[a] + sizes[b] - common, 1) >= threshold
 
 
-def _verified(docs: DataFrame, id_col: str, text_col: str, size: int, nodes: DataFrame, found: DataFrame, block: int, threshold: float) -> DataFrame:
-    """From components (node, root), per node and task: node, peer (of a link, or null), links."""
-    wanted = nodes.select("node", "rep", "n", "copies").join(found, "node")
+def _places(wanted: DataFrame, bands: int, rows_per_band: int, block: int) -> DataFrame:
+    """Where nodes meet: (node, places), each place a key, its band (-1 for all) and the size of what meets there.
+
+    A group of up to ``bands`` blocks meets as a whole, which brings a node to
+    no more tasks than meeting by band would.
+    """
+    whole = F.ceil(F.col("weight") / block) <= bands
+    small = wanted.where(whole).select("node", F.array(F.struct(F.xxhash64("root").alias("key"), F.lit(-1).alias("band"), F.col("weight").alias("size"))).alias("places"))
+    banded = wanted.where(~whole).select("node", "n", F.posexplode(_band_keys(bands, rows_per_band)).alias("band", "key"))
+    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
+    sizes = sizes.select("key", F.greatest("members", F.ceil(F.col("shingles") / 4000)).alias("size"))
+    large = banded.join(sizes, "key").groupBy("node").agg(F.collect_list(F.struct("key", "band", "size")).alias("places"))
+    return small.unionByName(large)
+
+
+def _verified(
+    docs: DataFrame, id_col: str, text_col: str, size: int, nodes: DataFrame, found: DataFrame,
+    bands: int, rows_per_band: int, block: int, step: int, least: list[int], threshold: float,
+) -> DataFrame:
+    """From groups (node, root) of surviving candidates, per node and task: node, peer (of a link), links."""
+    wanted = nodes.select("node", "rep", "n", "copies", "signature").join(found, "node")
     sizes = found.join(nodes.select("node", "n"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    sizes = sizes.select("root", F.greatest("members", F.ceil(F.col("shingles") / 4000)).alias("weight"))
     wanted = written(wanted.join(sizes, "root"), "wanted")
+    places = _places(wanted, bands, rows_per_band, block)
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).where("rep is not null")
-    texts = maybe_in(texts, "rep", key_filter(wanted, "rep")).join(
-        wanted.select("rep", "node", "root", "copies", F.greatest("members", F.ceil(F.col("shingles") / 4000)).alias("weight")), "rep"
-    )
+    texts = maybe_in(texts, "rep", key_filter(wanted, "rep")).join(wanted.select("rep", "node", "copies", "signature"), "rep")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -215,27 +252,34 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, size: int, nodes: Dat
                 sets = [shingles(t.as_py(), size) for t in batch.column(0)]
                 held = pa.array([s.tobytes() for s in sets], pa.binary())
                 right = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == n.as_py() for s, n in zip(sets, batch.column(1), strict=True)])
-                yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(1, 5)] + [held], ["node", "root", "copies", "weight", "held"]).filter(right)
+                yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(1, 4)] + [held], ["node", "copies", "signature", "held"]).filter(right)
 
-    sets = in_small_batches(texts.select("text", "node", "root", "copies", "weight"), shingled, "node binary, root binary, copies bigint, weight bigint, held binary")
-    rows = dealt(sets, F.col("weight"), ["root"], block).select("root", "lo", "hi", "block", "node", "copies", "held")
+    sets = in_small_batches(texts.select("text", "node", "copies", "signature"), shingled, "node binary, copies bigint, signature binary, held binary")
+    meeting = sets.join(places, "node").withColumn("place", F.explode("places")).select("place.*", "node", "copies", "signature", "held")
+    rows = dealt(meeting, F.col("size"), ["key", "band"], block).select("key", "band", "lo", "hi", "block", "node", "copies", "signature", "held")
+    names = ["node", "peer", "links"]
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = (part.slice(at, 2000) for part in batches for at in range(0, part.num_rows, 2000))
-        for batch, bounds in whole_groups(small, lambda b: [fixed_bytes(b.column(0), NODE), b.column(1).to_numpy(), b.column(2).to_numpy()]):
+        for batch, bounds in whole_groups(small, lambda b: [b.column(k).to_numpy() for k in range(4)]):
             nodes, peers, links = [], [], []
             for start, end in bounds:
-                node = batch.column(4).slice(start, end - start).to_pylist()
+                node = batch.column(5).slice(start, end - start).to_pylist()
                 once = np.array([k for k, x in enumerate(node) if not k or x != node[k - 1]])  # a repeated id brings its row again
                 node = [node[k] for k in once]
-                own, copies = (batch.column(k).to_numpy()[start:end][once] for k in (3, 5))
-                held = [np.frombuffer(batch.column(6)[start + int(k)].as_buffer(), "<u8") for k in once]
-                a, b = pair_rows(own, *(batch.column(k)[start].as_py() for k in (1, 2)))
+                own, copies = (batch.column(k).to_numpy()[start:end][once] for k in (4, 6))
+                band, lo, hi = (batch.column(k)[start].as_py() for k in (1, 2, 3))
+                signature = np.stack([np.frombuffer(batch.column(7)[start + int(k)].as_buffer(), "<u4") for k in once])
+                a, b = pair_rows(own, lo, hi)
+                first = shared_bands(signature, a, b, rows_per_band)
+                candidate = first >= 0 if band < 0 else first == band  # so a pair that meets by several bands counts once
+                a, b = prune(signature, a[candidate], b[candidate], step, least)
+                if not len(a):
+                    continue
+                held = [np.frombuffer(batch.column(8)[start + int(k)].as_buffer(), "<u8") for k in once]
                 sizes = np.array([len(s) for s in held])
                 fit = np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9
                 a, b = a[fit], b[fit]
-                if not len(a):
-                    continue
                 ok = exact_links(held, a, b, threshold)
                 a, b = a[ok], b[ok]
                 count = np.zeros(len(node), np.int64)
@@ -246,7 +290,7 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, size: int, nodes: Dat
                     nodes.append(node[k])
                     peers.append(node[root[k]])
                     links.append(int(count[k]))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(peers, pa.binary()), pa.array(links, pa.int64())], ["node", "peer", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(peers, pa.binary()), pa.array(links, pa.int64())], names)
 
     return written(in_small_batches(rows, checked, "node binary, peer binary, links bigint"), "links")
 
@@ -284,8 +328,9 @@ def near_duplicates(
         "nodes",
     )
     least = [least_matches(k * step, threshold, tolerance) for k in range(1, n_hashes // step + 1)]
-    found = components(_candidate_edges(nodes, bands, rows_per_band, n_hashes, block, step, least))
-    links = _verified(docs, id_col, text_col, shingle, nodes, found, block, threshold)
+    # smaller blocks for the bands' rows, which are short: a hot band is dealt more evenly
+    found = components(_candidate_edges(nodes, bands, rows_per_band, n_hashes, max(1, block // 2), step, least))
+    links = _verified(docs, id_col, text_col, shingle, nodes, found, bands, rows_per_band, block, step, least, threshold)
     classes = components(links.select(F.col("node").alias("a"), F.col("peer").alias("b")))
     named = classes.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_id"))
     linked = links.groupBy("node").agg(F.sum("links").alias("links"))
@@ -295,10 +340,11 @@ def near_duplicates(
         .join(linked, "node", "left")
         .select("node", "copies", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     )
-    rows = sketched.select("id", "node").join(described, "node", "left")
-    return rows.select(
-        F.col("id").alias(id_col),
-        F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("bigint").alias("links"),
-        F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"),
+    # written, so that the join has two plain sides, of which AQE splits what is hot
+    described = written(described, "described")
+    rows = sketched.where("node is not null").select("id", "node").join(described, "node")
+    shown = rows.select(F.col("id").alias(id_col), "class_id", (F.col("links") + F.col("copies") - 1).alias("links"), "copies")
+    wordless = sketched.where("node is null").select(
+        F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("links"), F.lit(1).cast("bigint").alias("copies")
     )
+    return shown.unionByName(wordless)

@@ -155,3 +155,41 @@ def test_whole_groups_are_never_split():
     batches = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + 7])], ["k"]) for a in range(0, 60, 7)]
     seen = [(batch.column(0)[a].as_py(), b - a) for batch, bounds in ngram_join.whole_groups(iter(batches), lambda x: [x.column(0).to_numpy()]) for a, b in bounds]
     assert seen == [(k, keys.count(k)) for k in np.unique(keys).tolist()]
+
+
+def test_large_groups_meet_by_band(spark):
+    """Groups of more blocks than bands: pairs meet in several bands, and each counts once."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    rows = []
+    for size in (70, 50):
+        base = [word() for _ in range(60)]
+        for _ in range(size):
+            copy = list(base)
+            copy[rng.randrange(60)] = word()
+            rows.append((len(rows), " ".join(copy)))
+            base = copy if rng.random() < 0.3 else base  # drifts, so that not all pairs are links
+    got = ngram_join.near_duplicates(docs(spark, rows), block=2).collect()
+    assert {r["doc_id"]: (r["class_id"], r["links"]) for r in got} == near_truth(rows)
+
+
+def test_recall_of_links_against_all_rows(spark):
+    """Every row whose id is divisible by 50 against all rows: links found of those that are there."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    sets = {k: set(shingles(t).tolist()) for k, t in rows}
+    queries = {k: s for k, s in sets.items() if k % 50 == 0 and s}
+    by = {}
+    for k, s in queries.items():
+        for x in s:
+            by.setdefault(x, []).append(k)
+    truth = dict.fromkeys(queries, 0)
+    for k, s in sets.items():
+        common_ = {}
+        for x in s:
+            for q in by.get(x, ()):
+                common_[q] = common_.get(q, 0) + 1
+        for q, n in common_.items():
+            truth[q] += q != k and n / (len(s) + len(queries[q]) - n) >= 0.8
+    got = {r["doc_id"]: r["links"] for r in ngram_join.near_duplicates(docs(spark, rows)).where("doc_id % 50 = 0").collect()}
+    assert sum(truth.values()) > 20 and all(got[q] <= n for q, n in truth.items())
+    assert sum(got[q] for q in truth) >= 0.99 * sum(truth.values())
