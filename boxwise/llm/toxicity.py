@@ -3,9 +3,11 @@
 1. A character language model (four characters, interpolated down to one) is
    counted over every document of the corpus.
 2. Suspect spans (words that hold a digit, sign, inner separator or doubled
-   letter, and three or more spaced-out letters) become lattices: leetspeak signs stand for letters,
-   separators and repeats may have been inserted. Viterbi finds the likeliest
-   original under the language model; the rest of the text passes unchanged.
+   letter, and three or more letters that are spaced out) become lattices:
+   leetspeak signs stand for letters, separators and repeats may have been
+   inserted. Viterbi finds the likeliest original under the language model; the
+   rest of the text passes unchanged. What Viterbi would say of doubled letters
+   that stand apart from each other is worked out in closed form.
 3. The restored text is scored by a logistic regression on its words and word
    beginnings. L1 regularisation selects them from a bounded sample of labelled
    rows, and a second fit on the selected ones sets their weights.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -36,12 +39,18 @@ LEET = {
 }
 SEPARATORS = " ._-*"
 #: Costs of the channel, in nats; dropping a character also saves its share of the model's cost.
-SIGN, SIGN_KEPT, DROP_SEPARATOR, DROP_REPEAT, DROP_DOUBLE = 0.7, 4.0, 2.0, 1.5, 3.0
+SIGN, SIGN_KEPT, DROP_SEPARATOR, DROP_REPEAT, DROP_DOUBLE = 0.7, 4.0, 2.0, 1.5, 4.0
 #: Of signs that plain texts have as well: separators inside a word, and signs after its end.
 SEPARATOR_KEPT, END_KEPT = 0.5, 1.0
+#: Of separators between letters that are spaced out: a gap kept, and a gap dropped that is wider than others.
+SPACED_KEPT, WIDE_DROPPED = 2.5, 2.0
+#: A span with more digits than this, and half as many as letters, is a number or a code; its signs stand for themselves.
+MOST_DIGITS = 6
 
 WORDS = re.compile(r"[^\W\d_]+")
-SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ ._*-][^\W_]){2,}(?![^\W_])")
+#: Letters and digits that are spaced out, with up to three separators between each two.
+WIDEST_GAP = 3
+SPACED = re.compile(rf"(?<![^\W_])[^\W_](?:[ ._*-]{{1,{WIDEST_GAP}}}[^\W_]){{2,}}(?![^\W_])")
 #: Classes of code points below 0x10000; above are letters.
 LETTER, DIGIT, SIGN_CLASS, SEPARATOR = 1, 2, 4, 8
 
@@ -52,6 +61,7 @@ def _class(char: str) -> int:
 
 
 _CLASS = np.array([_class(chr(k)) for k in range(0x10000)], np.uint8)
+_LOWER = np.array([ord(low) if len(low := chr(k).lower()) == 1 else k for k in range(0x10000)], np.uint32)
 
 
 def char_codes(text: str) -> np.ndarray:
@@ -104,9 +114,12 @@ def _code(char: str) -> int:
 def _readings(span: str) -> list[list[tuple[str, float]]]:
     """For each character of a lower-cased span what it may have been, with prices; an empty text drops it."""
     spaced = bool(SPACED.fullmatch(span))
-    # three letters alone are found in plain texts as well, more hardly ever
-    separator_kept, dropped = SIGN_KEPT if spaced and len(span) > 5 else SEPARATOR_KEPT, DROP_SEPARATOR * (0.1 if spaced else 1.0)
     inside = [k for k, char in enumerate(span) if char.isalnum()] or [0]
+    # in letters that are spaced out a gap is dropped as a rule, and a wider gap than the least may well end a word;
+    # three letters alone are found in plain texts as well, more hardly ever
+    gap = min((b - a - 1 for a, b in zip(inside, inside[1:], strict=False)), default=0) if spaced else 0
+    digits = sum(char in "0123456789" for char in span)
+    coded = digits > MOST_DIGITS and 2 * digits > sum(map(str.isalpha, span))
     read = []
     for k, char in enumerate(span):
         options: list[tuple[str, float]] = []
@@ -115,25 +128,33 @@ def _readings(span: str) -> list[list[tuple[str, float]]]:
             if k and span[k - 1] == char:
                 run = k > 1 and span[k - 2] == char or span[k + 1 : k + 2] == char
                 options.append(("", DROP_REPEAT if run else DROP_DOUBLE))
+        elif coded and char not in SEPARATORS:
+            options.append((char, 0.0))
         else:
             for letter in LEET.get(char, ""):
                 options.append((letter, SIGN + (1.5 if char == "*" else 0.0)))
             if char in SEPARATORS:
-                options.append(("", dropped))
+                first = not k or span[k - 1].isalnum()
+                wide = spaced and first and len(span[k:]) - len(span[k:].lstrip(SEPARATORS)) > gap
+                options.append(("", WIDE_DROPPED if wide else DROP_SEPARATOR * (0.1 if spaced else 1.0)))
             if k and span[k - 1] == char:
                 options.append(("", DROP_REPEAT))
             outside = k > inside[-1] or char == "*" and k < inside[0]
-            options.append((char, separator_kept if char in SEPARATORS and char != "*" else END_KEPT if outside else SIGN_KEPT))
+            kept = (SPACED_KEPT if spaced and len(inside) > 3 else SEPARATOR_KEPT) if char in SEPARATORS and char != "*" else END_KEPT if outside else SIGN_KEPT
+            options.append((char, kept))
         read.append(options)
     return read
 
 
-def _decode(read: list[list[tuple[str, float]]], model: np.ndarray, widest: int | None = None, bound: float = math.inf) -> tuple[float, str]:
-    """Least cost and its text, among paths that cost ``bound`` or less; over the ``widest`` best states alone where that is set."""
+def _decode(read: list[list[tuple[str, float]]], model: np.ndarray | array, widest: int | None = None, bound: float = math.inf, start: int = 0) -> tuple[float, str]:
+    """Least cost and its text, among paths that cost ``bound`` or less; over the ``widest`` best states alone where that is set.
+
+    ``start`` is the state before the first character, its last three codes.
+    """
     square = CODES**3
     left = sum(min(price for _, price in options) for options in read)
     # state: the last three codes; value: (cost, link to the text so far), so no text is copied
-    best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    best: dict[int, tuple[float, tuple | None]] = {start: (0.0, None)}
     for options in read:
         left -= min(price for _, price in options)
         most = bound - left + 1e-6
@@ -144,14 +165,14 @@ def _decode(read: list[list[tuple[str, float]]], model: np.ndarray, widest: int
                 if letter:
                     code = state * CODES + _code(letter)
                     if code % (CODES * CODES):  # the model counts a run of characters that are no letters as one
-                        to, now = code % square, now - float(model[code])
+                        to, now = code % square, now - model[code]
                 if now <= most and (to not in following or now < following[to][0]):
                     following[to] = now, (text, letter) if letter else text
         if widest and len(following) > widest:
             following = dict(sorted(following.items(), key=lambda x: (x[1][0], x[0]))[:widest])
         best = following
     ended = lambda state, text: text is not None and not state % CODES and not text[1].isdigit()
-    cost, _, text = min(((cost - (0.0 if ended(state, text) else float(model[state * CODES])), state, text) for state, (cost, text) in best.items()), key=lambda x: x[:2])
+    cost, _, text = min(((cost - (0.0 if ended(state, text) else model[state * CODES]), state, text) for state, (cost, text) in best.items()), key=lambda x: x[:2])
     letters = []
     while text:
         text, letter = text
@@ -159,7 +180,7 @@ def _decode(read: list[list[tuple[str, float]]], model: np.ndarray, widest: int
     return cost, "".join(reversed(letters))
 
 
-def restore(span: str, model: np.ndarray) -> str:
+def restore(span: str, model: np.ndarray | array) -> str:
     """The likeliest original of an obfuscated span, in lower case.
 
     Time and memory are in proportion to its length. Signs that stand for any
@@ -167,9 +188,110 @@ def restore(span: str, model: np.ndarray) -> str:
     one reading, and states that cannot become cheaper than that are left out,
     as no price is negative. The result is that of all states.
     """
-    read = _readings(span.lower())
-    bound = _decode(read, model, widest=8)[0] if "*" in span else math.inf
-    return _decode(read, model, bound=bound)[1]
+    span = span.lower()
+    return _cheapest(_readings(span), span, model, 0)
+
+
+def _cheapest(read: list[list[tuple[str, float]]], span: str, model: np.ndarray | array, start: int) -> str:
+    bound = _decode(read, model, 8, math.inf, start)[0] if "*" in span else math.inf
+    return _decode(read, model, None, bound, start)[1]
+
+
+#: Letters, none of them twice in a row, and signs after the last of them.
+SIGNS_AT_END = re.compile(r"((?:([^\W\d_])(?!\2))+)([\W\d_]+)")
+
+
+def _restore_in_parts(model: array) -> Callable[[str], str]:
+    """``restore`` that decodes the signs at the end of plain letters by the three letters before them, and keeps what it found."""
+
+    @lru_cache(60_000)
+    def end_of(state: int, tail: str) -> str:
+        return _cheapest(_readings("xy" + tail)[2:], tail, model, state)
+
+    def restored(span: str) -> str:
+        span = span.lower()
+        found = SIGNS_AT_END.fullmatch(span)
+        if found is None or len(found[1]) < 2 or sum(map(str.isdigit, found[3])) > MOST_DIGITS:
+            return restore(span, model)
+        state = 0
+        for char in found[1][-3:]:
+            state = state * CODES + _code(char)
+        return found[1] + end_of(state, found[3])
+
+    return restored
+
+
+class _Marked:
+    """What the characters of texts are, and their suspect spans as arrays of starts and ends.
+
+    The texts stand one after another with two line feeds after each, so that
+    no span is in two of them; ``firsts`` is where each begins.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.firsts = np.cumsum([0, *(len(t) + 2 for t in texts)])
+        self.points = points = np.frombuffer("\n\n".join([*texts, ""]).encode("utf-32-le"), np.uint32)
+        kind = np.where(points >= 0x10000, np.uint8(LETTER), _CLASS[np.minimum(points, 0xFFFF)])
+        self.letter = letter = (kind & LETTER) > 0
+        core = (kind & (LETTER | DIGIT | SIGN_CLASS)) > 0
+        separator = (kind & SEPARATOR) > 0
+        between = separator & (points != 32) & ~core
+        self.folded = folded = np.where(points >= 0x10000, points, _LOWER[np.minimum(points, 0xFFFF)])
+        self.double = np.r_[False, (folded[1:] == folded[:-1]) & letter[1:] & letter[:-1]]
+        edge = np.diff(np.r_[False, core | between, False].astype(np.int8))
+        at = np.flatnonzero(core)
+        low, high = np.searchsorted(at, np.flatnonzero(edge == 1)), np.searchsorted(at, np.flatnonzero(edge == -1))
+        low, high = low[low < high], high[low < high]
+        self.starts, self.ends = at[low], at[high - 1] + 1
+        odd = (self.seen(letter) > 0) & (self.seen(~letter | self.double) > 0)
+        self.starts, self.ends = self.starts[odd], self.ends[odd]
+        # three letters or digits that stand alone, with nothing but separators between them
+        alone = (kind & (LETTER | DIGIT)) > 0
+        at = np.flatnonzero(alone & ~np.r_[False, alone[:-1]] & ~np.r_[alone[1:], False])
+        apart = np.r_[0, np.cumsum(separator)]
+        gap = at[1:] - at[:-1] - 1
+        near = (gap <= WIDEST_GAP) & (apart[at[1:]] - apart[at[:-1] + 1] == gap)
+        self.spaced = np.unique(np.searchsorted(self.firsts, at[:-2][near[1:] & near[:-1]], side="right") - 1)
+
+    def seen(self, flags: np.ndarray) -> np.ndarray:
+        """How many characters of each span have a flag."""
+        total = np.r_[0, np.cumsum(flags)]
+        return total[self.ends] - total[self.starts]
+
+    def read_best_as_they_are(self, model: np.ndarray) -> np.ndarray:
+        """Spans of letters alone of which no doubled letter is worth dropping.
+
+        Dropping a letter changes the model's prices of itself and the three
+        characters after it. Where doubled letters stand four places apart or
+        more, each is decided by itself, and so in closed form; spans in which
+        they stand closer are left to the lattice, and so are near ties.
+        """
+        pad = 4
+        code = np.where(self.points >= 0xAA, CODES - 1, np.where((self.folded >= 97) & (self.folded <= 122), self.folded.astype(np.int64) - 96, 0))
+        code = np.r_[np.zeros(pad, np.int64), np.where(self.letter, code, 0), np.zeros(pad, np.int64)]
+        plain = self.seen(~self.letter) == 0
+        place = np.flatnonzero(self.double)
+        span = np.searchsorted(self.starts, place, side="right") - 1
+        inside = span >= 0
+        inside[inside] = (place[inside] < self.ends[span[inside]]) & plain[span[inside]]
+        place, span = place[inside], span[inside]
+        close = np.r_[False, (span[1:] == span[:-1]) & (place[1:] - place[:-1] < 4)]
+        c = [code[place + pad + k] for k in range(-3, 4)]  # the letter itself is c[3]
+        first, length = self.starts[span], self.ends[span]
+        for k in range(3):
+            c[k] = np.where(place - 3 + k >= first, c[k], 0)
+        for k in range(1, 4):
+            c[3 + k] = np.where(place + k < length, c[3 + k], 0)
+        price = lambda w, x, y, z: -model[((w * CODES + x) * CODES + y) * CODES + z]
+        kept, dropped = price(*c[:4]), np.zeros(len(place), model.dtype)
+        for k in range(1, 4):
+            counts = place + k <= length  # up to the end of the word
+            kept = kept + np.where(counts, price(*c[k : k + 4]), 0)
+            dropped = dropped + np.where(counts, price(*[x for j, x in enumerate(c[k - 1 : k + 4]) if j != 4 - k]), 0)
+        worth = kept - dropped > DROP_DOUBLE - 1e-3
+        doubtful = np.zeros(len(self.starts), bool)
+        doubtful[span[worth | close]] = True
+        return plain & ~doubtful
 
 
 def suspects(text: str) -> tuple[list[tuple[int, int]], bool]:
@@ -179,73 +301,83 @@ def suspects(text: str) -> tuple[list[tuple[int, int]], bool]:
     to its last letter, digit or sign. It is suspect if it holds a letter and
     a digit, a sign, a separator inside, or a letter twice in a row.
     """
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    if len(points) < 2:
-        return [], False
-    kind = np.where(points >= 0x10000, np.uint8(LETTER), _CLASS[np.minimum(points, 0xFFFF)])
-    letter = (kind & LETTER) > 0
-    core = (kind & (LETTER | DIGIT | SIGN_CLASS)) > 0
-    between = ((kind & SEPARATOR) > 0) & (points != 32) & ~core
-    folded = np.where(points < 128, points | 32, points)
-    double = np.r_[False, (folded[1:] == folded[:-1]) & letter[1:] & letter[:-1]]
-    edge = np.diff(np.r_[False, core | between, False].astype(np.int8))
-    at = np.flatnonzero(core)
-    low, high = np.searchsorted(at, np.flatnonzero(edge == 1)), np.searchsorted(at, np.flatnonzero(edge == -1))
-    low, high = low[low < high], high[low < high]
-    starts, ends = at[low], at[high - 1] + 1
-    seen = lambda flags: (total := np.r_[0, np.cumsum(flags)])[ends] - total[starts]
-    odd = (seen(letter) > 0) & (seen(~letter | double) > 0)
-    alone = (kind & (LETTER | DIGIT)) > 0
-    alone &= ~np.r_[False, alone[:-1]] & ~np.r_[alone[1:], False]
-    gap = alone[:-1] & ((kind[1:] & SEPARATOR) > 0)
-    return list(zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)), bool((gap[:-3] & gap[2:-1] & alone[4:]).any())
+    marked = _Marked([text])
+    return list(zip(marked.starts.tolist(), marked.ends.tolist(), strict=True)), len(marked.spaced) > 0
 
 
-def restorer(model: np.ndarray, cached_length: int = 200) -> Callable[[str], str]:
-    """text -> text with its suspect spans restored; those that read best as they are keep their case."""
+def batch_restorer(model: np.ndarray, cached_length: int = 200) -> Callable[[list[str]], list[str]]:
+    """texts -> texts with their suspect spans restored; those that read best as they are keep their case."""
+    prices = np.asarray(model, np.float32)
+    decoded = _restore_in_parts(array("f", prices.tobytes()))  # whose single values are read faster
 
     def plain(span: str) -> str:
-        found = restore(span, model)
+        found = decoded(span)
         return span if found == span.lower() else found
 
-    cache = lru_cache(20_000)(plain)
+    cache = lru_cache(60_000)(plain)
     cached = lambda span: (cache if len(span) <= cached_length else plain)(span)
-
-    def restored(text: str) -> str:
-        spans, spaced = suspects(text)
-        if spaced:
-            # the model does not tell letters outside a-z apart, so three of them say nothing
-            text = SPACED.sub(lambda m: cached(m[0]) if len(m[0]) > 5 or any(c.isascii() and c.isalnum() for c in m[0]) else m[0], text)
-            spans, _ = suspects(text)
-        if spans:
-            parts, at = [], 0
-            for start, end in spans:
-                parts += [text[at:start], cached(text[start:end])]
-                at = end
-            text = "".join([*parts, text[at:]])
-        return text
+    # the model does not tell letters outside a-z apart, so three of them say nothing
+    joined = lambda m: cached(m[0]) if len(m[0]) > 5 or any(c.isascii() and c.isalnum() for c in m[0]) else m[0]
+
+    def restored(texts: list[str]) -> list[str]:
+        texts = list(texts)
+        marked = _Marked(texts)
+        if len(marked.spaced):
+            for k in marked.spaced.tolist():
+                texts[k] = SPACED.sub(joined, texts[k])
+            marked = _Marked(texts)
+        asked = ~marked.read_best_as_they_are(prices)
+        starts, ends = marked.starts[asked], marked.ends[asked]
+        of = np.searchsorted(marked.firsts, starts, side="right") - 1
+        first = marked.firsts[of]
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for k, a, b in zip(of.tolist(), (starts - first).tolist(), (ends - first).tolist(), strict=True):
+            spans.setdefault(k, []).append((a, b))
+        for k, held in spans.items():
+            text, parts, at = texts[k], [], 0
+            for a, b in held:
+                parts += [text[at:a], cached(text[a:b])]
+                at = b
+            texts[k] = "".join([*parts, text[at:]])
+        return texts
 
     return restored
 
 
+def restorer(model: np.ndarray, cached_length: int = 200) -> Callable[[str], str]:
+    """text -> text with its suspect spans restored."""
+    many = batch_restorer(model, cached_length)
+    return lambda text: many([text])[0]
+
+
+def in_parts(texts: list[str | None], size: int = 200_000) -> Iterator[list[str]]:
+    """Texts, null as empty, in lists of about ``size`` characters."""
+    held, n = [], 0
+    for text in texts:
+        held.append(text or "")
+        n += len(held[-1])
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def features(word: str) -> list[str]:
     """A word in lower case and its beginnings."""
     return [word, *(word[:k] + "~" for k in (4, 5, 6) if len(word) >= k)]
 
 
-def _restored_words(text: str | None, deobfuscate: Callable[[str], str]) -> set[str]:
-    return set(WORDS.findall(deobfuscate(text or "").lower()))
-
-
-def fit(labelled: DataFrame, model: np.ndarray, max_features: int = 1 << 15, l1: float = 3e-4, l2: float = 1e-5) -> tuple[float, dict[str, float]]:
-    """Intercept and weights of features, from rows (text, label); the caller bounds their number."""
+def fit(labelled: DataFrame, model: np.ndarray, l1: float = 3e-4, l2: float = 1e-5) -> tuple[float, dict[str, float]]:
+    """Intercept and weights of features, from rows (text, label); the caller bounds their number, and so that of features."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        deobfuscate = restorer(model)
+        deobfuscate = batch_restorer(model)
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
-                found = [sorted({f for w in _restored_words(t.as_py(), deobfuscate) for f in features(w)}) for t in batch.column(0)]
+                texts = [t for part in in_parts(batch.column(0).to_pylist()) for t in deobfuscate(part)]
+                found = [sorted({f for w in set(WORDS.findall(t.lower())) for f in features(w)}) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)], ["tokens", "label"])
 
     rows = written(in_small_batches(labelled.select(F.col("text").cast("string"), F.col("label").cast("double")), tokens, "tokens array<string>, label double"), "labelled")
@@ -255,7 +387,7 @@ def fit(labelled: DataFrame, model: np.ndarray, max_features: int = 1 << 15, l1:
     # features that stand for label 1: seen in three such rows, and at least twice as often as by chance
     share = rows.agg(F.avg("label")).first()[0]
     seen = rows.select(F.explode("tokens").alias("token"), "label").groupBy("token").agg(F.sum("label").alias("ones"), F.count(F.lit(1)).alias("n"))
-    useful = seen.where((F.col("ones") >= 3) & (F.col("ones") > 2 * share * F.col("n"))).orderBy(F.desc("ones"), "n", "token").limit(max_features)
+    useful = seen.where((F.col("ones") >= 3) & (F.col("ones") > 2 * share * F.col("n"))).orderBy("token")
     vocabulary = [r["token"] for r in useful.select("token").collect()]
     if not vocabulary:
         return math.log(share / (1 - share)), {}
@@ -283,16 +415,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     return model, *fit(texts.join(chosen, "id"), model)
 
 
-def scorer(model: np.ndarray, intercept: float, weights: dict[str, float]) -> Callable[[str | None], tuple[float, str]]:
-    """text -> score and restored text."""
-    deobfuscate = restorer(model)
+def scorer(model: np.ndarray, intercept: float, weights: dict[str, float]) -> Callable[[list[str]], list[tuple[float, str]]]:
+    """texts -> score and restored text of each."""
+    deobfuscate = batch_restorer(model)
     known = lru_cache(50_000)(lambda word: tuple(f for f in features(word) if f in weights))
 
-    def score(text: str | None) -> tuple[float, str]:
-        restored = deobfuscate(text or "")
-        found = {f for w in set(WORDS.findall(restored.lower())) for f in known(w)}
-        z = intercept + math.fsum(weights[f] for f in found)
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z)))), restored
+    def score(texts: list[str]) -> list[tuple[float, str]]:
+        out = []
+        for restored in deobfuscate(texts):
+            found = {f for w in set(WORDS.findall(restored.lower())) for f in known(w)}
+            z = intercept + math.fsum(weights[f] for f in found)
+            out.append((1 / (1 + math.exp(-max(-500.0, min(500.0, z)))), restored))
+        return out
 
     return score
 
@@ -323,9 +457,9 @@ def score_toxicity(
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(model, intercept, weights)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                found = [score(t.as_py()) for t in batch.column(1)]
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                found = [x for part in in_parts(batch.column(1).to_pylist()) for x in score(part)]
                 restored = [r if with_text else None for _, r in found]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array(restored, pa.string())], ["id", "score", "restored"]
@@ -347,7 +481,9 @@ def without_toxic(
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(model, intercept, weights)
-        for batch in batches:
-            yield batch.filter(pa.array([score(t.as_py())[0] < threshold for t in batch.column(at_text)], pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                yield batch.filter(pa.array([x < threshold for part in in_parts(batch.column(at_text).to_pylist()) for x, _ in score(part)], pa.bool_()))
 
     return in_small_batches(docs, kept, docs.schema)

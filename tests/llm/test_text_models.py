@@ -58,6 +58,68 @@ def test_long_spans_are_decoded_in_full(model):
     assert long.replace(".", "") == "you" * 20_000 + "x" and long.count(".") <= 20_000
 
 
+@pytest.mark.parametrize("seen", ["i  d  i  o  t", "i d  i o t", "i _ d i . o t", "id.iot", "iidiott", "i-d-i-o-t", "1 d 1 0 t"])
+def test_uneven_gaps_and_mixed_disguise(model, seen):
+    assert toxicity.restorer(model)(f"the {seen} and") == "the idiot and"
+
+
+def test_a_wide_gap_ends_a_word(model):
+    assert toxicity.restorer(model)("the s t u p i d   m o r o n and") == "the stupid moron and"
+
+
+def test_codes_keep_their_digits(model):
+    for text in ("2b0cb261201f091f991b2c1144c292e775ffe40a", "key 9f86d081884c7d65 of"):
+        assert toxicity.restorer(model)(text) == text
+
+
+def test_what_is_decided_in_parts_is_what_the_lattice_says(spark, model):
+    """Closed forms of doubled letters and cached ends of words against Viterbi over every suspect span."""
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300").select("text").collect()]
+    texts += ["Éééch", "bOOk, ooze", "aabbccdd", "worthless***", "x$$$ yy$$", "hatte** l00se!!", "ab@@", "", "a"]
+    many = toxicity.batch_restorer(model)
+    got = [t for part in toxicity.in_parts(texts, 50_000) for t in many(part)]
+    for text, found in zip(texts, got, strict=True):
+        spans, spaced = toxicity.suspects(text)
+        if spaced:
+            continue
+        want, at = [], 0
+        for a, b in spans:
+            read = toxicity.restore(text[a:b], model)
+            want += [text[at:a], text[a:b] if read == text[a:b].lower() else read]
+            at = b
+        assert found == "".join([*want, text[at:]])
+
+
+def viterbi_with_separators(span, model):
+    """The least cost over all readings of a span that may hold separators, by trying every one."""
+    read = toxicity._readings(span)
+    best = (np.inf, "")
+
+    def walk(k, codes, cost, text):
+        nonlocal best
+        if k == len(read):
+            ended = codes[-1] == 0 and text and not text[-1].isdigit()
+            total = cost - (0.0 if ended else float(model[((codes[-3] * 28 + codes[-2]) * 28 + codes[-1]) * 28]))
+            best = min(best, (total, text))
+            return
+        for letter, price in read[k]:
+            now, seen = cost + price, codes
+            if letter:
+                code = toxicity._code(letter)
+                if code or codes[-1]:
+                    now -= float(model[((codes[-3] * 28 + codes[-2]) * 28 + codes[-1]) * 28 + code])
+                    seen = [*codes, code]
+            walk(k + 1, seen, now, text + letter)
+
+    walk(0, [0, 0, 0], 0.0, "")
+    return best[1]
+
+
+@pytest.mark.parametrize("span", ["i d i o t", "i.d i o  t", "st.up1d", "m0-r0n", "a$$", "is!", "i_d", "l o s e r", "s c_u m m"])
+def test_lattices_with_separators_match_brute_force(model, span):
+    assert toxicity.restore(span, model) == viterbi_with_separators(span, model)
+
+
 def viterbi_by_trying(span, model):
     """The least cost over all ways to read a span, without dynamic programming."""
     best = (np.inf, "")
