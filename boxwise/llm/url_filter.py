@@ -2,8 +2,10 @@
 
 The trees are Spark ML's, trained on a bounded sample of labelled URLs. Their
 features come from the characters of the URL alone, and from statistics of the
-host's suffixes among all labelled URLs. URLs are judged row by row; the only
-joins are with the tables of suffixes and domains.
+host's suffixes among all labelled URLs. In training a URL's statistics leave
+out the fold that it is in (by the hash of its host), so that the trees never
+see a statistic that its own label, or that of its host, is part of. URLs are
+judged row by row; the only joins are with the tables of suffixes and domains.
 """
 
 from __future__ import annotations
@@ -67,6 +69,27 @@ def lexical(urls: DataFrame) -> DataFrame:
     })
 
 
+def fold_of(url: Column, folds: int) -> Column:
+    """The fold of a URL, that of all URLs of its host."""
+    return F.pmod(F.xxhash64(host_of(url)), F.lit(folds))
+
+
+def out_of_fold(rows: DataFrame, labelled: DataFrame, column: str, folds: int, rate: float, prior: float = 5.0) -> DataFrame:
+    """``rows`` (fold, ``column``, ...) with the statistics of ``column`` over the labelled URLs of all other folds."""
+    counts = labelled.groupBy(column, "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones"))
+    known = written(counts, f"{column}-folds")
+    everything = known.groupBy(column).agg(F.sum("n").alias("_n"), F.sum("ones").alias("_ones"))
+    sizes = {r["fold"]: r["n"] for r in known.groupBy("fold").agg(F.sum("n").alias("n")).collect()}
+    others = F.element_at(F.array(*[F.lit(float(sum(n for f, n in sizes.items() if f != k))) for k in range(folds)]), (F.col("fold") + 1).cast("int"))
+    own = known.withColumnsRenamed({"n": "_own", "ones": "_own_ones"})
+    joined = rows.join(everything, column, "left").join(own, [column, "fold"], "left")
+    n = F.coalesce(F.col("_n") - F.coalesce("_own", F.lit(0)), F.lit(0))
+    ones = F.coalesce(F.col("_ones") - F.coalesce("_own_ones", F.lit(0.0)), F.lit(0.0))
+    return joined.withColumns({
+        f"{column}_share": F.coalesce(F.try_divide(n, others), F.lit(0.0)), f"{column}_rate": (ones + prior * rate) / (n + prior),
+    }).drop("_n", "_ones", "_own", "_own_ones")
+
+
 def suffix_statistics(labelled: DataFrame, column: str, prior: float = 5.0) -> DataFrame:
     """By value of ``column``: its share of the labelled URLs and its smoothed rate of label 1."""
     total = labelled.agg(F.count(F.lit(1)).alias("all"), F.avg("label").alias("rate"))
@@ -90,26 +113,34 @@ class UrlModel:
         return joined.fillna({"suffix_share": 0.0, "domain_share": 0.0, "suffix_rate": self.rate, "domain_rate": self.rate})
 
     def score(self, urls: DataFrame) -> DataFrame:
-        """``urls`` with ``score``, the probability of label 1."""
+        """``urls`` with ``score``, the probability of label 1, which takes the place of a column of that name."""
+        kept = [F.col(f"_row.`{c}`") for c in urls.columns if c.lower() != "score"]
+        rows = urls.select("url", F.struct("*").alias("_row"))
         if self.trees is None:
-            return urls.withColumn("score", F.lit(self.rate))
-        kept = urls.select("url", F.struct("*").alias("_row"))
-        judged = self.trees.transform(self.with_features(kept))
-        return judged.select("_row.*", vector_to_array("probability")[1].alias("score"))
+            return rows.select(*kept, F.lit(self.rate).alias("score"))
+        return self.trees.transform(self.with_features(rows)).select(*kept, vector_to_array("probability")[1].alias("score"))
 
 
-def train(labelled: DataFrame, sample: int = 20_000, trees: int = 20, depth: int = 3, seed: int = 5) -> UrlModel:
-    """Trees from about ``sample`` labelled URLs (url, label 0 or 1), chosen by the hash of the URL; suffix statistics from all."""
+def train(labelled: DataFrame, sample: int = 20_000, trees: int = 20, depth: int = 3, seed: int = 5, folds: int = 5) -> UrlModel:
+    """Trees from about ``sample`` labelled URLs (url, label 0 or 1), chosen by the hash of the URL; suffix statistics from all.
+
+    URLs or labels that are null are not used, and repeated rows count as often
+    as they occur. Without two different labels there are no trees, and every
+    URL scores the share of label 1, 0 without any label.
+    """
     usable = labelled.where("url is not null and label is not null").select("url", F.col("label").cast("double").alias("label"))
+    usable = usable.withColumn("fold", fold_of(F.col("url"), folds))
     chosen = written(lexical(bounded_sample(usable, "url", sample)), "labelled-urls")
     every = lexical(usable)
     suffixes, domains = (written(suffix_statistics(every, c), f"{c}-statistics") for c in ("suffix", "domain"))
-    rate = usable.agg(F.avg("label")).first()[0] or 0.0
-    model = UrlModel(None, suffixes, domains, float(rate))
+    rate = float(usable.agg(F.avg("label")).first()[0] or 0.0)
+    model = UrlModel(None, suffixes, domains, rate)
     if chosen.select("label").distinct().count() > 1:
-        ready = model.with_features(chosen.select("url", "label")).orderBy("url").coalesce(2)
+        ready = chosen
+        for c in ("suffix", "domain"):
+            ready = out_of_fold(ready, every, c, folds, rate)
         assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        ready = written(ready, "labelled-features")
+        ready = written(ready.select("url", "label", *FEATURES).orderBy("url").coalesce(2), "labelled-features")
         gbt = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed, checkpointInterval=-1, cacheNodeIds=False)
         model.trees = PipelineModel([assembler, gbt.fit(assembler.transform(ready))])
     return model
@@ -120,13 +151,15 @@ def judge(urls: DataFrame, model: UrlModel, rules: list[tuple[str, str]], thresh
 
     The longest rule that fits decides; else a score of ``threshold`` or more
     blocks. A null URL, or one without ``://``, has an empty host and path and
-    is scored like any text. Repeated rows are judged alike; an empty table
-    gives an empty result.
+    is scored like any text; URLs may be of any length. Repeated rows are
+    judged alike; an empty table gives an empty result. Columns of ``urls``
+    that have the name of a result are left out, all others stay.
     """
+    results = ["host", "path", "rule", "verdict", "score"]
+    rows = urls.select("url", F.struct("*").alias("_row"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    return model.score(urls).withColumns({
-        "host": host, "path": path, "_rule": rule_of(host, path, rules),
-    }).withColumns({
+    judged = model.score(rows).withColumns({"host": host, "path": path, "_rule": rule_of(host, path, rules)}).withColumns({
         "rule": F.col("_rule.rule"),
         "verdict": F.coalesce(F.col("_rule.verdict"), F.when(F.col("score") >= threshold, "block").otherwise("allow")),
-    }).drop("_rule")
+    })
+    return judged.select(*[F.col(f"_row.`{c}`") for c in urls.columns if c.lower() not in results], *results)
