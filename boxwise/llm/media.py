@@ -181,7 +181,10 @@ def interleave(pages: DataFrame, store: DataFrame, id_col: str = "id", html_col:
     items = sequences(pages, id_col, html_col, with_text).select(F.col("id").alias(id_col), F.explode("items").alias("item")).select(id_col, "item.*")
     items = written(items, "items")
     media = items.where("digest is not null")
-    found = media.join(described(store), media["digest"] == F.col("media_sha256"), "left")
+    # written, so that the join has two plain sides: descriptions are broadcast where they are few, and a digest that
+    # very many references name is split by AQE otherwise
+    known = written(described(store), "described")
+    found = media.join(known, media["digest"] == F.col("media_sha256"), "left")
     return found.unionByName(items.where("digest is null"), allowMissingColumns=True)
 
 
