@@ -18,6 +18,7 @@ import heapq
 import math
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +53,11 @@ def encoder(vocabulary: str, ranks: str):
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+        slow = lru_cache(1)(lambda: Tokenizer.from_file(public_tokenizers.path(vocabulary)))  # read when a text first needs it
+
         def encode(text: str) -> np.ndarray:
             if SPECIAL in text:
-                ids = Tokenizer.from_file(public_tokenizers.path(vocabulary)).encode(text, add_special_tokens=False).ids
+                ids = slow().encode(text, add_special_tokens=False).ids
             else:
                 ids = fast.encode_ordinary(text)
             return np.array([*ids, END_ID], dtype="<u4")
