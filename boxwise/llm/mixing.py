@@ -6,7 +6,12 @@ whose probability is the fraction of the rate. The Bernoulli draw depends on
 the document's id and a seed alone, so reruns and retried tasks agree. A single
 seed's total strays from the target with the spread of the document sizes;
 therefore the same aggregation sums ``seeds`` draws at once and each source
-takes the seed whose total comes nearest.
+takes the seed whose total comes nearest. A document is then still taken with
+the probability of the fraction, but the draws of a source's documents are no
+longer independent of each other, as they are chosen for their sum.
+
+Targets are worked out over one row per source in one task, which holds for
+sources as they are mixed by weight, thousands of them; hosts are not sources.
 """
 
 from __future__ import annotations
