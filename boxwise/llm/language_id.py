@@ -22,14 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxwise.llm.common import bounded_sample, fraction_of, held_out, in_small_batches, written
+from boxwise.llm.common import fraction_of, held_out, in_small_batches, written
 
-HAS_LETTER = re.compile(r"[^\W\d_]")
+WORD_CHARACTERS = re.compile(r"[^\W\d_]+")
 NO_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; numbers such as one half or a Roman numeral's sign are none."""
+    return any(any(map(str.isalpha, found[0])) for found in WORD_CHARACTERS.finditer(text))
+
+
 def grams(text: str) -> np.ndarray:
     """Codes of the n-grams (1 to 3 code points) at each place of a text.
 
@@ -90,13 +95,27 @@ class Landmarks:
         return cls(codes, presence)
 
 
-def kernel_rows(texts: list[str], table: GramTable, presence: np.ndarray) -> np.ndarray:
-    """Kernel values of texts against all landmarks."""
-    x = np.zeros((len(texts), presence.shape[1]), np.float32)
-    for row, text in zip(x, texts, strict=True):
-        row[table.columns(grams(text))] = 1
-    own = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    return (x @ presence.T) / own
+def kernel_rows(texts: list[str], table: GramTable, presence: np.ndarray, columns: int = 8192) -> np.ndarray:
+    """Kernel values of texts against all landmarks: products of presence matrices, some columns at a time.
+
+    The texts' presence is kept as places and spread out for ``columns``
+    n-grams at once, so that memory does not grow with the vocabulary.
+    """
+    seen, held = np.zeros(presence.shape[1], bool), []
+    for text in texts:
+        seen[table.columns(grams(text))] = True
+        held.append(np.flatnonzero(seen))
+        seen[held[-1]] = False
+    row, column = np.repeat(np.arange(len(texts)), [len(h) for h in held]), np.concatenate([*held, np.empty(0, np.int64)])
+    out = np.zeros((len(texts), len(presence)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order].astype(np.int64)
+    for first in range(0, presence.shape[1], columns):
+        a, b = np.searchsorted(column, (first, first + columns))
+        x = np.zeros((len(texts), min(columns, presence.shape[1] - first)), np.float32)
+        x[row[a:b], column[a:b] - first] = 1
+        out += x @ presence[:, first : first + columns].T
+    return out / np.sqrt(np.maximum([len(h) for h in held], 1))[:, None].astype(np.float32)
 
 
 @dataclass
@@ -130,22 +149,43 @@ def ridge(kernel: np.ndarray, labels: np.ndarray, between: np.ndarray, n_languag
     return np.vstack([nystrom @ w, goal - middle @ w]).astype(np.float32)
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int, n_landmarks: int, penalty: float) -> Classifier | None:
+def language_sample(usable: DataFrame, sample: int, most_languages: int) -> tuple[DataFrame, list[str]]:
+    """About ``sample`` of the rows (id, lang, text), as many of each language as there are, and the languages.
+
+    Rows are counted over all of ``usable``, so a language is learned however
+    small its share is. Of more than ``most_languages`` those with the most
+    rows are learned, ties by name.
+    """
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    if not counts:
+        return usable.limit(0), []
+    # what a small language leaves is shared by the larger ones
+    left, each = sample, {}
+    for k, r in enumerate(sorted(counts, key=lambda r: (r["n"], r["lang"]))):
+        each[r["lang"]] = min(r["n"], max(1, left // (len(counts) - k)))
+        left -= each[r["lang"]]
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], each[r["lang"]] / r["n"])])
+    return usable.where(fraction_of(F.col("id"), 11) < F.try_element_at(share, F.col("lang"))), sorted(each)
+
+
+def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int, n_landmarks: int, penalty: float, most_languages: int = 400) -> Classifier | None:
     """A classifier from about ``sample`` labelled rows; None if no row is labelled.
 
     Only n-gram codes of the landmarks and one row of kernel values for each
-    sampled row reach the driver: both are bounded by the parameters.
+    sampled row reach the driver: both are bounded by the parameters. Of a
+    language's sampled rows those of up to 20 000 bytes are landmarks first,
+    so that a few very long texts do not make up the vocabulary.
     """
-    id_, lang = F.col(id_col), F.col(lang_col)
+    id_, lang = F.col(id_col), F.col(lang_col).cast("string")
     usable = docs.where(id_.isNotNull() & lang.isNotNull() & ~held_out(id_) & F.col(text_col).rlike(r"\p{L}"))
     usable = usable.select(id_.alias("id"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
-    texts = written(bounded_sample(usable, "id", sample, seed=11), "language-sample")
-    languages = sorted(r[0] for r in texts.select("lang").distinct().collect())
+    chosen, languages = language_sample(usable, sample, most_languages)
     if not languages:
         return None
-    each = max(4, n_landmarks // len(languages))
-    order = Window.partitionBy("lang").orderBy(fraction_of(F.col("id"), 12), "id", "text")
-    chosen = texts.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= each).select("lang", "_place", "text")
+    texts = written(chosen, "language-sample")
+    each = max(2, n_landmarks // len(languages))
+    order = Window.partitionBy("lang").orderBy(F.octet_length("text") > 20_000, fraction_of(F.col("id"), 12), "id", "text")
+    marks = texts.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= each).select("lang", "_place", "text")
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,10 +194,11 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int,
                 ["lang", "place", "codes"],
             )
 
-    found = sorted(in_small_batches(chosen, codes, "lang string, place int, codes binary").collect(), key=lambda r: (r["lang"], r["place"]))
-    landmarks = Landmarks.of([np.frombuffer(r["codes"], np.uint64) for r in found])
+    found = sorted(in_small_batches(marks, codes, "lang string, place int, codes binary").collect(), key=lambda r: (r["lang"], r["place"]))
+    shared = docs.sparkSession.sparkContext.broadcast(Landmarks.of([np.frombuffer(r["codes"], np.uint64) for r in found]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        landmarks = shared.value
         table = GramTable(landmarks.codes)
         for whole in batches:
             for at in range(0, whole.num_rows, 250):
@@ -168,10 +209,12 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int,
     fitted = in_small_batches(texts.select("lang", "text"), rows, "lang string, kernel binary").toArrow()
     fitted = fitted.sort_by([("lang", "ascending"), ("kernel", "ascending")])  # sums then do not depend on the order of tasks
     kernel = np.frombuffer(b"".join(fitted["kernel"].to_pylist()), np.float32).reshape(len(fitted), -1)
+    languages = sorted(set(fitted["lang"].to_pylist()))  # a hash may leave out the only row of one
     known = {x: k for k, x in enumerate(languages)}
     labels = np.array([known[x] for x in fitted["lang"].to_pylist()])
-    weights = ridge(kernel, labels, landmarks.presence @ landmarks.presence.T, len(languages), penalty)
-    return Classifier(languages, landmarks, weights)
+    presence = shared.value.presence
+    weights = ridge(kernel, labels, presence @ presence.T, len(languages), penalty)
+    return Classifier(languages, shared.value, weights)
 
 
 def identify_language(
@@ -185,23 +228,26 @@ def identify_language(
 ) -> DataFrame:
     """One row per row of ``docs``: id, held_out, lang_pred, score.
 
-    Languages are learned from about ``sample`` labelled rows, chosen by the
-    hash of their ids and never held out (crc32 of the id as text, modulo 3,
-    is 1). A text that is null or has no letter is ``und`` with score 0; so
-    are all texts if nothing is labelled. Ties go to the language that sorts
-    first. Repeated rows score alike. Further columns are ignored; an empty
+    Languages are learned from about ``sample`` labelled rows, as many of each
+    language as there are, chosen by the hash of their ids and never held out
+    (crc32 of the id as text, modulo 3, is 1); they are the 400 with the most
+    rows where there are more. A text that is null or has no letter is ``und``
+    with score 0; so are all texts if nothing is labelled. Ties go to the
+    language that sorts first. Repeated rows score alike. Further columns are ignored; an empty
     table gives an empty result.
     """
     model = fit(docs, id_col, text_col, lang_col, sample, n_landmarks, penalty)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         table = GramTable(model.landmarks.codes) if model else None
         for whole in batches:
             for at in range(0, whole.num_rows, 250):
                 batch = whole.slice(at, 250)
                 held = batch.column(1).to_pylist()
-                known = [k for k, t in enumerate(held) if model and t and HAS_LETTER.search(t)]
+                known = [k for k, t in enumerate(held) if model and t and has_letter(t)]
                 names, scores = [UNKNOWN] * len(held), [0.0] * len(held)
                 if known:
                     best, score = model.scores(kernel_rows([held[k] for k in known], table, model.landmarks.presence))
