@@ -247,3 +247,62 @@ def test_toxic_stage_keeps_rows_as_they_are(spark):
     spark.createDataFrame([(k, 0, k % 2) for k in range(80)], "doc_id bigint, quality int, toxic int").write.mode("overwrite").parquet(f"{root}/labels.parquet")
     got = Counter((r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, root).collect())
     assert got == Counter((k, t) for k, t, _ in rows if "idiot" not in (t or "") and "1d1ot" not in (t or ""))
+
+
+def test_packing_of_random_and_long_texts(spark):
+    """Ids of random Unicode, of long texts and of the special token's string, against the tokenizer's library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    pools = ["abc XYZ 019 .,!?'\n\t ", "äöüßéèñçøå œ", "日本語中文한국어", "🙂👩‍👩‍👧é́‍‮ 　", "".join(map(chr, range(1, 0x250)))]
+    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(1, 300))) for _ in range(250)]
+    texts += ["".join(chr(c) for c in (rng.randrange(1, 0x2FFFF) for _ in range(200)) if not 0xD800 <= c <= 0xDFFF) for _ in range(40)]
+    texts += ["word and more " * 30_000, "x" * 20_000, "é" * 5_000, " " * 3_000, *["a<|endoftext|>b " * 3] * 5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = defaultdict(list)
+    for r in packing.pack(docs).collect():
+        got[r["doc_id"]].append((r["start"], np.frombuffer(r["ids"], "<u4").tolist()))
+    for k, text in enumerate(texts):
+        assert [i for _, ids in sorted(got[k]) for i in ids] == [*slow.encode(text, add_special_tokens=False).ids, 1], text[:50]
+
+
+def test_feature_matches_brute_force():
+    rng = random.Random(6)
+    for n in (1, 2, 7):
+        payload = bytes(rng.randrange(256) for _ in range(192 * n))
+        columns = [sum(payload[192 * y + 6 * k + x] for y in range(n) for x in range(6)) for k in range(32)]
+        middle = sorted(columns)[16]
+        bits = "".join("1" if c > middle else "0" for c in columns)
+        shares = [sum(v // 16 == k for v in payload) for k in range(16)]
+        want = f"{int(bits, 2):08x}-" + "".join(f"{-(-15 * s // len(payload)):x}" for s in shares)
+        assert media.feature_of(payload) == want
+
+
+def test_media_of_nothing_and_of_one_hot_digest(spark):
+    docs = spark.createDataFrame([(k, "same" if k % 3 else f"own {k}") for k in range(60)], "doc_id bigint, text string")
+    pages, store = media.text_pages(docs.limit(0))
+    assert media.interleave(pages, store).count() == 0
+    pages, store = media.text_pages(docs)
+    got = media.interleave(pages, store).where("kind = 'media'").groupBy("payload_sha256").count().collect()
+    assert sorted(r["count"] for r in got) == [1] * 20 + [40]
+
+
+def test_sequences_of_real_pages(spark):
+    """Every page's items in order hold the text that stands between its tags, and each its position."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    for r in media.sequences(pages, "page_id", "html").join(pages.select(F.col("page_id").alias("id"), "html"), "id").collect():
+        assert [i["position"] for i in r["items"]] == list(range(len(r["items"])))
+        at, html = 0, r["html"].replace("&copy;", "©").replace("&middot;", "·").replace("&amp;", "&")
+        for item in r["items"]:
+            word = (item["text"] or "").split(" ")[0]
+            found = html.find(word, at)
+            assert item["kind"] == "text" and found >= at and "<" not in item["text"] and "track(" not in item["text"]
+            at = found
+
+
+def test_mix_of_very_long_texts(spark):
+    docs = spark.createDataFrame([(k, "w " * (200_000 if k == 0 else 20), "a" if k % 2 else "b") for k in range(40)], "doc_id bigint, text string, source string")
+    got = mixing.mix_sources(docs).collect()
+    assert next(r["size"] for r in got if r["doc_id"] == 0) == 200_000 and all(r["taken"] <= 2 * r["size"] for r in got)

@@ -256,6 +256,76 @@ def test_url_statistics_are_those_of_all_labelled_urls(spark):
     assert seen.count() == 400
 
 
+def url_features(url):
+    """The lexical features of a URL, stated again."""
+    from math import log2
+
+    url = url or ""
+    host, path = parts(url)
+    dots = [x for x in host.split(".") if x]
+    counts = [url.count(c) / len(url) for c in set(url)]
+    depth = sum(a == "/" and b != "/" for a, b in zip(path, path[1:], strict=False))
+    named = 0
+    for k, c in enumerate(url):
+        if c in "?&":
+            name = ""
+            for x in url[k + 1 :]:
+                if x in "?&#":
+                    name = ""
+                    break
+                if x == "=":
+                    break
+                name += x
+            else:
+                name = ""
+            named += bool(name)
+    return {
+        "length": len(url), "host_length": len(host), "path_length": len(path), "depth": depth, "labels": len(dots), "hyphens": host.count("-"),
+        "digit_ratio": sum(c in "0123456789" for c in url) / len(url) if url else 0.0, "entropy": -sum(p * log2(p) for p in counts), "parameters": named,
+        "suffix": dots[-1] if dots else "", "domain": ".".join(dots[-2:]),
+    }
+
+
+def test_url_features_match_brute_force(spark):
+    urls = [u for u in URLS if u is None or len(u) < 1000] + ["http://a-b.c-d.co.uk//x//y/?a=1&b=&=3&cc=4#q=1", "https://x.y/1/2/3?k", "http://..a..b./", "HTTP://UP.Case/Ab?&a=b?c=d"]
+    got = url_filter.lexical(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
+    for r in got:
+        want = url_features(r["url"])
+        assert all(r[k] == (pytest.approx(v) if isinstance(v, float) else v) for k, v in want.items()), (r, want)
+
+
+def test_url_statistics_leave_out_the_own_fold(spark):
+    rows = [(f"http://h{k % 40}.site{k % 7}.com/{k}", float(k % 3 == 0)) for k in range(300)]
+    labelled = url_filter.lexical(spark.createDataFrame(rows, "url string, label double").withColumn("fold", url_filter.fold_of(F.col("url"), 4)))
+    got = url_filter.out_of_fold(labelled, labelled, "domain", 4, 0.25).collect()
+    held = [(r["domain"], r["fold"], r["label"]) for r in labelled.collect()]
+    assert len(got) == 300
+    for r in got:
+        other = [x for x in held if x[1] != r["fold"]]
+        same = [label for domain, _, label in other if domain == r["domain"]]
+        assert r["domain_share"] == pytest.approx(len(same) / len(other)) and r["domain_rate"] == pytest.approx((sum(same) + 5 * 0.25) / (len(same) + 5))
+
+
+def test_url_judging_of_clashing_columns_and_of_nothing(spark):
+    seeds = spark.createDataFrame([(f"http://bad-{k}.com/x", 1) for k in range(30)] + [(f"http://good{k}.org/y", 0) for k in range(30)], "url string, label int")
+    rows = spark.createDataFrame([(1, "http://x.net/de/", "s", "h", 0.5, "kept"), (1, "http://x.net/de/", "s", "h", 0.5, "kept"), (2, None, "s", "h", 0.5, "kept")], "page_id int, url string, suffix string, host string, score double, domain_rate string")
+    for model in (url_filter.train(seeds), url_filter.train(seeds.limit(0))):
+        got = url_filter.judge(rows, model, queries.URL_RULES)
+        assert got.columns == ["page_id", "url", "suffix", "domain_rate", "host", "path", "rule", "verdict", "score"]
+        shown = sorted(map(str, got.collect()))
+        assert len(shown) == 3 and shown[0] == shown[1] and "rule='net/'" not in shown[0] and "domain_rate='kept'" in shown[0] and "rule='net/de/'" in shown[0]
+        assert url_filter.judge(rows.limit(0), model, queries.URL_RULES).count() == 0
+
+
+def test_url_trees_on_hosts_and_urls_held_out(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url")
+    marked = pages.withColumn("label", url_filter.host_of(F.col("url")).rlike("|".join(queries.SEED_HOSTS)).cast("int"))
+    held = F.pmod(F.xxhash64("url"), F.lit(3)) == 1
+    model = url_filter.train(marked.where(~held))
+    rates = {r["label"]: r["blocked"] for r in model.score(marked.where(held)).groupBy("label").agg(F.avg((F.col("score") >= 0.5).cast("double")).alias("blocked")).collect()}
+    assert rates[0] < 0.05 and rates[1] > 0.8
+
+
 def test_url_model_without_labels(spark):
     none = spark.createDataFrame([], "url string, label int")
     got = url_filter.judge(spark.createDataFrame([(1, "http://e.com/fr/")], "page_id int, url string"), url_filter.train(none), queries.URL_RULES).first()
@@ -317,3 +387,42 @@ def test_chat_edges(spark):
     assert [(r["role"], r["text"]) for r in sorted((r for r in got if r["conv_id"] is None), key=lambda r: r["segment"])] == [("user", "x"), ("assistant", "y")]
     assert chat.parse(chunks.limit(0), model).count() == 0
     assert chat.parse(chunks, chat.train(chunks.limit(0), "conv_id", "turn", "text", "role")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["²", "½ ①", "Ⅷ", "٣", "__", "12"])
+def test_numbers_are_no_letters(text):
+    assert not language_id.has_letter(text)
+
+
+def test_small_languages_are_learned(spark):
+    """A language with a thousandth of the rows is in the sample, and all learned ones follow from all rows."""
+    rows = [(k, f"the of and in to a {k}", "en") for k in range(3000)] + [(10_000 + k, f"ja nein und der die {k}", "de") for k in range(12)]
+    usable = spark.createDataFrame(rows, "id bigint, text string, lang string")
+    chosen, languages = language_id.language_sample(usable, 100, 400)
+    counts = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
+    assert languages == ["de", "en"] and counts["de"] == 12 and 50 < counts["en"] < 130
+    assert language_id.language_sample(usable, 100, 1)[1] == ["en"] and language_id.language_sample(usable.limit(0), 100, 9)[1] == []
+
+
+def test_ridge_is_the_direct_solution():
+    """The Nystrom map and weights against kernel ridge regression worked out in one piece."""
+    rng = np.random.default_rng(3)
+    marks = rng.random((6, 9))
+    between, x = marks @ marks.T, rng.random((40, 9))
+    kernel, labels = x @ marks.T, rng.integers(0, 3, 40)
+    got = language_id.ridge(kernel.astype(np.float32), labels, between, 3, 0.7)
+    # the same in the space of kernel values: minimise the weighted squares + penalty * w' K w, with an intercept
+    weight = np.sqrt((40 / (3 * np.bincount(labels, minlength=3)))[labels])
+    target = np.where(labels[:, None] == np.arange(3), 1.0, -1.0)
+    design = np.c_[kernel, np.ones(40)] * weight[:, None]
+    penalty = np.zeros((7, 7))
+    penalty[:6, :6] = 0.7 * between
+    want = np.linalg.solve(design.T @ design + penalty, design.T @ (target * weight[:, None]))
+    assert np.c_[kernel, np.ones(40)] @ got == pytest.approx(np.c_[kernel, np.ones(40)] @ want, abs=1e-3)
+
+
+def test_language_ties_and_repeated_rows(spark):
+    rows = [(k, "same words in all", "xx" if k % 2 else "aa") for k in range(40)] + [(50, "same words in all", None), (50, "same words in all", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = language_id.identify_language(docs).where("doc_id = 50").collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0]["lang_pred"] in ("aa", "xx") and got[0]["score"] == pytest.approx(0.5, abs=0.2)
