@@ -12,6 +12,9 @@ from every role before it to every role at its end), matrices multiply in groups
 of 64 until one is left for each conversation, and the chosen roles at the ends
 of blocks go back down the same levels. The result is the path of one Viterbi
 over the whole conversation.
+
+All of this works on symbols, a byte for each line. Texts are read once to make
+them, and meet the roles of their lines by a key of 128 bits at the end.
 """
 
 from __future__ import annotations
@@ -116,6 +119,8 @@ def train(chunks: DataFrame, conv_col: str, turn_col: str, text_col: str, role_c
 
     shown = in_small_batches(known.select("role", "text"), counted, "role string, symbol int, n bigint").groupBy("role", "symbol").agg(F.sum("n").alias("n")).collect()
     roles = sorted({r["role"] for r in shown})
+    if len(roles) > 200:
+        raise ValueError("more than 200 roles; states are kept as bytes")
     at = {r: k + 1 for k, r in enumerate(roles)}
     n = len(roles) + 1
     emission, transition = np.full((n, SYMBOLS), 0.5), np.zeros((2, n, n))
@@ -135,15 +140,32 @@ def train(chunks: DataFrame, conv_col: str, turn_col: str, text_col: str, role_c
         return Model(roles, np.log(transition / np.maximum(transition.sum(2, keepdims=True), 1e-9)), np.log(emission / emission.sum(1, keepdims=True)))
 
 
-def _blocks(chunks: DataFrame, conv_col: str, turn_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """Distinct chunks with their place: (c, turn, h, text, copies, g, t, sub, bid), and the largest g."""
-    key = F.coalesce(F.col(conv_col).cast("string"), F.lit("\0"))
-    rows = chunks.select(key.alias("c"), F.col(conv_col).alias("conv"), F.col(turn_col).cast("bigint").alias("own_turn"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.groupBy("c", "conv", "own_turn", "text").agg(F.count(F.lit(1)).alias("copies"))
+def _keyed(chunks: DataFrame, conv_col: str, turn_col: str, text_col: str) -> DataFrame:
+    """Chunks (k1, k2, c, conv, own_turn, h, text); the same chunks have the same key."""
+    c = F.coalesce(F.col(conv_col).cast("string"), F.lit("\0"))
+    turn, text = F.col(turn_col).cast("bigint"), F.col(text_col).cast("string")
+    rows = chunks.select(c.alias("c"), F.col(conv_col).alias("conv"), turn.alias("own_turn"), text.alias("text"))
+    known = F.coalesce(F.col("own_turn").cast("string"), F.lit("")), F.coalesce("text", F.lit("\0"))
+    return rows.withColumns({"k1": F.xxhash64("c", *known), "k2": F.xxhash64(F.lit(1), "c", *known), "h": F.xxhash64("text")})
+
+
+def _blocks(keyed: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct chunks with their place: (k1, k2, c, conv, own_turn, h, symbols, copies, turn, g, t, sub), and the largest g."""
+
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [bytes(symbol(line, k == 0) for k, line in enumerate(lines_of(t.as_py()))) for t in batch.column(6)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(found, pa.binary())], [*batch.schema.names[:6], "symbols"])
+
+    names = ["k1", "k2", "c", "conv", "own_turn", "h"]
+    kinds = {f.name: f.dataType.simpleString() for f in keyed.schema.fields}
+    rows = in_small_batches(keyed.select(*names, "text"), shown, ", ".join([*(f"{n} {kinds[n]}" for n in names), "symbols binary"]))
+    rows = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), *[F.first(x).alias(x) for x in (*names[2:], "symbols")])
+    rows = written(rows, "chunks")
     low, high = rows.agg(F.min("own_turn"), F.max("own_turn")).first()
     low = low or 0
     turn = F.coalesce(F.col("own_turn") - low + 1, F.lit(0))  # a null turn comes first
-    rows = written(rows.withColumns({"turn": turn, "h": F.xxhash64("text")}), "chunks")
+    rows = rows.withColumn("turn", turn)
     # turns with very many texts are dealt to blocks by the texts' hashes, in whose order they stand
     sizes = rows.groupBy("c", "turn").agg(F.ceil(F.count(F.lit(1)) / TIES).alias("subs")).withColumn("g", F.floor(F.col("turn") / TURNS))
     wide = sizes.groupBy("c", "g").agg((F.max("subs") > 1).alias("wide"))
@@ -217,24 +239,22 @@ def parse(chunks: DataFrame, model: Model, conv_col: str = "conv_id", turn_col:
     are ignored.
     """
     n = len(model.roles) + 1
-    placed, top = _blocks(chunks, conv_col, turn_col, text_col)
+    keyed = _keyed(chunks, conv_col, turn_col, text_col)
+    placed, top = _blocks(keyed)
     if not model.roles:
         placed = placed.where(F.lit(False))
-    placed = written(_grouped(placed, ["c", *ORDER], ["turn", "h", "text"]), "placed")
-    in_order = lambda df: df.repartition("bid").sortWithinPartitions("bid", "c", *ORDER, "turn", "h", "text")
+    placed = written(placed, "placed")
+    within = ["turn", "h", "k1", "k2"]
     block_key = lambda b: [np.array(b.column(0).to_pylist()), *[b.column(k).to_numpy() for k in (1, 2, 3)]]
 
     def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bounds in whole_groups(batches, block_key):
-            texts = batch.column(4).to_pylist()
-            made = []
-            for a, b in bounds:
-                symbols = [symbol(line, k == 0) for text in texts[a:b] for k, line in enumerate(lines_of(text))]
-                made.append(product(model.steps(symbols)).tobytes())
+            held = batch.column(4).to_pylist()
+            made = [product(model.steps(list(b"".join(held[a:b])))).tobytes() for a, b in bounds]
             firsts = pa.array([a for a, _ in bounds])
             yield pa.RecordBatch.from_arrays([batch.column(k).take(firsts) for k in range(4)] + [pa.array(made, pa.binary())], ["c", *ORDER, "matrix"])
 
-    rows = in_small_batches(in_order(placed).select("c", *ORDER, "text"), multiplied, "c string, g bigint, t bigint, sub bigint, matrix binary")
+    rows = _grouped(placed, ["c", *ORDER], within).select("c", *ORDER, "symbols").mapInArrow(multiplied, "c string, g bigint, t bigint, sub bigint, matrix binary")
     levels = [written(rows, "matrices")]
     while True:  # at least once, as blocks of one g may be many
         levels.append(_up(levels[-1], n))
@@ -252,35 +272,48 @@ def parse(chunks: DataFrame, model: Model, conv_col: str = "conv_id", turn_col:
         ends = _down(level, ends, n)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The state before each chunk and those of its lines."""
         for batch, bounds in whole_groups(batches, block_key):
-            texts = batch.column(4).to_pylist()
-            out: list[list] = [[] for _ in range(6)]
+            held, out = batch.column(4).to_pylist(), []
             for a, b in bounds:
-                lines = [lines_of(t) for t in texts[a:b]]
-                symbols = [symbol(line, k == 0) for chunk in lines for k, line in enumerate(chunk)]
-                state = batch.column(5)[a].as_py()
-                path = iter(best_path(model.steps(symbols), state, batch.column(6)[a].as_py()))
-                for row, chunk in zip(range(a, b), lines, strict=True):
-                    segments: list[list] = []
-                    for line in chunk:
-                        to = next(path)
-                        line = MARKER.sub("", line, count=1)
-                        if segments and to == state:
-                            segments[-1][2].append(line)
-                        else:
-                            segments.append([to, to != state, [line]])
-                        state = to
-                    for k, (to, starts, held) in enumerate(segments):
-                        role, text = model.roles[to - 1], "\n".join(held)
-                        for column, value in zip(out, (row, k, role, starts, text, (f"<|{role}|>\n" if starts else "") + text + "\n"), strict=True):
-                            column.append(value)
+                entry = batch.column(5)[a].as_py()
+                path = bytes([entry, *best_path(model.steps(list(b"".join(held[a:b]))), entry, batch.column(6)[a].as_py())])
+                at = 0
+                for symbols in held[a:b]:
+                    out.append(path[at : at + len(symbols) + 1])
+                    at += len(symbols)
+            yield pa.RecordBatch.from_arrays([*batch.columns[7:], pa.array(out, pa.binary())], ["k1", "k2", "conv", "own_turn", "copies", "states"])
+
+    kind = placed.schema["conv"].dataType.simpleString()
+    carried = ["k1", "k2", "conv", "own_turn", "copies"]
+    ready = _grouped(placed.join(ends, ["c", *ORDER]), ["c", *ORDER], within).select("c", *ORDER, "symbols", "entry", "leave", *carried)
+    states = written(ready.mapInArrow(decoded, f"k1 bigint, k2 bigint, conv {kind}, own_turn bigint, copies bigint, states binary"), "states")
+
+    def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for row in range(batch.num_rows):
+                path = batch.column(0)[row].as_py()
+                state, segments = path[0], []
+                for to, line in zip(path[1:], lines_of(batch.column(1)[row].as_py()), strict=True):
+                    line = MARKER.sub("", line, count=1)
+                    if segments and to == state:
+                        segments[-1][2].append(line)
+                    else:
+                        segments.append([to, to != state, [line]])
+                    state = to
+                for k, (to, starts, held) in enumerate(segments):
+                    role, text = model.roles[to - 1], "\n".join(held)
+                    for column, value in zip(out, (row, k, role, starts, text, (f"<|{role}|>\n" if starts else "") + text + "\n"), strict=True):
+                        column.append(value)
             place = pa.array(out[0], pa.int64())
             kinds = (pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(k).take(place) for k in (7, 8, 9)] + [pa.array(c, t) for c, t in zip(out[1:], kinds, strict=True)], ["conv", "own_turn", "copies", "segment", "role", "starts_turn", "text", "rendered"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(place) for k in (2, 3, 4)] + [pa.array(c, t) for c, t in zip(out[1:], kinds, strict=True)], ["conv", "own_turn", "copies", "segment", "role", "starts_turn", "text", "rendered"])
 
-    kind = placed.schema["conv"].dataType.simpleString()
-    ready = in_order(placed.join(ends, ["c", *ORDER])).select("c", *ORDER, "text", "entry", "leave", "conv", "own_turn", "copies")
-    out = in_small_batches(ready, decoded, f"conv {kind}, own_turn bigint, copies bigint, segment int, role string, starts_turn boolean, text string, rendered string")
+    # the only shuffle of texts; repeated ones are one before it
+    texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    both = texts.join(states, ["k1", "k2"]).select("states", "text", "conv", "own_turn", "copies")
+    out = in_small_batches(both, rendered, f"conv {kind}, own_turn bigint, copies bigint, segment int, role string, starts_turn boolean, text string, rendered string")
     return out.select(F.col("conv").alias(conv_col), F.col("own_turn").alias(turn_col), "segment", "role", "starts_turn", "text", "rendered", "copies")
 
 

@@ -426,3 +426,28 @@ def test_language_ties_and_repeated_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     got = language_id.identify_language(docs).where("doc_id = 50").collect()
     assert len(got) == 2 and got[0] == got[1] and got[0]["lang_pred"] in ("aa", "xx") and got[0]["score"] == pytest.approx(0.5, abs=0.2)
+
+
+def test_chat_of_very_long_chunks_and_many_copies(spark):
+    long = "\n".join(["User: is it so?", "Assistant: it is"] * 3000)
+    rows = [(1, 0, "user", "User: hi"), (1, 1, "assistant", "Assistant: " + "word " * 50_000), (2, 0, "user", long)] + [(3, 0, "user", "User: same")] * 500
+    chunks = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    raw = chat.as_transcripts(spark.read.parquet(f"{SF}/conversations.parquet"))
+    model = chat.train(raw, "conv_id", "turn", "text", "role")
+    got = chat.parse(chunks, model).collect()
+    shown = [r["role"] for r in sorted((r for r in got if r["conv_id"] == 2), key=lambda r: r["segment"]) for _ in range(r["text"].count("\n") + 1)]
+    assert shown == [model.roles[s - 1] for s in whole_viterbi(model, [chat.symbol(x, k == 0) for k, x in enumerate(chat.lines_of(long))])]
+    assert [(r["copies"], r["text"]) for r in got if r["conv_id"] == 3] == [(500, "same")]
+    assert any(len(r["text"]) > 200_000 and r["role"] == "assistant" for r in got if r["conv_id"] == 1)
+
+
+def test_chat_on_held_out_conversations(spark):
+    """Counts from two thirds of the conversations, roles of the others."""
+    raw = chat.as_transcripts(spark.read.parquet(f"{SF}/conversations.parquet"))
+    held = F.pmod(F.xxhash64("conv_id"), F.lit(3)) == 0
+    model = chat.train(raw.where(~held), "conv_id", "turn", "text", "role")
+    true = raw.where(held).select("conv_id", "turn", F.col("role").alias("true")).distinct()
+    got = chat.parse(raw.where(held).drop("role"), model).join(true, ["conv_id", "turn"])
+    right = got.agg(F.avg((F.col("role") == F.col("true")).cast("double"))).first()[0]
+    print("held-out role accuracy", right)
+    assert right > 0.9
