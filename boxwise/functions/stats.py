@@ -35,6 +35,11 @@ def bayesian_var(x: Column, window: WindowSpec | None = None) -> Column:
     return _over(F.var_pop(x), window) * k / (k + 1)
 
 
+def bayesian_var_of_sums(n: Column, total: Column, squares: Column) -> Column:
+    """``bayesian_var`` from the number of values, their sum and the sum of their squares."""
+    return F.when(n > 0, F.greatest(squares - total * total / n, F.lit(0.0)) / (n + 1))
+
+
 def exponential_mean(values: Column, rows: Column) -> Column:
     """Exponentially weighted mean of an array, oldest value first, without nulls; the span is ``rows``."""
     return mean_of_sums(exponential_sums(values, rows))
@@ -88,15 +93,18 @@ def z_score(x: Column, mean: Column, variance: Column) -> Column:
 def resampled(df: DataFrame, keys: list[str], value: str, statistic, samples: int = 30, seed: int = 1) -> DataFrame:
     """The resampling itself: ``statistic`` (Column -> aggregate Column) averaged over Poisson bootstrap samples.
 
-    Each row counts Poisson(1) times in each sample, by the hash of its value,
-    keys and place, so that a rerun draws the same. The rows of a key are
-    spread over its samples, which combine on the map side.
+    Each row counts Poisson(1) times in each sample, by the hash of its columns
+    and its number among rows that are alike, so that a rerun draws the same
+    and repeated rows draw apart. The rows of a key are spread over its
+    samples, which combine on the map side.
     """
-    u = F.pmod(F.xxhash64(*keys, value, "_place", "_sample", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    u = F.pmod(F.xxhash64("_place", "_number", "_sample", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     # inverse distribution function of Poisson(1), whose tail beyond 6 is under 1e-4
     steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]
     times = sum(F.when(u >= s, 1).otherwise(0) for s in steps)
-    placed = df.withColumn("_place", F.xxhash64(*df.columns))
+    # rows that are alike are counted and numbered without being brought together
+    alike = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_alike")).withColumn("_place", F.xxhash64(*df.columns))
+    placed = alike.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_alike"))).alias("_number"))
     drawn = placed.select("*", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("_sample")).withColumn("_times", times)
     rows = drawn.where("_times > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"))
     each = rows.groupBy(*keys, "_sample").agg(statistic(F.col(value)).alias("_statistic"))

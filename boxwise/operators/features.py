@@ -29,6 +29,12 @@ def distribution(df: DataFrame, group: str, stat: str) -> Column:
     return F.try_divide(F.col(stat), F.sum(stat).over(Window.partitionBy(group)))
 
 
+def with_share(df: DataFrame, keys: list[str], stat: str) -> DataFrame:
+    """Adds ``share``, a stat over its sum in the group; the sums combine on the map side, so a group may be of any size."""
+    totals = df.groupBy(*keys).agg(F.sum(stat).alias("_total"))
+    return df.join(totals, keys).withColumn("share", F.try_divide(stat, "_total")).drop("_total")
+
+
 def earned_and_given(df: DataFrame, keys: list[str], date: str, stat: str, days: int = 30, least: int = 3, leakage_safe: bool = False) -> DataFrame:
     """Adds ``ratio`` of a stat to its mean within ``days``, where at least ``least`` values make up the mean."""
     mean, count = interval_mean(df, keys, date, stat, days, leakage_safe)

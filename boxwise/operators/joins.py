@@ -35,12 +35,28 @@ def asof_latest(left: DataFrame, right: DataFrame, keys: list[str], left_time: s
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, tie: str) -> DataFrame:
-    """Each left row's nearest right row of its key: the least distance in days, then the least ``tie``."""
-    far = F.abs(F.datediff(left_time, right_time))
-    pairs = left.join(right, keys).withColumn("distance", far)
-    rest = [c for c in pairs.columns if c not in left.columns]
-    best = F.min_by(F.struct(*rest), F.struct("distance", tie))
-    return pairs.groupBy(*left.columns).agg(best.alias("_best")).select(*left.columns, "_best.*")
+    """Each left row's nearest right row of its key: the least distance in days, then the least ``tie``.
+
+    Both sides are put in one order of time; the last right row is carried on
+    and the next one back, and the nearer of the two is taken, so no pairs are
+    made. Left rows that repeat all stay; those whose key has no right row, or
+    whose time is null, are left out.
+    """
+    rest = [c for c in right.columns if c not in left.columns]
+    kind = right.schema[tie].dataType
+    day = lambda c: F.datediff(c, F.lit("1970-01-01"))
+    a = left.select(*keys, day(left_time).alias("_day"), F.lit(1).alias("_left"), F.lit(None).cast(kind).alias("_tie"), F.struct(*left.columns).alias("_row"))
+    b = right.select(*keys, day(right_time).alias("_day"), F.lit(0).alias("_left"), F.col(tie).alias("_tie"), F.struct(day(right_time).alias("at"), F.col(tie).alias("tie"), F.struct(*rest).alias("row")).alias("_other"))
+    every = a.unionByName(b, allowMissingColumns=True).where("_day is not null")
+    # at one time right rows stand before left ones going on, and after them going back; the least tie is met last, or first
+    on = Window.partitionBy(*keys).orderBy("_day", "_left", F.desc("_tie")).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys).orderBy("_day", F.desc("_left"), "_tie").rowsBetween(0, Window.unboundedFollowing)
+    both = every.withColumns({"_before": F.last("_other", ignorenulls=True).over(on), "_after": F.first("_other", ignorenulls=True).over(back)}).where("_left = 1")
+    far = lambda c: F.struct(F.abs(F.col(f"{c}.at") - F.col("_day")).alias("distance"), F.col(f"{c}.tie").alias("tie"), F.col(f"{c}.row").alias("row"))
+    found = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), far(c)) for c in ("_before", "_after")]))
+    nearest = F.aggregate(found, F.try_element_at(found, F.lit(1)), lambda x, y: F.when((y["distance"] < x["distance"]) | (y["distance"] == x["distance"]) & (y["tie"] < x["tie"]), y).otherwise(x))
+    chosen = both.withColumn("_best", nearest).where("_best is not null")
+    return chosen.select("_row.*", *[F.col(f"_best.row.{c}").alias(c) for c in rest], F.col("_best.distance").alias("distance"))
 
 
 def interval_mean(df: DataFrame, keys: list[str], date: str, value: str, days: int, leakage_safe: bool = False) -> tuple[Column, Column]:

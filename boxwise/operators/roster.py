@@ -46,24 +46,49 @@ def roster_combinations(players: DataFrame, slots: Mapping[str, int], low: float
 def optimal_rosters(players: DataFrame, slots: Mapping[str, int], budget: int, keep: int = 5, position: str = "position", points: str = "points", cost: str = "cost", pid: str = "pid") -> DataFrame:
     """The ``keep`` best rosters within a budget of whole cost units, by dynamic programming over slots.
 
-    After each slot only the best ``keep`` partial rosters stay of each cost
-    (points as they are; ties by ids), so the state has at most
-    budget x keep rows for each position, whatever the pool. Players of a
-    position are taken in the order of their ids, so no set comes twice.
+    Of the players of one position and cost only the best ``count + keep - 1``
+    (points, then ids) can be in one of the best rosters: a roster with a
+    lesser one has ``keep`` better rosters of the same cost. What remains of a
+    pool is bounded by the costs, whatever its size. After each slot only the
+    best ``keep`` partial rosters stay of each cost and last player. A state
+    meets players by the costs that it can still pay, an equality join.
+    Players of a position are taken in the order of their ids, so no set
+    comes twice.
     """
-    # a state remembers its last player of the position: two states differ in what may still follow
+    states = optimal_by_level(players, slots, budget, keep, position, points, cost, pid).drop("place")
+    return states.orderBy(F.desc("points"), "cost", "pids").limit(keep)
+
+
+def optimal_by_level(players: DataFrame, slots: Mapping[str, int], budget: int, keep: int = 5, position: str = "position", points: str = "points", cost: str = "cost", pid: str = "pid") -> DataFrame:
+    """The ``keep`` best rosters (pids, points, cost, place) of each cost up to the budget."""
     states = players.sparkSession.range(1).select(F.array().cast("array<bigint>").alias("pids"), F.lit(0.0).alias("points"), F.lit(0).cast("bigint").alias("cost"))
+    known = players.select(F.col(position).alias("_position"), F.col(pid).cast("bigint").alias("_pid"), F.col(points).cast("double").alias("_points"), F.col(cost).cast("bigint").alias("_cost"))
+    place = F.row_number().over(Window.partitionBy("_position", "_cost").orderBy(F.desc("_points"), "_pid"))
+    wanted = F.create_map(*[F.lit(x) for name, count in slots.items() for x in (name, count + keep - 1)])
+    best = known.where((F.col("_cost") >= 0) & (F.col("_cost") <= budget)).withColumn("_place", place).where(F.col("_place") <= F.try_element_at(wanted, F.col("_position"))).drop("_place")
     for name, count in slots.items():
-        pool = players.where(F.col(position) == name).select(F.col(pid).cast("bigint").alias("_pid"), F.col(points).cast("double").alias("_points"), F.col(cost).cast("bigint").alias("_cost"))
+        pool = best.where(F.col("_position") == name).drop("_position")
         states = states.withColumn("last", F.lit(-1).cast("bigint"))
         for _ in range(count):
-            grown = states.join(pool, (F.col("_pid") > F.col("last")) & (F.col("cost") + F.col("_cost") <= budget))
+            payable = states.withColumn("_cost", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(budget).cast("bigint") - F.col("cost"))))
+            grown = payable.join(pool, "_cost").where(F.col("_pid") > F.col("last"))
             grown = grown.select(F.array_append("pids", F.col("_pid")).alias("pids"), (F.col("points") + F.col("_points")).alias("points"), (F.col("cost") + F.col("_cost")).alias("cost"), F.col("_pid").alias("last"))
             place = F.row_number().over(Window.partitionBy("cost", "last").orderBy(F.desc("points"), "pids"))
             states = grown.withColumn("_place", place).where(F.col("_place") <= keep).drop("_place")
         place = F.row_number().over(Window.partitionBy("cost").orderBy(F.desc("points"), "pids"))
-        states = states.withColumn("_place", place).where(F.col("_place") <= keep).drop("_place", "last")
-    return states.orderBy(F.desc("points"), "cost", "pids").limit(keep)
+        states = states.drop("place").withColumn("place", place).where(F.col("place") <= keep).drop("last")
+    return states
+
+
+def best_by_points(players: DataFrame, slots: Mapping[str, int], most: int, keep: int = 5, position: str = "position", points: str = "points", cost: str = "cost", pid: str = "pid") -> DataFrame:
+    """For each whole number of points up to ``most``, the ``keep`` cheapest rosters that reach just that many.
+
+    The same search with the two amounts in each other's place: levels are
+    points, and of one level the least cost (then ids) is best.
+    """
+    turned = players.select(F.col(position).alias("position"), F.col(pid).alias("pid"), F.round(F.col(points)).cast("bigint").alias("cost"), (-F.col(cost)).cast("double").alias("points"))
+    best = optimal_by_level(turned, slots, most, keep)
+    return best.select("pids", F.col("cost").alias("points"), (-F.col("points")).alias("cost"), "place")
 
 
 def valid_roster(teams: Column, slots: int, least_teams: int = 3, most_of_team: int = 4) -> Column:

@@ -20,9 +20,25 @@ def own_window(df: DataFrame, keys: list[str], order: list[str], stat: str, size
 
 
 def season_to_date(df: DataFrame, keys: list[str], order: list[str], stat: str) -> DataFrame:
-    """Adds bayes_mean and bayes_var of all events of the keys before each."""
-    w = to_date(keys, order)
-    return df.withColumns({"bayes_mean": stats.bayesian_mean(F.col(stat), w), "bayes_var": stats.bayesian_var(F.col(stat), w)})
+    """Adds bayes_mean and bayes_var of all events of the keys before each.
+
+    ``order`` is a day and what orders events within it. Sums of days run over
+    one row for each day, and sums within a day over that day's rows, so a
+    group with very many events does not meet in one task.
+    """
+    day, *within = order
+    x = F.col(stat).cast("double")
+    sums = {"_rows": F.count(F.lit(1)), "_n": F.count(x), "_s": F.coalesce(F.sum(x), F.lit(0.0)), "_ss": F.coalesce(F.sum(x * x), F.lit(0.0))}
+    days = df.groupBy(*keys, day).agg(*[v.alias(k) for k, v in sums.items()])
+    before = to_date(keys, [day])
+    days = days.select(*keys, day, *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_before{k}") for k in sums])
+    inside = to_date([*keys, day], within)
+    out = df.join(days, [*keys, day]).withColumns({k: F.col(f"_before{k}") + F.coalesce(v.over(inside), F.lit(0)) for k, v in (
+        ("_rows", F.count(F.lit(1))), ("_n", F.count(x)), ("_s", F.sum(x)), ("_ss", F.sum(x * x)),
+    )})
+    return out.withColumns({
+        "bayes_mean": F.when(F.col("_n") > 0, F.try_divide("_s", "_rows")), "bayes_var": stats.bayesian_var_of_sums(F.col("_n"), F.col("_s"), F.col("_ss")),
+    }).drop(*sums, *[f"_before{k}" for k in sums])
 
 
 def output_trend(df: DataFrame, keys: list[str], order: list[str], stat: str, size: int) -> DataFrame:
@@ -47,11 +63,16 @@ def allowed_by_position(outputs: DataFrame, spine: DataFrame, group: str, season
     columns group, season, event, entity, position (one row for each), the
     stat and its z-score.
     """
-    rows = last_events(spine, outputs, group, season, event, entity, size)
-    x, t = F.col(stat), F.col(z)
-    return rows.groupBy(group, "target", position).agg(
-        F.count(F.lit(1)).alias("n"), stats.bayesian_mean(x).alias("mean"), stats.bayesian_var(x).alias("var"),
-        stats.bayesian_mean(t).alias("trend_mean"), stats.bayesian_var(t).alias("trend_var"),
+    # an event's entities of a position come to one row of sums before it goes to the events after it
+    kinds = {"x": F.col(stat).cast("double"), "t": F.col(z).cast("double")}
+    sums = [f(v).alias(f"_{k}{name}") for k, v in kinds.items() for name, f in (("n", F.count), ("s", F.sum), ("ss", lambda v: F.sum(v * v)))]
+    small = outputs.groupBy(group, season, event, position).agg(F.count(F.lit(1)).alias("_rows"), *sums)
+    rows = last_events(spine, small, group, season, event, entity, size).groupBy(group, "target", position)
+    total = rows.agg(*[F.sum(c).alias(c) for c in ("_rows", "_xn", "_xs", "_xss", "_tn", "_ts", "_tss")])
+    var = lambda k: stats.bayesian_var_of_sums(*[F.col(f"_{k}{name}") for name in ("n", "s", "ss")])
+    return total.select(
+        group, "target", position, F.col("_rows").alias("n"), F.try_divide("_xs", "_rows").alias("mean"), var("x").alias("var"),
+        F.try_divide("_ts", "_rows").alias("trend_mean"), var("t").alias("trend_var"),
     )
 
 

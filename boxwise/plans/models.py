@@ -24,7 +24,7 @@ SELECT game, entity, baseline_n, round(baseline, 4) AS baseline, round(CASE WHEN
 
 def distribution_norm(spark, sf_dir):
     per = games(spark, sf_dir).groupBy("grp", "entity").agg(F.sum("qty").alias("qty"))
-    return per.select("grp", "entity", F.round(features.distribution(per, "grp", "qty"), 6).alias("share"))
+    return features.with_share(per, ["grp"], "qty").select("grp", "entity", F.round("share", 6).alias("share"))
 
 
 SQL_NORM = f"WITH {GAMES}, p AS (SELECT grp, entity, sum(qty) AS qty FROM games GROUP BY ALL) SELECT grp, entity, round(qty / nullif(sum(qty) OVER (PARTITION BY grp), 0), 6) AS share FROM p"
@@ -74,7 +74,8 @@ WHERE a.entity IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) AND b.ent
 
 def record_streak(spark, sf_dir):
     """Wins (more than the mean of the nation) among the last ten, games away (odd keys) among the last five, and the streak before."""
-    g = games(spark, sf_dir).where("qty is not null").withColumn("win", (F.col("qty") > F.avg("qty").over(Window.partitionBy("grp"))).cast("int"))
+    g = games(spark, sf_dir).where("qty is not null")
+    g = g.join(g.groupBy("grp").agg(F.avg("qty").alias("usual")), "grp").withColumn("win", (F.col("qty") > F.col("usual")).cast("int"))
     every = Window.partitionBy("entity").orderBy(*ORDER)
     g = g.withColumn("run", F.row_number().over(every) - F.row_number().over(Window.partitionBy("entity", "win").orderBy(*ORDER)))
     g = g.withColumn("length", F.row_number().over(Window.partitionBy("entity", "win", "run").orderBy(*ORDER)))
