@@ -63,6 +63,12 @@ def matchup_code(code: Column, own: Column) -> tuple[Column, Column]:
     return text, F.replace(text, own, F.concat(F.lit("**"), own, F.lit("**")))
 
 
+def path_id(url: Column) -> Column:
+    """The last part of a URL's path without its ending, such as a game's or player's id; null without any."""
+    last = F.regexp_extract(url, r"^[^?#]*/([^/?#]+?)(?:\.[A-Za-z0-9]+)?(?:[?#].*)?$", 1)
+    return F.nullif(last, F.lit(""))
+
+
 def win_rate(record: Column) -> Column:
     """``W-L`` as the share of wins; null as 1, and so is a record without games."""
     won, lost = (F.split_part(record, F.lit("-"), F.lit(k)).try_cast("double") for k in (1, 2))

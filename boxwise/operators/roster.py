@@ -91,6 +91,18 @@ def best_by_points(players: DataFrame, slots: Mapping[str, int], most: int, keep
     return best.select("pids", F.col("cost").alias("points"), (-F.col("points")).alias("cost"), "place")
 
 
+def substitutions(rosters: DataFrame, players: DataFrame, value: str, margin: float, position: str = "position", pid: str = "pid") -> DataFrame:
+    """(roster's columns, pid, other): players who are not in a roster, of the position of one who is, with ``margin`` more of a value.
+
+    Both sides meet by position and value, so the join is one of equality.
+    """
+    slots = rosters.select(*rosters.columns, F.explode("pids").alias("pid"))
+    held = players.select(F.col(pid).alias("pid"), F.col(position).alias("_position"), (F.col(value) + margin).alias("_value"))
+    others = players.select(F.col(pid).alias("other"), F.col(position).alias("_position"), F.col(value).alias("_value"))
+    pairs = slots.join(held, "pid").join(others, ["_position", "_value"])
+    return pairs.where(~F.array_contains("pids", F.col("other"))).drop("_position", "_value")
+
+
 def valid_roster(teams: Column, slots: int, least_teams: int = 3, most_of_team: int = 4) -> Column:
     """A full roster has players of at least ``least_teams`` teams; no team has more than ``most_of_team``."""
     distinct = F.array_distinct(teams)

@@ -249,3 +249,51 @@ def test_inverse_variance_mix_prefers_the_surer_model(spark):
     df = spark.createDataFrame([(1, 10.0, 1.0), (1, 20.0, 9.0), (1, None, 1.0)], "g int, mean double, var double")
     got = features.mixed_projection(df, ["g"]).first()
     assert got["mean"] == pytest.approx(11.0) and got["models"] == 2 and got["var"] == pytest.approx(0.9)
+
+
+def test_nearest_keeps_repeated_left_rows(spark):
+    left = spark.createDataFrame([(1, 1, day(5)), (1, 1, day(5)), (2, 1, None), (3, 1, day(4)), (4, 2, day(1))], "id int, k int, d date")
+    right = spark.createDataFrame([(1, day(3), 11), (1, day(3), 10), (1, day(7), 9), (1, day(5), None), (2, None, 1)], "k int, at date, v int")
+    got = joins.nearest_in_time(left.where("id <> 4"), right.where("v is not null"), ["k"], "d", "at", "v")
+    # day 5 is two from 3 and from 7: the least tie is 9; day 4 is one from 3: 10
+    assert sorted((r["id"], r["v"], r["distance"]) for r in got.collect()) == [(1, 9, 2), (1, 9, 2), (3, 10, 1)]
+    assert joins.nearest_in_time(left.where("k = 2"), right, ["k"], "d", "at", "v").count() == 0
+
+
+def test_resampling_of_repeated_rows(spark):
+    x = [1.0] * 5 + [3.0] * 5
+    df = spark.createDataFrame([("a", v) for v in x], "k string, x double")
+    varied = one(stats.resampled(df, ["k"], "x", F.var_pop, samples=400).select("statistic"))
+    assert varied == pytest.approx(0.9, abs=0.05)  # var_pop (n - 1) / n
+
+
+def test_rosters_by_points_and_cost_match_every_roster(spark):
+    import itertools
+    import random
+
+    rng = random.Random(9)
+    people = [(k, "g" if k % 3 else "c", float(rng.randrange(1, 6)), rng.randrange(0, 5)) for k in range(30)]
+    df = spark.createDataFrame(people, "pid bigint, position string, points double, cost bigint")
+    g, c = ([p for p in people if p[1] == x] for x in "gc")
+    every = [([a[0], b[0], d[0]], a[2] + b[2] + d[2], a[3] + b[3] + d[3]) for a, b in itertools.combinations(g, 2) for d in c]
+    want = sorted((r for r in every if r[2] <= 7), key=lambda r: (-r[1], r[2], r[0]))[:4]
+    got = roster.optimal_rosters(df, {"g": 2, "c": 1}, 7, keep=4)
+    assert [(r["pids"], r["points"], r["cost"]) for r in got.orderBy(F.desc("points"), "cost", "pids").collect()] == want
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+    cheap = {}
+    for r in sorted(every, key=lambda r: (r[2], r[0])):
+        cheap.setdefault(r[1], []).append(r)
+    found = {}
+    for r in roster.best_by_points(df, {"g": 2, "c": 1}, 12, keep=2).orderBy("place").collect():
+        found.setdefault(float(r["points"]), []).append((r["pids"], float(r["points"]), int(r["cost"])))
+    assert found == {k: v[:2] for k, v in cheap.items() if k <= 12}
+
+
+def test_a_missed_event_shrinks_the_window(spark):
+    from boxwise.operators import matchups, windows
+
+    rows = [("t", 2000, e, "a", float(e)) for e in (1, 2, 4, 6)] + [("t", 2000, e, "b", 1.0) for e in range(1, 7)]
+    df = spark.createDataFrame(rows, "team string, season int, event int, who string, x double")
+    spine = windows.spine(df.withColumn("date", F.col("event")), "team", "season", "event", "date")
+    got = {r["event"]: (r["n"], r["mean"]) for r in matchups.own_on_spine(df, spine, "team", "season", "event", "who", "x", 3).where("who = 'a'").collect()}
+    assert got == {1: (0, None), 2: (1, 1.0), 4: (2, 1.5), 6: (1, 4.0)}
