@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxwise.functions.scalars import rank_weights, ratio_to_baseline
+from boxwise.functions.scalars import ratio_to_baseline
 from boxwise.operators.joins import interval_mean
 from boxwise.operators.windows import trailing
 
@@ -20,10 +20,6 @@ def matchup_rank(pairs: DataFrame, keys: list[str], distance: str, starter: str,
     return ranked.withColumn("rank", place).drop("_first", "_place")
 
 
-def rank_weight(ranked: Column) -> Column:
-    return rank_weights(ranked)
-
-
 def distribution(df: DataFrame, group: str, stat: str) -> Column:
     """A stat as a share of its group's sum, all shares summing to 1."""
     return F.try_divide(F.col(stat), F.sum(stat).over(Window.partitionBy(group)))

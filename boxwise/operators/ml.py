@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
@@ -48,6 +47,30 @@ def split(df: DataFrame, key: str, shares: tuple[float, ...] = (0.6, 0.2, 0.2),
     return [df.where((u >= float(a)) & (u < float(b))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def repeated_splits(df: DataFrame, key: str, times: int, shares: tuple[float, ...] = (0.6, 0.2, 0.2)) -> list[list[DataFrame]]:
+    """``times`` splits, each by another seed."""
+    return [split(df, key, shares, seed) for seed in range(1, times + 1)]
+
+
+def fitted_pipeline(df: DataFrame, columns: list[str], label: str = "label", kind: str = "linear") -> PipelineModel:
+    """Imputer, scaler and regressor as one Spark ML pipeline, fitted; ``save_model`` writes it."""
+    imputed = [f"_in_{c}" for c in columns]
+    stages = [
+        Imputer(inputCols=columns, outputCols=imputed), VectorAssembler(inputCols=imputed, outputCol="_raw"),
+        StandardScaler(inputCol="_raw", outputCol="features", withMean=True), regressor(kind),
+    ]
+    return Pipeline(stages=stages).fit(df.select(*[F.col(c).cast("double").alias(c) for c in columns], F.col(label).cast("double").alias("label")))
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """Writes a fitted pipeline, with its preprocessing, over what the path holds."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def regressor(kind: str, iterations: int = 20, **how):
     """gbt, forest, or linear (elastic net)."""
     return {
@@ -70,8 +93,12 @@ def evaluate_regressor(df: DataFrame, columns: list[str], label: str = "label",
     return df.sparkSession.createDataFrame([(kind, n_train, n_test, mse, r2)], "kind string, train bigint, test bigint, mse double, r2 double")
 
 
-def gaussian_process(df: DataFrame, group: str, key: str, columns: list[str], label: str, most: int = 200, noise: float = 0.5, block: int = 4096) -> DataFrame:
-    """Per group: mean and variance at each of its rows, from an RBF process fitted on at most ``most`` of them.
+def gaussian_process(df: DataFrame, group: str, key: str, columns: list[str], label: str, most: int = 200, noise: float = 0.5, block: int = 4096, splits: list[list[str]] | None = None) -> DataFrame:
+    """Per group: mean and variance at each of its rows, from a process fitted on at most ``most`` of them.
+
+    The kernel is one RBF over all columns; with ``splits`` (lists of columns)
+    it is the mean of one RBF for each list, which has a length of its own:
+    the root of the number of its columns.
 
     Only the fit is sampled, as it costs the cube of its rows: it takes the
     first ``most`` rows in the order of the key's hash. Every row of ``df`` is
@@ -90,7 +117,9 @@ def gaussian_process(df: DataFrame, group: str, key: str, columns: list[str], la
         x, y = known[[f"_of_{c}" for c in columns]].to_numpy(float), known[f"_of_{label}"].to_numpy(float)
         middle, spread = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
         x, at = (x - middle) / spread, (pdf[columns].to_numpy(float) - middle) / spread
-        kernel = lambda a, b: np.exp(-0.5 * ((a[:, None] - b[None]) ** 2).sum(-1))
+        parts = [[columns.index(c) for c in part] for part in splits or []] or [list(range(len(columns)))]
+        length = [len(part) if splits else 1 for part in parts]
+        kernel = lambda a, b: sum(np.exp(-0.5 * ((a[:, None, p] - b[None, :, p]) ** 2).sum(-1) / n) for p, n in zip(parts, length, strict=True)) / len(parts)
         scale = y.var() or 1.0
         chol = np.linalg.cholesky(kernel(x, x) + noise * np.eye(len(y)))
         alpha = np.linalg.solve(chol.T, np.linalg.solve(chol, y - y.mean()))
@@ -120,13 +149,6 @@ def ndcg(df: DataFrame, keys: list[str], gain: str, score: str, tie: str) -> Dat
     return both.select(*keys, F.try_divide(f"_{score}_dcg", f"_{gain}_dcg").alias("ndcg"))
 
 
-def pipeline_features(functions: list[Callable[[DataFrame], DataFrame]], df: DataFrame) -> DataFrame:
-    """Feature functions applied in order."""
-    for f in functions:
-        df = f(df)
-    return df
-
-
 def evaluate_classifier(df: DataFrame, columns: list[str], label: str = "label", key: str = "game", kind: str = "logistic", classes: int = 2) -> DataFrame:
     """One row: kind, the number of test rows, accuracy, mean absolute class error over (classes - 1)."""
     scaled = preprocess(df.select(key, label, *columns), columns, limit=3.0)

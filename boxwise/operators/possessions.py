@@ -2,6 +2,9 @@
 
 ``p``, ``t`` and ``o`` name the stats of the player, of the own team and of
 the opponents. Every division is null where it has no meaning.
+
+``Team_Possessions`` weighs free throws made by 0.44, as the system whose
+figures these must match does, where the published formula has attempts.
 """
 
 from __future__ import annotations

@@ -297,3 +297,54 @@ def test_a_missed_event_shrinks_the_window(spark):
     spine = windows.spine(df.withColumn("date", F.col("event")), "team", "season", "event", "date")
     got = {r["event"]: (r["n"], r["mean"]) for r in matchups.own_on_spine(df, spine, "team", "season", "event", "who", "x", 3).where("who = 'a'").collect()}
     assert got == {1: (0, None), 2: (1, 1.0), 4: (2, 1.5), 6: (1, 4.0)}
+
+
+def test_models_are_saved_with_their_preprocessing(spark, tmp_path):
+    df = spark.createDataFrame([(float(k), None if k % 7 == 0 else float(k % 5), 2.0 * k) for k in range(60)], "a double, b double, label double")
+    model = ml.fitted_pipeline(df, ["a", "b"])
+    ml.save_model(model, str(tmp_path / "m"))
+    again = ml.load_model(str(tmp_path / "m"))
+    shown = lambda m: [r["prediction"] for r in m.transform(df).orderBy("a").collect()]
+    assert shown(model) == shown(again) and shown(model)[30] == pytest.approx(60, abs=1)
+
+
+def test_repeated_splits_differ_and_cover(spark):
+    df = spark.range(300)
+    seen = [[{r["id"] for r in part.collect()} for part in parts] for parts in ml.repeated_splits(df, "id", 2)]
+    assert all(set().union(*parts) == set(range(300)) for parts in seen) and seen[0] != seen[1]
+
+
+def test_gaussian_process_by_splits_matches_numpy(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(25, 3))
+    y = x[:, 0] + np.sin(x[:, 1])
+    df = spark.createDataFrame([("g", k, float(y[k]), *map(float, x[k])) for k in range(25)], "g string, k int, y double, a double, b double, c double")
+    got = {r["k"]: (r["mean"], r["variance"]) for r in ml.gaussian_process(df, "g", "k", ["a", "b", "c"], "y", splits=[["a", "b"], ["c"]]).collect()}
+    z = (x - x.mean(0)) / x.std(0)
+    far = lambda p: ((z[:, None, p] - z[None, :, p]) ** 2).sum(-1)
+    k = (np.exp(-0.5 * far([0, 1]) / 2) + np.exp(-0.5 * far([2]))) / 2
+    inverse = np.linalg.inv(k + 0.5 * np.eye(25))
+    mean, variance = y.mean() + k @ inverse @ (y - y.mean()), y.var() * (1 - np.diag(k @ inverse @ k))
+    assert [got[j][0] for j in range(25)] == pytest.approx(mean) and [got[j][1] for j in range(25)] == pytest.approx(variance)
+
+
+def test_linear_fit_is_the_normal_equations(spark):
+    """The grid's cell without a penalty, and classes by logistic regression, against numpy."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 2))
+    y = 3 * x[:, 0] - x[:, 1] + 1 + rng.normal(size=200) * 0.1
+    df = spark.createDataFrame([(k, float(y[k]), *map(float, x[k])) for k in range(200)], "game int, label double, a double, b double")
+    got = {(r["penalty"], r["mix"]): r["rmse"] for r in ml.grid(df, ["a", "b"]).collect()}
+    design = np.c_[x, np.ones(200)]
+    left = y - design @ np.linalg.lstsq(design, y, rcond=None)[0]
+    assert got[0.0, 0.0] == pytest.approx(np.sqrt((left**2).mean()), rel=0.05) and got[1.0, 0.0] > got[0.0, 0.0]
+    train, _, test = ml.split(df, "game")
+    a = train.toPandas()
+    coefficients = np.linalg.lstsq(np.c_[a[["a", "b"]], np.ones(len(a))], a["label"], rcond=None)[0]
+    b = test.toPandas()
+    mse = ((b["label"] - np.c_[b[["a", "b"]], np.ones(len(b))] @ coefficients) ** 2).mean()
+    shown = ml.evaluate_regressor(df, ["a", "b"], kind="linear").first()
+    assert (shown["train"], shown["test"]) == (len(a), len(b)) and shown["mse"] == pytest.approx(mse, rel=0.2)
+    classes = df.withColumn("label", (F.col("label") > 1).cast("int"))
+    assert ml.evaluate_classifier(classes, ["a", "b"]).first()["accuracy"] > 0.95
+    assert ml.evaluate_regressor(df, ["a", "b"], kind="forest").first()["r2"] > 0.5 and ml.evaluate_regressor(df, ["a", "b"]).first()["r2"] > 0.7

@@ -78,3 +78,20 @@ def test_streams(spark, tmp_path):
     counted = jobs.windowed_counts(stream, "ts", ["k"], "v", "5 minutes", "5 minutes", "1 minute")
     ran(counted.writeStream.format("memory").queryName("counted").outputMode("complete"), tmp_path, "w")
     assert spark.table("counted").agg(F.sum("n")).first()[0] == 3
+
+
+def test_a_dead_write_is_not_in_the_way(spark, tmp_path):
+    t = KeyedTable(spark, str(tmp_path / "t"), ["k"])
+    row = lambda k, v: spark.createDataFrame([(k, v)], "k int, v string")
+    t.upsert(row(1, "a"))
+    broken = row(2, "b").select(F.raise_error(F.lit("lost")).cast("int").alias("k"), "v")
+    for _ in range(2):
+        with pytest.raises(Exception, match="lost"):
+            t.append(broken)
+    (tmp_path / "t" / "rows-dead").mkdir()  # what a driver that is lost leaves behind
+    assert [r["k"] for r in t.read().collect()] == [1]
+    t.append(row(2, "b"))
+    with pytest.raises(ValueError):
+        t.append(row(1, "again"))
+    t.refresh(row(3, "c"), dt.datetime(2024, 1, 1))
+    assert sorted(r["k"] for r in t.read().collect()) == [1, 2, 3]
