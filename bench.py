@@ -22,6 +22,7 @@ from boxwise.session import local_session  # noqa: E402
 HEADLINE = [
     "own_window", "season_to_date", "against_position", "entity_trend", "stat_ranges", "serve_basic", "interval_baseline", "roster_combos", "roster_dp",
     "output_trend", "splits", "asof_latest", "reflection", "possession_box", "feature_matrix", "zone_chart",
+    "cityblock_rank", "substitute", "team_running", "position_blend",
 ]
 
 

@@ -291,6 +291,10 @@ def gbt_fit(spark, sf_dir):
     return ml.evaluate_regressor(_training(spark, sf_dir), ["qty_season", "qty_last", "qty_trend", "lines_last"], kind="gbt", iterations=10)
 
 
+def forest_fit(spark, sf_dir):
+    return ml.evaluate_regressor(_training(spark, sf_dir), ["qty_season", "qty_last", "qty_trend", "lines_last"], kind="forest", iterations=10)
+
+
 def linear_fit(spark, sf_dir):
     return ml.evaluate_regressor(_training(spark, sf_dir), ["qty_season", "qty_last", "qty_trend", "lines_last"], kind="linear")
 
@@ -380,5 +384,5 @@ PLANS = {
     "record_streak": (record_streak, SQL_STREAK), "weighted_recent_avg": (weighted_recent_avg, SQL_RECENT), "inverse_variance_mix": (inverse_variance_mix, SQL_MIX), "projection_avg": (projection_avg, SQL_PROJ),
     "linear_points": (linear_points, SQL_LINEAR), "value_per_cost": (value_per_cost, SQL_VALUE), "roster_combos": (roster_combos, SQL_COMBOS), "roster_dp": (roster_dp, SQL_DP),
     "position_minutes": (position_minutes, SQL_MINUTES), "digitize": (digitize, SQL_DIGITIZE), "impute_scale": (impute_scale, SQL_SCALE), "possession_box": (possession_box, _possession_sql()),
-    "running": (running, SQL_RUNNING), "feature_matrix": (feature_matrix, SQL_MATRIX), "gbt_fit": (gbt_fit, None), "linear_fit": (linear_fit, None), "gp_fit": (gp_fit, None),
+    "running": (running, SQL_RUNNING), "feature_matrix": (feature_matrix, SQL_MATRIX), "gbt_fit": (gbt_fit, None), "forest_fit": (forest_fit, None), "linear_fit": (linear_fit, None), "gp_fit": (gp_fit, None),
 }
