@@ -358,7 +358,55 @@ def per_100(spark, sf_dir):
 
 SQL_PER_100 = f"WITH {GAMES} SELECT game, {half_sql('qty * 100 / lines')} AS pts, {half_sql('price * 100 / lines')} AS ast FROM games"
 
+def zone_games(spark, sf_dir):
+    """Days of users (games) beside their charts by type: attempts are 0 where there are none, shares stay null."""
+    events = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "event_type", "value")
+    days = events.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n"))
+    kinds = ["error", "purchase"]
+    chart = events.where(F.col("event_type").isin(*kinds)).groupBy("user_id", "day").pivot("event_type", kinds).agg(F.count(F.lit(1)).alias("att"), F.count_if(F.col("value") > 100).alias("made"))
+    both = days.join(chart, ["user_id", "day"], "left")
+    att = lambda k: F.coalesce(f"{k}_att", F.lit(0)).alias(f"{k}_att")
+    return both.select("user_id", "day", "n", *[c for k in kinds for c in (att(k), F.round(F.try_divide(f"{k}_made", f"{k}_att"), 4).alias(f"{k}_pct"))])
+
+
+SQL_ZONE_GAMES = "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, " + ", ".join(
+    f"count(*) FILTER (event_type = '{k}') AS {k}_att, round(count(*) FILTER (event_type = '{k}' AND value > 100) / nullif(count(*) FILTER (event_type = '{k}'), 0), 4) AS {k}_pct" for k in ("error", "purchase")
+) + " FROM events GROUP BY ALL"
+
+
+def repeated_projections(spark, sf_dir):
+    """A segment's runs of a season, averaged: mean of means, variance of their mean, mean of trends."""
+    g = games(spark, sf_dir).where("qty is not null").groupBy("seg", "season", "grp").agg(F.avg("qty").alias("mean"), F.var_pop("qty").alias("var"), (F.max("qty") - F.min("qty")).alias("trend"))
+    out = g.groupBy("seg", "season").agg(F.avg("mean").alias("mean"), (F.sum("var") / F.pow(F.count("var"), F.lit(2))).alias("var"), F.avg("trend").alias("trend"), F.count(F.lit(1)).alias("runs"))
+    return out.select("seg", "season", r4("mean"), r4("var"), r4("trend"), "runs")
+
+
+SQL_REPEATED = f"""WITH {GAMES}, p AS (SELECT seg, season, grp, avg(qty) AS mean, var_pop(qty) AS var, max(qty) - min(qty) AS trend FROM games WHERE qty IS NOT NULL GROUP BY ALL)
+SELECT seg, season, round(avg(mean), 4) AS mean, round(sum(var) / pow(count(var), 2), 4) AS var, round(avg(trend), 4) AS trend, count(*) AS runs FROM p GROUP BY ALL"""
+
+
+def null_filling_union(spark, sf_dir):
+    """Customers and suppliers one after another; columns that a side lacks are null."""
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    others = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance"))
+    return people.unionByName(others, allowMissingColumns=True)
+
+
+SQL_UNION = "SELECT c_custkey AS id, c_mktsegment AS segment, CAST(NULL AS DOUBLE) AS balance FROM customer UNION ALL SELECT s_suppkey, NULL, s_acctbal FROM supplier"
+
+
+def exact_sets(spark, sf_dir):
+    """Orders with just the same suppliers as another order, in any order."""
+    sides = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("suppliers"))
+    same = sides.groupBy("suppliers").agg(F.count(F.lit(1)).alias("orders"), F.min("l_orderkey").alias("first")).where("orders > 1")
+    return same.select(F.array_join("suppliers", ",").alias("suppliers"), "orders", "first")
+
+
+SQL_EXACT_SETS = """WITH s AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS x FROM lineitem GROUP BY 1)
+SELECT array_to_string(x, ',') AS suppliers, count(*) AS orders, min(l_orderkey) AS first FROM s GROUP BY x HAVING count(*) > 1"""
+
 PLANS = {
+    "zone_games": shown(zone_games, SQL_ZONE_GAMES, ("day",)), "repeated_projections": (repeated_projections, SQL_REPEATED), "null_filling_union": (null_filling_union, SQL_UNION), "exact_sets": (exact_sets, SQL_EXACT_SETS),
     "spine_window": (spine_window, SQL_SPINE), "opponent_splits": (opponent_splits, SQL_PLACES), "team_running": (team_running, SQL_FORM), "team_reflection": (team_reflection, SQL_TEAM_REFLECTION),
     "shooting_ratios": (shooting_ratios, SQL_SHOOTING), "position_given": (position_given, SQL_GIVEN), "position_blend": (position_blend, SQL_BLEND), "position_mean": (position_mean, SQL_POSITION_MEAN),
     "meta": (meta, SQL_META), "alias_join": (alias_join, SQL_ALIAS), "abbreviation_join": (abbreviation_join, SQL_ABBREVIATION), "contest_players": (contest_players, SQL_CONTEST),
