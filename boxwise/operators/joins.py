@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxwise.functions.scalars import cityblock
+
 
 def frame_merge(frames: Sequence[DataFrame], keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join of frames on their keys; of columns that clash, those of the first frame stay."""
@@ -77,10 +79,64 @@ def share_of_total(part: Column, keys: list[str]) -> Column:
     return F.try_divide(part, F.sum(part).over(Window.partitionBy(*keys)))
 
 
-def cityblock_nearest(left: DataFrame, right: DataFrame, keys: list[str], left_vec: str, right_vec: str, left_id: str, right_id: str, k: int = 1) -> DataFrame:
-    """The k right rows of a key whose vectors are nearest by sum of absolute differences, ties by id."""
-    from boxwise.functions.scalars import cityblock
+def cityblock_nearest(left: DataFrame, right: DataFrame, keys: list[str], left_vec: str, right_vec: str, left_id: str, right_id: str, k: int = 1, finest: float = 1.0, levels: int = 16) -> DataFrame:
+    """The k right rows of a key whose vectors are nearest by sum of absolute differences, ties by id; exact, without comparing all pairs.
 
-    pairs = left.join(right, keys).where(F.col(left_id) != F.col(right_id)).withColumn("distance", cityblock(F.col(left_vec), F.col(right_vec)))
-    place = F.row_number().over(Window.partitionBy(*keys, left_id).orderBy("distance", right_id))
-    return pairs.withColumn("place", place).where(F.col("place") <= k)
+    A row is not its own neighbour: rows whose ids are equal are left out, and
+    ids are those of one right row of a key. Space is cut into cells of
+    ``levels`` widths, each twice the one before from ``finest`` on, and one of
+    everything. A few right rows of each cell bound how far the k nearest can
+    be; then only the cells within that radius are met, of the least width that
+    covers it in two steps. Equal vectors are searched once. The widths decide
+    the work, not the result.
+    Rows without an id or a vector are left out.
+    """
+    known = left.where(F.col(left_vec).isNotNull() & F.col(left_id).isNotNull())
+    # of equal right vectors, at most k rows and the row itself can be among the nearest
+    alike = Window.partitionBy(*keys, right_vec).orderBy(right_id)
+    rest = [c for c in right.columns if c not in keys]
+    points = right.where(F.col(right_vec).isNotNull() & F.col(right_id).isNotNull()).withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= k + 1)
+    points = points.select(*keys, F.col(right_vec).alias("_there"), F.col(right_id).alias("_id"), F.struct(*rest).alias("_row"))
+    asked = known.select(*keys, F.col(left_vec).alias("_here"))
+    near = _within(_radius(asked, points, keys, k + 1, finest, levels), points, keys, finest, levels)
+    place = F.row_number().over(Window.partitionBy(*keys, "_here").orderBy("distance", "_id"))
+    near = near.withColumn("_n", place).where(F.col("_n") <= k + 1).drop("_n")
+    pairs = known.withColumn("_here", F.col(left_vec)).join(near, [*keys, "_here"]).where(F.col(left_id) != F.col("_id"))
+    place = F.row_number().over(Window.partitionBy(*keys, left_id).orderBy("distance", "_id"))
+    return pairs.withColumn("place", place).where(F.col("place") <= k).select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in rest], "distance", "place")
+
+
+def _radius(asked: DataFrame, points: DataFrame, keys: list[str], k: int, finest: float, levels: int) -> DataFrame:
+    """The distinct vectors with ``_radius``, no less than the distance of the k-th nearest point; null where a key has fewer."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(levels)))
+    width = finest * F.pow(F.lit(2.0), F.col("_level"))
+    # the last level is one cell for all
+    cell = lambda v: F.when(F.col("_level") < levels, F.transform(v, lambda x: F.floor(x / width))).otherwise(F.array().cast("array<bigint>"))
+    here = asked.withColumn("_level", every).withColumn("_cell", cell(F.col("_here")))
+    there = points.select(*keys, "_there", "_id").withColumn("_level", every).withColumn("_cell", cell(F.col("_there")))
+    few = F.row_number().over(Window.partitionBy(*keys, "_level", "_cell").orderBy(F.xxhash64("_id"), "_id"))
+    held = there.withColumn("_n", few).where(F.col("_n") <= 4 * k).groupBy(*keys, "_level", "_cell").agg(F.collect_list("_there").alias("_held"))
+    far = F.array_sort(F.transform("_held", lambda v: cityblock(F.col("_here"), v)))
+    met = here.join(held.where(F.size("_held") >= k), [*keys, "_level", "_cell"], "left").withColumn("_far", F.try_element_at(far, F.lit(k)))
+    return met.groupBy(*keys, "_here").agg(F.min("_far").alias("_radius"))
+
+
+def _within(asked: DataFrame, points: DataFrame, keys: list[str], finest: float, levels: int) -> DataFrame:
+    """Rows of ``asked`` with the points within their radius, met on cells of three signed sums, none of which differs by more than the distance."""
+    signed = lambda v, run: F.aggregate(F.transform(v, lambda x, i: F.when(F.floor(i / run) % 2 == 0, x).otherwise(-x)), F.lit(0.0), lambda a, x: a + x)
+    runs = (1 << 30, 1, 2)
+    sums = lambda df, v: df.withColumns({f"_s{j}": signed(F.col(v), run) for j, run in enumerate(runs)})
+    width = finest * F.pow(F.lit(2.0), F.col("_level"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(2 * F.col("_radius") / finest, F.lit(1.0))))).cast("int")
+    here = sums(asked, "_here").withColumn("_level", F.when(F.col("_radius").isNull() | (level >= levels), levels).otherwise(level))
+    there = sums(points, "_there").withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    for j in range(len(runs)):
+        s = F.col(f"_s{j}")
+        slack = F.col("_radius") + 1e-9 * (1 + F.col("_radius") + F.abs(s))
+        cells = F.sequence(F.floor((s - slack) / width), F.floor((s + slack) / width))
+        here = here.withColumn(f"_c{j}", F.explode(F.when(F.col("_level") < levels, cells).otherwise(F.array(F.lit(0).cast("bigint")))))
+        there = there.withColumn(f"_c{j}", F.when(F.col("_level") < levels, F.floor(s / width)).otherwise(F.lit(0).cast("bigint")))
+    here, there = here.drop("_s0", "_s1", "_s2"), there.drop("_s0", "_s1", "_s2")
+    on = [*keys, "_level", *[f"_c{j}" for j in range(len(runs))]]
+    pairs = here.join(there, on).withColumn("distance", cityblock(F.col("_here"), F.col("_there")))
+    return pairs.where(F.col("_radius").isNull() | (F.col("distance") <= F.col("_radius"))).select(*keys, "_here", "_id", "_row", "distance")

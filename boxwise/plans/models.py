@@ -47,8 +47,13 @@ L1 = "list_sum(list_transform(list_zip(a.vec, b.vec), lambda x: abs(x[1] - x[2])
 def cityblock_rank(spark, sf_dir):
     """The five customers of the same nation and segment with the nearest profile, the nearest starter (urgent buyer) first if the base is one."""
     p = _profiles(spark, sf_dir)
-    base = p.select("grp", "seg", F.col("entity").alias("base"), F.col("vec").alias("base_vec"), (F.element_at("vec", 1) > F.element_at("vec", 5)).alias("starts"))
-    pairs = base.join(p.withColumn("starter", F.element_at("vec", 1) > F.element_at("vec", 5)), ["grp", "seg"]).where("base <> entity").withColumn("distance", scalars.cityblock(F.col("base_vec"), F.col("vec")))
+    starter = F.element_at("vec", 1) > F.element_at("vec", 5)
+    pool = lambda flag: F.explode(F.when(F.col(flag), F.array(F.lit("every"), F.lit("starters"))).otherwise(F.array(F.lit("every"))))
+    base = p.select("grp", "seg", F.col("entity").alias("base"), F.col("vec").alias("base_vec"), starter.alias("starts")).withColumn("pool", pool("starts"))
+    others = p.withColumn("starter", starter).withColumn("pool", pool("starter"))
+    near = joins.cityblock_nearest(base, others, ["grp", "seg", "pool"], "base_vec", "vec", "base", "entity", 5, finest=16, levels=8)
+    # five places go to the five nearest, and the first to the nearest starter, who may be none of them
+    pairs = near.where("pool = 'every' or place = 1").select("base", "entity", "distance", "starts", "starter").distinct()
     ranked = features.matchup_rank(pairs, ["base"], "distance", "starter", "starts", "entity")
     return ranked.where("rank <= 5").select("base", "entity", "distance", F.col("rank").cast("bigint").alias("rank"))
 
@@ -65,7 +70,7 @@ def substitute(spark, sf_dir):
     debt = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("entity"))
     out = p.join(debt, "entity", "left_semi").select("grp", "seg", F.col("entity").alias("missing"), F.col("vec").alias("vec_a"))
     bench = p.join(out.select(F.col("missing").alias("entity")), "entity", "left_anti").withColumnRenamed("vec", "vec_b")
-    return joins.cityblock_nearest(out, bench, ["grp", "seg"], "vec_a", "vec_b", "missing", "entity").select("missing", "entity", "distance")
+    return joins.cityblock_nearest(out, bench, ["grp", "seg"], "vec_a", "vec_b", "missing", "entity", finest=16, levels=8).select("missing", "entity", "distance")
 
 
 SQL_SUBSTITUTE = f"""WITH {GAMES}, {PROFILES} SELECT a.entity AS missing, b.entity, {L1} AS distance FROM pr a JOIN pr b ON a.grp = b.grp AND a.seg = b.seg

@@ -348,3 +348,24 @@ def test_linear_fit_is_the_normal_equations(spark):
     classes = df.withColumn("label", (F.col("label") > 1).cast("int"))
     assert ml.evaluate_classifier(classes, ["a", "b"]).first()["accuracy"] > 0.95
     assert ml.evaluate_regressor(df, ["a", "b"], kind="forest").first()["r2"] > 0.5 and ml.evaluate_regressor(df, ["a", "b"]).first()["r2"] > 0.7
+
+
+def test_cityblock_nearest_is_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", i, [float(x) for x in rng.integers(-60, 60, 4)]) for i in range(120)]
+    rows += [("a", 200 + i, [float(x) for x in rng.normal(0, 1e6, 4)]) for i in range(8)]  # wider than the widest cell
+    rows += [("a", 300 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(30)]  # one vector for many
+    rows += [("b", 400, [0.0] * 4), ("b", 401, [0.25, 0.5, 0.0, 0.0]), ("c", 402, [5.0] * 4)]  # fewer than k, and none
+    df = spark.createDataFrame(rows, "k string, id int, v array<double>")
+    left, right = df.select("k", F.col("id").alias("l"), F.col("v").alias("a")), df.select("k", F.col("id").alias("r"), F.col("v").alias("b"))
+    got = joins.cityblock_nearest(left, right, ["k"], "a", "b", "l", "r", 3, levels=6)
+    assert got.columns == ["k", "l", "a", "r", "b", "distance", "place"]
+    want = set()
+    for k, i, v in rows:
+        far = sorted((sum(abs(x - y) for x, y in zip(v, w, strict=True)), j) for g, j, w in rows if g == k and j != i)[:3]
+        want |= {(i, j, n + 1) for n, (_, j) in enumerate(far)}
+    found = [(r.l, r.r, r.place) for r in got.collect()]
+    assert len(found) == len(want) and set(found) == want
+    assert joins.cityblock_nearest(left.limit(0), right, ["k"], "a", "b", "l", "r").count() == 0
+    holes = spark.createDataFrame([("a", None, [1.0]), ("a", 1, None)], "k string, l int, a array<double>")
+    assert joins.cityblock_nearest(holes, right, ["k"], "a", "b", "l", "r").count() == 0
