@@ -86,8 +86,8 @@ def cityblock_nearest(left: DataFrame, right: DataFrame, keys: list[str], left_v
     ids are those of one right row of a key. Space is cut into cells of
     ``levels`` widths, each twice the one before from ``finest`` on, and one of
     everything. A few right rows of each cell bound how far the k nearest can
-    be; then only the cells within that radius are met, of the least width that
-    covers it in two steps. Equal vectors are searched once. The widths decide
+    be; then only the cells within that radius are met, of the least width that is
+    no narrower than it. Equal vectors are searched once. The widths decide
     the work, not the result.
     Rows without an id or a vector are left out.
     """
@@ -127,7 +127,7 @@ def _within(asked: DataFrame, points: DataFrame, keys: list[str], finest: float,
     runs = (1 << 30, 1, 2)
     sums = lambda df, v: df.withColumns({f"_s{j}": signed(F.col(v), run) for j, run in enumerate(runs)})
     width = finest * F.pow(F.lit(2.0), F.col("_level"))
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(2 * F.col("_radius") / finest, F.lit(1.0))))).cast("int")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("_radius") / finest, F.lit(1.0))))).cast("int")
     here = sums(asked, "_here").withColumn("_level", F.when(F.col("_radius").isNull() | (level >= levels), levels).otherwise(level))
     there = sums(points, "_there").withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
     for j in range(len(runs)):
@@ -136,7 +136,9 @@ def _within(asked: DataFrame, points: DataFrame, keys: list[str], finest: float,
         cells = F.sequence(F.floor((s - slack) / width), F.floor((s + slack) / width))
         here = here.withColumn(f"_c{j}", F.explode(F.when(F.col("_level") < levels, cells).otherwise(F.array(F.lit(0).cast("bigint")))))
         there = there.withColumn(f"_c{j}", F.when(F.col("_level") < levels, F.floor(s / width)).otherwise(F.lit(0).cast("bigint")))
-    here, there = here.drop("_s0", "_s1", "_s2"), there.drop("_s0", "_s1", "_s2")
+        there = there.withColumnRenamed(f"_s{j}", f"_t{j}")
     on = [*keys, "_level", *[f"_c{j}" for j in range(len(runs))]]
-    pairs = here.join(there, on).withColumn("distance", cityblock(F.col("_here"), F.col("_there")))
+    # sums are compared first, as that is the cheaper test
+    close = reduce(lambda a, b: a & b, [F.abs(F.col(f"_s{j}") - F.col(f"_t{j}")) <= F.col("_radius") + 1e-9 * (1 + F.col("_radius") + F.abs(F.col(f"_s{j}"))) for j in range(len(runs))])
+    pairs = here.join(there, on).where(F.col("_radius").isNull() | close).withColumn("distance", cityblock(F.col("_here"), F.col("_there")))
     return pairs.where(F.col("_radius").isNull() | (F.col("distance") <= F.col("_radius"))).select(*keys, "_here", "_id", "_row", "distance")
