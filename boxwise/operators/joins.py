@@ -79,31 +79,44 @@ def share_of_total(part: Column, keys: list[str]) -> Column:
     return F.try_divide(part, F.sum(part).over(Window.partitionBy(*keys)))
 
 
-def cityblock_nearest(left: DataFrame, right: DataFrame, keys: list[str], left_vec: str, right_vec: str, left_id: str, right_id: str, k: int = 1, finest: float = 1.0, levels: int = 16) -> DataFrame:
-    """The k right rows of a key whose vectors are nearest by sum of absolute differences, ties by id; exact, without comparing all pairs.
+def cityblock_nearest(left: DataFrame, right: DataFrame, keys: list[str], left_vec: str, right_vec: str, left_id: str, right_id: str, k: int = 1, finest: float = 1.0, levels: int = 16, direct: int = 4096) -> DataFrame:
+    """The k right rows of a key whose vectors are nearest by sum of absolute differences, ties by id; exact, with at most ``direct`` comparisons a row or by cells.
 
     A row is not its own neighbour: rows whose ids are equal are left out, and
-    ids are those of one right row of a key. Space is cut into cells of
-    ``levels`` widths, each twice the one before from ``finest`` on, and one of
-    everything. A few right rows of each cell bound how far the k nearest can
-    be; then only the cells within that radius are met, of the least width that is
-    no narrower than it. Equal vectors are searched once. The widths decide
-    the work, not the result.
+    ids are those of one right row of a key. Rows of a key with up to
+    ``direct`` right rows are compared with each of these. For the others space
+    is cut into cells of ``levels`` widths, each twice the one before from
+    ``finest`` on, and one of everything. A few right rows of each cell bound
+    how far the k nearest can be; then only the cells within that radius are
+    met, of the least width that is no narrower than it. Equal vectors are
+    searched once. ``direct`` and the widths decide the work, not the result.
     Rows without an id or a vector are left out.
     """
-    known = left.where(F.col(left_vec).isNotNull() & F.col(left_id).isNotNull())
-    # of equal right vectors, at most k rows and the row itself can be among the nearest
-    alike = Window.partitionBy(*keys, right_vec).orderBy(right_id)
+    known = left.where(F.col(left_vec).isNotNull() & F.col(left_id).isNotNull()).withColumn("_here", F.col(left_vec))
     rest = [c for c in right.columns if c not in keys]
-    points = right.where(F.col(right_vec).isNotNull() & F.col(right_id).isNotNull()).withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= k + 1)
+    points = right.where(F.col(right_vec).isNotNull() & F.col(right_id).isNotNull())
     points = points.select(*keys, F.col(right_vec).alias("_there"), F.col(right_id).alias("_id"), F.struct(*rest).alias("_row"))
-    asked = known.select(*keys, F.col(left_vec).alias("_here"))
-    near = _within(_radius(asked, points, keys, k + 1, finest, levels), points, keys, finest, levels)
-    place = F.row_number().over(Window.partitionBy(*keys, "_here").orderBy("distance", "_id"))
-    near = near.withColumn("_n", place).where(F.col("_n") <= k + 1).drop("_n")
-    pairs = known.withColumn("_here", F.col(left_vec)).join(near, [*keys, "_here"]).where(F.col(left_id) != F.col("_id"))
-    place = F.row_number().over(Window.partitionBy(*keys, left_id).orderBy("distance", "_id"))
-    return pairs.withColumn("place", place).where(F.col("place") <= k).select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in rest], "distance", "place")
+    large = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > direct).select(*keys)
+    here, there = known.join(large, keys, "left_semi"), points.join(large, keys, "left_semi")
+    # of equal right vectors, at most k rows and the row itself can be among the nearest
+    there = _first(there, [*keys, "_there"], k + 1, "_id")
+    asked = here.select(*keys, "_here")
+    near = _first(_within(_radius(asked, there, keys, k + 1, finest, levels), there, keys, finest, levels), [*keys, "_here"], k + 1, "distance", "_id")
+    by_cells = here.join(near, [*keys, "_here"])
+    by_cells = _first(by_cells.where(F.col(left_id) != F.col("_id")), [*keys, left_id], k, "distance", "_id", place="place")
+    # the others' right rows are at most ``direct`` a key and meet a left row as one array
+    held = points.join(large, keys, "left_anti").groupBy(*keys).agg(F.collect_list(F.struct("_there", "_id", "_row")).alias("_held"))
+    met = known.join(held, keys)
+    far = F.transform("_held", lambda x, i: F.when(x["_id"] != F.col(left_id), F.struct(cityblock(F.col("_here"), x["_there"]).alias("distance"), x["_id"].alias("_id"), i.alias("_at"))))
+    met = met.select(*keys, *[c for c in left.columns if c not in keys], F.posexplode(F.transform(F.slice(F.sort_array(F.array_compact(far)), 1, k), lambda x: F.struct(x["distance"].alias("distance"), F.get("_held", x["_at"])["_row"].alias("_row")))))
+    by_pairs = met.select(*left.columns, "col._row", "col.distance", (F.col("pos") + 1).alias("place"))
+    shown = [*left.columns, *[F.col(f"_row.{c}").alias(c) for c in rest], "distance", "place"]
+    return by_pairs.select(*shown).unionByName(by_cells.select(*shown))
+
+
+def _first(df: DataFrame, keys: list[str], n: int, *order: str, place: str = "_n") -> DataFrame:
+    """The first ``n`` rows of each key in an order, with their ``place``."""
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) <= n)
 
 
 def _radius(asked: DataFrame, points: DataFrame, keys: list[str], k: int, finest: float, levels: int) -> DataFrame:

@@ -366,6 +366,8 @@ def test_cityblock_nearest_is_exact(spark):
         want |= {(i, j, n + 1) for n, (_, j) in enumerate(far)}
     found = [(r.l, r.r, r.place) for r in got.collect()]
     assert len(found) == len(want) and set(found) == want
+    for direct in (0, 2):  # all by cells; a by cells, b and c by pairs
+        assert sorted((r.l, r.r, r.place) for r in joins.cityblock_nearest(left, right, ["k"], "a", "b", "l", "r", 3, levels=6, direct=direct).collect()) == sorted(want)
     assert joins.cityblock_nearest(left.limit(0), right, ["k"], "a", "b", "l", "r").count() == 0
     holes = spark.createDataFrame([("a", None, [1.0]), ("a", 1, None)], "k string, l int, a array<double>")
     assert joins.cityblock_nearest(holes, right, ["k"], "a", "b", "l", "r").count() == 0
