@@ -110,4 +110,65 @@ SELECT page_id, warc_type, record_id, content_type, block, refers_to, refers_to_
 FROM m
 """
 
-ORACLES = {"op1_warc_derivatives": OP1, "op5_exact_dedup": OP5, "op9_mixing": OP9}
+_LOWER_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER_AZ.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), t AS (SELECT row_, lang, source, unnest(terms) AS term FROM d
+), k AS (SELECT lang, term, count(*)::HUGEINT AS all_n FROM t GROUP BY ALL HAVING count(DISTINCT row_) >= 3
+), v AS (SELECT lang, count(*)::HUGEINT AS v, sum(all_n)::HUGEINT AS lang_total FROM k GROUP BY 1
+), c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT lang, source, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY ALL) USING (lang, source)
+), p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + 1000000000 * (coalesce(n, 0) + 1) // (total + v) AS p, 1 + 1000000000 * (all_n + 1) // (lang_total + v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM r) WHERE part = 'pair' OR rank <= 200
+"""
+
+#: CRC-32 by bytes: the table of a byte from the polynomial, then one step for each byte of each distinct feature.
+OP13 = rf"""
+WITH RECURSIVE byte_table AS (
+  SELECT i AS byte, 0 AS step, i::BIGINT AS crc FROM range(256) x(i)
+  UNION ALL SELECT byte, step + 1, CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END FROM byte_table WHERE step < 8
+), lookup AS MATERIALIZED (SELECT list(crc ORDER BY byte) AS crcs FROM byte_table WHERE step = 8
+), words AS MATERIALIZED (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all({_LOWER_AZ.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 'b', item_id, regexp_extract_all({_LOWER_AZ.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), features AS MATERIALIZED (
+  SELECT kind, id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS feature
+  FROM words
+), hashed AS MATERIALIZED (
+  SELECT feature, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(feature) + 1), lambda i: ('0x' || hex(encode(feature))[2 * i - 1 : 2 * i])::BIGINT)),
+    lambda c, b: xor(c >> 8, crcs[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT feature FROM features), lookup
+), counts AS (
+  SELECT bucket, count(*) FILTER (kind = 'd') AS s, count(*) FILTER (kind = 'b') AS t FROM features JOIN hashed USING (feature) GROUP BY 1
+), totals AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s_all, coalesce(sum(t), 0)::DOUBLE AS t_all FROM counts
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(((t + 1)::DOUBLE * (s_all + 10000)) / ((s + 1)::DOUBLE * (t_all + 10000)))) AS BIGINT) AS gain FROM counts, totals
+), weights AS (
+  SELECT id, count(*) AS n_features, sum(gain) AS weight FROM features JOIN hashed USING (feature) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY 1
+), scored AS (
+  SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM words LEFT JOIN weights USING (id) WHERE kind = 'd'
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, 5 * count(*) OVER (PARTITION BY n_words >= 20) // 100 AS drawn FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= drawn THEN place END AS rank FROM ranked
+"""
+
+ORACLES = {"op1_warc_derivatives": OP1, "op5_exact_dedup": OP5, "op9_mixing": OP9, "op12_divergence": OP12, "op13_resampling": OP13}

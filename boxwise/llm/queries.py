@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwise.llm import chat, exact_dedup, language_id, media, mixing, ngram_join, packing, toxicity, url_filter, warc
+from boxwise.llm import bpe, chat, divergence, exact_dedup, language_id, media, mixing, ngram_join, packing, resampling, toxicity, url_filter, warc
 from boxwise.sources.tables import table
 
 
@@ -65,4 +65,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_language(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_url_filter, op3_chat, op4_ngram_join, op5_exact_dedup, op6_media, op7_toxicity, op8_packing, op9_mixing, op10_language_id)}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), with_ids=False, with_text=False).drop("ids", "decoded")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ALL = (
+    op1_warc_derivatives, op2_url_filter, op3_chat, op4_ngram_join, op5_exact_dedup, op6_media, op7_toxicity, op8_packing, op9_mixing, op10_language_id,
+    op11_bpe, op12_divergence, op13_resampling,
+)
+QUERIES = {f.__name__: f for f in _ALL}
