@@ -101,13 +101,18 @@ def tile(own: np.ndarray, others: np.ndarray) -> np.ndarray:
     return out
 
 
-def kept_terms(counts: DataFrame, least_docs: int, chunk: int) -> DataFrame:
-    """(grp, term, all_n, v, chunk, place): the terms of at least ``least_docs`` documents, dealt into chunks of about ``chunk``."""
+def kept_terms(counts: DataFrame, least_docs: int, chunk: int) -> tuple[DataFrame, int]:
+    """(grp, term, all_n, chunk, place): the terms of at least ``least_docs`` documents, and the number of chunks that they are dealt into.
+
+    All groups are dealt into as many chunks, by the terms' hashes, so that the
+    terms of one large group do not meet in a task; a chunk of a group has
+    about ``chunk`` terms at most.
+    """
     kept = counts.where("term is not null").groupBy("grp", "term").agg(F.sum("n").alias("all_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
     kept = written(kept.drop("docs"), "kept-terms")
-    sized = kept.join(kept.groupBy("grp").agg(F.count(F.lit(1)).alias("v")), "grp")
-    dealt = sized.withColumn("chunk", F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / chunk)).cast("int"))
-    return dealt.withColumn("place", F.row_number().over(Window.partitionBy("grp", "chunk").orderBy("term")) - 1)
+    chunks = max(1, -(-kept.count() // chunk))
+    dealt = kept.withColumn("chunk", F.pmod(F.xxhash64("term"), F.lit(chunks)).cast("int"))
+    return dealt.withColumn("place", F.row_number().over(Window.partitionBy("grp", "chunk").orderBy("term")) - 1), chunks
 
 
 def source_divergence(
@@ -131,27 +136,27 @@ def source_divergence(
     that a task walks over) decide the work and not the result.
     """
     counts = written(term_counts(docs, text_col, group, member), "term-counts")
-    terms = kept_terms(counts, least_docs, chunk)
+    terms, chunks = kept_terms(counts, least_docs, chunk)
+    terms = written(terms, "terms")
     cells = written(counts.where("term is not null").drop("docs").join(terms, ["grp", "term"]), "cells")
     sums = cells.groupBy("grp", "member").agg(F.sum("n").alias("total"))
-    sizes = cells.groupBy("grp").agg(F.sum("n").alias("grp_total"), F.max("v").alias("v"))
+    sizes = terms.groupBy("grp").agg(F.sum("all_n").alias("grp_total"), F.count(F.lit(1)).alias("v"))
     members = counts.where("term is null").select("grp", "member").join(sums, ["grp", "member"], "left").join(sizes, "grp", "left").fillna(0, ["total", "grp_total", "v"])
     members = written(members.withColumn("number", F.row_number().over(Window.partitionBy("grp").orderBy("member")) - 1), "members")
-    pairs, best = _pairs(cells, members, block, chunk, slab), _best_terms(cells, members, top)
+    pairs, best = _pairs(cells, members, block, -(-chunks // slab)), _best_terms(cells, members, top)
     return pairs.unionByName(best).select(F.col("grp").alias(group), F.col("member").alias(member), "part", "item", "value", F.col("rank").cast("int").alias("rank"))
 
 
-def _pairs(cells: DataFrame, members: DataFrame, block: int, chunk: int, slab: int) -> DataFrame:
+def _pairs(cells: DataFrame, members: DataFrame, block: int, slabs: int) -> DataFrame:
     """The pair part. Tasks give what a pair's terms have over the value of an absent one; that is added for all terms at the end."""
     named = members.withColumn("block", F.floor(F.col("number") / block).cast("int"))
     blocks = named.groupBy("grp").agg((F.max("block") + 1).alias("blocks"))
-    slabs = F.greatest(F.ceil(F.col("v") / (chunk * slab)), F.lit(1))
-    named = written(named.join(blocks, "grp").withColumn("slabs", slabs.cast("int")), "blocks")
+    named = written(named.join(blocks, "grp"), "blocks")
     packed = cells.groupBy("grp", "member", "chunk").agg(F.sort_array(F.collect_list(F.struct("place", "n"))).alias("packed"))
-    vectors = packed.join(named, ["grp", "member"]).select("grp", "number", "total", "v", "block", "blocks", F.pmod("chunk", F.col("slabs")).alias("slab"), "chunk", F.col("packed.place").alias("places"), F.col("packed.n").alias("counts"))
+    vectors = packed.join(named, ["grp", "member"]).select("grp", "number", "total", "v", "block", "blocks", F.pmod("chunk", F.lit(slabs)).alias("slab"), "chunk", F.col("packed.place").alias("places"), F.col("packed.n").alias("counts"))
     # a member's header goes before its chunks, so that those without terms are known as well
     none = [F.array().cast(f"array<{kind}>").alias(name) for kind, name in (("int", "places"), ("bigint", "counts"))]
-    headers = named.select("grp", "number", "total", "v", "block", "blocks", F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)).alias("slab"), F.lit(-1).alias("chunk"), *none)
+    headers = named.select("grp", "number", "total", "v", "block", "blocks", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"), F.lit(-1).alias("chunk"), *none)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = headers.unionByName(vectors).select("*", other).select("grp", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "slab", "chunk", "block", "number", "total", "v", "places", "counts")
     keys = ["grp", "one", "two", "slab"]
@@ -249,7 +254,7 @@ class _Tiles:
 
 def _best_terms(cells: DataFrame, members: DataFrame, top: int) -> DataFrame:
     """The term part: the ``top`` terms of each member; Spark keeps no more than these of each task before they meet."""
-    own = cells.drop("v").join(members, ["grp", "member"])
+    own = cells.join(members, ["grp", "member"])
     own = own.withColumn("p", share(F.col("n"), F.col("total") + F.col("v"))).withColumn("q", share(F.col("all_n"), F.col("grp_total") + F.col("v")))
     over = own.where("n > 0 and p > q").select("grp", "member", F.col("term").alias("item"), _div((F.col("p") - F.col("q")) * (F.col("p") - F.col("q")), F.col("q")).alias("value"))
     place = F.row_number().over(Window.partitionBy("grp", "member").orderBy(F.desc("value"), "item"))
