@@ -6,6 +6,10 @@ Nulls are missing values; they never count as numbers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
@@ -96,16 +100,66 @@ def resampled(df: DataFrame, keys: list[str], value: str, statistic, samples: in
     Each row counts Poisson(1) times in each sample, by the hash of its columns
     and its number among rows that are alike, so that a rerun draws the same
     and repeated rows draw apart. The rows of a key are spread over its
-    samples, which combine on the map side.
+    samples, which combine on the map side. A statistic that is no Column
+    comes from ``of_values``.
     """
-    u = F.pmod(F.xxhash64("_place", "_number", "_sample", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    u = _drawn("_place", "_number", "_sample", seed)
     # inverse distribution function of Poisson(1), whose tail beyond 6 is under 1e-4
     steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]
     times = sum(F.when(u >= s, 1).otherwise(0) for s in steps)
-    # rows that are alike are counted and numbered without being brought together
-    alike = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_alike")).withColumn("_place", F.xxhash64(*df.columns))
-    placed = alike.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_alike"))).alias("_number"))
-    drawn = placed.select("*", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("_sample")).withColumn("_times", times)
+    drawn = _in_samples(df, samples).withColumn("_times", times)
     rows = drawn.where("_times > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"))
     each = rows.groupBy(*keys, "_sample").agg(statistic(F.col(value)).alias("_statistic"))
     return each.groupBy(*keys).agg(F.avg("_statistic").alias("statistic"))
+
+
+def _drawn(place: str, number: str, sample: str, seed: int) -> Column:
+    return F.pmod(F.xxhash64(place, number, sample, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def _in_samples(df: DataFrame, samples: int) -> DataFrame:
+    """Each row once for each sample, with the hash of its columns and its number among rows that are alike.
+
+    Rows that are alike are counted and numbered without being brought together.
+    """
+    alike = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_alike")).withColumn("_place", F.xxhash64(*df.columns))
+    placed = alike.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_alike"))).alias("_number"))
+    return placed.select("*", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("_sample"))
+
+
+def dirichlet_resampled(df: DataFrame, keys: list[str], value: str, samples: int = 30, seed: int = 1) -> DataFrame:
+    """(keys, mean, var): the Bayesian bootstrap drawn: Dirichlet(1, ..., 1) weights of a key's rows, averaged over samples.
+
+    The weights are exponential draws by hash over their sum. In the mean a
+    null adds nothing but keeps its weight; the variance is that of the values
+    that are there under their own weights, which is what samples drawn by
+    these weights have on average. A key without values gets a mean of null
+    and a variance of null. ``bayesian_mean`` and ``bayesian_var`` are what
+    both tend to. Sums combine on the map side, so no key is brought together.
+    """
+    weight = -F.log(1 - _drawn("_place", "_number", "_sample", seed))
+    x = F.col(value).cast("double")
+    there = F.when(x.isNotNull(), F.col("_weight"))
+    rows = _in_samples(df, samples).withColumn("_weight", weight)
+    sums = rows.groupBy(*keys, "_sample").agg(F.sum("_weight").alias("w"), F.sum(there).alias("t"), F.sum(there * x).alias("wx"), F.sum(there * x * x).alias("wxx"))
+    spread = F.greatest(F.try_divide("wxx", "t") - F.pow(F.try_divide("wx", "t"), F.lit(2)), F.lit(0.0))
+    each = sums.select(*keys, F.try_divide("wx", "w").alias("mean"), F.when(F.col("t").isNotNull(), spread).alias("var"))
+    return each.groupBy(*keys).agg(F.avg("mean").alias("mean"), F.avg("var").alias("var"))
+
+
+def of_values(function: Callable[[np.ndarray], float | None]) -> Callable[[Column], Column]:
+    """An aggregate of a Python function of a key's values (without nulls), for statistics that no Column gives.
+
+    It fits wherever these builders take a statistic (``F.median`` or a
+    lambda do as well, and are the faster way). Spark brings the values of a
+    key, or of a key's sample, together for it, so keys should be bounded,
+    and takes no other kind of aggregate beside it. The function sees one
+    array and gives a number, or None for null.
+    """
+
+    @F.pandas_udf("double")
+    def aggregate(values: pd.Series) -> float:
+        found = function(values.dropna().to_numpy(float))
+        return float("nan") if found is None else float(found)
+
+    return lambda x: F.nanvl(aggregate(x.cast("double")), F.lit(None).cast("double"))

@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,6 +93,28 @@ def evaluate_regressor(df: DataFrame, columns: list[str], label: str = "label",
     return df.sparkSession.createDataFrame([(kind, n_train, n_test, mse, r2)], "kind string, train bigint, test bigint, mse double, r2 double")
 
 
+def boosted(df: DataFrame, columns: list[str], label: str = "label", key: str = "game", most: int = 60, tolerance: float = 0.01, rate: float = 0.1, depth: int = 3) -> tuple[GBTRegressionModel, DataFrame]:
+    """Boosted trees that stop by a validation part: the model, and (round, train_error, valid_error, test_error, chosen).
+
+    Rows are parted by the key's hash, 60 to 20 to 20. Boosting ends when a
+    round no longer takes ``tolerance`` of the error (or of 0.01, if that is
+    more) off the validation part, or after ``most`` rounds; the trees up to
+    the best round are kept. Errors are mean squared ones after each round
+    that was kept, ``chosen`` marks the last. Null features are 0, rows
+    without a label are left out.
+    """
+    rows = df.where(F.col(label).isNotNull()).fillna(0.0, columns)
+    ready = VectorAssembler(inputCols=columns, outputCol="features").transform(rows).select(key, F.col(label).cast("double").alias("label"), "features").persist()
+    train, valid, test = split(ready, key)
+    marked = train.withColumn("_valid", F.lit(False)).unionByName(valid.withColumn("_valid", F.lit(True)))
+    model = GBTRegressor(maxIter=most, maxDepth=depth, stepSize=rate, seed=1, validationIndicatorCol="_valid", validationTol=tolerance).fit(marked)
+    errors = [model.evaluateEachIteration(part, "squared") for part in (train, valid, test)]
+    ready.unpersist()
+    n = model.getNumTrees
+    shown = [(k + 1, *(float(e[k]) for e in errors), k + 1 == n) for k in range(n)]
+    return model, df.sparkSession.createDataFrame(shown, "round int, train_error double, valid_error double, test_error double, chosen boolean")
+
+
 def gaussian_process(df: DataFrame, group: str, key: str, columns: list[str], label: str, most: int = 200, noise: float = 0.5, block: int = 4096, splits: list[list[str]] | None = None) -> DataFrame:
     """Per group: mean and variance at each of its rows, from a process fitted on at most ``most`` of them.
 

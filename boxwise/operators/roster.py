@@ -91,16 +91,34 @@ def best_by_points(players: DataFrame, slots: Mapping[str, int], most: int, keep
     return best.select("pids", F.col("cost").alias("points"), (-F.col("points")).alias("cost"), "place")
 
 
-def substitutions(rosters: DataFrame, players: DataFrame, value: str, margin: float, position: str = "position", pid: str = "pid") -> DataFrame:
-    """(roster's columns, pid, other): players who are not in a roster, of the position of one who is, with ``margin`` more of a value.
-
-    Both sides meet by position and value, so the join is one of equality.
+def substitutions(
+    rosters: DataFrame, players: DataFrame, slots: Mapping[str, int], value: str, margin: float, not_less: str | None = None, once: bool = False, position: str = "position", pid: str = "pid"
+) -> DataFrame:
+    """(roster's columns, slot, pid, other): players outside a roster who can take one of its slots, with exactly ``margin`` more of ``value``.
+
+    ``pids`` of a roster has one entry for each of ``slots`` in their order,
+    null where a slot is empty; an empty slot counts as a value of 0. ``other``
+    has the slot's position, and no less of ``not_less`` (points, where the
+    value is a cost) than the one who holds it; nobody is compared with an
+    empty slot. With ``once`` a player is offered for the first of a roster's
+    empty slots alone. Both sides meet by position and value, so the join is
+    one of equality. Slots of players that are unknown get no substitutes.
     """
-    slots = rosters.select(*rosters.columns, F.explode("pids").alias("pid"))
-    held = players.select(F.col(pid).alias("pid"), F.col(position).alias("_position"), (F.col(value) + margin).alias("_value"))
-    others = players.select(F.col(pid).alias("other"), F.col(position).alias("_position"), F.col(value).alias("_value"))
-    pairs = slots.join(held, "pid").join(others, ["_position", "_value"])
-    return pairs.where(~F.array_contains("pids", F.col("other"))).drop("_position", "_value")
+    spots = F.array(*[F.lit(name) for name, count in slots.items() for _ in range(count)])
+    open_ = rosters.select(*rosters.columns, F.posexplode("pids").alias("slot", "pid")).withColumn("_position", F.get(spots, F.col("slot")))
+    least = F.lit(None).cast("double") if not_less is None else F.col(not_less).cast("double")
+    held = players.select(F.col(pid).alias("pid"), F.col(value).cast("double").alias("_held"), least.alias("_least"))
+    others = players.select(F.col(pid).alias("other"), F.col(position).alias("_position"), F.col(value).cast("double").alias("_value"), least.alias("_has"))
+    filled = open_.where("pid is not null").join(held, "pid")
+    empty = open_.where("pid is null").withColumns({"_held": F.lit(0.0), "_least": F.lit(None).cast("double")})
+    asked = filled.unionByName(empty).withColumn("_value", F.col("_held") + F.lit(float(margin)))
+    pairs = asked.join(others, ["_position", "_value"]).where(~F.array_contains(F.array_compact("pids"), F.col("other")))
+    if not_less is not None:
+        pairs = pairs.where("_least is null or _has >= _least")
+    if once:
+        first = Window.partitionBy(*rosters.columns, "other", F.col("pid").isNull()).orderBy("slot")
+        pairs = pairs.withColumn("_place", F.row_number().over(first)).where("pid is not null or _place = 1")
+    return pairs.select(*rosters.columns, "slot", "pid", "other")
 
 
 def valid_roster(teams: Column, slots: int, least_teams: int = 3, most_of_team: int = 4) -> Column:

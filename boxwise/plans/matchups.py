@@ -235,15 +235,32 @@ SQL_BY_POINTS = f"""WITH {PLAYERS}, {ROSTERS.format(pool='al')}, k AS (SELECT *,
 SELECT array_to_string(pids, ',') AS pids, points, cost, place FROM k WHERE place <= 2"""
 
 
+SLOTS = {"g": 2, "f": 2, "c": 1}
+
+
 def roster_swaps(spark, sf_dir):
-    """Players that could stand for one of the best rosters' at the same cost with more points."""
+    """Players that could stand for one of the best rosters' at two more of cost, with no fewer points."""
+    people = _players(spark, sf_dir)
+    best = roster.optimal_rosters(people, SLOTS, 40)
+    return roster.substitutions(best, people, SLOTS, "cost", 2, not_less="points").select(F.array_join("pids", ",").alias("pids"), "slot", "pid", "other")
+
+
+_BEST = f"WITH {PLAYERS}, {ROSTERS.format(pool='al')}, b AS (SELECT * FROM ro WHERE cost <= 40 ORDER BY points DESC, cost, pids LIMIT 5)"
+SQL_SWAPS = f"""{_BEST}, u AS (SELECT pids, unnest(pids) AS pid, CAST(unnest(range(len(pids))) AS INT) AS slot FROM b)
+SELECT array_to_string(pids, ',') AS pids, slot, u.pid, o.pid AS other FROM u JOIN al p ON p.pid = u.pid JOIN al o ON o.position = p.position AND o.cost = p.cost + 2 AND o.points >= p.points WHERE NOT list_contains(pids, o.pid)"""
+
+
+def roster_fills(spark, sf_dir):
+    """The best rosters without their guards and their last player: who fills a slot with 20 points, or has 20 more than the one who holds it."""
     people = _players(spark, sf_dir)
-    best = roster.optimal_rosters(people, {"g": 2, "f": 2, "c": 1}, 40)
-    return roster.substitutions(best, people, "cost", 2).select(F.array_join("pids", ",").alias("pids"), "pid", "other")
+    best = roster.optimal_rosters(people, SLOTS, 40).withColumn("pids", F.transform("pids", lambda p, k: F.when((k == 2) | (k == 3), p)))
+    return roster.substitutions(best, people, SLOTS, "points", 20, once=True).select(F.array_join("pids", ",", "-").alias("pids"), "slot", F.col("pid").cast("double").alias("pid"), "other")
 
 
-SQL_SWAPS = f"""WITH {PLAYERS}, {ROSTERS.format(pool='al')}, b AS (SELECT * FROM ro WHERE cost <= 40 ORDER BY points DESC, cost, pids LIMIT 5), u AS (SELECT pids, unnest(pids) AS pid FROM b)
-SELECT array_to_string(pids, ',') AS pids, u.pid, o.pid AS other FROM u JOIN al p ON p.pid = u.pid JOIN al o ON o.position = p.position AND o.cost = p.cost + 2 WHERE NOT list_contains(pids, o.pid)"""
+SQL_FILLS = f"""{_BEST}, c AS (SELECT [NULL, NULL, pids[3], pids[4], NULL] AS pids, points, cost FROM b), u AS (SELECT pids, points, cost, unnest(pids) AS pid, CAST(unnest(range(len(pids))) AS INT) AS slot FROM c),
+v AS (SELECT u.*, ['g', 'g', 'f', 'f', 'c'][slot + 1] AS position, coalesce(p.points, 0) + 20 AS wanted FROM u LEFT JOIN al p ON p.pid = u.pid)
+SELECT array_to_string(list_transform(v.pids, lambda x: coalesce(x::VARCHAR, '-')), ',') AS pids, slot, CAST(v.pid AS DOUBLE) AS pid, o.pid AS other FROM v JOIN al o ON o.position = v.position AND o.points = wanted
+WHERE NOT coalesce(list_contains(list_filter(v.pids, lambda x: x IS NOT NULL), o.pid), false) QUALIFY v.pid IS NOT NULL OR row_number() OVER (PARTITION BY v.pids, v.points, v.cost, o.pid, v.pid IS NULL ORDER BY slot) = 1"""
 
 
 def roster_checks(spark, sf_dir):
@@ -410,7 +427,7 @@ PLANS = {
     "spine_window": (spine_window, SQL_SPINE), "opponent_splits": (opponent_splits, SQL_PLACES), "team_running": (team_running, SQL_FORM), "team_reflection": (team_reflection, SQL_TEAM_REFLECTION),
     "shooting_ratios": (shooting_ratios, SQL_SHOOTING), "position_given": (position_given, SQL_GIVEN), "position_blend": (position_blend, SQL_BLEND), "position_mean": (position_mean, SQL_POSITION_MEAN),
     "meta": (meta, SQL_META), "alias_join": (alias_join, SQL_ALIAS), "abbreviation_join": (abbreviation_join, SQL_ABBREVIATION), "contest_players": (contest_players, SQL_CONTEST),
-    "stub_rows": (stub_rows, SQL_STUBS), "box_assembly": (box_assembly, SQL_ASSEMBLY), "roster_by_points": (roster_by_points, SQL_BY_POINTS), "roster_swaps": (roster_swaps, SQL_SWAPS),
+    "stub_rows": (stub_rows, SQL_STUBS), "box_assembly": (box_assembly, SQL_ASSEMBLY), "roster_by_points": (roster_by_points, SQL_BY_POINTS), "roster_swaps": (roster_swaps, SQL_SWAPS), "roster_fills": (roster_fills, SQL_FILLS),
     "roster_checks": (roster_checks, SQL_CHECKS), "ndcg": (ndcg, SQL_NDCG), "upsample": (upsample, SQL_UPSAMPLE), "text_codes": (text_codes, SQL_CODES), "shot_keys": (shot_keys, SQL_SHOTS),
     "guarded_delete": (guarded_delete, SQL_DELETE), "ranges_as_of": (ranges_as_of, SQL_AS_OF), "playing_days": shown(playing_days, SQL_DAYS, ("day",)), "numeric_frame": (numeric_frame, SQL_NUMERIC), "per_100": (per_100, SQL_PER_100),
 }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from boxwise.functions import scalars, stats
-from boxwise.operators import features, joins, ml, possessions, roster, windows
+from boxwise.operators import features, joins, ml, neural, possessions, processes, roster, windows
 from boxwise.plans.base import GAMES, games, half_sql, half_up, r4
 from boxwise.plans.profiles import ORDER
 from boxwise.sources.tables import table
@@ -304,10 +305,76 @@ def linear_fit(spark, sf_dir):
     return ml.evaluate_regressor(_training(spark, sf_dir), ["qty_season", "qty_last", "qty_trend", "lines_last"], kind="linear")
 
 
-def gp_fit(spark, sf_dir):
-    """A Gaussian process for each nation, fitted on a bounded number of its events and asked at all of them."""
+def _of_segments(spark, sf_dir):
+    """Quantity with what came before it and the segment as flags."""
     t = features.running(games(spark, sf_dir), ["entity"], ORDER, ["qty"]).where("qty is not null and qty_last is not null")
-    return ml.gaussian_process(t.select("grp", "game", F.col("qty").alias("label"), "qty_season", "qty_last"), "grp", "game", ["qty_season", "qty_last"], "label", most=150)
+    flags = {f"seg_{k}": F.when(F.col("seg") == k, 1.0).otherwise(-1.0) for k in ("AUTOMOBILE", "BUILDING")}
+    return t.withColumns(flags).select("grp", "game", F.col("qty").alias("label"), "qty_season", "qty_last", *flags), [["qty_season"], ["qty_last"], list(flags)]
+
+
+def gp_fit(spark, sf_dir):
+    """A Gaussian process for each nation, its kernel learned on a bounded number of its events, its posterior that of all of them."""
+    t, parts = _of_segments(spark, sf_dir)
+    return processes.learned_process(t, "grp", "game", [c for p in parts for c in p], "label", parts)[0]
+
+
+def gp_kernels(spark, sf_dir):
+    """What was learned: evidence before and after, noise, variances and lengths of each nation."""
+    t, parts = _of_segments(spark, sf_dir)
+    found = processes.learned_process(t, "grp", "game", [c for p in parts for c in p], "label", parts)[1]
+    return found.withColumn("parts", F.to_json("parts"))
+
+
+def gbt_rounds(spark, sf_dir):
+    """Errors of each round of boosting that stops by a validation part: the price of an order from its quantity, its lines and its customer's last orders."""
+    t = features.running(games(spark, sf_dir), ["entity"], ORDER, ["qty"])
+    return ml.boosted(t.where("price is not null"), ["qty", "lines", "qty_last"], label="price", most=25, rate=0.3)[1]
+
+
+_INPUTS = ["qty_season", "qty_last", "qty_trend", "lines_last"]
+
+
+def dae_fit(spark, sf_dir):
+    """Error of each epoch of a denoising autoencoder of the features."""
+    scaled = ml.preprocess(_training(spark, sf_dir).select("game", *_INPUTS), _INPUTS)
+    return neural.fit_autoencoder(scaled, [f"{c}_01" for c in _INPUTS], "game", 3, rate=0.5, epochs=6, batches=4)[1]
+
+
+def sdae_fit(spark, sf_dir):
+    """A stacked autoencoder under a softmax beside the softmax alone: errors on the test part, and when each stopped."""
+    columns = [f"{c}_z" for c in _INPUTS]
+    scaled = ml.preprocess(_classes(spark, sf_dir).select("game", "label", *_INPUTS), _INPUTS, limit=3.0)
+    train, valid, test = (part.persist() for part in ml.split(scaled, "game"))
+    held, out = neural.batched(test, columns, "game", 1, "label").persist(), []
+    for kind, layers in (("stacked", [6, 4]), ("softmax", [])):
+        network, _, rule = neural.fit_stacked(train, valid, columns, "label", "game", 3, layers, [0.1, 0.2][: len(layers)], pretrain_epochs=2, rate=0.5, epochs=8, batches=4, act="tanh", cost="MSE", first=4)
+        error, n = neural.class_error(held, network, 3)
+        out.append((kind, n, error, float(rule.best), rule.best_iteration // 4 + 1))
+    for part in (train, valid, test, held):
+        part.unpersist()
+    return spark.createDataFrame(out, "kind string, test bigint, error double, valid_error double, best_epoch int")
+
+
+def bayesian_drawn(spark, sf_dir):
+    """Bayesian bootstrap of the quantities of each nation: the closed forms, and whether 30 draws agree within their deviation."""
+    g = games(spark, sf_dir).select("grp", "game", "qty")
+    closed = g.groupBy("grp").agg(stats.bayesian_mean(F.col("qty")).alias("mean"), stats.bayesian_var(F.col("qty")).alias("var"), F.count("qty").alias("n"))
+    drawn = stats.dirichlet_resampled(g, ["grp"], "qty").select("grp", F.col("mean").alias("d_mean"), F.col("var").alias("d_var"))
+    near = (F.abs(F.col("d_mean") - F.col("mean")) <= 6 * F.sqrt((F.col("var") + F.col("mean") * F.col("mean")) / F.col("n") / 30)) & (F.abs(F.col("d_var") - F.col("var")) <= 6 * F.col("var") * F.sqrt(F.lit(4.0) / F.col("n") / 30))
+    return closed.join(drawn, "grp").select("grp", r4("mean"), r4("var"), near.alias("agrees"))
+
+
+SQL_DRAWN = f"WITH {GAMES} SELECT grp, round(sum(qty) / count(*), 4) AS mean, round(var_pop(qty) * count(qty) / (count(qty) + 1), 4) AS var, true AS agrees FROM games GROUP BY 1"
+
+
+def typical_deviation(spark, sf_dir):
+    """A statistic that no Column gives, plugged in: the median distance from the median, of each customer's quantities."""
+    g = games(spark, sf_dir).where("qty is not null")
+    spread = stats.of_values(lambda x: float(np.median(np.abs(x - np.median(x)))) if len(x) else None)
+    return g.groupBy("entity").agg(spread(F.col("qty")).alias("spread")).select("entity", r4("spread"))
+
+
+SQL_DEVIATION = f"WITH {GAMES}, m AS (SELECT entity, median(qty) AS m FROM games WHERE qty IS NOT NULL GROUP BY 1) SELECT entity, round(median(abs(qty - m)), 4) AS spread FROM games JOIN m USING (entity) WHERE qty IS NOT NULL GROUP BY 1"
 
 
 def effect_features(spark, sf_dir):
@@ -390,4 +457,5 @@ PLANS = {
     "linear_points": (linear_points, SQL_LINEAR), "value_per_cost": (value_per_cost, SQL_VALUE), "roster_combos": (roster_combos, SQL_COMBOS), "roster_dp": (roster_dp, SQL_DP),
     "position_minutes": (position_minutes, SQL_MINUTES), "digitize": (digitize, SQL_DIGITIZE), "impute_scale": (impute_scale, SQL_SCALE), "possession_box": (possession_box, _possession_sql()),
     "running": (running, SQL_RUNNING), "feature_matrix": (feature_matrix, SQL_MATRIX), "gbt_fit": (gbt_fit, None), "forest_fit": (forest_fit, None), "linear_fit": (linear_fit, None), "gp_fit": (gp_fit, None),
+    "gp_kernels": (gp_kernels, None), "gbt_rounds": (gbt_rounds, None), "dae_fit": (dae_fit, None), "sdae_fit": (sdae_fit, None), "bayesian_drawn": (bayesian_drawn, SQL_DRAWN), "typical_deviation": (typical_deviation, SQL_DEVIATION),
 }

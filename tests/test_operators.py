@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxwise.functions import scalars, stats
-from boxwise.operators import features, joins, merge, ml, possessions, ranges, roster, serve, vectors, windows
+from boxwise.operators import features, joins, merge, ml, possessions, processes, ranges, roster, serve, vectors, windows
 
 
 def day(n):
@@ -371,3 +371,125 @@ def test_cityblock_nearest_is_exact(spark):
     assert joins.cityblock_nearest(left.limit(0), right, ["k"], "a", "b", "l", "r").count() == 0
     holes = spark.createDataFrame([("a", None, [1.0]), ("a", 1, None)], "k string, l int, a array<double>")
     assert joins.cityblock_nearest(holes, right, ["k"], "a", "b", "l", "r").count() == 0
+
+
+def learned_frame(n=240, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.uniform(-2, 2, (n, 3))
+    y = np.sin(3 * x[:, 0]) + 0.3 * x[:, 1] + rng.normal(0, 0.1, n)
+    return x, y
+
+
+def test_evidence_gradient_agrees_with_finite_differences():
+    x, y = learned_frame(30)
+    parts = [[0], [1, 2]]
+    theta = processes.start(parts) + np.linspace(-0.3, 0.4, 6)
+    got = processes.evidence(theta, parts, x, y)[1]
+    for k in range(len(theta)):
+        step = np.zeros(len(theta))
+        step[k] = 1e-5
+        want = (processes.evidence(theta + step, parts, x, y)[0] - processes.evidence(theta - step, parts, x, y)[0]) / 2e-5
+        assert got[k] == pytest.approx(want, rel=1e-4, abs=1e-5)
+
+
+def test_posterior_of_all_points_is_the_exact_one():
+    x, y = learned_frame(25)
+    parts, at = [[0], [1, 2]], learned_frame(10, 9)[0]
+    theta = processes.start(parts)
+    k, near, noise = sum(processes.kernel(theta, parts, x, x)), sum(processes.kernel(theta, parts, x, at)), np.exp(theta[0])
+    inverse = np.linalg.inv(k + noise * np.eye(25))
+    mean, variance = processes.posterior(theta, parts, x, k @ k.T, k @ y, at)
+    np.testing.assert_allclose(mean, near.T @ inverse @ y, atol=1e-3)
+    np.testing.assert_allclose(variance, 1 - np.einsum("ij,ik,kj->j", near, inverse, near), atol=1e-3)
+
+
+def test_learned_process(spark):
+    x, y = learned_frame()
+    rows = [("g", k, *map(float, a), float(b)) for k, (a, b) in enumerate(zip(x, y, strict=True))]
+    rows += [(None, 1000 + k, *r[2:]) for k, r in enumerate(rows[:40])] + [("none", 2000, 0.0, None, 1.0, None), ("one", 3000, 0.0, 1.0, 1.0, 5.0), ("g", 5000, 0.5, 0.0, 0.0, None)]
+    df = spark.createDataFrame(rows, "grp string, game bigint, a double, b double, c double, y double")
+    seen = {}
+    for block in (4096, 50):
+        predictions, kernels = processes.learned_process(df, "grp", "game", ["a", "b", "c"], "y", [["a"], ["b", "c"]], most=100, block=block)
+        got = {r["game"]: (r["mean"], r["variance"]) for r in predictions.collect()}
+        assert len(got) == len(rows) and got[2000] == (None, None) and got[3000][0] == pytest.approx(5.0)
+        mine = np.array([got[k][0] for k in range(240)])
+        assert np.mean((mine - y) ** 2) < 0.05 < np.var(y) and got[5000][0] == pytest.approx(np.sin(1.5), abs=0.3)
+        seen[block] = mine
+    np.testing.assert_allclose(seen[50], seen[4096], rtol=1e-5, atol=1e-6)  # dealt to many tasks or one
+    held = {r["grp"]: r for r in kernels.collect()}
+    assert held["g"]["rows"] == 241 and held["g"]["sampled"] == 100 and held["g"]["evidence"] > held["g"]["evidence_at_start"] + 5 and held["g"]["noise"] < 0.1
+    lengths = [p["lengths"] for p in held["g"]["parts"]]
+    assert lengths[0][0] < lengths[1][1] and "none" not in held  # the wave is short, c matters to nothing
+    assert processes.learned_process(df.limit(0), "grp", "game", ["a"], "y")[0].count() == 0
+
+
+def test_boosting_stops_by_its_validation_part(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 2))
+    signal = spark.createDataFrame([(k, float(a), float(b), float(a * a + b), float(rng.normal())) for k, (a, b) in enumerate(x)], "game bigint, a double, b double, label double, noise double")
+    _, noise = ml.boosted(signal, ["a", "b"], label="noise", most=15)
+    model, rounds = ml.boosted(signal, ["a", "b"], most=15, rate=0.3)
+    noise, rounds = noise.orderBy("round").collect(), rounds.orderBy("round").collect()
+    assert len(noise) < 15 and [r["chosen"] for r in noise] == [k == len(noise) - 1 for k in range(len(noise))]
+    full = ml.boosted(signal, ["a", "b"], label="noise", most=15, tolerance=0.0)[1].orderBy("round").collect()
+    assert noise[-1]["test_error"] <= full[-1]["test_error"] * 1.05
+    assert len(rounds) > len(noise) and rounds[-1]["test_error"] < 0.5 * rounds[0]["test_error"] and rounds[-1]["valid_error"] <= min(r["valid_error"] for r in rounds) + 1e-9
+    assert model.getNumTrees == len(rounds)
+
+
+def test_dirichlet_weights_tend_to_the_closed_forms(spark):
+    rng = np.random.default_rng(8)
+    rows = [("a", float(v)) for v in rng.normal(5, 2, 300)] + [("a", None)] * 60 + [("b", 1.0), ("b", 1.0), ("b", None), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    closed = {r["k"]: r for r in df.groupBy("k").agg(stats.bayesian_mean(F.col("x")).alias("mean"), stats.bayesian_var(F.col("x")).alias("var")).collect()}
+    drawn = {r["k"]: r for r in stats.dirichlet_resampled(df, ["k"], "x", samples=200).collect()}
+    assert drawn["a"]["mean"] == pytest.approx(closed["a"]["mean"], rel=0.01) and drawn["a"]["var"] == pytest.approx(closed["a"]["var"], rel=0.03)
+    assert drawn["b"]["mean"] == pytest.approx(2 / 3, abs=0.05) and drawn["b"]["var"] == pytest.approx(0, abs=1e-9)
+    assert drawn["c"]["mean"] is None and drawn["c"]["var"] is None
+    again = {r["k"]: r for r in stats.dirichlet_resampled(df.repartition(3), ["k"], "x", samples=200).collect()}
+    assert again["a"]["mean"] == pytest.approx(drawn["a"]["mean"], rel=1e-12)
+
+
+def test_a_python_function_as_a_statistic(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in (1, 2, 4, 8, 16)] + [("a", None), ("b", None)], "k string, x double")
+    range_ = stats.of_values(lambda x: x.max() - x.min() if len(x) else None)
+    assert {r["k"]: r["v"] for r in df.groupBy("k").agg(range_(F.col("x")).alias("v")).collect()} == {"a": 15.0, "b": None}
+    middle = stats.of_values(lambda x: float(np.median(x)) if len(x) else None)
+    python = stats.resampled(df, ["k"], "x", middle, samples=20).where("k = 'a'").first()["statistic"]
+    assert python == pytest.approx(stats.resampled(df, ["k"], "x", F.median, samples=20).where("k = 'a'").first()["statistic"])
+
+
+def test_substitutions_match_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    slots = {"g": 2, "f": 1}
+    people = [(k, rng.choice("gf"), rng.randrange(1, 5), rng.randrange(1, 4)) for k in range(40)]
+    by = {p[0]: p for p in people}
+    rosters = []
+    for name in range(12):
+        guards, forwards = [p[0] for p in people if p[1] == "g"], [p[0] for p in people if p[1] == "f"]
+        rosters.append((name, [*(x if rng.random() < 0.7 else None for x in rng.sample(guards, 2)), rng.choice(forwards) if rng.random() < 0.7 else None]))
+    players = spark.createDataFrame(people, "pid bigint, position string, cost bigint, points bigint")
+    frame = spark.createDataFrame(rosters, "roster int, pids array<bigint>")
+
+    def truth(value, margin, not_less, once):
+        out = set()
+        for name, pids in rosters:
+            used = set()
+            for slot, (pid, spot) in enumerate(zip(pids, "ggf", strict=True)):
+                for other, position, cost, points in people:
+                    had = by[pid][value] if pid is not None else 0
+                    if position != spot or other in pids or (cost, points)[value - 2] != had + margin or not_less and pid is not None and points < by[pid][3]:
+                        continue
+                    if pid is None and once and other in used:
+                        continue
+                    used |= {other} if pid is None else set()
+                    out.add((name, slot, pid, other))
+        return out
+
+    for column, value, margin, not_less, once in (("cost", 2, 1, "points", False), ("points", 3, 1, None, True), ("cost", 2, 3, None, False), ("points", 3, 0, None, True)):
+        got = roster.substitutions(frame, players, slots, column, margin, not_less, once).collect()
+        found = {(r["roster"], r["slot"], r["pid"], r["other"]) for r in got}
+        assert len(got) == len(found) and found == truth(value, margin, not_less, once) and found
