@@ -142,7 +142,7 @@ def train(chunks: DataFrame, conv_col: str, turn_col: str, text_col: str, role_c
 
 def _keyed(chunks: DataFrame, conv_col: str, turn_col: str, text_col: str) -> DataFrame:
     """Chunks (k1, k2, c, conv, own_turn, h, text); the same chunks have the same key."""
-    c = F.coalesce(F.col(conv_col).cast("string"), F.lit("\0"))
+    c = F.coalesce(F.concat(F.lit("="), F.col(conv_col).cast("string")), F.lit("null"))  # no id is taken for a null
     turn, text = F.col(turn_col).cast("bigint"), F.col(text_col).cast("string")
     rows = chunks.select(c.alias("c"), F.col(conv_col).alias("conv"), turn.alias("own_turn"), text.alias("text"))
     known = F.coalesce(F.col("own_turn").cast("string"), F.lit("")), F.coalesce("text", F.lit("\0"))
@@ -186,6 +186,11 @@ def _grouped(df: DataFrame, by: list, order: list[str]) -> DataFrame:
     return df.withColumn("bid", F.xxhash64(*by)).repartition("bid").sortWithinPartitions("bid", *by, *order)
 
 
+def _names(column: pa.Array) -> np.ndarray:
+    """Strings as objects: numpy's own strings would take those for equal that differ by NULs at the end."""
+    return np.array(column.to_pylist(), dtype=object)
+
+
 def _matrix(buffer, n: int) -> np.ndarray:
     return np.frombuffer(buffer, np.float64).reshape(n, n)
 
@@ -195,7 +200,7 @@ def _up(nodes: DataFrame, n: int) -> DataFrame:
     parent = nodes.withColumn("p", F.floor(F.col("g") / FAN))
 
     def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, bounds in whole_groups(batches, lambda b: [np.array(b.column(0).to_pylist()), b.column(1).to_numpy()]):
+        for batch, bounds in whole_groups(batches, lambda b: [_names(b.column(0)), b.column(1).to_numpy()]):
             firsts = [a for a, _ in bounds]
             held = batch.column(2).to_pylist()
             made = [product(np.stack([_matrix(x, n) for x in held[a:b]])).tobytes() for a, b in bounds]
@@ -212,7 +217,7 @@ def _down(nodes: DataFrame, ends: DataFrame, n: int) -> DataFrame:
     rows = nodes.withColumn("p", F.floor(F.col("g") / FAN)).join(parents, ["c", "p"])
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, bounds in whole_groups(batches, lambda b: [np.array(b.column(0).to_pylist()), b.column(1).to_numpy()]):
+        for batch, bounds in whole_groups(batches, lambda b: [_names(b.column(0)), b.column(1).to_numpy()]):
             held = batch.column(5).to_pylist()
             entries, leaves = [], []
             for a, b in bounds:
@@ -245,7 +250,7 @@ def parse(chunks: DataFrame, model: Model, conv_col: str = "conv_id", turn_col:
         placed = placed.where(F.lit(False))
     placed = written(placed, "placed")
     within = ["turn", "h", "k1", "k2"]
-    block_key = lambda b: [np.array(b.column(0).to_pylist()), *[b.column(k).to_numpy() for k in (1, 2, 3)]]
+    block_key = lambda b: [_names(b.column(0)), *[b.column(k).to_numpy() for k in (1, 2, 3)]]
 
     def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bounds in whole_groups(batches, block_key):
