@@ -255,6 +255,17 @@ def _verified(
                 yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(1, 4)] + [held], ["node", "copies", "signature", "held"]).filter(right)
 
     sets = in_small_batches(texts.select("text", "node", "copies", "signature"), shingled, "node binary, copies bigint, signature binary, held binary")
+
+    def of_nulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            held = [shingles(t.as_py(), size).tobytes() for t in whole.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(h) for h in held], pa.binary()), pa.array(held, pa.binary())], ["node", "held"])
+
+    # texts that only rows with a null id hold are found by the digest of their shingles
+    nameless = docs.where(F.col(id_col).isNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"))
+    nameless = in_small_batches(nameless, of_nulls, "node binary, held binary")
+    nameless = nameless.join(wanted.where("rep is null").select("node", "copies", "signature"), "node")
+    sets = sets.unionByName(nameless.select("node", "copies", "signature", "held"))
     meeting = sets.join(places, "node").withColumn("place", F.explode("places")).select("place.*", "node", "copies", "signature", "held")
     rows = dealt(meeting, F.col("size"), ["key", "band"], block).select("key", "band", "lo", "hi", "block", "node", "copies", "signature", "held")
     names = ["node", "peer", "links"]
@@ -314,10 +325,9 @@ def near_duplicates(
     counts the other documents that a document is linked to, copies included;
     ``copies`` those with the same shingle set, itself included. A text
     without words (null, empty, punctuation) is in a class of its own with no
-    links. Repeated rows are copies of each other. Rows with a null id get
-    the class of their text; a class of null ids alone has a null id, and is
-    linked to its copies alone. Further columns are ignored; an empty table
-    gives an empty result.
+    links. Repeated rows are copies of each other. Rows with a null id count
+    and link as others; a class of null ids alone has a null id. Further
+    columns are ignored; an empty table gives an empty result.
     """
     n_hashes = bands * rows_per_band
     sketched = written(_sketch(docs, id_col, text_col, shingle, minhash_family(n_hashes)), "sketches")

@@ -193,3 +193,11 @@ def test_recall_of_links_against_all_rows(spark):
     got = {r["doc_id"]: r["links"] for r in ngram_join.near_duplicates(docs(spark, rows)).where("doc_id % 50 = 0").collect()}
     assert sum(truth.values()) > 20 and all(got[q] <= n for q, n in truth.items())
     assert sum(got[q] for q in truth) >= 0.99 * sum(truth.values())
+
+
+def test_near_copies_with_null_ids_link(spark):
+    base = " ".join(f"word{k}" for k in range(60))
+    rows = [(None, base + " one"), (None, base + " two"), (4, base + " three"), (5, "something else altogether, which nobody repeats here"), (None, " ".join(f"other{k}" for k in range(40)) + " x"), (None, " ".join(f"other{k}" for k in range(40)) + " y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r["doc_id"] or 0, r["class_id"], r["links"], r["copies"]) for r in ngram_join.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(0, 4, 2, 1), (0, 4, 2, 1), (4, 4, 2, 1), (5, 5, 0, 1), (0, None, 1, 1), (0, None, 1, 1)], key=str)
