@@ -149,14 +149,16 @@ def ridge(kernel: np.ndarray, labels: np.ndarray, between: np.ndarray, n_languag
     return np.vstack([nystrom @ w, goal - middle @ w]).astype(np.float32)
 
 
-def language_sample(usable: DataFrame, sample: int, most_languages: int) -> tuple[DataFrame, list[str]]:
+def language_sample(usable: DataFrame, sample: int, most_languages: int | None = None) -> tuple[DataFrame, list[str]]:
     """About ``sample`` of the rows (id, lang, text), as many of each language as there are, and the languages.
 
     Rows are counted over all of ``usable``, so a language is learned however
-    small its share is. Of more than ``most_languages`` those with the most
-    rows are learned, ties by name.
+    small its share is; where there are more languages than ``sample``, about
+    one row of each is taken. A caller may ask for the ``most_languages`` with
+    the most rows alone, ties by name.
     """
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
+    counts = (counts if most_languages is None else counts.limit(most_languages)).collect()  # one row for each name of a language
     if not counts:
         return usable.limit(0), []
     # what a small language leaves is shared by the larger ones
@@ -168,7 +170,7 @@ def language_sample(usable: DataFrame, sample: int, most_languages: int) -> tupl
     return usable.where(fraction_of(F.col("id"), 11) < F.try_element_at(share, F.col("lang"))), sorted(each)
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int, n_landmarks: int, penalty: float, most_languages: int = 400) -> Classifier | None:
+def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int, n_landmarks: int, penalty: float) -> Classifier | None:
     """A classifier from about ``sample`` labelled rows; None if no row is labelled.
 
     Only n-gram codes of the landmarks and one row of kernel values for each
@@ -179,11 +181,11 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int,
     id_, lang = F.col(id_col), F.col(lang_col).cast("string")
     usable = docs.where(id_.isNotNull() & lang.isNotNull() & ~held_out(id_) & F.col(text_col).rlike(r"\p{L}"))
     usable = usable.select(id_.alias("id"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
-    chosen, languages = language_sample(usable, sample, most_languages)
+    chosen, languages = language_sample(usable, sample)
     if not languages:
         return None
     texts = written(chosen, "language-sample")
-    each = max(2, n_landmarks // len(languages))
+    each = max(2 if 2 * len(languages) <= sample else 1, n_landmarks // len(languages))
     order = Window.partitionBy("lang").orderBy(F.octet_length("text") > 20_000, fraction_of(F.col("id"), 12), "id", "text")
     marks = texts.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= each).select("lang", "_place", "text")
 
@@ -230,9 +232,8 @@ def identify_language(
 
     Languages are learned from about ``sample`` labelled rows, as many of each
     language as there are, chosen by the hash of their ids and never held out
-    (crc32 of the id as text, modulo 3, is 1); they are the 400 with the most
-    rows where there are more. A text that is null or has no letter is ``und``
-    with score 0; so are all texts if nothing is labelled. Ties go to the
+    (crc32 of the id as text, modulo 3, is 1). Every language of these rows is
+    learned. A text that is null or has no letter is ``und`` with score 0; so are all texts if nothing is labelled. Ties go to the
     language that sorts first. Repeated rows score alike. Further columns are ignored; an empty
     table gives an empty result.
     """

@@ -1,5 +1,7 @@
 """Toxicity, language identification, URLs and chat: held-out accuracy and brute force."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -451,3 +453,18 @@ def test_chat_on_held_out_conversations(spark):
     right = got.agg(F.avg((F.col("role") == F.col("true")).cast("double"))).first()[0]
     print("held-out role accuracy", right)
     assert right > 0.9
+
+
+def test_conversations_whose_ids_look_alike_stay_apart(spark):
+    ids = ["", None, "a", "a\0", "\0", "null", "=a"]
+    chunks = spark.createDataFrame([(c, t, f"User: hello {t}" if t % 2 == 0 else f"Assistant: fine {t}") for c in ids for t in range(3)], "conv_id string, turn bigint, text string").coalesce(1)
+    known = spark.createDataFrame([("k", 0, "User: hello", "user"), ("k", 1, "Assistant: fine", "assistant"), ("k", 2, "User: hello", "user")], "conv_id string, turn bigint, text string, role string")
+    got = chat.parse(chunks, chat.train(known, "conv_id", "turn", "text", "role")).collect()
+    assert Counter(r["conv_id"] for r in got) == Counter({c: 3 for c in ids})
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, f"{chr(0x4E00 + k % 450) * 4}", f"l{k % 450}") for k in range(2700)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = language_id.identify_language(docs, sample=1000).collect()
+    assert np.mean([r["lang_pred"] == f"l{r['doc_id'] % 450}" for r in got]) > 0.95
