@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxwise.functions.scalars import ratio_to_baseline
+from boxwise.functions.scalars import digitize, ratio_to_baseline
 from boxwise.operators.joins import interval_mean
 from boxwise.operators.windows import trailing
 
@@ -43,6 +43,23 @@ def target_and_mean(df: DataFrame, keys: list[str], order: list[str], stat: str,
     return df.withColumn("target", F.col(stat)).withColumn("mean", mean).where("target is not null and mean is not null")
 
 
+def mean_regression_error(df: DataFrame, keys: list[str], order: list[str], stat: str, sizes: list[int], classes: int = 10, limit: float = 3.0) -> DataFrame:
+    """(size, n, error): for each window size, how far the class of the mean before an event is from that of the event.
+
+    Both are standardised by the mean and population deviation of the events
+    that have a mean, clamped, and put into classes; ``error`` is the mean
+    distance over (classes - 1). Events without values before them are left
+    out. All sizes are worked out in one pass over the events.
+    """
+    each = F.array(*[F.struct(F.lit(n).alias("size"), F.avg(stat).over(trailing(keys, order, n)).alias("mean")) for n in sizes])
+    rows = df.select(F.col(stat).cast("double").alias("target"), each.alias("each")).where("target is not null").select("target", F.explode("each").alias("e")).select("target", "e.*").where("mean is not null")
+    # one row for each size
+    scale = rows.groupBy("size").agg(F.round(F.avg("target"), 6).alias("_m"), F.round(F.stddev_pop("target"), 6).alias("_s"))
+    put = lambda c: digitize(F.coalesce(F.try_divide(F.col(c) - F.col("_m"), F.col("_s")), F.lit(0.0)), limit, classes)
+    judged = rows.join(F.broadcast(scale), "size").withColumn("_off", F.abs(put("target") - put("mean")))
+    return judged.groupBy("size").agg(F.count(F.lit(1)).alias("n"), (F.avg("_off") / (classes - 1)).alias("error"))
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], stats: list[str], size: int = 10) -> DataFrame:
     """Adds for each stat the season mean, the mean and variance of the last ``size``, and season less last (trend)."""
     w, s = trailing(keys, order, size), Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

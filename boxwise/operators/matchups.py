@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxwise.functions import stats
-from boxwise.operators.windows import trailing
+from boxwise.operators.features import with_share
+from boxwise.operators.windows import last_events, latest, trailing
 
 
 def opponent(own: Column, home: Column, away: Column) -> Column:
@@ -110,6 +111,36 @@ def blended(df: DataFrame, shares: DataFrame, given: DataFrame, keys: list[str],
     return df.join(mixed, [*keys, entity], "left")
 
 
+def recent_by_position(rows: DataFrame, shares: DataFrame, spine: DataFrame, group: str, season: str, event: str, entity: str, position: str, value: str, size: int = 10) -> DataFrame:
+    """(group, season, event, position, given): what a group's rows were worth by position over its last ``size`` events before each event.
+
+    Every row counts at each position of its entity with the entity's share.
+    Events are summed first, one row for each position, so what goes on to the
+    events after them does not grow with their rows.
+    """
+    w, x = F.col("weight"), F.col(value)
+    each = rows.where(x.isNotNull()).select(group, season, event, entity, value).join(shares, entity).groupBy(group, season, event, position).agg(F.sum(w * x).alias("_wx"), F.sum(w).alias("_w"))
+    before = last_events(spine, each, group, season, event, position, size)
+    return before.groupBy(group, season, F.col("target").alias(event), position).agg(F.try_divide(F.sum("_wx"), F.sum("_w")).alias("given"))
+
+
+def play_distribution(rows: DataFrame, shares: DataFrame, group: str, event: str, date: str, entity: str, position: str, stat: str, size: int = 10, days: int = 60) -> DataFrame:
+    """(group, entity, position, value, share): each entity's stat an event, by its positions, over the group's latest events.
+
+    These are the last ``size`` of the group's events within ``days`` before
+    its last one, that included; an event that an entity missed counts as 0.
+    ``share`` is the value over the group's sum.
+    """
+    events = rows.select(group, event, date).distinct()
+    last = latest(events, [group], [date, event], size).drop("place")
+    newest = events.groupBy(group).agg(F.max(date).alias("_newest"))
+    held = last.join(newest, group).where(F.datediff("_newest", date) < days).select(group, event)
+    n = held.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    sums = rows.join(held, [group, event], "left_semi").groupBy(group, entity).agg(F.coalesce(F.sum(stat), F.lit(0.0)).alias("_sum"))
+    valued = sums.join(n, group).join(shares, entity).select(group, entity, position, (F.col("weight") * F.col("_sum") / F.col("_n")).alias("value"))
+    return with_share(valued, [group], "value")
+
+
 def mean_across(vectors: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """One vector for each key: the mean of each stat over the key's vectors, nulls skipped."""
     return vectors.groupBy(*keys).agg(*[F.avg(n).alias(n) for n in names])

@@ -29,6 +29,17 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(*[F.coalesce(side("b", new, c), side("a", old, c)).alias(c) for c in fields])
 
 
+def save_or_update(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """``old`` and the rows of new keys; where a key is there already, only ``fields`` are taken from ``new``, nulls as well."""
+    there = new.select(*keys, F.struct(*fields).alias("_new"))
+    # nulls in keys are values like any other
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    joined = old.alias("a").join(there.alias("b"), on, "left")
+    kept = joined.select(*[F.when(F.col("b._new").isNotNull(), F.col(f"b._new.{c}")).otherwise(F.col(f"a.{c}")).alias(c) if c in fields else F.col(f"a.{c}") for c in old.columns])
+    added = new.alias("a").join(old.select(*keys).alias("b"), on, "left_anti")
+    return kept.unionByName(added, allowMissingColumns=True)
+
+
 def delete(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys are not in ``gone``; an empty list of keys is refused, as it would match every row."""
     if not keys:

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from boxwise.functions.scalars import clamp
 
 
-def preprocess(df: DataFrame, columns: list[str], limit: float | None = None) -> DataFrame:
-    """Adds ``*_z`` (mean-imputed, standardised by the population deviation, clamped to +-limit) and ``*_01`` (scaled to 0..1).
+def preprocess(df: DataFrame, columns: list[str], limit: float | None = None, span: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
+    """Adds ``*_z`` (mean-imputed, standardised by the population deviation, clamped to +-limit) and ``*_01`` (scaled to ``span``, 0..1 by default).
 
-    Columns that are null throughout are dropped; one that does not vary is 0.
+    Columns that are null throughout are dropped; one that does not vary is 0, or at the low end of the span.
     All statistics come from one aggregation, whose single row is broadcast.
     """
     known = df.agg(*[F.count(c).alias(c) for c in columns], *[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max))]).first()
@@ -35,6 +35,8 @@ def preprocess(df: DataFrame, columns: list[str], limit: float | None = None) ->
     for c in used:
         low, high = float(known[f"{c}_min"]), float(known[f"{c}_max"])
         scaled[f"{c}_01"] = F.try_divide(F.col(c) - F.lit(low), F.lit(high - low))
+    if span != (0.0, 1.0):
+        scaled = {k: span[0] + (span[1] - span[0]) * F.coalesce(v, F.lit(0.0)) for k, v in scaled.items()}
     out = out.withColumns(z | {k: F.coalesce(v, F.lit(0.0)) for k, v in scaled.items()}).drop(*s.columns)
     return out if limit is None else out.withColumns({k: clamp(F.col(k), -limit, limit) for k in z})
 
@@ -159,6 +161,24 @@ def upsample(df: DataFrame, recent: Column, outlier: Column) -> DataFrame:
     return df.unionByName(df.where(recent)).unionByName(df.where(outlier))
 
 
+def upsample_samples(df: DataFrame, keys: list[str], order: list[str], value: str, recent: int = 7, share: float = 0.2) -> DataFrame:
+    """Each key's last ``recent`` rows once more, and once more those whose value is among its greatest.
+
+    Values are compared by size, whatever their sign; of a key's different
+    sizes the first ``share`` (rounded down, one at least) are great, with all
+    rows that have them. Null values are not. ``copy`` numbers a row's copies
+    from 1. One pass: rows are multiplied by a count, not read again.
+    """
+    size = F.abs(F.col(value))
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])) <= recent
+    level = F.when(size.isNotNull(), F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(size))))
+    ranked = df.withColumns({"_last": last, "_level": level})
+    levels = F.max("_level").over(Window.partitionBy(*keys))
+    great = F.coalesce(F.col("_level") <= F.greatest(F.lit(1), F.floor(levels * share)), F.lit(False))
+    copies = 1 + F.col("_last").cast("int") + great.cast("int")
+    return ranked.withColumn("_copies", copies).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_last", "_level", "_copies")
+
+
 def ndcg(df: DataFrame, keys: list[str], gain: str, score: str, tie: str) -> DataFrame:
     """Per key: discounted gain in the order of the score over that in the order of the gain; the first is not discounted."""
 
