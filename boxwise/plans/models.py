@@ -124,9 +124,9 @@ SQL_RECENT = f"WITH {GAMES}, {RECENT} SELECT entity, round(mean, 4) AS mean, rou
 def inverse_variance_mix(spark, sf_dir):
     w = stats.inverse_variance_weight(F.col("var"))
     known = _recent(spark, sf_dir).where("var is not null").withColumn("w", w)
-    total = F.sum("w").over(Window.partitionBy("grp"))
-    mixed = known.withColumn("w", F.col("w") / total)
-    return mixed.groupBy("grp").agg(F.round(F.sum(F.col("w") * F.col("mean")), 4).alias("mean"), F.round(F.sum(F.col("w") * F.col("w") * F.col("var")), 4).alias("var"))
+    # sums alone, which combine on the map side: no nation meets in a task
+    sums = known.groupBy("grp").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("mean")).alias("wx"), F.sum(F.col("w") * F.col("w") * F.col("var")).alias("wv"))
+    return sums.select("grp", F.round(F.col("wx") / F.col("w"), 4).alias("mean"), F.round(F.col("wv") / F.col("w") / F.col("w"), 4).alias("var"))
 
 
 SQL_MIX = f"""WITH {GAMES}, {RECENT}, w AS (SELECT *, (1 / greatest(var, 0.01)) / sum(1 / greatest(var, 0.01)) OVER (PARTITION BY grp) AS w FROM rc WHERE var IS NOT NULL)
@@ -341,9 +341,12 @@ def dae_fit(spark, sf_dir):
 
 
 def sdae_fit(spark, sf_dir):
-    """A stacked autoencoder under a softmax beside the softmax alone: errors on the test part, and when each stopped."""
-    columns = [f"{c}_z" for c in _INPUTS]
-    scaled = ml.preprocess(_classes(spark, sf_dir).select("game", "label", *_INPUTS), _INPUTS, limit=3.0)
+    """A stacked autoencoder under a softmax beside the softmax alone, for the class of an order's price: errors on the test part, and when each stopped."""
+    inputs = ["qty", "lines", "qty_last"]
+    t = features.running(games(spark, sf_dir), ["entity"], ORDER, ["qty"]).where("price is not null")
+    t = t.withColumn("label", F.when(F.col("price") < 150, 0).when(F.col("price") < 250, 1).otherwise(2))
+    columns = [f"{c}_z" for c in inputs]
+    scaled = ml.preprocess(t.select("game", "label", *inputs), inputs, limit=3.0)
     train, valid, test = (part.persist() for part in ml.split(scaled, "game"))
     held, out = neural.batched(test, columns, "game", 1, "label").persist(), []
     for kind, layers in (("stacked", [6, 4]), ("softmax", [])):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boxwise.operators import features, matchups, merge, ml, serve, windows
+from boxwise.operators import features, matchups, merge, ml, people, serve, windows
 from boxwise.plans.base import GAMES, games, half_sql, r4
 from boxwise.plans.matchups import _SHARES
 from boxwise.plans.profiles import ORDER
@@ -133,7 +133,25 @@ p AS (SELECT game, player, team, {", ".join(f"({e})::DOUBLE AS {h.lower()}" for
 t AS (SELECT game, team, sum(l_quantity) AS team_qty, sum(l_linenumber)::DOUBLE AS team_dist, count(*) OVER (PARTITION BY game) AS two FROM li GROUP BY game, team)
 SELECT p.*, team_qty, team_dist FROM p JOIN t USING (game, team) WHERE two = 2"""
 
+_TYPO = """CASE WHEN c_custkey % 3 = 0 THEN {left}(m, 2) || '-' || {right}(m, 4, 3) WHEN c_custkey % 3 = 1 THEN {left}(m, 2) || {right}(m, 4, 3) ELSE m END"""
+
+
+def people_match(spark, sf_dir):
+    """Suppliers and customers as people of two lists, with short names of which some differ by a letter, and birthdays of which some are unknown or swapped."""
+    a = table(spark, sf_dir, "supplier").select("s_suppkey", F.upper(F.left(F.md5(F.col("s_suppkey").cast("string")), F.lit(6))).alias("name"), F.when(F.col("s_suppkey") % 5 == 0, F.lit("1900-01-01").cast("date")).otherwise(F.date_add(F.lit("1990-01-01"), (F.col("s_suppkey") * 37 % 3000).cast("int"))).alias("day"))
+    b = table(spark, sf_dir, "customer").withColumn("m", F.left(F.md5((F.col("c_custkey") % 997 + 1).cast("string")), F.lit(6)))
+    b = b.select("c_custkey", F.expr(_TYPO.format(left="left", right="substring")).alias("name"), F.date_add(F.lit("1990-01-01"), ((F.col("c_custkey") % 997 + 1) * 37 % 3000 + F.col("c_custkey") % 4 * 100).cast("int")).alias("day"))
+    return people.matched_people(a, b, "s_suppkey", "name", "day", "c_custkey", "name", "day")
+
+
+SQL_PEOPLE = f"""WITH a AS (SELECT s_suppkey, left(md5(s_suppkey::VARCHAR), 6) AS name, CASE WHEN s_suppkey % 5 = 0 THEN DATE '1900-01-01' ELSE CAST(DATE '1990-01-01' + CAST(s_suppkey * 37 % 3000 AS INT) AS DATE) END AS x FROM supplier),
+m AS (SELECT c_custkey, left(md5((c_custkey % 997 + 1)::VARCHAR), 6) AS m FROM customer),
+b AS (SELECT c_custkey, {_TYPO.format(left="left", right="substring")} AS name, CAST(DATE '1990-01-01' + CAST((c_custkey % 997 + 1) * 37 % 3000 + c_custkey % 4 * 100 AS INT) AS DATE) AS y FROM m),
+p AS (SELECT *, levenshtein(a.name, b.name) AS distance, count(*) OVER (PARTITION BY s_suppkey) AS n FROM a JOIN b ON levenshtein(a.name, b.name) <= 1),
+h AS (SELECT *, CASE WHEN x = DATE '1900-01-01' AND n = 1 THEN 'only' WHEN abs(date_diff('day', x, y)) <= 120 OR (day(y) <= 12 AND year(x) = year(y) AND month(x) = day(y) AND day(x) = month(y)) OR (month(x) = month(y) AND day(x) = day(y)) THEN 'birthday' END AS how FROM p)
+SELECT s_suppkey, c_custkey, CAST(distance AS INT) AS distance, how FROM h WHERE how IS NOT NULL"""
+
 PLANS = {
     "position_form": (position_form, SQL_FORM), "play_distribution": (play_distribution, SQL_PLAYS), "upsample_recent": (upsample_recent, SQL_RECENT), "mean_error_windows": (mean_error_windows, SQL_WINDOWS),
-    "save_or_update": (save_or_update, SQL_SAVE), "clean_nested": (clean_nested, SQL_CLEAN), "scale_range": (scale_range, SQL_RANGE), "frames_assembly": (frames_assembly, SQL_FRAMES),
+    "save_or_update": (save_or_update, SQL_SAVE), "clean_nested": (clean_nested, SQL_CLEAN), "scale_range": (scale_range, SQL_RANGE), "frames_assembly": (frames_assembly, SQL_FRAMES), "people_match": (people_match, SQL_PEOPLE),
 }
