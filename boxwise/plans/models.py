@@ -341,17 +341,17 @@ def dae_fit(spark, sf_dir):
 
 
 def sdae_fit(spark, sf_dir):
-    """A stacked autoencoder under a softmax beside the softmax alone, for the class of an order's price: errors on the test part, and when each stopped."""
+    """A stacked autoencoder under a softmax beside the softmax alone, for whether an order's price is a middle one, which no plane parts: errors on the test part, and when each stopped."""
     inputs = ["qty", "lines", "qty_last"]
     t = features.running(games(spark, sf_dir), ["entity"], ORDER, ["qty"]).where("price is not null")
-    t = t.withColumn("label", F.when(F.col("price") < 150, 0).when(F.col("price") < 250, 1).otherwise(2))
+    t = t.withColumn("label", F.col("price").between(120, 240).cast("int"))
     columns = [f"{c}_z" for c in inputs]
     scaled = ml.preprocess(t.select("game", "label", *inputs), inputs, limit=3.0)
     train, valid, test = (part.persist() for part in ml.split(scaled, "game"))
     held, out = neural.batched(test, columns, "game", 1, "label").persist(), []
-    for kind, layers in (("stacked", [6, 4]), ("softmax", [])):
-        network, _, rule = neural.fit_stacked(train, valid, columns, "label", "game", 3, layers, [0.1, 0.2][: len(layers)], pretrain_epochs=2, rate=0.5, epochs=8, batches=4, act="tanh", cost="MSE", first=4)
-        error, n = neural.class_error(held, network, 3)
+    for kind, layers, epochs in (("stacked", [8, 6], 14), ("softmax", [], 4)):
+        network, _, rule = neural.fit_stacked(train, valid, columns, "label", "game", 2, layers, [0.1, 0.1][: len(layers)], pretrain_epochs=1, rate=1.0, epochs=epochs, batches=4, act="tanh", cost="MSE", first=6)
+        error, n = neural.class_error(held, network, 2)
         out.append((kind, n, error, float(rule.best), rule.best_iteration // 4 + 1))
     for part in (train, valid, test, held):
         part.unpersist()

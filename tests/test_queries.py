@@ -44,3 +44,44 @@ def test_runs(spark, sf_dir, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_models_of_the_queries_hold_their_bounds(spark):
+    """The fitted models on the query's own data, where SQL has no form for them."""
+    sf = "/root/testdata/sf0.01"
+    rows = {name: QUERIES[name](spark, sf).collect() for name in ("dae_fit", "sdae_fit", "gbt_rounds", "gp_kernels", "linear_fit", "forest_fit", "gbt_fit")}
+    errors = [r["error"] for r in sorted(rows["dae_fit"], key=lambda r: r["epoch"])]
+    assert all(b < a for a, b in zip(errors, errors[1:], strict=False))
+    deep, plain = (next(r for r in rows["sdae_fit"] if r["kind"] == k) for k in ("stacked", "softmax"))
+    assert deep["test"] == plain["test"] > 2000 and deep["error"] < 0.9 * plain["error"]
+    rounds = sorted(rows["gbt_rounds"], key=lambda r: r["round"])
+    assert [r["chosen"] for r in rounds] == [False] * (len(rounds) - 1) + [True] and len(rounds) < 25 and rounds[-1]["valid_error"] <= rounds[0]["valid_error"]
+    assert len(rows["gp_kernels"]) == 25 and all(r["evidence"] >= r["evidence_at_start"] and r["sampled"] == min(150, r["rows"]) for r in rows["gp_kernels"])
+    # quantities are drawn at random, so no model does better than their variance, and none may do much worse
+    for name in ("linear_fit", "forest_fit", "gbt_fit"):
+        assert rows[name][0]["train"] > rows[name][0]["test"] > 2000 and -0.1 < rows[name][0]["r2"] < 0.1
+
+
+def test_linear_fit_is_the_direct_elastic_net_solution(spark, sf_dir):
+    """Coordinate descent on the same rows in numpy gives the same error on the test part."""
+    import numpy as np
+
+    from boxwise.operators import ml
+    from boxwise.plans.models import _training
+
+    columns = ["qty_season", "qty_last", "qty_trend", "lines_last"]
+    train, _, test = (part.fillna(0.0, columns).toPandas() for part in ml.split(_training(spark, sf_dir), "game"))
+    x, y = train[columns].to_numpy(float), train["label"].to_numpy(float)
+    spread = x.std(0, ddof=1)
+    z, scale = (x - x.mean(0)) / np.where(spread > 0, spread, 1), y.std(ddof=1)
+    goal, w = (y - y.mean()) / scale, np.zeros(len(columns))
+    penalty = 0.01 / scale  # the penalty is on the scale of the label
+    for _ in range(5000):
+        for j in range(len(columns)):
+            rest = goal - z @ w + z[:, j] * w[j]
+            rho, power = z[:, j] @ rest / len(y), z[:, j] @ z[:, j] / len(y)
+            w[j] = np.sign(rho) * max(abs(rho) - 0.5 * penalty, 0) / (power + 0.5 * penalty)
+    at = (test[columns].to_numpy(float) - x.mean(0)) / np.where(spread > 0, spread, 1)
+    mse = np.mean((test["label"].to_numpy(float) - (y.mean() + scale * (at @ w))) ** 2)
+    got = QUERIES["linear_fit"](spark, sf_dir).first()
+    assert (got["train"], got["test"]) == (len(train), len(test)) and got["mse"] == pytest.approx(mse, rel=2e-3)
