@@ -7,7 +7,10 @@
    leetspeak signs stand for letters, separators and repeats may have been
    inserted. Viterbi finds the likeliest original under the language model; the
    rest of the text passes unchanged. What Viterbi would say of doubled letters
-   that stand apart from each other is worked out in closed form.
+   that stand apart from each other is worked out in closed form. An original
+   replaces its span only if the corpus holds its words, and often enough beside
+   those of the span (``lexicon.py``); so codes, names and words with doubled
+   letters stand, and no limit on digits or gaps is needed.
 3. The restored text is scored by a logistic regression on its words and word
    beginnings. L1 regularisation selects them from a bounded sample of labelled
    rows, and a second fit on the selected ones sets their weights.
@@ -29,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwise.llm.common import bounded_sample, held_out, in_small_batches, written
+from boxwise.llm.lexicon import UNSEEN, WORDS, Lexicon, known_words, word_counts
 
 #: Characters of the language model: 0 is anything that is no letter, 1-26 are a-z, 27 other letters.
 CODES, ORDER = 28, 4
@@ -38,29 +42,35 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "*": "abcdefghijklmnopqrstuvwxyz",
 }
 SEPARATORS = " ._-*"
+#: Letters of other alphabets that look like one of a-z.
+LOOKALIKES = {
+    "\u0131": "i", "\u0261": "g", "\u0430": "a", "\u0435": "e", "\u043e": "o", "\u0440": "p", "\u0441": "c", "\u0443": "y", "\u0445": "x", "\u0455": "s",
+    "\u0456": "i", "\u0458": "j", "\u04bb": "h", "\u0501": "d", "\u03b1": "a", "\u03b9": "i", "\u03bd": "v", "\u03bf": "o", "\u03c1": "p",
+}
 #: Costs of the channel, in nats; dropping a character also saves its share of the model's cost.
 SIGN, SIGN_KEPT, DROP_SEPARATOR, DROP_REPEAT, DROP_DOUBLE = 0.7, 4.0, 2.0, 1.5, 4.0
 #: Of signs that plain texts have as well: separators inside a word, and signs after its end.
 SEPARATOR_KEPT, END_KEPT = 0.5, 1.0
 #: Of separators between letters that are spaced out: a gap kept, and a gap dropped that is wider than others.
 SPACED_KEPT, WIDE_DROPPED = 2.5, 2.0
-#: A span with more digits than this, and half as many as letters, is a number or a code; its signs stand for themselves.
+#: Without a lexicon, a span with more digits than this, and half as many as letters, is taken for a code whose signs stand for themselves.
 MOST_DIGITS = 6
 
-WORDS = re.compile(r"[^\W\d_]+")
-#: Letters and digits that are spaced out, with up to three separators between each two.
+#: Letters and digits that are spaced out: without a lexicon with up to three separators between each two, with one by any number.
 WIDEST_GAP = 3
 SPACED = re.compile(rf"(?<![^\W_])[^\W_](?:[ ._*-]{{1,{WIDEST_GAP}}}[^\W_]){{2,}}(?![^\W_])")
+SPACED_ANYHOW = re.compile(r"(?<![^\W_])[^\W_](?:[ ._*-]+[^\W_]){2,}(?![^\W_])")
 #: Classes of code points below 0x10000; above are letters.
 LETTER, DIGIT, SIGN_CLASS, SEPARATOR = 1, 2, 4, 8
 
 
 def _class(char: str) -> int:
     digit = char in "0123456789"
-    return LETTER * (char.isalnum() and not digit) | DIGIT * digit | SIGN_CLASS * (char in "@$!|+*€") | SEPARATOR * (char in SEPARATORS)
+    return LETTER * (char.isalnum() and not digit) | DIGIT * digit | SIGN_CLASS * (char in "@$!|+*€") | SEPARATOR * (char in SEPARATORS + UNSEEN)
 
 
 _CLASS = np.array([_class(chr(k)) for k in range(0x10000)], np.uint8)
+_LOOKALIKE = np.isin(np.arange(0x10000), [ord(c) for c in LOOKALIKES])
 _LOWER = np.array([ord(low) if len(low := chr(k).lower()) == 1 else k for k in range(0x10000)], np.uint32)
 
 
@@ -111,20 +121,27 @@ def _code(char: str) -> int:
     return ord(char) - 96 if "a" <= char <= "z" else CODES - 1 if char.isalpha() else 0
 
 
-def _readings(span: str) -> list[list[tuple[str, float]]]:
-    """For each character of a lower-cased span what it may have been, with prices; an empty text drops it."""
-    spaced = bool(SPACED.fullmatch(span))
+def _readings(span: str, judged: bool = False, plain_ends: bool = False) -> list[list[tuple[str, float]]]:
+    """For each character of a lower-cased span what it may have been, with prices; an empty text drops it.
+
+    Where a lexicon judges the result (``judged``), no span counts as a code,
+    gaps may have any width, and letters may be lookalikes of others. With
+    ``plain_ends`` signs after the last letter are no likelier to stand than others.
+    """
+    spaced = bool((SPACED_ANYHOW if judged else SPACED).fullmatch(span))
     inside = [k for k, char in enumerate(span) if char.isalnum()] or [0]
     # in letters that are spaced out a gap is dropped as a rule, and a wider gap than the least may well end a word;
     # three letters alone are found in plain texts as well, more hardly ever
     gap = min((b - a - 1 for a, b in zip(inside, inside[1:], strict=False)), default=0) if spaced else 0
     digits = sum(char in "0123456789" for char in span)
-    coded = digits > MOST_DIGITS and 2 * digits > sum(map(str.isalpha, span))
+    coded = not judged and digits > MOST_DIGITS and 2 * digits > sum(map(str.isalpha, span))
     read = []
     for k, char in enumerate(span):
         options: list[tuple[str, float]] = []
         if char.isalpha():
             options.append((char, 0.0))
+            if judged and char in LOOKALIKES:
+                options.append((LOOKALIKES[char], SIGN))
             if k and span[k - 1] == char:
                 run = k > 1 and span[k - 2] == char or span[k + 1 : k + 2] == char
                 options.append(("", DROP_REPEAT if run else DROP_DOUBLE))
@@ -136,10 +153,13 @@ def _readings(span: str) -> list[list[tuple[str, float]]]:
             if char in SEPARATORS:
                 first = not k or span[k - 1].isalnum()
                 wide = spaced and first and len(span[k:]) - len(span[k:].lstrip(SEPARATORS)) > gap
-                options.append(("", WIDE_DROPPED if wide else DROP_SEPARATOR * (0.1 if spaced else 1.0)))
-            if k and span[k - 1] == char:
+                free = judged and spaced and not first  # the first separator of a gap has paid
+                options.append(("", 0.0 if free else WIDE_DROPPED if wide else DROP_SEPARATOR * (0.1 if spaced else 1.0)))
+            if char in UNSEEN:
+                options.append(("", 0.1))
+            elif k and span[k - 1] == char:
                 options.append(("", DROP_REPEAT))
-            outside = k > inside[-1] or char == "*" and k < inside[0]
+            outside = not plain_ends and k > inside[-1] or char == "*" and k < inside[0]
             kept = (SPACED_KEPT if spaced and len(inside) > 3 else SEPARATOR_KEPT) if char in SEPARATORS and char != "*" else END_KEPT if outside else SIGN_KEPT
             options.append((char, kept))
         read.append(options)
@@ -201,18 +221,18 @@ def _cheapest(read: list[list[tuple[str, float]]], span: str, model: np.ndarray
 SIGNS_AT_END = re.compile(r"((?:([^\W\d_])(?!\2))+)([\W\d_]+)")
 
 
-def _restore_in_parts(model: array) -> Callable[[str], str]:
+def _restore_in_parts(model: array, judged: bool = False) -> Callable[[str], str]:
     """``restore`` that decodes the signs at the end of plain letters by the three letters before them, and keeps what it found."""
 
     @lru_cache(60_000)
     def end_of(state: int, tail: str) -> str:
-        return _cheapest(_readings("xy" + tail)[2:], tail, model, state)
+        return _cheapest(_readings("xy" + tail, judged)[2:], tail, model, state)
 
     def restored(span: str) -> str:
         span = span.lower()
         found = SIGNS_AT_END.fullmatch(span)
-        if found is None or len(found[1]) < 2 or sum(map(str.isdigit, found[3])) > MOST_DIGITS:
-            return restore(span, model)
+        if found is None or len(found[1]) < 2 or judged and not found[1].isascii() or not judged and sum(map(str.isdigit, found[3])) > MOST_DIGITS:
+            return _cheapest(_readings(span, judged), span, model, 0)
         state = 0
         for char in found[1][-3:]:
             state = state * CODES + _code(char)
@@ -221,6 +241,32 @@ def _restore_in_parts(model: array) -> Callable[[str], str]:
     return restored
 
 
+def _judged_by(lexicon: Lexicon, model: array, typo: float) -> Callable[[str], str]:
+    """The decoder's reading of a span in lower case where the lexicon holds its words, else the span."""
+    decoded = _restore_in_parts(model, True)
+
+    def restored(span: str) -> str:
+        span = span.lower()
+        found = decoded(span)
+        # a word may have doubled letters of its own, which cost the decoder more than they need
+        for reading in (lambda: found, lambda: lexicon.respelled(found), lambda: lexicon.respelled(_cheapest(_readings(span, True, True), span, model, 0))):
+            read = reading()
+            if lexicon.accepts(span, read, typo):
+                return read
+            if span[-1] not in LEET and read is not found:
+                break  # the last way differs in the signs at the end alone
+        if SPACED_ANYHOW.fullmatch(span):
+            words = lexicon.split("".join(WORDS.findall(found)))
+            return span if words is None else words
+        if any(c in LEET for c in span):
+            words = lexicon.split_run(span, found)
+            if words is not None:
+                return words
+        return span
+
+    return restored
+
+
 class _Marked:
     """What the characters of texts are, and their suspect spans as arrays of starts and ends.
 
@@ -228,7 +274,7 @@ class _Marked:
     no span is in two of them; ``firsts`` is where each begins.
     """
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], judged: bool = False):
         self.firsts = np.cumsum([0, *(len(t) + 2 for t in texts)])
         self.points = points = np.frombuffer("\n\n".join([*texts, ""]).encode("utf-32-le"), np.uint32)
         kind = np.where(points >= 0x10000, np.uint8(LETTER), _CLASS[np.minimum(points, 0xFFFF)])
@@ -244,13 +290,20 @@ class _Marked:
         low, high = low[low < high], high[low < high]
         self.starts, self.ends = at[low], at[high - 1] + 1
         odd = (self.seen(letter) > 0) & (self.seen(~letter | self.double) > 0)
+        if judged:
+            # letters among lookalikes of others, and words of signs alone
+            looks = letter & (points < 0x10000) & _LOOKALIKE[np.minimum(folded, 0xFFFF)]
+            odd |= (self.seen(letter & (points < 128)) > 0) & (self.seen(looks) > 0)
+            signs = self.seen(np.isin(points, [ord(c) for c in "@$!|\u20ac"]))
+            odd |= (self.seen(letter) == 0) & (self.ends - self.starts > 2) & (signs > 1) & (signs >= self.seen((kind & DIGIT) > 0))
         self.starts, self.ends = self.starts[odd], self.ends[odd]
+        self.mixed = self.seen(looks) > 0 if judged else np.zeros(len(self.starts), bool)
         # three letters or digits that stand alone, with nothing but separators between them
         alone = (kind & (LETTER | DIGIT)) > 0
         at = np.flatnonzero(alone & ~np.r_[False, alone[:-1]] & ~np.r_[alone[1:], False])
         apart = np.r_[0, np.cumsum(separator)]
         gap = at[1:] - at[:-1] - 1
-        near = (gap <= WIDEST_GAP) & (apart[at[1:]] - apart[at[:-1] + 1] == gap)
+        near = ((gap <= WIDEST_GAP) | judged) & (apart[at[1:]] - apart[at[:-1] + 1] == gap)
         self.spaced = np.unique(np.searchsorted(self.firsts, at[:-2][near[1:] & near[:-1]], side="right") - 1)
 
     def seen(self, flags: np.ndarray) -> np.ndarray:
@@ -305,10 +358,17 @@ def suspects(text: str) -> tuple[list[tuple[int, int]], bool]:
     return list(zip(marked.starts.tolist(), marked.ends.tolist(), strict=True)), len(marked.spaced) > 0
 
 
-def batch_restorer(model: np.ndarray, cached_length: int = 200) -> Callable[[list[str]], list[str]]:
-    """texts -> texts with their suspect spans restored; those that read best as they are keep their case."""
+def batch_restorer(model: np.ndarray, cached_length: int = 200, lexicon: Lexicon | None = None, typo: float = 5.0) -> Callable[[list[str]], list[str]]:
+    """texts -> texts with their suspect spans restored; those that read best as they are keep their case.
+
+    With a lexicon a span is replaced only by words that it holds; ``typo`` is
+    the price (in nats) of a disguise that is made of known words itself.
+    """
     prices = np.asarray(model, np.float32)
-    decoded = _restore_in_parts(array("f", prices.tobytes()))  # whose single values are read faster
+    fast = array("f", prices.tobytes())  # whose single values are read faster
+    judged = lexicon is not None
+    decoded = _judged_by(lexicon, fast, typo) if judged else _restore_in_parts(fast)
+    spaced_out = SPACED_ANYHOW if judged else SPACED
 
     def plain(span: str) -> str:
         found = decoded(span)
@@ -321,12 +381,12 @@ def batch_restorer(model: np.ndarray, cached_length: int = 200) -> Callable[[lis
 
     def restored(texts: list[str]) -> list[str]:
         texts = list(texts)
-        marked = _Marked(texts)
+        marked = _Marked(texts, judged)
         if len(marked.spaced):
             for k in marked.spaced.tolist():
-                texts[k] = SPACED.sub(joined, texts[k])
-            marked = _Marked(texts)
-        asked = ~marked.read_best_as_they_are(prices)
+                texts[k] = spaced_out.sub(joined, texts[k])
+            marked = _Marked(texts, judged)
+        asked = marked.mixed | ~marked.read_best_as_they_are(prices)
         starts, ends = marked.starts[asked], marked.ends[asked]
         of = np.searchsorted(marked.firsts, starts, side="right") - 1
         first = marked.firsts[of]
@@ -344,9 +404,9 @@ def batch_restorer(model: np.ndarray, cached_length: int = 200) -> Callable[[lis
     return restored
 
 
-def restorer(model: np.ndarray, cached_length: int = 200) -> Callable[[str], str]:
+def restorer(model: np.ndarray, cached_length: int = 200, lexicon: Lexicon | None = None) -> Callable[[str], str]:
     """text -> text with its suspect spans restored."""
-    many = batch_restorer(model, cached_length)
+    many = batch_restorer(model, cached_length, lexicon)
     return lambda text: many([text])[0]
 
 
@@ -368,11 +428,17 @@ def features(word: str) -> list[str]:
     return [word, *(word[:k] + "~" for k in (4, 5, 6) if len(word) >= k)]
 
 
-def fit(labelled: DataFrame, model: np.ndarray, l1: float = 3e-4, l2: float = 1e-5) -> tuple[float, dict[str, float]]:
-    """Intercept and weights of features, from rows (text, label); the caller bounds their number, and so that of features."""
+def fit(
+    labelled: DataFrame, model: np.ndarray, lexicon: Lexicon | None = None, l1: float = 3e-4, l2: float = 1e-5, least_rows: int = 3, least_lift: float = 2.0
+) -> tuple[float, dict[str, float]]:
+    """Intercept and weights of features, from rows (text, label); the caller bounds their number, and so that of features.
+
+    Features speak for label 1: they are seen in at least ``least_rows`` such
+    rows, and ``least_lift`` times as often in them as by chance.
+    """
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        deobfuscate = batch_restorer(model)
+        deobfuscate = batch_restorer(model, lexicon=lexicon)
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
@@ -384,10 +450,9 @@ def fit(labelled: DataFrame, model: np.ndarray, l1: float = 3e-4, l2: float = 1e
     if rows.select("label").distinct().count() < 2:  # nothing to tell apart: the share of label 1 is all there is to know
         share = rows.agg(F.avg("label")).first()[0]
         return (0.0 if share is None else 20.0 * (2 * share - 1)), {}
-    # features that stand for label 1: seen in three such rows, and at least twice as often as by chance
     share = rows.agg(F.avg("label")).first()[0]
     seen = rows.select(F.explode("tokens").alias("token"), "label").groupBy("token").agg(F.sum("label").alias("ones"), F.count(F.lit(1)).alias("n"))
-    useful = seen.where((F.col("ones") >= 3) & (F.col("ones") > 2 * share * F.col("n"))).orderBy("token")
+    useful = seen.where((F.col("ones") >= least_rows) & (F.col("ones") > least_lift * share * F.col("n"))).orderBy("token")
     vocabulary = [r["token"] for r in useful.select("token").collect()]
     if not vocabulary:
         return math.log(share / (1 - share)), {}
@@ -405,19 +470,20 @@ def fit(labelled: DataFrame, model: np.ndarray, l1: float = 3e-4, l2: float = 1e
     return float(second.intercept), {vocabulary[k]: float(w) for k, w in zip(chosen, second.coefficients.toArray(), strict=True)}
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[np.ndarray, float, dict[str, float]]:
-    """Language model of all texts; intercept and weights from about ``sample`` labelled rows that are not held out."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[np.ndarray, Lexicon, float, dict[str, float]]:
+    """Language model and known words of all texts; intercept and weights from about ``sample`` labelled rows that are not held out."""
     model = language_model(char_counts(docs, text_col))
+    lexicon = known_words(word_counts(docs, text_col))
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
     usable = usable.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     chosen = F.broadcast(bounded_sample(written(usable, "usable-labels"), "id", sample))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return model, *fit(texts.join(chosen, "id"), model)
+    return model, lexicon, *fit(texts.join(chosen, "id"), model, lexicon)
 
 
-def scorer(model: np.ndarray, intercept: float, weights: dict[str, float]) -> Callable[[list[str]], list[tuple[float, str]]]:
+def scorer(model: np.ndarray, lexicon: Lexicon | None, intercept: float, weights: dict[str, float]) -> Callable[[list[str]], list[tuple[float, str]]]:
     """texts -> score and restored text of each."""
-    deobfuscate = batch_restorer(model)
+    deobfuscate = batch_restorer(model, lexicon=lexicon)
     known = lru_cache(50_000)(lambda word: tuple(f for f in features(word) if f in weights))
 
     def score(texts: list[str]) -> list[tuple[float, str]]:
@@ -450,12 +516,14 @@ def score_toxicity(
     without known words. Without any labels every score is 0.5. Repeated rows
     score alike. Further columns are ignored; an empty table gives an empty
     result. ``restored`` is the text that was scored, null unless ``with_text``.
+    Only words that the corpus holds replace what looks disguised; a disguise
+    of a word that it holds nowhere in plain letters stays as it is.
     """
-    model, intercept, weights = learn(docs, labels, id_col, text_col, label_col, sample)
+    model, lexicon, intercept, weights = learn(docs, labels, id_col, text_col, label_col, sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer(model, intercept, weights)
+        score = scorer(model, lexicon, intercept, weights)
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
@@ -476,11 +544,11 @@ def without_toxic(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, sample: int = 20_000
 ) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns, in one pass and no shuffle."""
-    model, intercept, weights = learn(docs, labels, id_col, text_col, label_col, sample)
+    model, lexicon, intercept, weights = learn(docs, labels, id_col, text_col, label_col, sample)
     at_text = docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer(model, intercept, weights)
+        score = scorer(model, lexicon, intercept, weights)
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
