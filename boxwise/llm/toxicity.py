@@ -248,13 +248,15 @@ def _judged_by(lexicon: Lexicon, model: array, typo: float) -> Callable[[str], s
     def restored(span: str) -> str:
         span = span.lower()
         found = decoded(span)
+        if found == span and not any(c.isdigit() for c in span) and (words := WORDS.findall(span)) and all(map(lexicon.count, words)):
+            return span
         # a word may have doubled letters of its own, which cost the decoder more than they need
         for reading in (lambda: found, lambda: lexicon.respelled(found), lambda: lexicon.respelled(_cheapest(_readings(span, True, True), span, model, 0))):
             read = reading()
             if lexicon.accepts(span, read, typo):
                 return read
-            if span[-1] not in LEET and read is not found:
-                break  # the last way differs in the signs at the end alone
+            if read is not found and (span[-1] not in LEET or span[-1] == "*"):
+                break  # the last way differs in the signs at the end alone; a wildcard there says nothing
         if SPACED_ANYHOW.fullmatch(span):
             words = lexicon.split("".join(WORDS.findall(found)))
             return span if words is None else words
