@@ -203,6 +203,20 @@ def batched(df: DataFrame, columns: list[str], key: str, batches: int, label: st
     return rows.where("_label is not null")
 
 
+def compacted(rows: DataFrame, in_task: int = 250_000) -> DataFrame:
+    """The rows, persisted in as many partitions as there are cores, or as ``in_task`` rows each need.
+
+    Every step runs a task for each partition, so the many small ones that a
+    shuffle leaves would cost more than the gradients do.
+    """
+    found = rows.persist()
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-found.count() // in_task))
+    held = found.coalesce(parts).persist()
+    held.count()
+    found.unpersist()
+    return held
+
+
 def summed(rows: DataFrame, of_block: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """The sum over all rows of ``of_block(x, key, label)``, a vector of fixed length: added up in tasks, then by an aggregation."""
 
@@ -264,7 +278,7 @@ def fit_autoencoder(
     cost (CE, MSE, jacobiCE, jacobiMSE) and reg. Nulls are 0. Repeated keys are
     corrupted alike. Without rows the weights stay as drawn and errors are null.
     """
-    rows = batched(df, columns, key, batches).persist()
+    rows = compacted(batched(df, columns, key, batches))
     model, history = started(len(columns), hidden, seed, tied, **how), []
     model = _trained(rows, model, rate, level, noise, epochs, batches, None, history)
     rows.unpersist()
@@ -332,7 +346,7 @@ def fit_stacked(
     """
     if len(layers) != len(levels):
         raise ValueError("one corruption level for each layer")
-    learn, judge = (batched(df, columns, key, batches, label).persist() for df in (train, valid))
+    learn, judge = (compacted(batched(df, columns, key, batches, label)) for df in (train, valid))
     stack: list[Autoencoder] = []
     shown = []
     for k, (hidden, level) in enumerate(zip(layers, levels, strict=True)):

@@ -348,7 +348,7 @@ def sdae_fit(spark, sf_dir):
     columns = [f"{c}_z" for c in inputs]
     scaled = ml.preprocess(t.select("game", "label", *inputs), inputs, limit=3.0)
     train, valid, test = (part.persist() for part in ml.split(scaled, "game"))
-    held, out = neural.batched(test, columns, "game", 1, "label").persist(), []
+    held, out = neural.compacted(neural.batched(test, columns, "game", 1, "label")), []
     for kind, layers, epochs in (("stacked", [8, 6], 14), ("softmax", [], 4)):
         network, _, rule = neural.fit_stacked(train, valid, columns, "label", "game", 2, layers, [0.1, 0.1][: len(layers)], pretrain_epochs=1, rate=1.0, epochs=epochs, batches=4, act="tanh", cost="MSE", first=6)
         error, n = neural.class_error(held, network, 2)

@@ -129,3 +129,15 @@ def test_stacked_beats_the_plain_softmax_on_held_out_rows(spark):
     assert neural.predicted(test, deep, COLUMNS).select(F.avg((F.col("prediction") != F.col("y")).cast("double"))).first()[0] == pytest.approx(deep_error)
     with pytest.raises(ValueError):
         neural.fit_stacked(train, valid, COLUMNS, "y", "k", 2, [3], [])
+
+
+def test_rows_of_many_partitions_are_held_in_few(spark):
+    """A step runs a task for each partition, so their number follows the rows and not a shuffle's setting."""
+    rows = neural.batched(frame(spark, 300).repartition(40), COLUMNS, "k", 2)
+    held = neural.compacted(rows)
+    assert held.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r["_key"] for r in held.collect()) == sorted(r["_key"] for r in rows.collect())
+    held.unpersist()
+    more = neural.compacted(rows, 20)
+    assert more.rdd.getNumPartitions() == 15
+    more.unpersist()
