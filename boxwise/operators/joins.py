@@ -61,6 +61,30 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], left_tim
     return chosen.select("_row.*", *[F.col(f"_best.row.{c}").alias(c) for c in rest], F.col("_best.distance").alias("distance"))
 
 
+def fuzzy_dates(left: DataFrame, right: DataFrame, keys: list[str], left_date: str, right_date: str, days: int = 120, parts: int = 256) -> DataFrame:
+    """Pairs of rows of a key whose dates are at most ``days`` apart, share month and day, or are each other with month and day swapped.
+
+    Dates are matched first, each pair of dates once whatever its reasons; then
+    a left row meets the right rows of its key on each date that matches its
+    own, so no pair is made twice or for nothing. Rows meet by key and date in
+    ``parts`` partitions, which decide the work and not the result. Repeated
+    rows give repeated pairs; a row without a date gives none.
+    """
+    x, y = left.select(F.col(left_date).alias("_x")).distinct(), right.select(F.col(right_date).alias("_y")).distinct()
+    swapped = F.when(F.dayofmonth("_y") <= 12, F.make_date(F.year("_y"), F.dayofmonth("_y"), F.month("_y")))
+    bucket = F.floor(F.datediff(F.col("_y"), F.lit("1970-01-01")) / (days + 1))
+    own = F.floor(F.datediff(F.col("_x"), F.lit("1970-01-01")) / (days + 1))
+    # near dates meet in one of two neighbouring buckets, the others on a key of their own
+    text = lambda kind, v: F.concat(F.lit(kind), v.cast("string"))
+    wanted = F.explode(F.array(text("b", bucket - 1), text("b", bucket), text("b", bucket + 1), text("s", swapped), text("d", F.date_format("_y", "MM-dd"))))
+    have = F.explode(F.array(text("b", own), text("s", F.col("_x")), text("d", F.date_format("_x", "MM-dd"))))
+    near = F.abs(F.datediff("_x", "_y")) <= days
+    dates = x.select("_x", have.alias("_k")).join(y.select("_y", wanted.alias("_k")), "_k").where(near | (F.substring("_k", 1, 1) != "b")).select("_x", "_y").distinct()
+    asked = left.withColumn("_x", F.col(left_date)).join(dates, "_x").drop("_x")
+    # by number, so that adaptive execution does not join small inputs of a large result to a few tasks
+    return asked.repartition(parts, *keys, "_y").join(right.withColumn("_y", F.col(right_date)).repartition(parts, *keys, "_y"), [*keys, "_y"]).drop("_y")
+
+
 def interval_mean(df: DataFrame, keys: list[str], date: str, value: str, days: int, leakage_safe: bool = False) -> tuple[Column, Column]:
     """(mean, count) of a value within ``days`` of the row's date, or before it only if ``leakage_safe``."""
     day = F.datediff(date, F.lit("1970-01-01"))

@@ -493,3 +493,19 @@ def test_substitutions_match_brute_force(spark):
         got = roster.substitutions(frame, players, slots, column, margin, not_less, once).collect()
         found = {(r["roster"], r["slot"], r["pid"], r["other"]) for r in got}
         assert len(got) == len(found) and found == truth(value, margin, not_less, once) and found
+
+
+def test_fuzzy_dates_make_each_pair_once_in_many_partitions(spark):
+    """All pairs decide; one nation's rows are dealt by date to more than one task."""
+    day = lambda k: dt.date(1990, 1, 1) + dt.timedelta(days=k * 37 % 3000)
+    rows = [[(k, k % 2, day(k)) for k in range(n)] + [(-1, 0, None), (3, 1, day(3))] for n in (60, 90)]
+    a, b = (spark.createDataFrame(r, f"{n} bigint, grp bigint, {n}_day date") for r, n in zip(rows, "ab", strict=True))
+
+    def agree(x, y):
+        return abs((x - y).days) <= 120 or (x.month, x.day) == (y.month, y.day) or (y.day <= 12 and (x.year, x.month, x.day) == (y.year, y.day, y.month))
+
+    want = sorted((i, j) for i, g, x in rows[0] for j, h, y in rows[1] if g == h and x and y and agree(x, y))
+    found = joins.fuzzy_dates(a, b, ["grp"], "a_day", "b_day").select("a", "b")
+    assert sorted(map(tuple, found.collect())) == want
+    one = joins.fuzzy_dates(a.where("grp = 1"), b.where("grp = 1"), ["grp"], "a_day", "b_day")
+    assert one.select(F.spark_partition_id()).distinct().count() > 10
