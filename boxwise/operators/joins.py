@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,38 +106,89 @@ def share_of_total(part: Column, keys: list[str]) -> Column:
 
 
 def cityblock_nearest(left: DataFrame, right: DataFrame, keys: list[str], left_vec: str, right_vec: str, left_id: str, right_id: str, k: int = 1, finest: float = 1.0, levels: int = 16, direct: int = 4096) -> DataFrame:
-    """The k right rows of a key whose vectors are nearest by sum of absolute differences, ties by id; exact, with at most ``direct`` comparisons a row or by cells.
+    """The k right rows of a key whose vectors are nearest by sum of absolute differences, ties by id; exact, with at most ``direct`` comparisons a vector or by cells.
 
     A row is not its own neighbour: rows whose ids are equal are left out, and
-    ids are those of one right row of a key. Rows of a key with up to
-    ``direct`` right rows are compared with each of these. For the others space
-    is cut into cells of ``levels`` widths, each twice the one before from
-    ``finest`` on, and one of everything. A few right rows of each cell bound
-    how far the k nearest can be; then only the cells within that radius are
-    met, of the least width that is no narrower than it. Equal vectors are
-    searched once. ``direct`` and the widths decide the work, not the result.
-    Rows without an id or a vector are left out.
+    ids are those of one right row of a key. Equal vectors of a key are
+    searched once, and met once with the k + 1 rows of least id. Vectors of
+    keys with up to ``direct`` such right rows are compared with each of these,
+    in blocks of ``BLOCK`` vectors. For the others space is cut into cells of
+    ``levels`` widths, each twice the one before from ``finest`` on, and one of
+    everything. A few right rows of each cell bound how far the k nearest can
+    be; then only the cells within that radius are met, of the least width that
+    is no narrower than it. ``direct`` and the widths decide the work, not the
+    result. Rows without an id or a vector are left out.
     """
     known = left.where(F.col(left_vec).isNotNull() & F.col(left_id).isNotNull()).withColumn("_here", F.col(left_vec))
     rest = [c for c in right.columns if c not in keys]
     points = right.where(F.col(right_vec).isNotNull() & F.col(right_id).isNotNull())
     points = points.select(*keys, F.col(right_vec).alias("_there"), F.col(right_id).alias("_id"), F.struct(*rest).alias("_row"))
-    large = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > direct).select(*keys)
-    here, there = known.join(large, keys, "left_semi"), points.join(large, keys, "left_semi")
     # of equal right vectors, at most k rows and the row itself can be among the nearest
-    there = _first(there, [*keys, "_there"], k + 1, "_id")
-    asked = here.select(*keys, "_here")
-    near = _first(_within(_radius(asked, there, keys, k + 1, finest, levels), there, keys, finest, levels), [*keys, "_here"], k + 1, "distance", "_id")
-    by_cells = here.join(near, [*keys, "_here"])
-    by_cells = _first(by_cells.where(F.col(left_id) != F.col("_id")), [*keys, left_id], k, "distance", "_id", place="place")
-    # the others' right rows are at most ``direct`` a key and meet a left row as one array
-    held = points.join(large, keys, "left_anti").groupBy(*keys).agg(F.collect_list(F.struct("_there", "_id", "_row")).alias("_held"))
-    met = known.join(held, keys)
-    far = F.transform("_held", lambda x, i: F.when(x["_id"] != F.col(left_id), F.struct(cityblock(F.col("_here"), x["_there"]).alias("distance"), x["_id"].alias("_id"), i.alias("_at"))))
-    met = met.select(*keys, *[c for c in left.columns if c not in keys], F.posexplode(F.transform(F.slice(F.sort_array(F.array_compact(far)), 1, k), lambda x: F.struct(x["distance"].alias("distance"), F.get("_held", x["_at"])["_row"].alias("_row")))))
-    by_pairs = met.select(*left.columns, "col._row", "col.distance", (F.col("pos") + 1).alias("place"))
-    shown = [*left.columns, *[F.col(f"_row.{c}").alias(c) for c in rest], "distance", "place"]
-    return by_pairs.select(*shown).unionByName(by_cells.select(*shown))
+    there = _first(points, [*keys, "_there"], k + 1, "_id").drop("_n")
+    asked = known.select(*keys, "_here").distinct()
+    large = there.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > direct).select(*keys)
+    far, wide = asked.join(large, keys, "left_semi"), there.join(large, keys, "left_semi")
+    by_cells = _first(_within(_radius(far, wide, keys, k + 1, finest, levels), wide, keys, finest, levels), [*keys, "_here"], k + 1, "distance", "_id")
+    by_pairs = _by_blocks(asked.join(large, keys, "left_anti"), there.join(large, keys, "left_anti"), keys, k + 1)
+    near = by_cells.select(*keys, "_here", "_id", "_row", "distance").unionByName(by_pairs)
+    # the k + 1 nearest of a vector as one array, of which each of its rows takes the first k others
+    lists = near.groupBy(*keys, "_here").agg(F.array_sort(F.collect_list(F.struct("distance", "_id", "_row")), _by("distance", "_id")).alias("_near"))
+    others = F.slice(F.filter("_near", lambda x: x["_id"] != F.col(left_id)), 1, k)
+    met = known.join(lists, [*keys, "_here"]).select(*left.columns, F.posexplode(others).alias("_at", "_one"))
+    return met.select(*left.columns, *[F.col(f"_one._row.{c}").alias(c) for c in rest], F.col("_one.distance").alias("distance"), (F.col("_at") + 1).alias("place"))
+
+
+#: Left vectors that meet the right rows of their key at once.
+BLOCK = 512
+
+
+def _by_blocks(asked: DataFrame, points: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k nearest points of each vector of ``asked``, by all pairs of a key; distances add up from the first place on."""
+    block = F.pmod(F.xxhash64("_here"), F.greatest(F.lit(1), F.ceil(F.col("_asked") / BLOCK)))
+    sizes = asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_asked"))
+    blocks = asked.join(sizes, keys).withColumn("_block", block).groupBy(*keys, "_block").agg(F.collect_list("_here").alias("_heres"))
+    # ids as their places in order: numbers whatever their type
+    held = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_id", "_there", "_row")), _by("_id")).alias("_held"))
+    met = blocks.join(held, keys)
+
+    @F.pandas_udf("array<struct<at:array<int>,distance:array<double>>>")
+    def nearest(heres: pd.Series, theres: pd.Series) -> pd.Series:
+        return pd.Series([_nearest(_matrix(a), _matrix(b), k) for a, b in zip(heres, theres, strict=True)])
+
+    found = met.withColumn("_found", nearest("_heres", F.transform("_held", lambda x: x["_there"])))
+    one = found.select(*keys, "_held", F.explode(F.arrays_zip("_heres", "_found")).alias("_one"))
+    each = one.select(*keys, F.col("_one._heres").alias("_here"), F.explode(F.arrays_zip(F.transform("_one._found.at", lambda i: F.get("_held", i)), "_one._found.distance")).alias("_p"))
+    return each.select(*keys, "_here", F.col("_p.0._id").alias("_id"), F.col("_p.0._row").alias("_row"), F.col("_p.distance").alias("distance"))
+
+
+def _by(*fields: str):
+    """The order of structs by some of their fields."""
+
+    def compared(x: Column, y: Column) -> Column:
+        out = F.lit(0)
+        for f in reversed(fields):
+            out = F.when(x[f] < y[f], -1).when(x[f] > y[f], 1).otherwise(out)
+        return out
+
+    return compared
+
+
+def _matrix(vectors) -> np.ndarray:
+    return np.stack([np.asarray(v, float) for v in vectors])
+
+
+def _nearest(here: np.ndarray, there: np.ndarray, k: int) -> list[dict]:
+    """Places and distances of the k nearest of ``there``, ties by place."""
+    distance = np.zeros((len(here), len(there)))
+    for j in range(here.shape[1]):
+        distance += np.abs(here[:, j, None] - there[None, :, j])
+    n, out = min(k, len(there)), []
+    most = np.partition(distance, n - 1, axis=1)[:, n - 1]
+    for d, bound in zip(distance, most, strict=True):
+        at = np.flatnonzero(~(d > bound))  # no number comes last
+        at = at[np.argsort(d[at], kind="stable")][:n]
+        out.append({"at": at.astype(np.int32), "distance": d[at]})
+    return out
 
 
 def _first(df: DataFrame, keys: list[str], n: int, *order: str, place: str = "_n") -> DataFrame:

@@ -373,6 +373,17 @@ def test_cityblock_nearest_is_exact(spark):
     assert joins.cityblock_nearest(holes, right, ["k"], "a", "b", "l", "r").count() == 0
 
 
+def test_cityblock_copies_are_met_once(spark, monkeypatch):
+    """Three vectors of many rows are within ``direct`` right rows, so they need no cells."""
+    within = joins._within
+    monkeypatch.setattr(joins, "_within", lambda *a: within(*a).limit(0))
+    df = spark.range(600).select(F.lit(1).alias("k"), "id", F.array((F.col("id") % 3).cast("double"), F.lit(0.0)).alias("v"))
+    left, right = df.select("k", F.col("id").alias("l"), F.col("v").alias("a")), df.select("k", F.col("id").alias("r"), F.col("v").alias("b"))
+    found = {(r.l, r.place): (r.r, r.distance) for r in joins.cityblock_nearest(left, right, ["k"], "a", "b", "l", "r", 2, direct=16).collect()}
+    assert len(found) == 1200
+    assert all((found[i, 1], found[i, 2]) == tuple((j, 0.0) for j in range(i % 3, 12, 3) if j != i)[:2] for i in range(600))
+
+
 def learned_frame(n=240, seed=3):
     rng = np.random.default_rng(seed)
     x = rng.uniform(-2, 2, (n, 3))
