@@ -105,7 +105,7 @@ _SUMS = {"q": "sum(l_quantity)", "n": "count(*)", "d": "sum(l_linenumber)", "u":
 
 def frames_assembly(spark, sf_dir):
     """Six frames of players and two of teams of each order as one JSON document, read back, checked and put side by side."""
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("game"), F.col("l_suppkey").alias("player"), (F.col("l_suppkey") % 2).alias("team"), "l_quantity", "l_linenumber")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("game"), F.col("l_suppkey").alias("player"), (F.col("l_suppkey") % 2).alias("team"), "l_quantity", "l_linenumber").repartition("game")
     sums = [F.expr(e).cast("double").alias(k) for k, e in _SUMS.items()]
     players, teams = li.groupBy("game", "player", "team").agg(*sums), li.groupBy("game", "team").agg(*sums)
     cells = lambda *c: F.array(*[F.col(x).cast("string") for x in c])
@@ -123,8 +123,7 @@ def frames_assembly(spark, sf_dir):
     mine = {name: keys | {h: "double" for h in own} for name, own in PLAYER_FRAMES.items()}
     both = {"TeamStats": {"TEAM_ID": "bigint", "TEAM_QTY": "double"}, "TeamTrack": {"TEAM_ID": "bigint", "TEAM_DIST": "double"}}
     rows = resultset.result_rows(docs, "doc", ["game"])
-    own, team = assembly.assembled(rows, "game", mine, both, {"PlayerTrack": ["DIST"]})
-    whole = own.join(team, ["game", "TEAM_ID"])
+    whole = assembly.assembled_whole(rows, "game", mine, both, {"PlayerTrack": ["DIST"]})
     return whole.select("game", F.col("PLAYER_ID").alias("player"), F.col("TEAM_ID").alias("team"), *[F.col(h).alias(h.lower()) for o in PLAYER_FRAMES.values() for h in o], F.col("TEAM_QTY").alias("team_qty"), F.col("TEAM_DIST").alias("team_dist"))
 
 

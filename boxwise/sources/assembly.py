@@ -8,26 +8,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwise.operators.joins import frame_merge
-from boxwise.sources.resultset import frame
+from boxwise.sources.resultset import typed
 
 PLAYER, TEAM = "PLAYER_ID", "TEAM_ID"
 
 
-def complete_games(rows: DataFrame, game: str, frames: list[str], required: Mapping[str, list[str]], teams: str = "TeamStats") -> DataFrame:
-    """Games that have rows of each of ``frames``, just two of ``teams``, and every required column in each row of its frame."""
+def _completeness(frames: list[str], required: Mapping[str, list[str]], teams: str) -> tuple[list[Column], Column]:
+    """Counts of a game's rows, and whether these make it whole."""
     of = lambda n: F.col("name") == n
-    wanted = [F.count_if(of(n)).alias(f"_n{k}") for k, n in enumerate(frames)] + [F.count_if(of(teams)).alias("_teams")]
     lacks = [of(n) & ~F.map_contains_key("cells", c) for n, columns in required.items() for c in columns]
     lacking = reduce(lambda a, b: a | b, lacks, F.lit(False))
-    counted = rows.groupBy(game).agg(*wanted, F.count_if(lacking).alias("_lacking"))
+    counts = [F.count_if(of(n)).alias(f"_n{k}") for k, n in enumerate(frames)] + [F.count_if(of(teams)).alias("_teams"), F.count_if(lacking).alias("_lacking")]
     whole = reduce(lambda a, b: a & b, [F.col(f"_n{k}") > 0 for k in range(len(frames))], F.col("_teams") == 2)
-    return counted.where(whole & (F.col("_lacking") == 0)).select(game)
+    return counts, whole & (F.col("_lacking") == 0)
+
 
+def complete_games(rows: DataFrame, game: str, frames: list[str], required: Mapping[str, list[str]], teams: str = "TeamStats") -> DataFrame:
+    """Games that have rows of each of ``frames``, just two of ``teams``, and every required column in each row of its frame."""
+    counts, whole = _completeness(frames, required, teams)
+    return rows.groupBy(game).agg(*counts).where(whole).select(game)
 
-def assembled(
-    rows: DataFrame, game: str, player_frames: Mapping[str, Mapping[str, str]], team_frames: Mapping[str, Mapping[str, str]], required: Mapping[str, list[str]] | None = None, teams: str = "TeamStats"
-) -> tuple[DataFrame, DataFrame]:
+
+Frames = Mapping[str, Mapping[str, str]]
+
+
+def assembled(rows: DataFrame, game: str, player_frames: Frames, team_frames: Frames, required: Mapping[str, list[str]] | None = None, teams: str = "TeamStats") -> tuple[DataFrame, DataFrame]:
     """(players, teams): the frames of complete games side by side, from rows of result sets (``result_rows``).
 
     ``*_frames``: for each result set its columns and their types. Frames of
@@ -35,22 +40,45 @@ def assembled(
     player merges on the team instead, and so gives its values to all of the
     team's players. Of columns that clash those of the first frame stay. Rows
     that a frame lacks go, as in an inner join; a game that lacks a frame, has
-    other than two team rows, or lacks a required column goes whole.
+    other than two team rows, or lacks a required column goes whole. A game's
+    rows meet once, as one array for each frame, and merge where they are.
     """
-    names = [*player_frames, *team_frames]
-    whole = rows.where(F.col("name").isin(names)).join(complete_games(rows, game, names, required or {}, teams), game, "left_semi")
-
-    def side(frames: Mapping[str, Mapping[str, str]], key: str) -> DataFrame:
-        # a frame by team comes last, so that the others have brought the team
-        ordered = sorted(frames.items(), key=lambda x: key not in x[1])
-        made = [frame(whole, name, dict(columns), [game]) for name, columns in ordered]
-        out = made[0]
-        for other in made[1:]:
-            on = [game, key if key in other.columns else TEAM]
-            out = frame_merge([out, other], on)
-        return out
-
-    return side(player_frames, PLAYER), side(team_frames, TEAM)
+    held = _gathered(rows, game, {**player_frames, **team_frames}, required or {}, teams)
+    return tuple(_merged(held, game, _steps(frames, key)) for frames, key in ((player_frames, PLAYER), (team_frames, TEAM)))
+
+
+def assembled_whole(rows: DataFrame, game: str, player_frames: Frames, team_frames: Frames, required: Mapping[str, list[str]] | None = None, teams: str = "TeamStats") -> DataFrame:
+    """The players of ``assembled`` beside their teams: the join of both on the game and the team, without a second reading."""
+    held = _gathered(rows, game, {**player_frames, **team_frames}, required or {}, teams)
+    return _merged(held, game, [*_steps(player_frames, PLAYER), *_steps(team_frames, TEAM)])
+
+
+def _gathered(rows: DataFrame, game: str, frames: Frames, required: Mapping[str, list[str]], teams: str) -> DataFrame:
+    """One row for each complete game with an array of typed rows for each frame, in the frame's name."""
+    counts, whole = _completeness(list(frames), required, teams)
+    arrays = [F.collect_list(F.when(F.col("name") == name, F.struct(*typed(columns)))).alias(f"_{name}") for name, columns in frames.items()]
+    known = rows.where(F.col("name").isin(list(frames)) & F.col(game).isNotNull())
+    return known.groupBy(game).agg(*counts, *arrays).where(whole).select(game, *[f"_{name}" for name in frames])
+
+
+def _steps(frames: Frames, key: str) -> list[tuple[str, Mapping[str, str], str]]:
+    """(frame, columns, key) in the order of merging: a frame by team comes last, so that the others have brought the team."""
+    return [(name, columns, key if key in columns else TEAM) for name, columns in sorted(frames.items(), key=lambda x: key not in x[1])]
+
+
+def _equal(key: str):
+    return lambda s: s[key] == F.col(key)
+
+
+def _merged(held: DataFrame, game: str, steps: list[tuple[str, Mapping[str, str], str]]) -> DataFrame:
+    out, have = held, []
+    for name, columns, key in steps:
+        new, met = [c for c in columns if c not in have], F.col(f"_{name}")
+        if key in have and key in columns:
+            met = F.filter(met, _equal(key))
+        out = out.withColumn("_row", F.explode(met)).withColumns({c: F.col("_row")[c] for c in new})
+        have += new
+    return out.select(game, *have)
 
 
 TABLE_SCHEMA = "struct<results struct<collection1 array<map<string,string>>>>"

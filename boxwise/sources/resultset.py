@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,12 @@ def result_rows(df: DataFrame, json_col: str, keep: list[str] | None = None) ->
 
 def frame(rows: DataFrame, name: str, columns: dict[str, str], keep: list[str] | None = None) -> DataFrame:
     """The rows of one result set with the given columns and types; what cannot be read as its type is null."""
-    cell = lambda c, t: F.try_element_at("cells", F.lit(c)).try_cast(t).alias(c)
-    return rows.where(F.col("name") == name).select(*(keep or []), *[cell(c, t) for c, t in columns.items()])
+    return rows.where(F.col("name") == name).select(*(keep or []), *typed(columns))
+
+
+def typed(columns: Mapping[str, str]) -> list[Column]:
+    """The cells of a row by header, as their types."""
+    return [F.try_element_at("cells", F.lit(c)).try_cast(t).alias(c) for c, t in columns.items()]
 
 
 def valid_game(rows: DataFrame, game: str, players: str = "PlayerStats", teams: str = "TeamStats") -> DataFrame:

@@ -96,6 +96,19 @@ def doc(*sets):
     return json.dumps({"resultSets": [{"name": n, "headers": h, "rowSet": r} for n, h, r in sets]})
 
 
+def test_assembly_reads_and_shuffles_the_rows_once(spark):
+    cells = lambda **c: {k: str(v) for k, v in c.items()}
+    rows = [(1, "P", 0, cells(PLAYER_ID=7, TEAM_ID=1, A=2)), (1, "P", 1, cells(PLAYER_ID=8, TEAM_ID=2, A=3)), (1, "Q", 0, cells(PLAYER_ID=7, B=4)), (1, "Q", 1, cells(PLAYER_ID=7, B=5)), (1, "R", 0, cells(TEAM_ID=1, C=6))]
+    rows += [(1, "TeamStats", k, cells(TEAM_ID=k + 1, W=k)) for k in range(2)]
+    df = spark.createDataFrame(rows, "game bigint, name string, place int, cells map<string,string>")
+    big = lambda *names: dict.fromkeys(names, "bigint")
+    frames = {"R": big("TEAM_ID", "C"), "P": big("PLAYER_ID", "TEAM_ID", "A"), "Q": big("PLAYER_ID", "B")}
+    whole = assembly.assembled_whole(df, "game", frames, {"TeamStats": big("TEAM_ID", "W")})
+    assert sorted(map(tuple, whole.select("PLAYER_ID", "TEAM_ID", "A", "B", "C", "W").collect())) == [(7, 1, 2, 4, 6, 0), (7, 1, 2, 5, 6, 0)]
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
 def test_assembly_drops_games_that_are_not_whole(spark):
     players = ("PlayerStats", ["PLAYER_ID", "TEAM_ID", "PTS"], [["7", "1", "10"], ["8", "2", "12"]])
     more = ("PlayerTrack", ["PLAYER_ID", "DIST", "PTS"], [["7", "2.5", "99"], ["8", "x", "99"]])
