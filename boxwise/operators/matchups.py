@@ -177,10 +177,18 @@ def contest_players(players: DataFrame, games: DataFrame, game: str, pid: str, r
     return joined.withColumn("side", side).where("side is not null").drop(home, away)
 
 
-def stub_rows(games: DataFrame, roster: DataFrame, actual: DataFrame, game: str, team: str) -> DataFrame:
-    """Rows of players of games that are yet to come: their roster's, with null stats, where the game has no actual rows."""
+def stub_rows(games: DataFrame, roster: DataFrame, actual: DataFrame, game: str, team: str, slices: int = 32, parts: int = 256) -> DataFrame:
+    """Rows of players of games that are yet to come: their roster's, with null stats, where the game has no actual rows.
+
+    A team's games are dealt into ``slices`` by their hash, each of which meets
+    the whole roster, and these to ``parts`` partitions; both decide the work
+    and not the result.
+    """
     upcoming = games.join(actual.select(game).distinct(), game, "left_anti")
-    stubs = upcoming.join(roster, team)
+    dealt = upcoming.withColumn("_slice", F.pmod(F.xxhash64(game), F.lit(slices)).cast("int"))
+    each = roster.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    # by number, so that adaptive execution does not join small inputs of a large result to a few tasks
+    stubs = dealt.repartition(parts, team, "_slice").join(each.repartition(parts, team, "_slice"), [team, "_slice"])
     return actual.unionByName(stubs.select(*[c for c in stubs.columns if c in actual.columns]), allowMissingColumns=True)
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxwise.functions import scalars, stats
-from boxwise.operators import features, joins, merge, ml, possessions, processes, ranges, roster, serve, vectors, windows
+from boxwise.operators import features, joins, matchups, merge, ml, possessions, processes, ranges, roster, serve, vectors, windows
 
 
 def day(n):
@@ -520,3 +520,12 @@ def test_fuzzy_dates_make_each_pair_once_in_many_partitions(spark):
     assert sorted(map(tuple, found.collect())) == want
     one = joins.fuzzy_dates(a.where("grp = 1"), b.where("grp = 1"), ["grp"], "a_day", "b_day")
     assert one.select(F.spark_partition_id()).distinct().count() > 10
+
+
+def test_stub_rows_of_one_team_are_dealt_to_many_tasks(spark):
+    games = spark.range(200).select(F.col("id").alias("game"), F.lit(1).alias("grp"))
+    roster = spark.range(5).select((F.col("id") + 10).alias("player"), F.lit(1).alias("grp"))
+    actual = spark.createDataFrame([(3, 99, 1.5)], "game bigint, player bigint, qty double")
+    found = matchups.stub_rows(games, roster, actual, "game", "grp").select("game", "player", "qty")
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(3, 99, 1.5), *((g, p, None) for g in range(200) if g != 3 for p in range(10, 15))], key=str)
+    assert found.where("qty is null").select(F.spark_partition_id()).distinct().count() > 10
