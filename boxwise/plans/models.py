@@ -10,7 +10,7 @@ from boxwise.functions import scalars, stats
 from boxwise.operators import features, joins, ml, neural, possessions, processes, roster, windows
 from boxwise.plans.base import GAMES, games, half_sql, half_up, r4
 from boxwise.plans.profiles import ORDER
-from boxwise.sources.tables import table
+from boxwise.sources.tables import dealt, table
 
 
 def interval_baseline(spark, sf_dir):
@@ -231,10 +231,11 @@ SQL_SCALE = f"WITH {GAMES}, " + "i AS (SELECT game, coalesce(qty, avg(qty) OVER
 
 def possession_box(spark, sf_dir):
     """The formulas on box scores made from line items: suppliers are players, odd and even ones are the teams."""
-    li = table(spark, sf_dir, "lineitem")
+    # all that follows groups by order, or by order and more, where its lines are
+    li = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity"), "l_orderkey").withColumnRenamed("l_orderkey", "game")
     q = F.col("l_quantity")
     parts = {"MP": q + 8, "FGM": q / 5 + 1, "FGA": q / 2 + 3, "FG3M": q / 20, "FTM": q / 10 + 1, "FTA": q / 8 + 2, "ORB": q / 10 + 1, "DRB": q / 4 + 1, "AST": q / 9, "STL": q / 30, "BLK": q / 25, "TOV": q / 20 + 1, "PF": q / 15 + 1, "PTS": q / 2 + 3}
-    box = li.groupBy(F.col("l_orderkey").alias("game"), F.col("l_suppkey").alias("player")).agg(*[F.sum(v).alias(k) for k, v in parts.items()])
+    box = li.groupBy("game", F.col("l_suppkey").alias("player")).agg(*[F.sum(v).alias(k) for k, v in parts.items()])
     both = possessions.with_totals(box.withColumn("team", F.col("player") % 2), "game", "team")
     out = possessions.possession_columns(both)
     return out.select("game", "player", *[(F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("TotPoss", "Stops", "StopPercent", "PProd", "FloorPercent", "ORtg")])

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from boxwise.sources import features_csv, html, resultset
+from boxwise.sources import features_csv, html, resultset, tables
 from boxwise.sources.store import KeyedTable
 from boxwise.streaming import jobs
 
@@ -95,3 +95,11 @@ def test_a_dead_write_is_not_in_the_way(spark, tmp_path):
         t.append(row(1, "again"))
     t.refresh(row(3, "c"), dt.datetime(2024, 1, 1))
     assert sorted(r["k"] for r in t.read().collect()) == [1, 2, 3]
+
+
+def test_partitions_follow_the_rows(spark):
+    """So a task's memory does not grow with the table; equal keys stay together."""
+    df = spark.range(5000).withColumn("k", F.col("id") % 50)
+    held = tables.dealt(df, "k", 500)
+    assert held.rdd.getNumPartitions() == 10 and tables.dealt(df, "k").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert held.select("k", F.spark_partition_id().alias("p")).distinct().count() == 50
