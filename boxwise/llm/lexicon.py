@@ -37,16 +37,15 @@ def word_counts(docs: DataFrame, text_col: str, held: int = 200_000) -> DataFram
         n: Counter[str | None] = Counter()
         for batch in batches:
             for text in batch.column(0):
-                words = Counter(WORDS.findall((text.as_py() or "").lower()))
-                for word in [w for w in words if len(w) > LONGEST]:
-                    n[None] += words.pop(word)
-                n.update(words)
+                n.update(WORDS.findall((text.as_py() or "").lower()))
                 if len(n) >= held:
                     yield from handed_on(n)
                     n.clear()
         yield from handed_on(n)
 
     def handed_on(n: Counter[str | None]) -> Iterator[pa.RecordBatch]:
+        for word in [w for w in n if w is not None and len(w) > LONGEST]:
+            n[None] += n.pop(word)
         words = list(n)
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
