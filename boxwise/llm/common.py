@@ -64,6 +64,19 @@ def in_small_batches(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(released, schema)
 
 
+def in_parts(texts: list[str | None], size: int = 200_000) -> Iterator[list[str]]:
+    """Texts, null as empty, in lists of about ``size`` characters."""
+    held, n = [], 0
+    for text in texts:
+        held.append(text or "")
+        n += len(held[-1])
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 1 on division by 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -13,12 +13,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwise.llm.common import in_small_batches, written
+from boxwise.llm.common import in_parts, in_small_batches, written
 
 WORDS = re.compile(r"[^\W\d_]+")
+#: Of the first 128 code points those that are in no word.
+NO_LETTERS = "".join(c for c in map(chr, range(128)) if not c.isalpha())
 #: Longer runs of letters count among all words but are never known.
 LONGEST = 64
 #: Code points that are not seen (zero-width space, word joiner, byte order mark, soft hyphen).
@@ -26,30 +29,45 @@ UNSEEN = "\u200b\u2060\ufeff\u00ad"
 REPEATS = re.compile(r"(.)\1+", re.S)
 
 
+def distinct_words(text: str) -> set[str]:
+    """The words of a text, each once. What stands between blanks is looked at once as well, and only searched if it is no word as it is."""
+    parts = set(text.split())
+    words = set(filter(str.isalpha, parts))
+    words.update(WORDS.findall(" ".join(parts - words)))
+    return words
+
+
 def word_counts(docs: DataFrame, text_col: str, held: int = 200_000) -> DataFrame:
     """(word, n): how often each word occurs in all texts, in lower case; null for the words longer than ``LONGEST``.
 
-    A task adds up and hands on its counts whenever it holds ``held`` words, so
-    its memory does not grow with the corpus.
+    A task counts what stands between blanks, without the signs around it, and
+    looks for words in each distinct part of these only. It hands on its counts
+    whenever it holds ``held`` parts, so its memory does not grow with the corpus.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter[str | None] = Counter()
+        n = no_parts = pa.table({"part": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
         for batch in batches:
-            for text in batch.column(0):
-                n.update(WORDS.findall((text.as_py() or "").lower()))
-                if len(n) >= held:
+            for texts in in_parts(batch.column(0).to_pylist(), 2_000_000):
+                parts = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.string())).flatten()
+                found = pc.ascii_trim(parts, characters=NO_LETTERS).value_counts()
+                n = pa.concat_tables([n, pa.table({"part": found.field(0), "n": found.field(1)})])
+                if n.num_rows >= held:
+                    n = n.group_by("part", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+                if n.num_rows >= held:
                     yield from handed_on(n)
-                    n.clear()
+                    n = no_parts
         yield from handed_on(n)
 
-    def handed_on(n: Counter[str | None]) -> Iterator[pa.RecordBatch]:
-        for word in [w for w in n if w is not None and len(w) > LONGEST]:
-            n[None] += n.pop(word)
-        words = list(n)
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([n[w] for w in part], pa.int64())], ["word", "n"])
+    def handed_on(parts: pa.Table) -> Iterator[pa.RecordBatch]:
+        as_it_is = pc.and_(pc.ascii_is_alpha(parts["part"]), pc.less_equal(pc.binary_length(parts["part"]), LONGEST))
+        words, rest = parts.filter(as_it_is), parts.filter(pc.invert(as_it_is))
+        n: Counter[str | None] = Counter()
+        for part, times in zip(rest["part"].to_pylist(), rest["n"].to_pylist(), strict=True):
+            for word in WORDS.findall(part):
+                n[word if len(word) <= LONGEST else None] += times
+        for table in (words.rename_columns(["word", "n"]), pa.table({"word": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64())})):
+            yield from table.combine_chunks().to_batches(20_000)
 
     return in_small_batches(docs.select(F.col(text_col).cast("string")), counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -112,11 +130,12 @@ class Lexicon:
     def split(self, letters: str, single: float = 14.0) -> str | None:
         """The likeliest division of letters into known words and single letters; None without a known word of three letters."""
         best: list[tuple[float, int]] = [(0.0, 0)]
+        counts, total, longest = self.counts, self.total, self.longest
         for end in range(1, len(letters) + 1):
             options = [(best[end - 1][0] + single, end - 1)]
-            for at in range(max(0, end - self.longest), end - 1):
-                if n := self.count(letters[at:end]):
-                    options.append((best[at][0] + math.log(self.total / n), at))
+            for at in range(max(0, end - longest), end - 1):
+                if (word := letters[at:end]) in counts and (n := counts[word]):
+                    options.append((best[at][0] + math.log(total / n), at))
             best.append(min(options))
         words, end = [], len(letters)
         while end:

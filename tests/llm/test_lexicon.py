@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from boxwise.llm import lexicon, toxicity
@@ -103,3 +104,46 @@ def test_planted_disguises_come_back(restore):
         planted = [(w, d) for w in words for _ in range(40) if (d := disguised(w, how, draw)) != w]
         rates.append(sum(judged(f"the {d}, and") == f"the {w}, and" for w, d in planted) / len(planted))
     assert min(rates) >= 0.9 and sum(rates) / 4 >= 0.95
+
+
+def test_words_with_the_same_end_are_decoded_once(restore, monkeypatch):
+    """Signs at the end depend on the three letters before them alone, in each way of reading, and are not decoded for each word."""
+    calls = []
+    decode = toxicity._decode
+    monkeypatch.setattr(toxicity, "_decode", lambda *args: calls.append(1) or decode(*args))
+    letters = "bdfgklmnprtvz"
+    words = [f"{a}u{b}{c}ano" for a in letters for b in letters for c in letters if b != c] + [f"{a}é{b}ano" for a in letters for b in letters]
+    ends = ("$$$", "!!", "***")
+    known = restore[1]
+    model = np.log(np.full(toxicity.CODES**toxicity.ORDER, 1 / toxicity.CODES, np.float32))
+    judged = toxicity.batch_restorer(model, lexicon=known)
+    got = judged([f"the {word}{end} and" for word in words for end in ends])
+    assert len(got) == len(words) * len(ends) and len(calls) <= 30
+
+
+@pytest.mark.parametrize("end", ["$", "$$$", "!!", "10", ".$$", "|1!", "5!.5"])
+@pytest.mark.parametrize("letters", ["stupid", "éano", "añoé", "x²y", "ıdio", "idiо", "ab"])
+def test_ends_decoded_alone_are_those_of_the_whole_span(restore, spark, letters, end):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 100")
+    model = toxicity.language_model(toxicity.char_counts(docs, "text"))
+    in_parts = toxicity._restore_in_parts(model, True)
+    for plain_ends in (False, True):
+        assert in_parts(letters + end, plain_ends) == toxicity._cheapest(toxicity._readings(letters + end, True, plain_ends), letters + end, model, 0)
+
+
+def test_distinct_words_are_those_of_the_whole_text():
+    draw = random.Random(3)
+    signs = "abé²½ñσΣıİ_1٣-.,;:'$*  \t\n\x1c\x85\u00a0\u200b\u2003\U0001d400\U00010400"
+    for _ in range(2000):
+        text = "".join(draw.choices(signs, k=draw.randrange(40))).lower()
+        assert lexicon.distinct_words(text) == set(lexicon.WORDS.findall(text))
+
+
+def test_odd_parts_are_counted_as_their_words(spark):
+    draw = random.Random(4)
+    signs = "abAé²½ñσΣıİ_1٣-.,;:'$*  \t\n\x00\x1c\x85\u00a0\u200b\u2003\U0001d400\U00010400"
+    texts = ["".join(draw.choices(signs, k=draw.randrange(60))) for _ in range(500)] + ["ab-" * 50, "é" * 65 + " " + "é" * 64, "_" + "c" * 65 + "1"]
+    want = Counter(w if len(w) <= lexicon.LONGEST else None for t in texts for w in lexicon.WORDS.findall(t.lower()))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for held in (1, 50, 200_000):
+        assert {r["word"]: r["n"] for r in lexicon.word_counts(docs, "text", held).collect()} == want
