@@ -129,12 +129,24 @@ def split_by_filter(df: DataFrame, key: str, bitmaps: DataFrame, bits: int) -> t
     return flagged.where("not _maybe").drop("_maybe"), flagged.where("_maybe").drop("_maybe")
 
 
-def without(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:
-    """The rows of ``df`` whose key is not in ``keys`` (one column of the same name).
+def bits_for(keys: int, least: int = 1 << 16, most: int = 1 << 28) -> int:
+    """A power of two with 16 bits for each key, within bounds."""
+    return min(most, max(least, 1 << (16 * keys).bit_length()))
+
+
+def few_asked(keys: DataFrame) -> int:
+    """Bits of a filter of ``keys`` that lets hardly any other key through, 8 MB at most: few keys make a small broadcast."""
+    return bits_for(4 * keys.count(), most=1 << 26)
+
+
+def without(df: DataFrame, key: str, keys: DataFrame, bits: int | None = None) -> DataFrame:
+    """The rows of ``df`` whose key is not in ``keys`` (one column of the same name), which are read more than once.
 
     Only rows that the bitmap of keys lets through are joined, so wide rows
     are not shuffled to find out that they stay. Rows with a null key stay.
+    ``bits``, the size of that bitmap, else follows from the number of keys.
     """
+    bits = bits or few_asked(keys)
     rows = df.select(F.col(key).alias("key"), F.struct("*").alias("row"))  # kept apart from the filter's names
     gone = keys.select(F.col(key).alias("key"))
     stay, asked = split_by_filter(rows, "key", key_filter(gone, "key", bits), bits)
@@ -159,6 +171,13 @@ def _bit(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(bits)) + 1
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each node of distinct edges (a, b), b the lesser, is either the centre of a star or has one edge, to its centre."""
+    side = lambda end, up: edges.select(F.col(end).alias("node"), F.lit(up).alias("up"), F.lit(1 - up).alias("down"))
+    ends = side("a", 1).unionByName(side("b", 0)).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not ends.agg(F.max(F.col("up") + F.col("down") * F.signum("up") > 1)).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) for each node, root being its least node.
 
@@ -166,12 +185,11 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours, then its smaller ones, to the least node it sees. Each step is
     a minimum that combines on the map side and a join that AQE may split, so
     a node with very many neighbours does not meet in one task. The edges of
-    each round are written; rounds end when they stay as they are.
+    each round are written; rounds end when all edges make up stars, which
+    edges between the members and the least node of each group do at once.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while (state := now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()) != before:
-        before = state
+    while not are_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # written, so that the join has two plain sides: small ones are broadcast, large hot ones split by AQE
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")

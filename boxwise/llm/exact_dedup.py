@@ -26,7 +26,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwise.llm.common import key_filter, maybe_in, split_by_filter, written
+from boxwise.llm.common import bits_for, key_filter, maybe_in, split_by_filter, written
 
 #: Bits of one of Spark's bitmaps, and digests that share one: about 1 in 16 bits is then set.
 BITMAP_BITS, SLOT_DIGESTS = 1 << 15, 1 << 11
@@ -164,8 +164,3 @@ def exact_dedup(
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         shown.alias("text_sha256"),
     )
-
-
-def bits_for(keys: int, least: int = 1 << 16, most: int = 1 << 28) -> int:
-    """A power of two with 16 bits for each key, within bounds."""
-    return min(most, max(least, 1 << (16 * keys).bit_length()))

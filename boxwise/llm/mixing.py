@@ -30,12 +30,21 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def draw(key: Column, seed: Column | int) -> Column:
-    """A number in [0, 1) for each key and seed: two 32-bit halves of an MD5, combined."""
+def halves(key: Column) -> tuple[Column, Column]:
+    """Two 32-bit halves of the key's MD5."""
     text = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
     half = lambda at: F.conv(F.substring(text, at, 8), 16, 10).cast("bigint")
+    return half(1), half(9)
+
+
+def combined(first: Column, second: Column, seed: Column | int) -> Column:
     step = F.lit(seed) if isinstance(seed, int) else seed
-    return F.pmod(half(1) + half(9) * step, F.lit(1 << 32)) / float(1 << 32)
+    return F.pmod(first + second * step, F.lit(1 << 32)) / float(1 << 32)
+
+
+def draw(key: Column, seed: Column | int) -> Column:
+    """A number in [0, 1) for each key and seed: two 32-bit halves of an MD5, combined."""
+    return combined(*halves(key), seed)
 
 
 def water_filled(sources: DataFrame, weights: tuple[float, ...], share: float, ceiling: float) -> DataFrame:
@@ -75,10 +84,14 @@ def plan_mix(
         .withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
         .withColumnRenamed("source", "by")
     )
-    # few sources are broadcast by AQE, by their measured size; many join by hash
+    # written, as it is read twice: the plans that follow are small, and its size is known
+    # few sources are broadcast by that; many join by hash
+    rates = written(rates, "rates")
     part = F.col("rate") - F.floor("rate")
-    draws = [F.sum(F.when(draw(F.col("id"), k) < part, F.col("size")).otherwise(0)) for k in range(seeds)]
-    totals = sized.join(rates, F.col("source").eqNullSafe(F.col("by"))).groupBy("by").agg(F.array(*draws).alias("drawn"))
+    first, second = halves(F.col("id"))
+    keyed = sized.select("source", "size", first.alias("first"), second.alias("second"))
+    draws = [F.sum(F.when(combined(F.col("first"), F.col("second"), k) < part, F.col("size")).otherwise(0)) for k in range(seeds)]
+    totals = keyed.join(rates, F.col("source").eqNullSafe(F.col("by"))).groupBy("by").agg(F.array(*draws).alias("drawn"))
     plan = rates.join(totals.withColumnRenamed("by", "of"), F.col("by").eqNullSafe(F.col("of"))).drop("of")
     off = F.transform("drawn", lambda x: F.abs(x - part * F.col("source_size")))
     return plan.select(

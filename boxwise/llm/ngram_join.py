@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwise.llm.common import components, in_small_batches, key_filter, maybe_in, written
+from boxwise.llm.common import components, few_asked, in_small_batches, key_filter, maybe_in, written
 from boxwise.llm.shingles import fixed_bytes, minhash_family, runs, shingles, signatures
 
 NODE = 16
@@ -243,7 +243,8 @@ def _verified(
     wanted = written(wanted.join(sizes, "root"), "wanted")
     places = _places(wanted, bands, rows_per_band, block)
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).where("rep is not null")
-    texts = maybe_in(texts, "rep", key_filter(wanted, "rep")).join(wanted.select("rep", "node", "copies", "signature"), "rep")
+    bits = few_asked(wanted)
+    texts = maybe_in(texts, "rep", key_filter(wanted, "rep", bits), bits).join(wanted.select("rep", "node", "copies", "signature"), "rep")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

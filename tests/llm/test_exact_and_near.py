@@ -103,6 +103,26 @@ def test_components_match_union_find(spark):
     assert got == {k: find(k) for k in root if any(k in e and e[0] != e[1] for e in edges)}
 
 
+def test_few_keys_make_a_small_filter(spark, monkeypatch):
+    asked, made = [], common.key_filter
+    monkeypatch.setattr(common, "key_filter", lambda keys, key, bits: asked.append(made(keys, key, bits)) or asked[-1])
+    df = spark.range(30_000).withColumnRenamed("id", "k")
+    assert common.without(df, "k", df.where("k % 10 = 0")).count() == 27_000
+    assert asked[0].count() * 4096 <= 3000 * 16  # bytes of bitmaps, which all reach the driver
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    names, write = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, name: names.append(name) or write(df, name))
+    star = [(1, k) for k in range(2, 9)] + [(20, 21)]
+    got = common.components(spark.createDataFrame(star, "a bigint, b bigint")).collect()
+    assert {r["node"]: r["root"] for r in got} == {k: 1 for k in range(1, 9)} | {20: 20, 21: 20}
+    assert names == ["edges"]
+    chain = spark.createDataFrame([(2, 1), (3, 2)], "a bigint, b bigint")
+    assert not common.are_stars(chain) and not common.are_stars(spark.createDataFrame([(3, 1), (3, 2)], "a bigint, b bigint"))
+    assert common.are_stars(chain.where("a < 0"))
+
+
 def near_truth(rows, t=0.8):
     sets = [set(shingles(x).tolist()) for _, x in rows]
     links = [[j for j in range(len(rows)) if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= t] for i in range(len(rows))]
