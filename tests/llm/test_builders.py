@@ -93,6 +93,12 @@ def test_mix_comes_near_its_targets(spark):
     assert copies == Counter({r["doc_id"]: r["copies"] for r in got if r["copies"]}) and mixing.emit_mix(docs).columns == docs.columns
 
 
+def test_mix_plans_hash_an_id_once(spark):
+    sized = spark.createDataFrame([(k, "ab"[k % 2], k) for k in range(9)], "id bigint, source string, size bigint")
+    plan = mixing.plan_mix(sized)._jdf.queryExecution().optimizedPlan().toString()  # 16 draws share two halves of a digest
+    assert plan.count("md5(") <= 2 and "Window" not in plan
+
+
 def test_mix_edges(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, " \t\n", "b"), (None, "x y", None), (5, "x\u00a0y z", "c"), (5, "x\u00a0y z", "c")], "doc_id bigint, text string, source string")
     got = {(r["doc_id"], r["source"]): (r["size"], r["taken"]) for r in mixing.mix_sources(docs).collect()}
