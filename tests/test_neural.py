@@ -141,3 +141,47 @@ def test_rows_of_many_partitions_are_held_in_few(spark):
     more = neural.compacted(rows, 20)
     assert more.rdd.getNumPartitions() == 15
     more.unpersist()
+
+
+def test_blocks_hold_every_row_once(spark):
+    """Mini-batches as arrays have the rows of the table, cut to size, and give its sums; a batch may be empty."""
+    rows = neural.batched(frame(spark, 300).repartition(7), COLUMNS, "k", 3)
+    want = sorted((r["_batch"], r["_key"], tuple(r["_x"]), r["_label"]) for r in rows.collect())
+    held = neural.held(rows, 4, 40)
+    got = [[block for block in part.collect()] for part in held]
+    assert sorted((b, int(k), tuple(map(float, x)), int(y)) for b, part in enumerate(got) for xs, ks, ys in part for x, k, y in zip(xs, ks, ys, strict=True)) == want
+    assert not got[3] and len(neural.summed(held[3], lambda x, key, label: x.sum(0))) == 0
+    assert all(1 <= part.getNumPartitions() <= 4 for part in held)
+    assert max(len(key) for _, key, _ in neural.blocks(rows, 10).collect()) == 10
+    for b in range(3):
+        sums = neural.summed(rows.where(F.col("_batch") == b), lambda x, key, label: x.sum(0))
+        np.testing.assert_allclose(neural.summed(held[b], lambda x, key, label: x.sum(0)), sums, rtol=1e-12)
+        np.testing.assert_allclose(sums, np.sum([x for c, _, x, _ in want if c == b], axis=0), rtol=1e-12)
+    for part in held:
+        part.unpersist()
+
+
+def test_stacked_descends_until_its_rule_stops_it(spark, monkeypatch):
+    """Left alone, layers are trained for 15 epochs, and the descent ends by its rule, long before the bound on epochs."""
+    run, tune = [], neural.fine_tune
+    monkeypatch.setattr(neural, "fine_tune", lambda *a, **k: run.append(tune(*a, **k)) or run[-1])
+    df = frame(spark, 60).withColumn("y", F.lit(1))  # one class: right after the first epoch, and no better after
+    _, shown, rule = neural.fit_stacked(df, df, COLUMNS, "y", "k", 2, [2], [0.1], batches=1)
+    assert [r["epoch"] for r in shown.orderBy("epoch").collect()] == list(range(15))
+    assert rule.best == 0 and rule.patience == 10 and run[0][2] == 11
+
+
+def test_sdae_fit_gives_its_networks_the_whole_training(spark, sf_dir, monkeypatch):
+    """No epoch of the query's training is cut: each layer has 15 of them, and the bound of the descent is the reference's 1000, after at least 10."""
+    from boxwise.plans.registry import QUERIES
+
+    trained, tuned = [], []
+    monkeypatch.setattr(neural, "_trained", lambda rows, model, rate, level, noise, epochs, *_: trained.append(epochs) or model)
+
+    def tune(train, valid, network, classes, rate, epochs, first=10):
+        tuned.append((len(network.layers), epochs, first))
+        return network, neural.Patience(len(train), first), 0
+
+    monkeypatch.setattr(neural, "fine_tune", tune)
+    assert {r["kind"] for r in QUERIES["sdae_fit"](spark, sf_dir).collect()} == {"stacked", "softmax"}
+    assert trained == [15, 15] and tuned == [(3, 1000, 10), (1, 1000, 10)]
