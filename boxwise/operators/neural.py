@@ -219,7 +219,7 @@ def compacted(rows: DataFrame, in_task: int = 250_000) -> DataFrame:
     return held
 
 
-def blocks(rows: DataFrame, in_block: int = 5000) -> RDD:
+def blocks(rows: DataFrame, in_block: int = 2000) -> RDD:
     """The rows of each partition as blocks of arrays, (x, key, label), of ``in_block`` rows at most, whose layers fit a core's cache."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,16 +236,17 @@ def blocks(rows: DataFrame, in_block: int = 5000) -> RDD:
     return rows.select("_key", "_x", "_label").mapInArrow(packed, "x binary, key binary, label binary").rdd.map(arrays)
 
 
-def held(rows: DataFrame, batches: int = 1, in_task: int = 20_000) -> list[RDD]:
-    """The blocks of each mini-batch, persisted in partitions of about ``in_task`` rows, or as ``compacted`` leaves them if these hold more.
+def held(rows: DataFrame, batches: int = 1, least: int = 20_000, most: int = 250_000) -> list[RDD]:
+    """The blocks of each mini-batch, persisted in a partition for each core, but in fewer if these have under ``least`` rows and in more if over ``most``.
 
     A fit takes hundreds of steps, each a job of one stage over these; from a
     table it would be planned, shuffled and brought into arrays every time.
     """
     whole = compacted(rows)
-    sizes = {r["_batch"]: r["count"] for r in whole.groupBy("_batch").count().collect()}
-    parts = [blocks(whole.where(F.col("_batch") == b)).coalesce(max(1, -(-sizes.get(b, 0) // in_task))).persist(StorageLevel.MEMORY_AND_DISK) for b in range(batches)]
-    rows.sparkSession.sparkContext.union(parts).count()
+    context, sizes = rows.sparkSession.sparkContext, {r["_batch"]: r["count"] for r in whole.groupBy("_batch").count().collect()}
+    number = lambda n: max(1, min(-(-n // least), max(context.defaultParallelism, -(-n // most))))
+    parts = [blocks(whole.where(F.col("_batch") == b)).coalesce(number(sizes.get(b, 0))).persist(StorageLevel.MEMORY_AND_DISK) for b in range(batches)]
+    context.union(parts).count()
     whole.unpersist()
     return parts
 
