@@ -16,13 +16,17 @@ PLAYER, TEAM = "PLAYER_ID", "TEAM_ID"
 def _completeness(frames: list[str], required: Mapping[str, list[str]], teams: str) -> tuple[list[Column], Column]:
     """Counts of a game's rows, and whether these make it whole."""
     of = lambda n: F.col("name") == n
-    lacks = [of(n) & ~F.map_contains_key("cells", c) for n, columns in required.items() for c in columns]
-    lacking = reduce(lambda a, b: a | b, lacks, F.lit(False))
-    counts = [F.count_if(of(n)).alias(f"_n{k}") for k, n in enumerate(frames)] + [F.count_if(of(teams)).alias("_teams"), F.count_if(lacking).alias("_lacking")]
+    counts = [F.count_if(of(n)).alias(f"_n{k}") for k, n in enumerate(frames)] + [F.count_if(of(teams)).alias("_teams"), F.count_if(_lacks(required)).alias("_lacking")]
     whole = reduce(lambda a, b: a & b, [F.col(f"_n{k}") > 0 for k in range(len(frames))], F.col("_teams") == 2)
     return counts, whole & (F.col("_lacking") == 0)
 
 
+def _lacks(required: Mapping[str, list[str]]) -> Column:
+    """Whether a row lacks a required column of its frame."""
+    lacks = [(F.col("name") == n) & ~F.map_contains_key("cells", c) for n, columns in required.items() for c in columns]
+    return reduce(lambda a, b: a | b, lacks, F.lit(False))
+
+
 def complete_games(rows: DataFrame, game: str, frames: list[str], required: Mapping[str, list[str]], teams: str = "TeamStats") -> DataFrame:
     """Games that have rows of each of ``frames``, just two of ``teams``, and every required column in each row of its frame."""
     counts, whole = _completeness(frames, required, teams)
@@ -30,6 +34,8 @@ def complete_games(rows: DataFrame, game: str, frames: list[str], required: Mapp
 
 
 Frames = Mapping[str, Mapping[str, str]]
+#: A frame in the order of merging: its name, the key by which it meets the frames before it (if any), and its columns that these lack.
+Addition = tuple[str, str | None, list[str]]
 
 
 def assembled(rows: DataFrame, game: str, player_frames: Frames, team_frames: Frames, required: Mapping[str, list[str]] | None = None, teams: str = "TeamStats") -> tuple[DataFrame, DataFrame]:
@@ -43,22 +49,35 @@ def assembled(rows: DataFrame, game: str, player_frames: Frames, team_frames: Fr
     other than two team rows, or lacks a required column goes whole. A game's
     rows meet once, as one array for each frame, and merge where they are.
     """
-    held = _gathered(rows, game, {**player_frames, **team_frames}, required or {}, teams)
-    return tuple(_merged(held, game, _steps(frames, key)) for frames, key in ((player_frames, PLAYER), (team_frames, TEAM)))
+    merges = [_additions(_steps(player_frames, PLAYER)), _additions(_steps(team_frames, TEAM))]
+    held = _gathered(rows, game, {**player_frames, **team_frames}, merges, required or {}, teams)
+    return tuple(_merged(held, game, additions) for additions in merges)
 
 
 def assembled_whole(rows: DataFrame, game: str, player_frames: Frames, team_frames: Frames, required: Mapping[str, list[str]] | None = None, teams: str = "TeamStats") -> DataFrame:
     """The players of ``assembled`` beside their teams: the join of both on the game and the team, without a second reading."""
-    held = _gathered(rows, game, {**player_frames, **team_frames}, required or {}, teams)
-    return _merged(held, game, [*_steps(player_frames, PLAYER), *_steps(team_frames, TEAM)])
+    additions = _additions([*_steps(player_frames, PLAYER), *_steps(team_frames, TEAM)])
+    held = _gathered(rows, game, {**player_frames, **team_frames}, [additions], required or {}, teams)
+    return _merged(held, game, additions)
 
 
-def _gathered(rows: DataFrame, game: str, frames: Frames, required: Mapping[str, list[str]], teams: str) -> DataFrame:
-    """One row for each complete game with an array of typed rows for each frame, in the frame's name."""
-    counts, whole = _completeness(list(frames), required, teams)
-    arrays = [F.collect_list(F.when(F.col("name") == name, F.struct(*typed(columns)))).alias(f"_{name}") for name, columns in frames.items()]
+def _gathered(rows: DataFrame, game: str, frames: Frames, merges: list[list[Addition]], required: Mapping[str, list[str]], teams: str) -> DataFrame:
+    """One row for each complete game with an array of typed rows for each frame, in the frame's name.
+
+    Rows are typed before they are grouped, and have only what ``merges`` read
+    of their frame, so that a grouping task holds a few values for each row
+    instead of its names and texts.
+    """
+    read = {(name, c) for additions in merges for name, key, new in additions for c in (key, *new)}
     known = rows.where(F.col("name").isin(list(frames)) & F.col(game).isNotNull())
-    return known.groupBy(game).agg(*counts, *arrays).where(whole).select(game, *[f"_{name}" for name in frames])
+    cells = []
+    for name, columns in frames.items():
+        kept = {c: t for c, t in columns.items() if (name, c) in read} or columns  # a row counts even where nothing of it is read
+        cells.append(F.when(F.col("name") == name, F.struct(*typed(kept))).alias(f"_{name}"))
+    narrow = known.select(game, *cells, F.coalesce(_lacks(required), F.lit(False)).alias("_lacking"))
+    held = narrow.groupBy(game).agg(*[F.collect_list(f"_{name}").alias(f"_{name}") for name in frames], F.max("_lacking").alias("_lacking"))
+    sizes = [F.size(f"_{name}") > 0 for name in frames] + [F.size(f"_{teams}") == 2 if teams in frames else F.lit(False)]
+    return held.where(reduce(lambda a, b: a & b, sizes, ~F.col("_lacking"))).select(game, *[f"_{name}" for name in frames])
 
 
 def _steps(frames: Frames, key: str) -> list[tuple[str, Mapping[str, str], str]]:
@@ -70,15 +89,24 @@ def _equal(key: str):
     return lambda s: s[key] == F.col(key)
 
 
-def _merged(held: DataFrame, game: str, steps: list[tuple[str, Mapping[str, str], str]]) -> DataFrame:
-    out, have = held, []
+def _additions(steps: list[tuple[str, Mapping[str, str], str]]) -> list[Addition]:
+    """What each step brings to those before it."""
+    out, have = [], []
     for name, columns, key in steps:
-        new, met = [c for c in columns if c not in have], F.col(f"_{name}")
-        if key in have and key in columns:
+        new = [c for c in columns if c not in have]
+        out.append((name, key if key in have and key in columns else None, new))
+        have += new
+    return out
+
+
+def _merged(held: DataFrame, game: str, additions: list[Addition]) -> DataFrame:
+    out = held
+    for name, key, new in additions:
+        met = F.col(f"_{name}")
+        if key:
             met = F.filter(met, _equal(key))
         out = out.withColumn("_row", F.explode(met)).withColumns({c: F.col("_row")[c] for c in new})
-        have += new
-    return out.select(game, *have)
+    return out.select(game, *[c for _, _, new in additions for c in new])
 
 
 TABLE_SCHEMA = "struct<results struct<collection1 array<map<string,string>>>>"

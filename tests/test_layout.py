@@ -126,6 +126,42 @@ def test_assembly_drops_games_that_are_not_whole(spark):
     assert sorted((r["game"], r["TEAM_ID"], r["W"]) for r in team.collect()) == [(1, 1, 1), (1, 2, 0)]
 
 
+def _rows_of_cells(spark, rows):
+    return spark.createDataFrame(rows, "game bigint, name string, place int, cells map<string,string>")
+
+
+def test_assembly_groups_typed_rows_of_what_is_read(spark):
+    df = _rows_of_cells(spark, [(1, "P", 0, {"PLAYER_ID": "7", "TEAM_ID": "1", "A": "2"})])
+    ids = {"PLAYER_ID": "bigint", "TEAM_ID": "bigint"}
+    whole = assembly.assembled_whole(df, "game", {"P": ids | {"A": "double"}, "Q": ids | {"A": "double", "B": "double"}}, {"TeamStats": {"TEAM_ID": "bigint", "W": "int"}}, {"P": ["A"]})
+    node = whole._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Aggregate":
+        node = node.children().head()
+    grouped = {f["name"]: f["type"] for f in json.loads(node.child().schema().json())["fields"]}
+    columns = {k: [c["name"] for c in v["fields"]] for k, v in grouped.items() if isinstance(v, dict) and v["type"] == "struct"}
+    assert columns == {"_P": ["PLAYER_ID", "TEAM_ID", "A"], "_Q": ["PLAYER_ID", "B"], "_TeamStats": ["TEAM_ID", "W"]}
+    assert sorted(k for k in grouped if k not in columns) == ["_lacking", "game"]  # neither names nor maps of texts
+
+
+def test_assembly_of_odd_rows(spark):
+    teams = [("TeamStats", 0, {"TEAM_ID": "1", "W": "3"}), ("TeamStats", 1, {"TEAM_ID": "2", "W": "x"})]
+    one = [*teams, ("P", 0, {"PLAYER_ID": "7", "TEAM_ID": "1", "A": "2"}), ("P", 1, {"PLAYER_ID": None, "TEAM_ID": "1", "A": "4"}), ("P", 2, None), ("Q", 0, {"PLAYER_ID": "7", "A": "9", "B": "5"})]
+    odd = [("Q", 1, {"PLAYER_ID": "7", "B": "5"}), ("Q", 2, {"B": "6"}), ("Q", 3, None), ("T", 0, {"A": "1"}), ("T", 1, {"A": "1"}), (None, 0, {"A": "1"}), ("Other", 0, {})]
+    games = {1: [*one, *odd], 2: one, 3: [*one[1:], *odd], 4: [*one, *odd, ("P", 3, {"PLAYER_ID": "8", "TEAM_ID": "1"})], None: [*one, *odd]}
+    df = _rows_of_cells(spark, [(g, *r) for g, rows in games.items() for r in rows])
+    ids = {"PLAYER_ID": "bigint", "TEAM_ID": "bigint"}
+    # T has no key and brings no column: each of its rows gives every row again, as a join does
+    players, both = {"P": ids | {"A": "int"}, "Q": {"PLAYER_ID": "bigint", "A": "int", "B": "int"}, "T": {"A": "int"}}, {"TeamStats": {"TEAM_ID": "bigint", "W": "int"}}
+    of = lambda required, teams="TeamStats": assembly.assembled_whole(df, "game", players, both, required, teams)
+    row = (1, 7, 1, 2, 5, 3)
+    assert sorted(map(tuple, of({"P": ["A"]}).select("game", "PLAYER_ID", "TEAM_ID", "A", "B", "W").collect())) == [row] * 4
+    assert sorted(r["game"] for r in of({}).collect()) == [1] * 4 + [4] * 4
+    assert of({}, "Nowhere").count() == 0
+    own, team = assembly.assembled(df, "game", players, both, {"P": ["A"]})
+    assert sorted(map(tuple, own.select("game", "PLAYER_ID", "TEAM_ID", "A", "B").collect())) == [row[:5]] * 4
+    assert sorted(map(tuple, team.select("game", "TEAM_ID", "W").collect()), key=str) == [(1, 1, 3), (1, 2, None)]
+
+
 def test_team_stats_tables(spark):
     row = lambda **c: {k: v if k == "url" else {"text": v} for k, v in c.items()}
     table = [row(a="RK", url="u"), row(a="TEAM", b="PTS", c="NOTE", url="u"), row(a="Lions", b="101.5", c="ok", url="s/year/2014"), row(a="Bears", b="-", c="bad", url="s/year/2014"), row(a="Owls", b="7", c="3", url="s")]
