@@ -237,6 +237,25 @@ def test_possessions_are_null_not_infinite(spark):
     assert got["ORtg"].isna().all() and len(got) == 4
 
 
+def test_totals_stay_where_the_box_is_dealt(spark):
+    box = spark.createDataFrame([{"g": g, "team": t, "p": p, **{s: 1.0 + p for s in possessions.BOX}} for g in range(3) for t in (0, 1) for p in range(2)])
+    plan = possessions.with_totals(box.repartition(3, "g"), "g", "team")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and plan.count("Sort [") == 1
+
+
+def test_totals_of_odd_teams_and_events(spark):
+    stat = lambda x: dict.fromkeys(possessions.BOX, x)
+    rows = [(1, "a", 1, 0.1), (1, "a", 2, 0.2), (1, "a", 2, 0.2), (1, "b", 3, 0.7), (1, None, 4, 5.0), (2, "a", 5, 0.3), (2, "a", 6, 0.6), (3, None, 7, 1.0), (None, "a", 8, 1.0), (1, "b", 9, 0.0), (4, "c", 10, 2.0)]
+    schema = "p int, g int, " + ", ".join(f"{s} double" for s in possessions.BOX) + ", team string"
+    box = spark.createDataFrame([(p, g, *stat(x).values(), t) for g, t, p, x in rows], schema).withColumn("PTS", F.when(F.col("p") != 3, F.col("PTS")))
+    df = possessions.with_totals(box, "g", "team")
+    assert df.columns == ["g", "team", "p", *possessions.BOX, *[f"t_{s}" for s in possessions.BOX], *[f"o_{s}" for s in possessions.BOX]]
+    got = sorted((r["g"], r["team"], r["p"], round(r["t_FGM"], 9), round(r["o_FGM"], 9), r["t_PTS"] and round(r["t_PTS"], 9)) for r in df.collect())
+    # the rows without a team count for the others; those without an event, or without minutes, do not; a null is no value
+    assert got == [(1, "a", 1, 0.5, 5.7, 0.5), (1, "a", 2, 0.5, 5.7, 0.5), (1, "a", 2, 0.5, 5.7, 0.5), (1, "b", 3, 0.7, 5.5, None), (2, "a", 5, 0.9, 0.0, 0.9), (2, "a", 6, 0.9, 0.0, 0.9), (4, "c", 10, 2.0, 0.0, 2.0)]
+    assert {r["o_FGM"] for r in df.where("g in (2, 4)").collect()} == {0.0}  # just 0, not what sums in another order leave
+
+
 def test_effects_of_missing_partners(spark):
     players = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "one int, side string")
     missing = spark.createDataFrame([(2, "a"), (9, "a"), (9, "b")], "one int, side string")
