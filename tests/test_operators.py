@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from boxwise.functions import scalars, stats
 from boxwise.operators import features, joins, matchups, merge, ml, possessions, processes, ranges, roster, serve, vectors, windows
@@ -490,6 +491,21 @@ def test_a_python_function_as_a_statistic(spark):
     assert python == pytest.approx(stats.resampled(df, ["k"], "x", F.median, samples=20).where("k = 'a'").first()["statistic"])
 
 
+def test_a_statistic_gets_the_values_as_one_array_without_pandas(spark):
+    df = spark.createDataFrame([("a", 2.0), ("a", float("nan")), ("a", None), ("a", 1.0), ("b", None), ("b", float("nan")), (None, 3.0), (None, 3.0), ("c", float("inf"))], "k string, x double")
+
+    def seen(x):
+        x += 0.0  # it may be written to
+        return float(f"{len(x)}{int(x.sum())}") if np.isfinite(x).all() and x.dtype == float else float("nan")
+
+    out = df.groupBy("k").agg(stats.of_values(seen)(F.col("x")).alias("v"))
+    assert {r["k"]: r["v"] for r in out.collect()} == {"a": 23.0, "b": 0.0, None: 26.0, "c": None}
+    whole = df.where("k = 'none'").agg(stats.of_values(lambda x: len(x))(F.col("x")).alias("v")).collect()
+    assert [r["v"] for r in whole] in ([], [0.0], [None])
+    line = next(x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "ArrowAggregatePython" in x)
+    assert line.endswith(f", {PythonEvalType.SQL_GROUPED_AGG_ARROW_UDF}")
+
+
 def test_substitutions_match_brute_force(spark):
     import random
 
