@@ -4,10 +4,13 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from boxwise.functions import stats
 from boxwise.plans.registry import ORACLES, QUERIES
 
 
@@ -85,3 +88,27 @@ def test_linear_fit_is_the_direct_elastic_net_solution(spark, sf_dir):
     mse = np.mean((test["label"].to_numpy(float) - (y.mean() + scale * (at @ w))) ** 2)
     got = QUERIES["linear_fit"](spark, sf_dir).first()
     assert (got["train"], got["test"]) == (len(train), len(test)) and got["mse"] == pytest.approx(mse, rel=2e-3)
+
+
+def test_typical_deviation_of_odd_quantities_is_numpys(spark, tmp_path):
+    inf = float("inf")
+    held = {1: [3.0], 2: [3.0, 8.0], 3: [5.0, 1.0, 2.0, 2.0], 4: [None, 4.0, 9.0, 1.0], 5: [None], 6: [inf, 1.0, 2.0], 7: [inf, inf, 1.0], 8: [1.0, 1.7e308, 1.7e308, inf], 9: [0.0, -0.0, -2.5], 10: [float(k * k % 17) for k in range(40)]}
+    orders = [(c * 100 + k, c, q) for c, values in held.items() for k, q in enumerate(values)] + [(9901, None, 1.0), (9902, 77, 1.0)]
+    df = spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, l_quantity double")
+    df.selectExpr("o_orderkey", "o_custkey", "timestamp'2020-01-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority", "1.0D AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    df.selectExpr("o_orderkey AS l_orderkey", "l_quantity", "1.0D AS l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(c, 1, "BUILDING") for c in held], "c_custkey bigint, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["entity"]: r["spread"] for r in QUERIES["typical_deviation"](spark, str(tmp_path)).collect()}
+    with np.errstate(all="ignore"):
+        there = {c: np.array([q for q in values if q is not None]) for c, values in held.items()}
+        want = {c: float(np.median(np.abs(x - np.median(x)))) for c, x in there.items() if len(x)}
+    assert got == {c: None if np.isnan(v) else pytest.approx(v, abs=1e-4) for c, v in want.items()}
+    assert got[7] is None and got[8] is None and got[6] == 1.0 and 5 not in got
+
+
+def test_typical_deviation_leaves_numpys_median(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(stats, "of_values", lambda f: seen.append(f) or F.max)
+    QUERIES["typical_deviation"](spark, sf_dir)
+    monkeypatch.setattr(np, "median", None)  # many small groups pay for its checks
+    assert seen[0](np.array([1.0, 5.0, 2.0, 9.0])) == 2.0 and seen[0](np.array([])) is None
